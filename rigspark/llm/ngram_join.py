@@ -281,7 +281,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     pairs = sets.withColumn("other", other).select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "block", "tokens")
     pairs = pairs.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "rep")
-    found = connected_components(pairs.mapInPandas(lambda it: _search(it, percent), "src long, dst long"))
+    found = connected_components(written(pairs.mapInPandas(lambda it: _search(it, percent), "src long, dst long")))
 
     labels = reps.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return profile.join(labels, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
