@@ -49,3 +49,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         state = now
     labels = work.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(labels, nodes.node == labels.u, "left").select("node", F.coalesce("m", "node").alias("component"))
+
+
+def singleton_traces(matches: DataFrame) -> DataFrame:
+    """One trace per match; its key is the match itself: adds ``trace``."""
+    return matches.withColumn("trace", F.struct("image0", "idx0", "image1", "idx1"))
+
+
+def trace_members(matches: DataFrame) -> DataFrame:
+    """Traces as components of the matched keypoints: ``(trace_id, image, kp_idx)``."""
+    node = lambda i: F.concat_ws("#", f"image{i}", F.lpad(F.col(f"idx{i}").cast("string"), 10, "0"))
+    found = connected_components(matches.select(node(0).alias("src"), node(1).alias("dst")))
+    return found.select(F.col("component").alias("trace_id"), F.substring_index("node", "#", 1).alias("image"), F.substring_index("node", "#", -1).cast("int").alias("kp_idx"))
+
+
+def trace_observations(members: DataFrame, keypoints: DataFrame, cameras: DataFrame, camera_of) -> DataFrame:
+    """Members with their keypoint's place and their image's camera."""
+    rows = members.join(keypoints, ["image", "kp_idx"]).withColumn("id", camera_of)
+    return rows.join(F.broadcast(cameras), "id")
