@@ -50,7 +50,7 @@ def match_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: ``point_id, x, y, z``: parts as points around the rig.
-POINTS_SQL = "select p_partkey point_id, (cast(p_retailprice as double)-949.95)*10 x, (p_size-25.5)*20.0 y, (p_partkey%200)*7-700.0 z from part"
+POINTS_SQL = "select p_partkey point_id, (cast(p_retailprice as double)-949.95::double)*10 x, (p_size-25.5::double)*20 y, (p_partkey%200)*7-700::double z from part"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def d20_bin_down(spark: SparkSession, d: str) -> DataFrame:
     return _out(GD.bin_down(B.grid(spark, d), K, 2))
 
 
-_WARP = f"(select image_id, y dy, x dx, x*0.9+y*0.05-1.3 sx, y*0.95-x*0.02+0.7 sy from ({G}))"
+_WARP = f"(select image_id, y dy, x dx, x*0.9::double+y*0.05::double-1.3::double sx, y*0.95::double-x*0.02::double+0.7::double sy from ({G}))"
 
 
 def _warp(spark: SparkSession, d: str) -> DataFrame:
@@ -213,14 +213,77 @@ def e16_raster_order(spark: SparkSession, d: str) -> DataFrame:
     return Q.raster_order(B.grid(spark, d), K, 64).select("image_id", "y", "x", r6("v").alias("v"), F.col("place").cast("long").alias("place"))
 
 
-@query(f"select a.y, a.x, {s6('((exp(5*p*2))*(1-p)*a.v + exp(5*p)*p*b.v) / ((exp(5*p*2))*(1-p)+exp(5*p)*p)')} v from ({G}) a join ({G}) b on a.image_id=0 and b.image_id=1 and a.y=b.y and a.x=b.x, (select 0.4 p) where true")
+_H8 = """select a.y, a.x, {v} v, greatest(1.0::double, p) a from (select *, 0.2+(x%4)/5.0 p from ({g})) b join ({g}) a on a.image_id=0 and b.image_id=1 and a.y=b.y and a.x=b.x""".format(
+    g=G, v=s6("a.v*(1-(p*(1-tanh(5*abs(a.v-b.v)))+exp(5*p)/(exp(5*(1-p)*2)+exp(5*p))*tanh(5*abs(a.v-b.v))))+b.v*(p*(1-tanh(5*abs(a.v-b.v)))+exp(5*p)/(exp(5*(1-p)*2)+exp(5*p))*tanh(5*abs(a.v-b.v)))"))
+
+
+@query(_H8)
 def h8_flatten_prefer_base(spark: SparkSession, d: str) -> DataFrame:
-    from rigspark.plans.panorama import flatten_weighted
+    from rigspark.plans.panorama import flatten_prefer_base
 
     g = B.grid(spark, d)
-    a = g.where("image_id = 0").select("y", "x", F.col("v").alias("v0"))
-    b = g.where("image_id = 1").select("y", "x", F.col("v").alias("v1"))
-    p = 0.4
-    import math
+    base = g.where("image_id = 0").select("y", "x", "v", F.lit(1.0).alias("a"))
+    top = g.where("image_id = 1").select("y", "x", "v", (0.2 + F.col("x") % 4 / 5.0).alias("a"))
+    return flatten_prefer_base(base, top, ["y", "x"], ["v"]).select("y", "x", r6("v").alias("v"), "a")
+
+
+_W = "(t*(1-tanh(10*abs(l-r)))+exp(10*t*0.9*(1+100*ml/64))/(exp(10*(1-t)*0.8*(1+100*mr/64))+exp(10*t*0.9*(1+100*ml/64)))*tanh(10*abs(l-r)))"
+
+
+@query(f"select y, x, {s6(f'l*(1-{_W})+r*{_W}')} v from (select a.y, a.x, a.v l, b.v r, 0.3 t, (a.x%3)/20.0 ml, (a.y%3)/20.0 mr from ({G}) a join ({G}) b on a.image_id=0 and b.image_id=1 and a.y=b.y and a.x=b.x)")
+def h4_novel_view_blend(spark: SparkSession, d: str) -> DataFrame:
+    from rigspark.functions.scalars import lerp
+    from rigspark.plans.panorama import novel_view_weight
+
+    g = B.grid(spark, d)
+    a = g.where("image_id = 0").select("y", "x", F.col("v").alias("l"))
+    b = g.where("image_id = 1").select("y", "x", F.col("v").alias("r"))
+    w = novel_view_weight(["l"], ["r"], F.lit(0.8), F.lit(0.9), F.col("x") % 3 / 20.0, F.col("y") % 3 / 20.0, F.lit(0.3), 64.0)
+    return a.join(b, ["y", "x"]).select("y", "x", r6(lerp("l", "r", w)).alias("v"))
+
+
+@query(f"select y, x, {s6('case when a<1 and b>0 then a*v+(1-a)*w else v end')} v, case when a<1 and b>0 then 1.0::double else a end a from (select p.y, p.x, p.v, (p.x%3)/2.0 a, q.v w, (q.y%2)/1.0 b from ({G}) p join ({G}) q on p.image_id=2 and q.image_id=3 and p.y=q.y and p.x=q.x)")
+def h6_merge_pole(spark: SparkSession, d: str) -> DataFrame:
+    from rigspark.plans.panorama import merge_pole
+
+    g = B.grid(spark, d)
+    top = g.where("image_id = 2").select("y", "x", "v", (F.col("x") % 3 / 2.0).alias("a"))
+    low = g.where("image_id = 3").select("y", "x", "v", (F.col("y") % 2 / 1.0).alias("a"))
+    return merge_pole(top.join(low.select("y", "x"), ["y", "x"], "left_semi"), low, ["y", "x"]).select("y", "x", r6("v").alias("v"), "a")
+
+
+@query(f"select image_id, y, x, {s6('least(greatest(least(greatest((b*1.1*1.2),0),1)-0.02,0)/(0.9-0.02), 1)')} v from (select image_id, y, x, case when w<1 then (w-0.05)/(1-0.05) else w end b from (select *, least(greatest(v*2+0.5,0),1) w from ({G})))")
+def h1_develop_sensor_part(spark: SparkSession, d: str) -> DataFrame:
+    from rigspark.plans.isp import sensor_values
+
+    g = B.grid(spark, d).withColumn("v", F.least(F.greatest(F.col("v") * 2 + 0.5, F.lit(0.0)), F.lit(1.0)))
+    v = sensor_values(F.col("v"), 0.05, F.lit(1.1), 1.2, 0.02, 0.9)
+    return g.select("image_id", "y", "x", r6(v).alias("v"))
+
+
+@query(f"select image_id, level, h as rows_, w as cols_ from (select distinct image_id from ({G})), (values (0,50,64),(1,45,57),(2,40,51),(3,36,45),(4,32,40),(5,28,36),(6,25,32)) t(level,h,w)")
+def e11_pyramid_sizes(spark: SparkSession, d: str) -> DataFrame:
+    sizes = spark.createDataFrame([(i, h, w) for i, (h, w) in enumerate(GD.pyramid_sizes(50, 64))], "level int, rows_ int, cols_ int")
+    return B.grid(spark, d).select("image_id").distinct().crossJoin(F.broadcast(sizes))
+
+
+@query()
+def e11_pyramid_level(spark: SparkSession, d: str) -> DataFrame:
+    return _out(GD.pyramid(B.grid(spark, d), K, 50, 64)[-1])
+
+
+@query()
+def g16_refine_flow(spark: SparkSession, d: str) -> DataFrame:
+    from rigspark.plans.flow import refine_flow
+
+    g = B.grid(spark, d).where("image_id < 2")
+    b = GD.wrap_shift(g, 64, 1)
+    zero = g.select("image_id", "y", "x", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
+    return refine_flow(zero, g, b, K, 50, 64, sweeps=1)
+
+
+@query()
+def h9_cubemap(spark: SparkSession, d: str) -> DataFrame:
+    from rigspark.plans.panorama import to_cubemap
 
-    return a.join(b, ["y", "x"]).select("y", "x", r6(flatten_weighted("v0", "v1", F.lit(math.exp(5 * p * 2) * (1 - p)), F.lit(math.exp(5 * p) * p))).alias("v"))
+    return to_cubemap(B.grid(spark, d).where("image_id = 0").select("y", "x", "v"), 16, 64, 50).select("y", "x", r6("v").alias("v"))

@@ -121,8 +121,9 @@ def fit_vignetting(samples: DataFrame, keys: list[str], x: str, y: str, target:
     horizontal control points is fixed at 1.  Returns keys, ``h`` and ``v`` (control points).
     """
     basis = lambda c: [math.comb(order, i) * F.pow(1 - F.col(c), F.lit(float(order - i))) * F.pow(F.col(c), F.lit(float(i))) for i in range(order + 1)]
-    cur = samples.select(*keys).distinct().withColumn("h", F.array(*[F.lit(1.0)] * (order + 1))).withColumn("v", F.array(*[F.lit(1.0)] * (order + 1)))
-    cur = _materialise(cur)
+    ones = F.array(*[F.lit(1.0)] * (order + 1))
+    samples = samples.select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(target).alias("__t"))
+    cur = _materialise(samples.select(*keys).distinct().withColumn("h", ones).withColumn("v", ones))
     kinds = ", ".join(f"`{k}` {samples.schema[k].dataType.simpleString()}" for k in keys)
 
     def solve(frames: Iterator[pd.DataFrame], name: str) -> Iterator[pd.DataFrame]:
@@ -131,10 +132,10 @@ def fit_vignetting(samples: DataFrame, keys: list[str], x: str, y: str, target:
             yield f[keys].assign(**{name: out})
 
     for _ in range(rounds):
-        for own, other, at, along in (("h", "v", x, y), ("v", "h", y, x)):
+        for own, other, at, along in (("h", "v", "__x", "__y"), ("v", "h", "__y", "__x")):
             fixed = sum((F.col(other)[i] * b for i, b in enumerate(basis(along))), F.lit(0.0))
             rows = samples.join(F.broadcast(cur), keys)
-            sums = normal_sums(rows, keys, [b * fixed for b in basis(at)], [F.col(target)])
+            sums = normal_sums(rows, keys, [b * fixed for b in basis(at)], [F.col("__t")])
             new = sums.select(*keys, "xx", "xy").mapInPandas(lambda it, own=own: solve(it, own), f"{kinds}, {own} array<double>")
             cur = _materialise(new.join(cur.select(*keys, other), keys))
     scale = F.aggregate("h", F.lit(0.0), lambda a, b: a + b) / (order + 1)
@@ -227,7 +228,7 @@ def ransac_inliers(matches: DataFrame, threshold: float = 3.0, trials: int = 200
 
     def error(h: list[Column]) -> Column:
         w = h[6] * F.col("x0") + h[7] * F.col("y0") + h[8]
-        u, v = (h[0] * F.col("x0") + h[1] * F.col("y0") + h[2]) / w, (h[3] * F.col("x0") + h[4] * F.col("y0") + h[5]) / w
+        u, v = F.try_divide(h[0] * F.col("x0") + h[1] * F.col("y0") + h[2], w), F.try_divide(h[3] * F.col("x0") + h[4] * F.col("y0") + h[5], w)
         return F.sqrt((u - F.col("x1")) ** 2 + (v - F.col("y1")) ** 2)
 
     # Trials stand beside each match as an array: a partial sum per trial, no row per pair.
