@@ -17,6 +17,8 @@ from rigspark.operators.graph import connected_components
 
 #: Shingles of one block of the search; larger candidate groups are searched block by block.
 BLOCK_SHINGLES = 1 << 18
+#: Buckets of a set's histogram, and documents of one block of the comparison of histograms.
+HISTOGRAM, BLOCK_DOCS = 512, 2048
 #: Candidate rows up to which the list of candidates is broadcast (24 bytes a row).
 BROADCAST_ROWS = 1_000_000
 #: Weight of the logarithm in DivideSkip's choice of how many long lists to set aside.
@@ -231,6 +233,96 @@ def _search(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFra
         yield ended(held)
 
 
+def histograms(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many tokens of each set fall into each bucket, a byte each; 255 stands for any more."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = owner * HISTOGRAM + (tokens >> np.uint64(55)).astype(np.int64)
+    full = np.bincount(at, minlength=(len(bounds) - 1) * HISTOGRAM).reshape(-1, HISTOGRAM)
+    # A set with a bucket beyond a byte could hold anything: its bound must never reject.
+    full[(full > 254).any(1)] = 255
+    return full.astype(np.uint8)
+
+
+def _histogram_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, tokens, bounds in shingled(batch, width):
+            rows = batch.slice(first, len(bounds) - 1)
+            held = pa.array([h.tobytes() for h in histograms(tokens, bounds)], pa.binary())
+            yield pa.RecordBatch.from_pydict({c: rows.column(c) for c in ("rep", "grp", "cls", "n_subs", "sub", "below", "above")} | {"n": pa.array(np.diff(bounds), pa.int64()), "hist": held})
+
+
+def possible_links(sizes: np.ndarray, hists: np.ndarray, sides: np.ndarray, percent: int, apart: bool) -> list[tuple[int, int]]:
+    """Pairs, as a spanning forest, whose histograms leave room for the overlap of a link.
+
+    Two sets have at most the sum of the smaller counts of each bucket in common, so a pair whose
+    sum is too small is no link; nothing else is ruled out.
+    """
+    order = np.argsort(sizes, kind="stable")
+    size, hist, side = sizes[order], hists[order], sides[order]
+    pairs, groups = [], Links(len(order))
+    for x in range(1, len(order)):
+        if groups.left == 1:
+            break
+        low = int(np.searchsorted(size, -(-percent * size[x] // 100)))
+        near = np.arange(low, x)
+        near = near[groups.label[near] != groups.label[x]]
+        if apart:
+            near = near[side[near] != side[x]]
+        for at in range(0, len(near), 4096):
+            part = near[at : at + 4096]
+            most = np.minimum(hist[part], hist[x]).sum(1, dtype=np.int64)
+            most = np.where(hist[part, 0] == 255, size[part], most)
+            for y in part[(100 + percent) * most >= percent * (size[part] + size[x])]:
+                if groups.label[x] != groups.label[y]:
+                    groups.join(x, int(y))
+                    pairs.append((int(order[x]), int(order[y])))
+    return pairs
+
+
+def _compare(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Possible links of each block pair; rows of a block pair follow one another."""
+    def ended(rows: list) -> pd.DataFrame:
+        apart = rows[0][1:3] != rows[0][3:5]
+        sides = np.array([r[6:8] == rows[0][1:3] for r in rows])
+        at = possible_links(np.array([r[8] for r in rows]), np.frombuffer(b"".join(r[9] for r in rows), np.uint8).reshape(-1, HISTOGRAM), sides, percent, apart)
+        return pd.DataFrame({"rep": [rows[a][5] for a, _ in at], "hub": [rows[b][5] for _, b in at]}, dtype="int64")
+
+    held: list = []
+    for frame in frames:
+        for row in frame[["grp", "ci", "si", "cj", "sj", "rep", "cls", "sub", "n", "hist"]].itertuples(index=False):
+            if held and held[0][:5] != row[:5]:
+                yield ended(held)
+                held = []
+            held.append(tuple(row))
+    if held:
+        yield ended(held)
+
+
+def _refined(base: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Candidate edges that are left when the histograms of the members are compared.
+
+    A passage that many documents share can chain thousands of candidates; their histograms, a
+    small part of the sets in size, tell most of them apart.  Sets are compared within a size
+    class and with the next one, in blocks of ``BLOCK_DOCS``.
+    """
+    cls = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
+    members = members.withColumn("cls", cls)
+    counts = written(members.groupBy("grp", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("n_subs")))
+    near = lambda step, name: counts.select("grp", (F.col("cls") + step).alias("cls"), F.col("n_subs").alias(name))
+    members = members.join(counts, ["grp", "cls"]).join(near(1, "below"), ["grp", "cls"], "left").join(near(-1, "above"), ["grp", "cls"], "left").fillna(0, ["below", "above"])
+    members = _small(members.withColumn("sub", F.pmod(F.xxhash64("rep"), "n_subs").cast("int")).drop("n"))
+    rows = base.join(members, F.col("doc_id") == F.col("rep")).select("rep", "grp", "cls", "n_subs", "sub", "below", "above", "text")
+    rows = rows.mapInArrow(lambda it: _histogram_rows(it, width), "rep long, grp long, cls int, n_subs int, sub int, below int, above int, n long, hist binary")
+    pair = lambda ci, si, cj, sj: F.struct(ci.alias("ci"), si.alias("si"), cj.alias("cj"), sj.alias("sj"))
+    c, s, upto = F.col("cls"), F.col("sub"), lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.transform(upto("n_subs"), lambda j: pair(c, F.least(s, j), c, F.greatest(s, j)))
+    up = F.transform(upto("above"), lambda j: pair(c, s, c + 1, j))
+    down = F.transform(upto("below"), lambda j: pair(c - 1, j, c, s))
+    rows = rows.withColumn("p", F.explode(F.concat(own, up, down))).select("grp", "p.*", "rep", "cls", "sub", "n", "hist")
+    keys = ["grp", "ci", "si", "cj", "sj"]
+    return written(rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInPandas(lambda it: _compare(it, percent), "rep long, hub long").distinct())
+
+
 def _token_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, tokens, bounds in shingled(batch, width):
@@ -254,7 +346,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null.  Shingles are compared by 64-bit hashes, sets by 128 bits.
 
     Plan: candidates meet by signatures (:class:`Schemes`), which are grouped into candidate
-    components over (first, member) edges; only the sets of these are searched, in blocks of
+    components over (first, member) edges; within these, histograms of the sets rule out most
+    pairs that cannot link (:func:`_refined`); only the sets of what is left are searched, in blocks of
     bounded size, by :func:`t_occurrences`; the links that connect them give the components.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -271,7 +364,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hub = F.min("rep").over(Window.partitionBy("sig"))
     edges = written(rows.withColumn("hub", hub).where("rep <> hub").select("rep", "hub").distinct())
     groups = connected_components(edges, "rep", "hub").withColumnRenamed("node", "rep").withColumnRenamed("component", "grp")
-    sizes = known.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("n").alias("n"))
+    sizes = known.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"))
+    edges = _refined(base, groups.join(sizes, "rep"), width, percent)
+    groups = connected_components(edges, "rep", "hub").withColumnRenamed("node", "rep").withColumnRenamed("component", "grp")
     members = groups.join(sizes, "rep")
     blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
     members = _small(members.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int")))

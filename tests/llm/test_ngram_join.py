@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from rigspark.llm.ngram_join import Schemes, jaccard_components, near_duplicates, t_occurrences
+from rigspark.llm.ngram_join import Schemes, histograms, jaccard_components, near_duplicates, possible_links, t_occurrences
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -63,6 +63,7 @@ def test_blocks_give_the_same_links(spark, monkeypatch):
     rows = copies(3, 120)
     monkeypatch.setattr(join, "BLOCK_SHINGLES", 700)
     monkeypatch.setattr(join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(join, "BLOCK_DOCS", 9)
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 80)
 
@@ -81,6 +82,19 @@ def test_every_linked_pair_shares_a_signature():
                 assert set(sig[owner == 0]) & set(sig[owner == 1]), n
 
 
+def test_histograms_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for n in [1, 5, 40, 300, 200_000]:
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        y = np.r_[x[n // 10 :], rng.integers(0, 1 << 63, n // 20).astype(np.uint64)]
+        both = np.r_[x, y]
+        h = histograms(both, np.array([0, len(x), len(both)]))
+        sizes, sides = np.array([len(x), len(y)]), np.array([True, False])
+        assert possible_links(sizes, h, sides, 80, True) and possible_links(sizes, h, sides, 80, False)
+    a, b = (rng.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(2))
+    assert not possible_links(np.array([400, 400]), histograms(np.r_[a, b], np.array([0, 400, 800])), np.array([True, False]), 80, True)
+
+
 def test_t_occurrences():
     rng = np.random.default_rng(2)
     for _ in range(200):
