@@ -99,9 +99,9 @@ _NEAR = lambda r, step: f"(select a.image_id, a.y, a.x, b.v nv from ({G}) a join
 _MED = lambda r, step: f"(select image_id, y, x, list(nv order by nv)[floor(count(*)/2)::int+1] v, avg(nv) m, list(nv) a from {_NEAR(r, step)} group by 1,2,3)"
 
 
-@query(f"select image_id, y, x, v from {_MED(2, 1)} where image_id<3")
+@query(f"select image_id, y, x, v from {_MED(2, 1)}")
 def e9_median_filter(spark: SparkSession, d: str) -> DataFrame:
-    return GD.median_filter(B.grid(spark, d).where("image_id < 3"), K, 2)
+    return GD.median_filter(B.grid(spark, d), K, 2)
 
 
 @query(f"select g.image_id, g.y, g.x, case when m.m<0.0 and list_count(list_filter(m.a, lambda q: q>g.v))<1 then m.v else g.v end v from ({G}) g join {_MED(2, 2)} m using (image_id, y, x)")
@@ -150,9 +150,9 @@ def c12_gather(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["image_id", "dy", "dx"])
 
 
-@query(f"select a.image_id, a.y y0, a.x x0, o oy, p ox, {s6('a.v')} v0, {s6('b.v')} v1 from (select * from ({G}) where image_id<2) a, generate_series(-1,1) t(o), generate_series(0,5) u(p), (select * from ({G})) b where b.image_id=a.image_id and b.y=a.y+o and b.x=a.x+p")
+@query(f"select a.image_id, a.y y0, a.x x0, o oy, p ox, {s6('a.v')} v0, {s6('b.v')} v1 from ({G}) a, generate_series(-1,1) t(o), generate_series(0,5) u(p), (select * from ({G})) b where b.image_id=a.image_id and b.y=a.y+o and b.x=a.x+p")
 def c14_search_box(spark: SparkSession, d: str) -> DataFrame:
-    g = B.grid(spark, d).where("image_id < 2")
+    g = B.grid(spark, d)
     out = J.search_box_candidates(g, g, K, "right", 20.0)
     return out.select("image_id", "y0", "x0", "oy", "ox", r6("v0").alias("v0"), r6("v1").alias("v1"))
 
@@ -196,16 +196,14 @@ def d12_component_stats(spark: SparkSession, d: str) -> DataFrame:
     return out.select("image_id", "label", "area", "y0", "y1", "x0", "x1", r6("cy").alias("cy"), r6("cx").alias("cx"), r6("fill").alias("fill"))
 
 
-_BM = f"(select * from ({G}) where image_id<1)"
-
-
-@query(f"""with c as (select a.y, a.x, o oy, p ox, abs(a.v-b.v) d from {_BM} a, generate_series(0,0) t(o), generate_series(0,1) u(p), {_BM} b where b.y=a.y+o and b.x=a.x+p),
- s as (select g.y, g.x, c.oy, c.ox, avg(c.d) sad from {_BM} g join c on abs(c.y-g.y)<=2 and abs(c.x-g.x)<=2 group by 1,2,3,4),
- e as (select *, round(sad*(1+sqrt(oy*oy+ox*ox)/1)*(case when oy=0 and ox=0 then 0.8 else 1.0 end),9) error from s)
- select y, x, ox fx, oy fy, {s6('error')} error from (select *, row_number() over (partition by y, x order by error, abs(oy), abs(ox)) rn from e) where rn=1""")
+@query(f"""with c as (select a.image_id, a.y, a.x, p ox, abs(a.v-b.v) d from ({G}) a, generate_series(0,1) u(p), ({G}) b where b.image_id=a.image_id and b.y=a.y and b.x=a.x+p),
+ t as (select image_id, y+i y, x+j x, ox, d from c, generate_series(-2,2) r(i), generate_series(-2,2) s(j)),
+ s as (select g.image_id, g.y, g.x, t.ox, avg(t.d) sad from ({G}) g join t using (image_id, y, x) group by 1,2,3,4),
+ e as (select *, round(sad*(1+sqrt(ox*ox)/1)*(case when ox=0 then 0.8 else 1.0 end),9) error from s)
+ select image_id, y, x, ox fx, cast(0 as bigint) fy, {s6('error')} error from (select *, row_number() over (partition by image_id, y, x order by error, abs(ox)) rn from e) where rn=1""")
 def g15_block_match(spark: SparkSession, d: str) -> DataFrame:
-    g = B.grid(spark, d).where("image_id < 1")
-    return GD.block_match(g, g, K, "right", 4.0).select("y", "x", "fx", "fy", r6("error").alias("error"))
+    g = B.grid(spark, d)
+    return GD.block_match(g, g, K, "right", 4.0).select("image_id", "y", "x", "fx", "fy", r6("error").alias("error"))
 
 
 @query(f"select image_id, y, x, {s6('v')} v, cast(rn-1 as bigint) place from (select *, row_number() over (partition by image_id order by y, x) rn from ({G}))")
@@ -213,7 +211,12 @@ def e16_raster_order(spark: SparkSession, d: str) -> DataFrame:
     return Q.raster_order(B.grid(spark, d), K, 64).select("image_id", "y", "x", r6("v").alias("v"), F.col("place").cast("long").alias("place"))
 
 
-_H8 = """select a.y, a.x, {v} v, greatest(1.0::double, p) a from (select *, 0.2+(x%4)/5.0 p from ({g})) b join ({g}) a on a.image_id=0 and b.image_id=1 and a.y=b.y and a.x=b.x""".format(
+def _next(g: DataFrame) -> DataFrame:
+    """Each image under the number of the one before it."""
+    return g.withColumn("image_id", F.col("image_id") - 1)
+
+
+_H8 = """select a.image_id, a.y, a.x, {v} v, greatest(1.0::double, p) a from (select *, 0.2+(x%4)/5.0 p from ({g})) b join ({g}) a on b.image_id=a.image_id+1 and a.y=b.y and a.x=b.x""".format(
     g=G, v=s6("a.v*(1-(p*(1-tanh(5*abs(a.v-b.v)))+exp(5*p)/(exp(5*(1-p)*2)+exp(5*p))*tanh(5*abs(a.v-b.v))))+b.v*(p*(1-tanh(5*abs(a.v-b.v)))+exp(5*p)/(exp(5*(1-p)*2)+exp(5*p))*tanh(5*abs(a.v-b.v)))"))
 
 
@@ -222,34 +225,33 @@ def h8_flatten_prefer_base(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.panorama import flatten_prefer_base
 
     g = B.grid(spark, d)
-    base = g.where("image_id = 0").select("y", "x", "v", F.lit(1.0).alias("a"))
-    top = g.where("image_id = 1").select("y", "x", "v", (0.2 + F.col("x") % 4 / 5.0).alias("a"))
-    return flatten_prefer_base(base, top, ["y", "x"], ["v"]).select("y", "x", r6("v").alias("v"), "a")
+    base = g.select("image_id", "y", "x", "v", F.lit(1.0).alias("a"))
+    top = _next(g).withColumn("a", 0.2 + F.col("x") % 4 / 5.0)
+    return flatten_prefer_base(base, top, ["image_id", "y", "x"], ["v"]).select("image_id", "y", "x", r6("v").alias("v"), "a")
 
 
 _W = "(t*(1-tanh(10*abs(l-r)))+exp(10*t*0.9*(1+100*ml/64))/(exp(10*(1-t)*0.8*(1+100*mr/64))+exp(10*t*0.9*(1+100*ml/64)))*tanh(10*abs(l-r)))"
 
 
-@query(f"select y, x, {s6(f'l*(1-{_W})+r*{_W}')} v from (select a.y, a.x, a.v l, b.v r, 0.3 t, (a.x%3)/20.0 ml, (a.y%3)/20.0 mr from ({G}) a join ({G}) b on a.image_id=0 and b.image_id=1 and a.y=b.y and a.x=b.x)")
+@query(f"select image_id, y, x, {s6(f'l*(1-{_W})+r*{_W}')} v from (select a.image_id, a.y, a.x, a.v l, b.v r, 0.3 t, (a.x%3)/20.0 ml, (a.y%3)/20.0 mr from ({G}) a join ({G}) b on b.image_id=a.image_id+1 and a.y=b.y and a.x=b.x)")
 def h4_novel_view_blend(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.functions.scalars import lerp
     from rigspark.plans.panorama import novel_view_weight
 
     g = B.grid(spark, d)
-    a = g.where("image_id = 0").select("y", "x", F.col("v").alias("l"))
-    b = g.where("image_id = 1").select("y", "x", F.col("v").alias("r"))
+    a, b = g.withColumnRenamed("v", "l"), _next(g).withColumnRenamed("v", "r")
     w = novel_view_weight(["l"], ["r"], F.lit(0.8), F.lit(0.9), F.col("x") % 3 / 20.0, F.col("y") % 3 / 20.0, F.lit(0.3), 64.0)
-    return a.join(b, ["y", "x"]).select("y", "x", r6(lerp("l", "r", w)).alias("v"))
+    return a.join(b, ["image_id", "y", "x"]).select("image_id", "y", "x", r6(lerp("l", "r", w)).alias("v"))
 
 
-@query(f"select y, x, {s6('case when a<1 and b>0 then a*v+(1-a)*w else v end')} v, case when a<1 and b>0 then 1.0::double else a end a from (select p.y, p.x, p.v, (p.x%3)/2.0 a, q.v w, (q.y%2)/1.0 b from ({G}) p join ({G}) q on p.image_id=2 and q.image_id=3 and p.y=q.y and p.x=q.x)")
+@query(f"select image_id, y, x, {s6('case when a<1 and b>0 then a*v+(1-a)*w else v end')} v, case when a<1 and b>0 then 1.0::double else a end a from (select p.image_id, p.y, p.x, p.v, (p.x%3)/2.0 a, q.v w, (q.y%2)/1.0 b from ({G}) p join ({G}) q on q.image_id=p.image_id+1 and p.y=q.y and p.x=q.x)")
 def h6_merge_pole(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.panorama import merge_pole
 
     g = B.grid(spark, d)
-    top = g.where("image_id = 2").select("y", "x", "v", (F.col("x") % 3 / 2.0).alias("a"))
-    low = g.where("image_id = 3").select("y", "x", "v", (F.col("y") % 2 / 1.0).alias("a"))
-    return merge_pole(top.join(low.select("y", "x"), ["y", "x"], "left_semi"), low, ["y", "x"]).select("y", "x", r6("v").alias("v"), "a")
+    on = ["image_id", "y", "x"]
+    top, low = g.withColumn("a", F.col("x") % 3 / 2.0), _next(g).withColumn("a", F.col("y") % 2 / 1.0)
+    return merge_pole(top.join(low.select(*on), on, "left_semi"), low, on).select(*on, r6("v").alias("v"), "a")
 
 
 @query(f"select image_id, y, x, {s6('least(greatest(least(greatest((b*1.1*1.2),0),1)-0.02,0)/(0.9-0.02), 1)')} v from (select image_id, y, x, case when w<1 then (w-0.05)/(1-0.05) else w end b from (select *, least(greatest(v*2+0.5,0),1) w from ({G})))")
@@ -276,7 +278,7 @@ def e11_pyramid_level(spark: SparkSession, d: str) -> DataFrame:
 def g16_refine_flow(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.flow import refine_flow
 
-    g = B.grid(spark, d).where("image_id < 2")
+    g = B.grid(spark, d)
     b = GD.wrap_shift(g, 64, 1)
     zero = g.select("image_id", "y", "x", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
     return refine_flow(zero, g, b, K, 50, 64, sweeps=1)
@@ -286,4 +288,5 @@ def g16_refine_flow(spark: SparkSession, d: str) -> DataFrame:
 def h9_cubemap(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.panorama import to_cubemap
 
-    return to_cubemap(B.grid(spark, d).where("image_id = 0").select("y", "x", "v"), 16, 64, 50).select("y", "x", r6("v").alias("v"))
+    mean = B.grid(spark, d).groupBy("y", "x").agg(F.avg("v").alias("v"))
+    return to_cubemap(mean, 16, 64, 50).select("y", "x", r6("v").alias("v"))

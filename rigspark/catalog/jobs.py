@@ -68,8 +68,9 @@ def s9_footage_stream(spark: SparkSession, d: str) -> DataFrame:
 def h2_to_spherical(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.panorama import to_spherical
 
-    rig = B.rig(spark).where("ordinal < 3").withColumns({c: F.transform(c, lambda v: v / 32) for c in ("resolution", "principal", "focal")})
-    images = B.grid(spark, d).where("image_id < 3").join(F.broadcast(rig.select(F.col("ordinal").cast("long").alias("image_id"), "id")), "image_id").select("id", "y", "x", "v")
+    rig = B.rig(spark).withColumns({c: F.transform(c, lambda v: v / 32) for c in ("resolution", "principal", "focal")})
+    images = B.grid(spark, d).join(F.broadcast(rig.select(F.col("ordinal").cast("long").alias("image_id"), "id")), "image_id").select("id", "y", "x", "v")
+    rig = rig.join(F.broadcast(images.select("id").distinct()), "id", "left_semi")
     return to_spherical(images, rig, 40, 30, 1.2, 0.6, (50, 64)).select("id", "y", "x", r6("v").alias("v"), r6("a").alias("a"))
 
 
@@ -77,9 +78,9 @@ def h2_to_spherical(spark: SparkSession, d: str) -> DataFrame:
 def h5_stereo_panorama(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.panorama import stereo_panorama
 
-    g = B.grid(spark, d).where("image_id < 4").withColumnRenamed("image_id", "pair")
+    g = B.grid(spark, d).withColumnRenamed("image_id", "pair")
     zero = g.select("pair", "y", "x", F.lit(1.5).alias("fx"), F.lit(0.0).alias("fy"))
-    out = stereo_panorama(g, g, zero, zero, "pair", 20, 64, 4, 120.0, 400, "left")
+    out = stereo_panorama(g, g, zero, zero, "pair", 20, 64, 10, 60.0, 400, "left")
     return out.select("y", "x", r6("v").alias("v"))
 
 
@@ -88,7 +89,7 @@ def h7_pole_to_side(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.panorama import pole_to_side
 
     g = B.grid(spark, d)
-    side, pole = (g.where(F.col("image_id") == i).select("y", "x", "v") for i in (4, 5))
+    side, pole = (g.groupBy("y", "x").agg(f("v").alias("v")) for f in (F.avg, F.max))
     flow = side.select("y", "x", F.lit(1.0).alias("fx"), F.lit(0.0).alias("fy"))
     return pole_to_side(side, pole, flow, 50, 64, 90.0, 40.0, 90.0).select("y", "x", r6("v").alias("v"))
 
@@ -97,7 +98,7 @@ def h7_pole_to_side(spark: SparkSession, d: str) -> DataFrame:
 def h11_detect_patches(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.calibration import detect_patches
 
-    g = B.grid(spark, d).where("image_id < 2").withColumn("v", F.col("v") + 0.5)
+    g = B.grid(spark, d).withColumn("v", F.col("v") + 0.5)
     return detect_patches(g, ["image_id"], 4, 400, 6, 9, 0.02)
 
 
@@ -105,6 +106,6 @@ def h11_detect_patches(spark: SparkSession, d: str) -> DataFrame:
 def h14_calibrate_vignetting(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.calibration import calibrate_vignetting
 
-    g = B.grid(spark, d).where("image_id < 2")
+    g = B.grid(spark, d)
     s = g.select("image_id", F.lit(0).alias("ch"), (F.col("x") / 64.0).alias("x"), (F.col("y") / 64.0).alias("y"), (0.8 - 0.2 * (F.col("x") / 64.0 - 0.5) ** 2 + 0.02 * F.col("v")).alias("v"))
     return calibrate_vignetting(s, ["image_id"], rounds=2).select("image_id", "ch", F.transform("h", lambda c: F.round(c, 3)).alias("h"))

@@ -54,6 +54,34 @@ def project(point: tuple[Column, Column, Column]) -> tuple[Column, Column]:
     return x * scale * F.col("focal")[0] + F.col("principal")[0], y * scale * F.col("focal")[1] + F.col("principal")[1]
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def projected(point: tuple[Column, Column, Column]) -> Column:
+    """:func:`project` as a struct ``(u, v)``, with every part computed once.
+
+    For plans that project several times for a row, where the expanded expression would not fit
+    into compiled code.
+    """
+    names = ("x", "y", "z")
+    world = F.struct(*(c.cast("double").alias(n) for c, n in zip(point, names, strict=True)))
+
+    def seen(w: Column) -> Column:
+        return F.struct(*(c.alias(n) for c, n in zip(in_camera(tuple(w[n] for n in names)), names, strict=True)))
+
+    def scaled(c: Column) -> Column:
+        n = F.sqrt(c["x"] * c["x"] + c["y"] * c["y"])
+        fisheye = F.when(n == 0, 0.0).otherwise(distort(F.atan2(n, -c["z"])) / n)
+        q2 = (c["x"] * c["x"] + c["y"] * c["y"]) / (c["z"] * c["z"])
+        flat = (1 + q2 * (F.col("distortion")[0] + q2 * F.col("distortion")[1])) / -c["z"]
+        k = F.when(F.col("type") == "FTHETA", fisheye).otherwise(flat)
+        return _let(k, lambda k: F.struct((c["x"] * k * F.col("focal")[0] + F.col("principal")[0]).alias("u"), (c["y"] * k * F.col("focal")[1] + F.col("principal")[1]).alias("v")))
+
+    return _let(_let(world, seen), scaled)
+
+
 def unproject(px: Column, py: Column) -> tuple[Column, Column, Column]:
     """Direction of the world ray through a pixel; the principal point looks along the axis."""
     sx, sy = (px - F.col("principal")[0]) / F.col("focal")[0], (py - F.col("principal")[1]) / F.col("focal")[1]

@@ -83,14 +83,11 @@ def triangulate(obs: DataFrame, keys: list[str], start: DataFrame, steps: int =
         rows = obs.join(cur, keys)
         p = tuple(F.col(c).cast("double") for c in "xyz")
         h = F.lit(1e-4) * F.greatest(F.lit(1.0), F.sqrt(C.dot(p, p)) * 1e-2)
-        u, v = C.project(p)
-        du, dv = [], []
-        for i in range(3):
-            q = tuple(c + h if j == i else c for j, c in enumerate(p))
-            qu, qv = C.project(q)
-            du.append((qu - u) / h)
-            dv.append((qv - v) / h)
-        eu, ev = F.col("px") - u, F.col("py") - v
+        rows = rows.withColumn("__h", h)
+        probes = [p, *(tuple(c + F.col("__h") if j == i else c for j, c in enumerate(p)) for i in range(3))]
+        rows = rows.select(*keys, "px", "py", "__h", *(C.projected(q).alias(f"__p{i}") for i, q in enumerate(probes)))
+        du, dv = ([(F.col(f"__p{i}.{a}") - F.col(f"__p0.{a}")) / F.col("__h") for i in (1, 2, 3)] for a in "uv")
+        eu, ev = F.col("px") - F.col("__p0.u"), F.col("py") - F.col("__p0.v")
         jj = [du[i] * du[j] + dv[i] * dv[j] for i in range(3) for j in range(i, 3)]
         g = [du[i] * eu + dv[i] * ev for i in range(3)]
         sums = rows.select(*keys, *(c.alias(n) for c, n in zip([*jj, *g], names, strict=True))).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in names))
@@ -109,8 +106,10 @@ def reprojection_error(obs: DataFrame, points: DataFrame, keys: list[str]) -> Da
     """Pixel error of each observation, null where its camera does not see the point."""
     rows = obs.join(points, keys)
     p = tuple(F.col(c) for c in "xyz")
-    u, v = C.project(p)
-    return rows.withColumn("error", F.when(C.sees(p), F.sqrt((u - F.col("px")) ** 2 + (v - F.col("py")) ** 2)))
+    rows = rows.withColumn("__p", C.projected(p))
+    u, v = F.col("__p.u"), F.col("__p.v")
+    seen = ~C.outside_fov(p) & C.in_frame(u, v)
+    return rows.withColumn("error", F.when(seen, F.sqrt((u - F.col("px")) ** 2 + (v - F.col("py")) ** 2))).drop("__p")
 
 
 def fit_vignetting(samples: DataFrame, keys: list[str], x: str, y: str, target: str, order: int = 4, rounds: int = 20) -> DataFrame:

@@ -28,7 +28,7 @@ def visible_observations(points: DataFrame, cameras: DataFrame) -> DataFrame:
     """
     p = tuple(F.col(c) for c in "xyz")
     u, v = C.project(p)
-    rows = points.crossJoin(small(cameras)).where(~C.outside_fov(p)).withColumn("px", u).withColumn("py", v)
+    rows = points.crossJoin(small(cameras)).where(~C.outside_fov(p)).withColumns({"px": u, "py": v})
     return rows.where(C.in_frame(F.col("px"), F.col("py")))
 
 
@@ -61,7 +61,8 @@ def usable_radius(cameras: DataFrame, samples: int = 10) -> DataFrame:
     f, u, r = (tuple(F.col(a)[i] for i in range(3)) for a in ("forward", "up", "right"))
     ray = [F.cos("__h") * f[i] + F.sin("__h") * (F.cos("__a") * r[i] + F.sin("__a") * u[i]) for i in range(3)]
     rows = rows.withColumns({f"__{n}": F.col("origin")[i] + C.NEAR_INFINITY * ray[i] for i, n in enumerate("xyz")})
-    px, py = C.project(tuple(F.col(f"__{n}") for n in "xyz"))
+    rows = rows.withColumn("__p", C.projected(tuple(F.col(f"__{n}") for n in "xyz")))
+    px, py = F.col("__p.u"), F.col("__p.v")
     rows = rows.withColumn("__d", F.sqrt((px - F.col("resolution")[0] / 2) ** 2 + (py - F.col("resolution")[1] / 2) ** 2))
     diagonal = F.sqrt(F.col("resolution")[0] ** 2 + F.col("resolution")[1] ** 2)
     return rows.groupBy("id").agg(F.min(F.when(F.isnan("__d"), diagonal).otherwise(F.least("__d", diagonal))).alias("usable"))
@@ -166,7 +167,8 @@ def bundle_adjust(obs: DataFrame, cameras: DataFrame, points: DataFrame, key: st
 
     def cost(rig: dict, points: DataFrame) -> float:
         rows = obs.join(frame(rig), "id").join(points, key)
-        u, v = C.project(tuple(F.col(c) for c in "xyz"))
+        rows = rows.withColumn("__p", C.projected(tuple(F.col(c) for c in "xyz")))
+        u, v = F.col("__p.u"), F.col("__p.v")
         e = F.sqrt((u - F.col("px")) ** 2 + (v - F.col("py")) ** 2)
         return rows.agg(F.avg(F.when(e > 1, 2 * e - 1).otherwise(e * e))).first()[0] or 0.0
 
@@ -174,7 +176,9 @@ def bundle_adjust(obs: DataFrame, cameras: DataFrame, points: DataFrame, key: st
     for _ in range(steps):
         rows = obs.join(frame(rig), "id").join(points, key)
         p = tuple(F.col(c) for c in "xyz")
-        u, v = C.project(p)
+        rows = rows.withColumn("__p", C.projected(p))
+        u, v = F.col("__p.u"), F.col("__p.v")
+        at = lambda q: (C.projected(q)["u"], C.projected(q)["v"])
         h = 1e-6
         jc = []
         rel = tuple(a - F.col("origin")[i] for i, a in enumerate(p))
@@ -184,11 +188,11 @@ def bundle_adjust(obs: DataFrame, cameras: DataFrame, points: DataFrame, key: st
                 k = int(name[1])
                 cross = [(F.lit(0.0), -rel[2], rel[1]), (rel[2], F.lit(0.0), -rel[0]), (-rel[1], rel[0], F.lit(0.0))][k]
                 q = tuple(a - h * c for a, c in zip(p, cross, strict=True))
-                qu, qv = C.project(q)
+                qu, qv = at(q)
                 jc += [(qu - u) / h, (qv - v) / h]
             elif name[0] == "o":
                 i = "xyz".index(name[1])
-                qu, qv = C.project(tuple(a - (h if j == i else 0.0) for j, a in enumerate(p)))
+                qu, qv = at(tuple(a - (h if j == i else 0.0) for j, a in enumerate(p)))
                 jc += [(qu - u) / h, (qv - v) / h]
             elif name[0] == "p":
                 jc += [F.lit(float(name == "px")), F.lit(float(name == "py"))]
@@ -197,22 +201,22 @@ def bundle_adjust(obs: DataFrame, cameras: DataFrame, points: DataFrame, key: st
         step = 1e-4
         jp = []
         for i in range(3):
-            qu, qv = C.project(tuple(a + (step if j == i else 0.0) for j, a in enumerate(p)))
+            qu, qv = at(tuple(a + (step if j == i else 0.0) for j, a in enumerate(p)))
             jp += [(qu - u) / step, (qv - v) / step]
         by_row = lambda cols: F.array(*(cols[2 * i + k] for k in (0, 1) for i in range(len(cols) // 2)))
         rows = rows.select(key, "ordinal", by_row(jc).alias("jc"), by_row(jp).alias("jp"), F.array(F.col("px") - u, F.col("py") - v).alias("e"))
         n, lam_now = len(free), lam
         blocks = rows.groupBy(key).applyInArrow(lambda t, lam_now=lam_now: _residual_blocks(t, free, n, lam_now), "i int, j int, m array<double>")
         width = blocks.select("i", "j", F.posexplode("m").alias("k", "v")).groupBy("i", "j", "k").agg(F.sum("v").alias("v")).collect()
-        at = {o: i for i, o in enumerate(order[1:])}
-        a, g = np.zeros((len(at) * n, len(at) * n)), np.zeros(len(at) * n)
+        place = {o: i for i, o in enumerate(order[1:])}
+        a, g = np.zeros((len(place) * n, len(place) * n)), np.zeros(len(place) * n)
         for r in width:
-            if r.i in at and r.j == -1:
-                g[at[r.i] * n + r.k] += r.v
-            elif r.i in at and r.j in at:
-                a[at[r.i] * n + r.k // n, at[r.j] * n + r.k % n] += r.v
+            if r.i in place and r.j == -1:
+                g[place[r.i] * n + r.k] += r.v
+            elif r.i in place and r.j in place:
+                a[place[r.i] * n + r.k // n, place[r.j] * n + r.k % n] += r.v
         move = np.linalg.lstsq(a + lam * np.diag(np.diag(a)) + 1e-12 * np.eye(len(a)), g, rcond=None)[0]
-        new = {o: _turned(rig[o], move[at[o] * n : at[o] * n + n], free) if o in at else rig[o] for o in order}
+        new = {o: _turned(rig[o], move[place[o] * n : place[o] * n + n], free) if o in place else rig[o] for o in order}
         moved = FT.triangulate(obs.join(frame(new), "id"), [key], points, steps=3)
         then = cost(new, moved)
         if then < now:
