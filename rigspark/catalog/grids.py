@@ -290,3 +290,9 @@ def h9_cubemap(spark: SparkSession, d: str) -> DataFrame:
 
     mean = B.grid(spark, d).groupBy("y", "x").agg(F.avg("v").alias("v"))
     return to_cubemap(mean, 16, 64, 50).select("y", "x", r6("v").alias("v"))
+
+
+@query()
+def e8_demosaic_edge_aware(spark: SparkSession, d: str) -> DataFrame:
+    out = GD.demosaic_edge_aware(B.grid(spark, d), K)
+    return out.select("image_id", "y", "x", *(r6(c).alias(c) for c in "rgb"))

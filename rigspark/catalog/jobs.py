@@ -109,3 +109,20 @@ def h14_calibrate_vignetting(spark: SparkSession, d: str) -> DataFrame:
     g = B.grid(spark, d)
     s = g.select("image_id", F.lit(0).alias("ch"), (F.col("x") / 64.0).alias("x"), (F.col("y") / 64.0).alias("y"), (0.8 - 0.2 * (F.col("x") / 64.0 - 0.5) ** 2 + 0.02 * F.col("v")).alias("v"))
     return calibrate_vignetting(s, ["image_id"], rounds=2).select("image_id", "ch", F.transform("h", lambda c: F.round(c, 3)).alias("h"))
+
+
+@query()
+def h12_black_hole_level(spark: SparkSession, d: str) -> DataFrame:
+    from rigspark.plans.calibration import black_hole_level
+
+    return black_hole_level(B.grid(spark, d).withColumn("v", F.col("v") + 0.5), ["image_id"], share=0.05, least=2)
+
+
+@query()
+def h13_calibrate_color(spark: SparkSession, d: str) -> DataFrame:
+    from rigspark.plans.calibration import calibrate_color
+
+    e = B.table(spark, d, "embeddings")
+    patch = (F.col("vec_id") % 24).cast("int").alias("patch")
+    rows = e.groupBy(F.col("label").alias("serial"), patch).agg(*(F.avg(0.5 + F.col("embedding")[i].cast("double")).alias(c) for i, c in enumerate("rgb")))
+    return calibrate_color(rows, ["serial"]).select("serial", F.transform("white_balance", lambda v: F.round(v, 3)).alias("white_balance"))
