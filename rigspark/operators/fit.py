@@ -142,59 +142,64 @@ def fit_vignetting(samples: DataFrame, keys: list[str], x: str, y: str, target:
     return cur.select(*keys, F.transform("h", lambda c: c / F.col("s")).alias("h"), F.transform("v", lambda c: c * F.col("s")).alias("v"))
 
 
+def _lab(p: np.ndarray, rgb: np.ndarray, illuminant: str) -> np.ndarray:
+    """Lab of colors under black levels ``p[:3]`` and the matrix ``p[3:]``, by rows."""
+    from rigspark.functions.scalars import RGB_TO_XYZ, WHITE
+
+    lin = (rgb - p[:3]) / (1 - p[:3]) @ p[3:].reshape(3, 3).T
+    x = lin @ (np.array(RGB_TO_XYZ[illuminant]) / np.array(WHITE[illuminant])[:, None]).T
+    f = np.where(x > 0.008856, np.cbrt(np.maximum(x, 0)), 7.787 * x + 16 / 116)
+    return np.stack([116 * f[:, 1] - 16, 500 * (f[:, 0] - f[:, 1]), 200 * (f[:, 1] - f[:, 2])], 1)
+
+
 def fit_color(patches: DataFrame, keys: list[str], illuminant: str = "D50", steps: int = 15) -> DataFrame:
     """Black level and 3 x 3 matrix per group that bring the patches' Lab nearest to the reference.
 
-    ``patches``: keys, r, g, b and the reference l0, a0, b0.  Each Levenberg-Marquardt step is one
-    aggregation of J'J and J'r for all groups; the black level stays within [0, 1].  Returns keys,
-    ``params`` (three black levels, then the matrix by rows) and ``error`` (mean distance in Lab).
+    ``patches``: keys, r, g, b and the reference l0, a0, b0.  In each Levenberg-Marquardt step the
+    tasks sum J'J and J'r of their rows per group, Spark adds these up, and each group's system is
+    solved; the black level stays within [0, 0.9].  Returns keys, ``params`` (three black levels,
+    then the matrix by rows) and ``error`` (mean distance in Lab).
     """
-    from rigspark.functions.scalars import apply_color_params
-
     n = 12
     kinds = ", ".join(f"`{k}` {patches.schema[k].dataType.simpleString()}" for k in keys)
-    first = [0.01] * 3 + [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
-    cur = _materialise(patches.select(*keys).distinct().withColumn("params", F.array(*map(F.lit, first))).withColumn("damp", F.lit(1e-2)).withColumn("best", F.lit(float("inf"))).withColumn("tried", F.col("params")))
+    first = F.array(*map(F.lit, [0.01] * 3 + [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]))
+    cur = _materialise(patches.select(*keys).distinct().withColumn("params", first).withColumn("tried", first).withColumn("damp", F.lit(1e-2)).withColumn("best", F.lit(float("inf"))))
 
-    def lab(p: list[Column]) -> tuple[Column, ...]:
-        return apply_color_params("r", "g", "b", p[:3], F.lit(1.0), [p[3:6], p[6:9], p[9:12]], illuminant)
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for key, part in f.groupby(keys, dropna=False):
+                p, rgb = np.array(part["tried"].iloc[0]), part[["r", "g", "b"]].to_numpy(float)
+                base = _lab(p, rgb, illuminant)
+                e = part[["l0", "a0", "b0"]].to_numpy(float) - base
+                jac = np.stack([(_lab(p + 1e-6 * (np.arange(n) == i), rgb, illuminant) - base) / 1e-6 for i in range(n)], -1)
+                s = np.r_[np.einsum("rki,rkj->ij", jac, jac).ravel(), np.einsum("rki,rk->i", jac, e), (e**2).sum(), np.sqrt((e**2).sum(1)).sum(), len(part)]
+                yield part[keys].iloc[:1].assign(s=[s.tolist()])
 
     def advance(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for xx, xy, cost, best, params, tried, damp in zip(f["xx"], f["xy"], f["cost"], f["best"], f["params"], f["tried"], f["damp"], strict=True):
-                if cost < best:
-                    params, best, damp = tried, cost, max(damp / 4, 1e-9)
-                    a, g = _square(list(xx), n), np.array(xy)
-                    last = (a, g)
+            for s, best, params, tried, damp in zip(f["s"], f["best"], f["params"], f["tried"], f["damp"], strict=True):
+                s = np.array(s)
+                a, g, cost = s[: n * n].reshape(n, n), s[n * n : n * n + n], s[n * n + n]
+                if cost < best:  # go on from here, else halfway back
+                    move = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-9), g, rcond=None)[0]
+                    params, best, damp, new = list(tried), float(cost), max(damp / 4, 1e-9), np.array(tried) + move
                 else:
-                    damp = damp * 6
-                    last = (_square(list(xx), n), np.array(xy))
-                a, g = last
-                move = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-9), g, rcond=None)[0]
-                new = np.array(params) + (move if cost <= best else move * 0.25)
+                    damp, new = damp * 6, (np.array(params) + np.array(tried)) / 2
                 new[:3] = np.clip(new[:3], 0.0, 0.9)
-                out.append((list(params), float(best), float(damp), new.tolist()))
+                out.append((list(params), best, damp, new.tolist()))
             yield f[keys].assign(params=[o[0] for o in out], best=[o[1] for o in out], damp=[o[2] for o in out], tried=[o[3] for o in out])
 
+    def sums(cur: DataFrame, name: str) -> DataFrame:
+        rows = patches.select(*keys, "r", "g", "b", "l0", "a0", "b0").join(F.broadcast(cur.select(*keys, F.col(name).alias("tried"))), keys)
+        parts = rows.mapInPandas(partial, f"{kinds}, s array<double>").select(*keys, F.posexplode("s").alias("i", "v"))
+        each = parts.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
+        return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("s"))
+
     for _ in range(steps):
-        rows = patches.join(F.broadcast(cur), keys)
-        p = [F.col("tried")[i] for i in range(n)]
-        base = lab(p)
-        rows = rows.select(*keys, "tried", "r", "g", "b", *(c.alias(f"f{i}") for i, c in enumerate(base)), *((F.col(t) - c).alias(f"e{i}") for i, (t, c) in enumerate(zip(("l0", "a0", "b0"), base, strict=True))))
-        h = 1e-6
-        jac = [[(lab([c + h if j == i else c for j, c in enumerate(p)])[k] - F.col(f"f{k}")) / h for i in range(n)] for k in range(3)]
-        rows = rows.select(*keys, *(jac[k][i].alias(f"j{k}_{i}") for k in range(3) for i in range(n)), "e0", "e1", "e2")
-        col = lambda k, i: F.col(f"j{k}_{i}")
-        xx = [F.sum(sum((col(k, i) * col(k, j) for k in range(3)), F.lit(0.0))) for i in range(n) for j in range(i, n)]
-        xy = [F.sum(sum((col(k, i) * F.col(f"e{k}") for k in range(3)), F.lit(0.0))) for i in range(n)]
-        cost = F.sum(F.col("e0") ** 2 + F.col("e1") ** 2 + F.col("e2") ** 2)
-        sums = rows.groupBy(*keys).agg(F.array(*xx).alias("xx"), F.array(*xy).alias("xy"), cost.alias("cost"))
-        cur = _materialise(sums.join(cur, keys).mapInPandas(advance, f"{kinds}, params array<double>, best double, damp double, tried array<double>"))
-    rows = patches.join(F.broadcast(cur), keys)
-    f = lab([F.col("params")[i] for i in range(n)])
-    d = F.sqrt(sum(((F.col(t) - c) ** 2 for t, c in zip(("l0", "a0", "b0"), f, strict=True)), F.lit(0.0)))
-    return rows.select(*keys, "params", d.alias("d")).groupBy(*keys, "params").agg(F.avg("d").alias("error"))
+        cur = _materialise(sums(cur, "tried").join(cur, keys).mapInPandas(advance, f"{kinds}, params array<double>, best double, damp double, tried array<double>"))
+    last = sums(cur, "params").select(*keys, (F.element_at("s", -2) / F.element_at("s", -1)).alias("error"))
+    return cur.select(*keys, "params").join(last, keys)
 
 
 def _homography(p: np.ndarray, q: np.ndarray) -> np.ndarray:

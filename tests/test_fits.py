@@ -89,3 +89,14 @@ def test_gap_free_plans(spark):
     warp = g.select("image_id", F.col("y").alias("dy"), F.col("x").alias("dx"), (F.col("x") + 0.5).alias("sx"), F.col("y").alias("sy"))
     plan = gather(g, warp, ["image_id"], 50, 64)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_color_model_is_recovered(spark):
+    from rigspark.plans.calibration import CHART_D50
+
+    truth = np.r_[0.04, 0.05, 0.03, 1.1, -0.05, -0.05, 0.02, 0.95, 0.03, -0.1, 0.0, 1.1]
+    rgb = np.random.default_rng(3).uniform(0.1, 0.9, (len(CHART_D50), 3))
+    lab = FT._lab(truth, rgb, "D50")
+    rows = [(1, *map(float, a), *map(float, b)) for a, b in zip(rgb, lab)]
+    [r] = FT.fit_color(spark.createDataFrame(rows, "cam int, r double, g double, b double, l0 double, a0 double, b0 double"), ["cam"], steps=8).collect()
+    assert r.error < 0.3 and all(0 <= k <= 0.9 for k in r.params[:3])
