@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rigspark.llm.common import written
+from rigspark.llm.common import small_batches, written
 from rigspark.llm.decontamination import decontaminate
 from rigspark.llm.mixing import mixed
 from rigspark.llm.ngram_join import near_duplicates
@@ -21,16 +21,19 @@ SHARDS = 24
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, rejects go."""
+    small_batches(spark)
     return keep_quality(docs, train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 80 % of their five-word shingles, directly or in a chain, one stays."""
+    small_batches(spark)
     return near_duplicates(docs, width=5, percent=80)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
+    small_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 

@@ -33,6 +33,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand rows to Python in batches of ``rows``: with long texts this bounds a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words of the plain rule; null counts as no text."""
     text = F.col(text) if isinstance(text, str) else text
