@@ -163,7 +163,8 @@ def t_occurrences(lists: list[np.ndarray], least: int, mu: float = DIVIDE_MU) ->
             target = max(heads[0][0], top + 1)
         for _, i, at in popped:
             x = short[i]
-            at = at + 1 if at + 1 < len(x) and x[at + 1] >= target else at + int(np.searchsorted(x[at:], target))
+            if x[at] < target:  # a list popped only to skip may stand at the target or beyond it
+                at = at + 1 if at + 1 < len(x) and x[at + 1] >= target else at + int(np.searchsorted(x[at:], target))
             if at < len(x):
                 heapq.heappush(heads, (int(x[at]), i, at))
     found, counts = np.array(found, np.int64), np.array(counts, np.int64)

@@ -106,6 +106,19 @@ def test_t_occurrences():
         assert got == want
 
 
+def test_t_occurrences_skip_keeps_lists_that_stand_at_the_target():
+    lists = [np.array(x) for x in ([1], [2, 3], [2, 4], [2, 5])]
+    assert [x.tolist() for x in t_occurrences(lists, 3, mu=1000.0)] == [[2], [3]]
+    rng = np.random.default_rng(5)
+    for least, mu in [(100, 0.0085), (200, 0.0085), (150, 1.0), (200, 0.1)]:
+        share = rng.choice([0.3, 0.6, 0.8, 0.9], 400)
+        lists = [np.flatnonzero(rng.random(400) < share) for _ in range(250)]
+        ids, times = np.unique(np.concatenate(lists), return_counts=True)
+        want = {int(i): int(c) for i, c in zip(ids, times) if c >= least}
+        found, counts = t_occurrences(lists, least, mu)
+        assert want and dict(zip(found.tolist(), counts.tolist())) == want
+
+
 def test_repeated_rows_null_ids_extra_columns_and_no_rows(spark):
     schema = "doc_id long, text string, digest int, n string, rep int"
     rows = [(1, "a b c d", 0, "x", 1), (1, "a b c d", 0, "x", 1), (None, "a b c d", 0, "x", 1), (None, "z z z", 0, "", 2), (2, "A b C d", 1, "y", 3)]
