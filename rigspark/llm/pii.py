@@ -13,8 +13,11 @@ MDY = r"(?<!\d)(?:0[1-9]|1[0-2])/(?:1[3-9]|2\d|3[01])/(?:19|20)\d\d(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"\+\d{1,3}[ \-.]?\(?\d{2,4}\)?[ \-.]?\d{3}[ \-.]?\d{3,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d)(?!\.\d)"
-CARD = r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"
-KINDS = {"email": EMAIL, "ymd": YMD, "dmy": DMY, "mdy": MDY, "ssn": SSN, "phone": PHONE, "ipv4": IPV4, "card": CARD}
+#: A whole run of digit groups of 13 digits or more; cards are looked for inside it.
+RUN = r"(?<!\d)\d(?:[ \-]?+\d){12,}+"
+#: Groups in which cards are written, beside a single one.
+CARD_GROUPS = ("4-4-4-4", "4-6-5")
+KINDS = {"email": EMAIL, "ymd": YMD, "dmy": DMY, "mdy": MDY, "ssn": SSN, "phone": PHONE, "ipv4": IPV4}
 ANY = "|".join(KINDS.values())
 
 ROUNDS = 8
@@ -72,9 +75,23 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _card(key: str, m: str) -> str:
-    body = _let(digits_permuted(key, "card", "substr(d, 1, length(d) - 1)"), "e", filled(m, f"concat(e, cast(pmod(10 - {luhn_sum('e', 2)} % 10, 10) as string))"))
-    return _let(_digits(m), "d", f"if({luhn_sum('d', 1)} % 10 = 0, {body}, {m})")
+def _cards(key: str, r: str) -> str:
+    """SQL of a struct (s, n): the run with its cards replaced, and how many changed.
+
+    Candidates are all windows of 13 to 19 digits that begin and end at group bounds and have a
+    right check digit; those in the usual groups go first, then the leftmost, then the longest.
+    """
+    part = "slice(t, i + 1, j - i + 1)"
+    usual = f"i = j or array_join(transform({part}, x -> cast(length(x) as string)), '-') in ({', '.join(map(_q, CARD_GROUPS))})"
+    window = f"named_struct('k', if({usual}, 0, 1), 'i', i, 'e', -j, 'd', array_join({part}, ''))"
+    windows = f"flatten(transform(sequence(0, size(t) - 1), i -> transform(sequence(i, least(i + 18, size(t) - 1)), j -> {window})))"
+    valid = f"array_sort(filter(filter({windows}, w -> length(w.d) between 13 and 19), w -> {luhn_sum('w.d', 1)} % 10 = 0))"
+    chosen = "aggregate(v, filter(v, w -> false), (c, w) -> if(exists(c, o -> o.i <= -w.e and w.i <= -o.e), c, array_append(c, w)))"
+    body = _let(digits_permuted(key, "card", "substr(d, 1, length(d) - 1)"), "e", f"concat(e, cast(pmod(10 - {luhn_sum('e', 2)} % 10, 10) as string))")
+    new = f"transform({chosen}, w -> named_struct('i', w.i, 'j', -w.e, 'd', w.d, 'b', {_let('w.d', 'd', body)}))"
+    digits = "array_join(transform(t, (x, q) -> coalesce(get(transform(filter(u, w -> w.i <= q and q <= w.j), w -> if(w.i = q, w.b, '')), 0), x)), '')"
+    done = _let(new, "u", _let(digits, "g", f"named_struct('s', {filled(r, 'g')}, 'n', size(filter(u, w -> w.b <> w.d)))"))
+    return _let(f"regexp_extract_all({r}, '[0-9]+', 0)", "t", _let(valid, "v", f"if(size(v) = 0, named_struct('s', {r}, 'n', 0), {done})"))
 
 
 def _ssn(key: str, m: str) -> str:
@@ -131,7 +148,7 @@ def _email(key: str, m: str) -> str:
 def pseudonym(key: str, value: str) -> str:
     """SQL of the pseudonym of one found value; a value that is not valid stays."""
     whole = {k: f"{value} rlike {_q('^(?:' + p + ')$')}" for k, p in KINDS.items()}
-    new = {"email": _email(key, value), "ssn": _ssn(key, value), "phone": _phone(key, value), "ipv4": _ipv4(key, value), "card": _card(key, value)}
+    new = {"email": _email(key, value), "ssn": _ssn(key, value), "phone": _phone(key, value), "ipv4": _ipv4(key, value)}
     new |= {k: _date(key, value, k) for k in ("ymd", "dmy", "mdy")}
     return "case " + " ".join(f"when {whole[k]} then {new[k]}" for k in KINDS) + f" else {value} end"
 
@@ -142,7 +159,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Found are e-mail addresses, dates (year first, day first, or month first where the day is
     above 12; 1900 to 2099), social security and phone numbers, IPv4 addresses and payment card
     numbers.  Values are validated: a card number by its check digit, an address by its octets, a
-    date by the calendar, a security number by its ranges; what fails stays as it is.  Each value
+    date by the calendar, a security number by its ranges; what fails stays as it is.  Cards are
+    looked for between the other values, also beside further digit groups (:func:`_cards`).  Each value
     is permuted within its format by a Feistel network under ``key``: digits keep their number and
     punctuation, a card number gets its right check digit, a phone number keeps its country code,
     an e-mail address its domain.  Equal values have equal pseudonyms in all documents, and
@@ -154,9 +172,14 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text = F.col(text_col)
     found = docs.drop("n_replaced").withColumn("__found", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     found = found.withColumn("__new", F.expr(f"transform(__found, m -> {pseudonym(key, 'm')})"))
-    gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, "__new", lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
+    # What is between the values, cut at its digit runs: (text, n) of each gap.
+    runs = f"transform(regexp_extract_all(g, {_q(RUN)}, 0), r -> {_cards(key, 'r')})"
+    whole = f"array_join(zip_with(split(g, {_q(RUN)}, -1), c, (x, y) -> concat(x, coalesce(y.s, ''))), '')"
+    total = "aggregate(c, 0, (a, y) -> a + y.n)"
+    gap = f"if(g rlike {_q(RUN)}, {_let(runs, 'c', f"named_struct('s', {whole}, 'n', {total})")}, named_struct('s', g, 'n', 0))"
+    found = found.withColumn("__gaps", F.split(text, ANY, -1)).withColumn("__gaps", F.expr(f"transform(__gaps, g -> {gap})"))
+    joined = F.array_join(F.zip_with("__gaps", "__new", lambda g, n: F.concat(g["s"], F.coalesce(n, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x)) + F.aggregate("__gaps", F.lit(0), lambda a, g: a + g["n"])
     kept = [c for c in docs.columns if c != "n_replaced"]
-    out = [F.when(F.size("__found") > 0, joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in kept]
+    out = [F.when(changed > 0, joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in kept]
     return found.select(*out, F.greatest(F.coalesce(changed, F.lit(0)), F.lit(0)).cast("long").alias("n_replaced"))

@@ -48,6 +48,20 @@ def test_cards_keep_their_format_and_check_digit(spark):
     assert digits("card", digits("card", "411111111111111"), back=True) == "411111111111111"
 
 
+def test_cards_beside_other_numbers(spark):
+    card, other = "4111111111111111", "5500000000000004"
+    texts = [card, "4111 1111 1111 1111 12/25", f"42 {card}", "1234 4111 1111 1111 1111", f"{card} {other} 7", "4111-1111-1111-1111 123", "4111 1111 1111 1111 123-45-6789", "4111 1111 1111 1111 12/25/1990", "4111 1111 1111 1111 2024-02-29", "9" * 30 + " 12", "411111 1111111111", "1 2 3 " * 3000, "12 " * 5 + "\t" + "7" * 20_000]
+    got = run(spark, texts)
+    new, grouped = got[0][0], lambda d: " ".join(d[i : i + 4] for i in range(0, 16, 4))
+    assert new != card and luhn(new)
+    assert got[1] == (f"{grouped(new)} 12/25", 1) and got[2] == (f"42 {new}", 1) and got[3] == (f"1234 {grouped(new)}", 1)
+    assert re.fullmatch(rf"{new} \d{{16}} 7", got[4][0]) and other not in got[4][0] and got[4][1] == 2
+    assert got[5] == (grouped(new).replace(" ", "-") + " 123", 1)
+    for i in (6, 7, 8):
+        assert got[i][1] == 2 and got[i][0].startswith(grouped(new) + " ") and texts[i][20:] not in got[i][0]
+    assert got[9] == (texts[9], 0) and got[10] == (f"{new[:6]} {new[6:]}", 1) and len(got[11][0]) == len(texts[11]) and got[12] == (texts[12], 0)
+
+
 def test_dates_stay_dates(spark):
     start, texts = datetime.date(1900, 1, 1), []
     days = [datetime.date(2024, 2, 29), datetime.date(1900, 1, 1), datetime.date(2099, 12, 31), datetime.date(1999, 12, 31)]
