@@ -23,6 +23,12 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("label").cast("long").alias("image_id"), "y", F.posexplode("embedding").alias("x", "v")).select("image_id", "y", F.col("x").cast("long").alias("x"), F.col("v").cast("double").alias("v"))
 
 
+def grid_size(cells: DataFrame) -> tuple[int, int]:
+    """Rows and columns of one image ``(y, x, ...)``."""
+    most = cells.agg(F.max("y"), F.max("x")).first()
+    return tuple(0 if m is None else int(m) + 1 for m in most)
+
+
 #: ``vec_id, r, g, b``: colors around 0.5.
 TRIPLES_SQL = "select vec_id, 0.5+cast(embedding[1] as double) r, 0.5+cast(embedding[2] as double) g, 0.5+cast(embedding[3] as double) b from embeddings"
 

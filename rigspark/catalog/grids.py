@@ -289,7 +289,8 @@ def h9_cubemap(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.panorama import to_cubemap
 
     mean = B.grid(spark, d).groupBy("y", "x").agg(F.avg("v").alias("v"))
-    return to_cubemap(mean, 16, 64, 50).select("y", "x", r6("v").alias("v"))
+    rows, cols = B.grid_size(mean)
+    return to_cubemap(mean, 16, cols, rows).select("y", "x", r6("v").alias("v"))
 
 
 @query()

@@ -91,7 +91,8 @@ def h7_pole_to_side(spark: SparkSession, d: str) -> DataFrame:
     g = B.grid(spark, d)
     side, pole = (g.groupBy("y", "x").agg(f("v").alias("v")) for f in (F.avg, F.max))
     flow = side.select("y", "x", F.lit(1.0).alias("fx"), F.lit(0.0).alias("fy"))
-    return pole_to_side(side, pole, flow, 50, 64, 90.0, 40.0, 90.0).select("y", "x", r6("v").alias("v"))
+    rows, cols = B.grid_size(side)
+    return pole_to_side(side, pole, flow, rows, cols, 90.0, 40.0, 90.0).select("y", "x", r6("v").alias("v"))
 
 
 @query()
