@@ -38,6 +38,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def fresh_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """A name for each helper column that no column of ``df`` has, in any case."""
+    taken, mark = {c.lower() for c in df.columns}, "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return {n: mark + n for n in names}
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words of the plain rule; null counts as no text."""
     text = F.col(text) if isinstance(text, str) else text

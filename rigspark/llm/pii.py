@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What each kind of value looks like (Java regular expressions).
-EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
+from rigspark.llm.common import fresh_names
+
+#: What each kind of value looks like (Java regular expressions).  Groups that repeat
+#: without a bound are possessive: Java matches these in a loop, others by recursion, which ends
+#: the executor with a stack overflow on a long text.
+EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
 YMD = r"(?<!\d)(?:19|20)\d\d[-/.](?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12]\d|3[01])(?!\d)"
 DMY = r"(?<!\d)(?:0[1-9]|[12]\d|3[01])[-/.](?:0[1-9]|1[0-2])[-/.](?:19|20)\d\d(?!\d)"
 MDY = r"(?<!\d)(?:0[1-9]|1[0-2])/(?:1[3-9]|2\d|3[01])/(?:19|20)\d\d(?!\d)"
@@ -15,6 +19,8 @@ PHONE = r"\+\d{1,3}[ \-.]?\(?\d{2,4}\)?[ \-.]?\d{3}[ \-.]?\d{3,4}(?!\d)|(?<!\d)\
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d)(?!\.\d)"
 #: A whole run of digit groups of 13 digits or more; cards are looked for inside it.
 RUN = r"(?<!\d)\d(?:[ \-]?+\d){12,}+"
+#: What every text with a value of any kind has: an at sign, or two digits with little between.
+HINT = r"@|\d[ \-./()]{0,2}\d"
 #: Groups in which cards are written, beside a single one.
 CARD_GROUPS = ("4-4-4-4", "4-6-5")
 KINDS = {"email": EMAIL, "ymd": YMD, "dmy": DMY, "mdy": MDY, "ssn": SSN, "phone": PHONE, "ipv4": IPV4}
@@ -59,9 +65,9 @@ def _digits(value: str) -> str:
 
 def luhn_sum(digits: str, first: int) -> str:
     """SQL of the Luhn sum; ``first``: the weight of the last digit."""
-    n = f"cast(substr(reverse({digits}), i, 1) as int)"
-    double = f"if({n} > 4, 2 * {n} - 9, 2 * {n})"
-    return f"aggregate(sequence(1, length({digits})), 0, (s, i) -> s + if(i % 2 = {0 if first == 1 else 1}, {double}, {n}))"
+    # z holds twice each digit, less 9 where that has two digits; its digits count at every second place.
+    total = f"aggregate(sequence(1, length(y)), 0, (s, i) -> s + cast(substr(if(i % 2 = {0 if first == 1 else 1}, z, y), i, 1) as int))"
+    return _let(f"reverse({digits})", "y", _let("translate(y, '0123456789', '0246813579')", "z", total))
 
 
 def filled(value: str, digits: str, skip: str = "0") -> str:
@@ -75,23 +81,38 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+#: A digit group with what parts it from the next one, and up to 20 digits from where it begins.
+GROUP, AHEAD = r"\d++[ \-]?", r"(?=(\d(?:[ \-]?\d){0,19}))\d++[ \-]?"
+#: Marks of a card of 1 to 19 groups, and of a group at which none begins; a run holds no letters.
+MARKS, NO_CARD = "abcdefghijklmnopqrs", "z"
+MARKED = "|".join(f"{m}[^a-z]++(?:[a-z][^a-z]++){{{n}}}" for n, m in enumerate(MARKS)) + f"|(?:{NO_CARD}[^a-z]++)++"
+
+
 def _cards(key: str, r: str) -> str:
     """SQL of a struct (s, n): the run with its cards replaced, and how many changed.
 
     Candidates are all windows of 13 to 19 digits that begin and end at group bounds and have a
-    right check digit; those in the usual groups go first, then the leftmost, then the longest.
+    right check digit.  The run is read from the left: at each group the longest candidate in the
+    usual groups is taken, else the longest other one unless a usual one begins inside it.
+    Each group gets a mark that tells how many groups the candidate there spans, and one regular
+    expression then cuts the run at the marks, so the work is linear in the run's length.
     """
-    part = "slice(t, i + 1, j - i + 1)"
-    usual = f"i = j or array_join(transform({part}, x -> cast(length(x) as string)), '-') in ({', '.join(map(_q, CARD_GROUPS))})"
-    window = f"named_struct('k', if({usual}, 0, 1), 'i', i, 'e', -j, 'd', array_join({part}, ''))"
-    windows = f"flatten(transform(sequence(0, size(t) - 1), i -> transform(sequence(i, least(i + 18, size(t) - 1)), j -> {window})))"
-    valid = f"array_sort(filter(filter({windows}, w -> length(w.d) between 13 and 19), w -> {luhn_sum('w.d', 1)} % 10 = 0))"
-    chosen = "aggregate(v, filter(v, w -> false), (c, w) -> if(exists(c, o -> o.i <= -w.e and w.i <= -o.e), c, array_append(c, w)))"
+    # The groups of what lies ahead; of 20 digits the last group is cut off or makes the window too long.
+    groups = _let("split(a, '[ -]')", "g", "if(length(array_join(g, '')) < 20, g, slice(g, 1, size(g) - 1))")
+    part = "slice(g, 1, j)"
+    usual = f"j = 1 or array_join(transform({part}, x -> cast(length(x) as string)), '-') in ({', '.join(map(_q, CARD_GROUPS))})"
+    windows = f"transform(filter(transform(sequence(1, size(g)), j -> named_struct('k', {usual}, 'j', j, 'd', array_join({part}, ''))), w -> length(w.d) between 13 and 19 and {luhn_sum('w.d', 1)} % 10 = 0), w -> named_struct('k', w.k, 'j', w.j))"
+    best = "coalesce(get(filter(v, w -> w.k), cast(size(filter(v, w -> w.k)) - 1 as int)), get(v, size(v) - 1))"
+    # Of each group: its best candidate (k: in the usual groups, j: how many groups), null without one.
+    found = f"transform(regexp_extract_all({r}, {_q(AHEAD)}, 1), a -> {_let(groups, 'g', f'if(size(g) = 0, null, {_let(windows, chr(118), best)})')})"
+    yields = "not c.k and c.j > 1 and exists(sequence(1, c.j - 1), o -> coalesce(get(f, i + o).k, false))"
+    mark = f"if(c is null or {yields}, {_q(NO_CARD)}, substr({_q(MARKS)}, c.j, 1))"
+    marked = f"array_join(zip_with(transform(f, (c, i) -> {mark}), regexp_extract_all({r}, {_q(GROUP)}, 0), (m, x) -> concat(m, x)), '')"
     body = _let(digits_permuted(key, "card", "substr(d, 1, length(d) - 1)"), "e", f"concat(e, cast(pmod(10 - {luhn_sum('e', 2)} % 10, 10) as string))")
-    new = f"transform({chosen}, w -> named_struct('i', w.i, 'j', -w.e, 'd', w.d, 'b', {_let('w.d', 'd', body)}))"
-    digits = "array_join(transform(t, (x, q) -> coalesce(get(transform(filter(u, w -> w.i <= q and q <= w.j), w -> if(w.i = q, w.b, '')), 0), x)), '')"
-    done = _let(new, "u", _let(digits, "g", f"named_struct('s', {filled(r, 'g')}, 'n', size(filter(u, w -> w.b <> w.d)))"))
-    return _let(f"regexp_extract_all({r}, '[0-9]+', 0)", "t", _let(valid, "v", f"if(size(v) = 0, named_struct('s', {r}, 'n', 0), {done})"))
+    card = _let(_digits("p"), "d", _let(body, "b", f"named_struct('s', {filled('p', 'b')}, 'n', if(b <> d, 1, 0))"))
+    piece = f"if(x like {_q(NO_CARD + '%')}, named_struct('s', regexp_replace(x, '[a-z]', ''), 'n', 0), {_let('regexp_replace(x, ' + _q('[a-z]') + ', ' + _q('') + ')', 'p', card)})"
+    pieces = f"transform(regexp_extract_all({_let(found, 'f', marked)}, {_q(MARKED)}, 0), x -> {piece})"
+    return _let(pieces, "u", "named_struct('s', array_join(transform(u, y -> y.s), ''), 'n', aggregate(u, 0, (a, y) -> a + y.n))")
 
 
 def _ssn(key: str, m: str) -> str:
@@ -147,10 +168,11 @@ def _email(key: str, m: str) -> str:
 
 def pseudonym(key: str, value: str) -> str:
     """SQL of the pseudonym of one found value; a value that is not valid stays."""
-    whole = {k: f"{value} rlike {_q('^(?:' + p + ')$')}" for k, p in KINDS.items()}
-    new = {"email": _email(key, value), "ssn": _ssn(key, value), "phone": _phone(key, value), "ipv4": _ipv4(key, value)}
+    new = {"ssn": _ssn(key, value), "phone": _phone(key, value), "ipv4": _ipv4(key, value)}
     new |= {k: _date(key, value, k) for k in ("ymd", "dmy", "mdy")}
-    return "case " + " ".join(f"when {whole[k]} then {new[k]}" for k in KINDS) + f" else {value} end"
+    whole = {k: f"{value} rlike {_q('^(?:' + KINDS[k] + ')$')}" for k in new}
+    # Only an e-mail address has an at sign; the others are short.
+    return f"case when {value} like '%@%' then {_email(key, value)} " + " ".join(f"when {whole[k]} then {new[k]}" for k in KINDS if k in new) + f" else {value} end"
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -166,20 +188,23 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     an e-mail address its domain.  Equal values have equal pseudonyms in all documents, and
     different ones of a kind and length have different ones.
 
-    A null text stays null with ``n_replaced`` 0; text around the values is not touched.  Rows
-    are independent of each other, so there is no shuffle; ``n_replaced`` of the input is replaced.
+    A null text stays null with ``n_replaced`` 0, an empty one empty; text around the values is not
+    touched.  Texts of any length are read whole, in time linear in their length.  Rows are
+    independent of each other and repeated rows have equal results, so there is no shuffle;
+    ``n_replaced`` of the input is replaced, all other columns of any name stay.
     """
-    text = F.col(text_col)
-    found = docs.drop("n_replaced").withColumn("__found", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    found = found.withColumn("__new", F.expr(f"transform(__found, m -> {pseudonym(key, 'm')})"))
+    text, names = F.col(f"`{text_col}`"), fresh_names(docs, "hot", "found", "gaps", "new")
+    hot, found, gaps, new = (F.col(n) for n in names.values())
+    kept = [c for c in docs.columns if c != "n_replaced"]
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), text.rlike(HINT).alias(names["hot"]))
+    rows = rows.withColumn(names["found"], F.when(hot, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).withColumn(names["gaps"], F.when(hot, F.split(text, ANY, -1)))
     # What is between the values, cut at its digit runs: (text, n) of each gap.
     runs = f"transform(regexp_extract_all(g, {_q(RUN)}, 0), r -> {_cards(key, 'r')})"
     whole = f"array_join(zip_with(split(g, {_q(RUN)}, -1), c, (x, y) -> concat(x, coalesce(y.s, ''))), '')"
     total = "aggregate(c, 0, (a, y) -> a + y.n)"
     gap = f"if(g rlike {_q(RUN)}, {_let(runs, 'c', f"named_struct('s', {whole}, 'n', {total})")}, named_struct('s', g, 'n', 0))"
-    found = found.withColumn("__gaps", F.split(text, ANY, -1)).withColumn("__gaps", F.expr(f"transform(__gaps, g -> {gap})"))
-    joined = F.array_join(F.zip_with("__gaps", "__new", lambda g, n: F.concat(g["s"], F.coalesce(n, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x)) + F.aggregate("__gaps", F.lit(0), lambda a, g: a + g["n"])
-    kept = [c for c in docs.columns if c != "n_replaced"]
-    out = [F.when(changed > 0, joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in kept]
-    return found.select(*out, F.greatest(F.coalesce(changed, F.lit(0)), F.lit(0)).cast("long").alias("n_replaced"))
+    rows = rows.withColumn(names["new"], F.expr(f"transform({names['found']}, m -> {pseudonym(key, 'm')})")).withColumn(names["gaps"], F.expr(f"transform({names['gaps']}, g -> {gap})"))
+    joined = F.array_join(F.zip_with(gaps, new, lambda g, n: F.concat(g["s"], F.coalesce(n, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)) + F.aggregate(gaps, F.lit(0), lambda a, g: a + g["n"])
+    out = [F.when(changed > 0, joined).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
+    return rows.select(*out, F.greatest(F.coalesce(changed, F.lit(0)), F.lit(0)).cast("long").alias("n_replaced"))
