@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from rigspark.llm.ann import nearest, neighbours_of_every_twentieth
+from rigspark.llm.ann import EF_SEARCH, SHARD_ROWS, Graph, nearest, neighbours_of_every_twentieth
 
 
 def brute(rows, queries, k):
@@ -31,10 +31,32 @@ def test_recall_and_scores_on_given_table(spark):
     assert hits >= 0.95 * 20 * len(want)
 
 
-def test_recall_of_larger_shards(spark, monkeypatch):
+@pytest.mark.parametrize("equal_lengths", [True, False])
+def test_recall_of_a_full_shard_of_random_vectors(equal_lengths):
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((SHARD_ROWS, 64))
+    if equal_lengths:
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    queries = vectors[rng.choice(SHARD_ROWS, 128, False)]
+    found = Graph(vectors).search(queries, EF_SEARCH)
+    want = np.argsort(-(queries @ vectors.T), axis=1)[:, :20]
+    recall = np.mean([len(set(f) & set(w)) / 20 for f, w in zip(found.tolist(), want.tolist())])
+    assert recall >= (0.98 if equal_lengths else 0.9), recall
+
+
+def test_stored_graph_is_the_graph():
+    vectors = np.random.default_rng(1).standard_normal((3000, 8))
+    graph = Graph(vectors)
+    again = Graph.of(graph.arrays())
+    assert all((a == b).all() for a, b in zip(graph.links, again.links, strict=True))
+    assert (graph.search(vectors[:50], 40) == again.search(vectors[:50], 40)).all()
+
+
+def test_recall_of_several_shards(spark, monkeypatch):
     import rigspark.llm.ann as module
 
-    monkeypatch.setattr(module, "LEAST_SHARDS", 2)
+    monkeypatch.setattr(module, "SHARD_ROWS", 1500)
+    monkeypatch.setattr(module, "QUERY_ROWS", 20)
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((10, 16))
     rows = [(i, (centres[i % 10] + 0.5 * rng.standard_normal(16)).tolist()) for i in range(3000)]
