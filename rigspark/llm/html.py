@@ -14,17 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rigspark.llm.common import fresh_names
+
 #: Elements that begin and end a block, that hold no content, and that are never text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 OWN_KIND = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "td": ("table", "tr"), "th": ("table", "tr"), "tr": ("table",), "option": ("select",)}
 
+#: Comments, scripts and styles with their content, tags, declarations.  In a tag a quote counts
+#: only where a value begins, after ``=``; elsewhere it is a plain character of a name or an
+#: unquoted value.  A tag whose quoted value never ends is taken to end at the first ``>``.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|))*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -35,7 +42,11 @@ def name_parts(attributes: str) -> set[str]:
 
 @dataclass
 class Block:
-    """A leaf block: its text, what stands above it, and how many characters are links."""
+    """A leaf block: its text, what stands above it, and how many characters are links.
+
+    ``above`` holds the tags and names of all elements around it, and once more, marked, those of
+    the innermost block element.
+    """
 
     text: str
     above: frozenset[str]
@@ -49,7 +60,8 @@ def leaf_blocks(page: str) -> list[Block]:
     with the one around it, and a paragraph or list item also where the next one begins.
     """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    # Tag, features of all elements, features of the innermost block element, and both together.
+    stack: list[tuple[str, frozenset[str], frozenset[str], frozenset[str]]] = [("", frozenset(), frozenset(), frozenset())]
     parts: list[str] = []
     linked: list[str] = []
     in_link = 0
@@ -58,7 +70,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, stack[-1][1], len(" ".join("".join(linked).split()))))
+                out.append(Block(text, stack[-1][3], len(" ".join("".join(linked).split()))))
             parts.clear()
             linked.clear()
 
@@ -86,7 +98,7 @@ def leaf_blocks(page: str) -> list[Block]:
                     continue
                 gone = stack[depth:]
                 del stack[depth:]
-                in_link -= sum(t == "a" for t, _ in gone)
+                in_link -= sum(t == "a" for t, *_ in gone)
             continue
         if tag in VOID:
             continue
@@ -100,11 +112,18 @@ def leaf_blocks(page: str) -> list[Block]:
                 if any(stack[i][0] in BLOCKS for i in range(stop + 1, len(stack))):
                     stop = 0
             if stop:
-                in_link -= sum(t == "a" for t, _ in stack[stop:])
+                in_link -= sum(t == "a" for t, *_ in stack[stop:])
                 del stack[stop:]
-        above = stack[-1][1]
-        fresh = {f"<{tag}>", *(f".{p}" for p in name_parts(m[4] or m[7] or ""))}
-        stack.append((tag, above if fresh <= above else above | fresh))
+        _, above, inner, both = stack[-1]
+        # Names of the whole page tell none of its blocks apart.
+        names = name_parts(m[4] or m[7] or "") if tag not in ("html", "body") else ()
+        fresh = {f"<{tag}>", *(f".{p}" for p in names)}
+        own = frozenset("=" + f for f in fresh) if block else inner
+        if fresh <= above and own == inner:
+            stack.append((tag, above, inner, both))
+        else:
+            above = above | fresh
+            stack.append((tag, above, own, above | own))
         in_link += tag == "a"
     if at < len(page):
         parts.append(page[at:])
@@ -316,9 +335,10 @@ def extract_text(pages: DataFrame, field: Field | None = None, html_col: str = "
     """The input without its html, with the main text of each page as ``out_col``.
 
     Every page is read whole.  Null and empty pages, and pages without any main text, give an
-    empty string.  Rows are independent: no shuffle; a column named ``out_col`` is replaced.
+    empty string; very long pages and repeated rows are handled like any other.  Rows are
+    independent: no shuffle; a column named ``out_col`` is replaced, all others of any name stay.
     """
-    field = field or default_field()
+    field, held = field or default_field(), fresh_names(pages, "html")["html"]
     others = [f for f in pages.schema if f.name not in (html_col, out_col)]
     names = [f.name for f in others]
 
@@ -327,12 +347,12 @@ def extract_text(pages: DataFrame, field: Field | None = None, html_col: str = "
         for batch in batches:
             if len(seen) > 100_000:
                 seen.clear()
-            column = batch.column(batch.schema.get_field_index("__html"))
+            column = batch.column(batch.schema.get_field_index(held))
             texts = pa.array((main_text(v.as_py(), field, seen) for v in column), pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), texts], [*names, out_col])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"`{out_col}` string"])
-    return pages.select(*(F.col(f"`{c}`") for c in names), F.col(html_col).alias("__html")).mapInArrow(run, schema)
+    return pages.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{html_col}`").alias(held)).mapInArrow(run, schema)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ BLOCK_SHINGLES = 1 << 18
 HISTOGRAM, BLOCK_DOCS = 512, 2048
 #: Candidate rows up to which the list of candidates is broadcast (24 bytes a row).
 BROADCAST_ROWS = 1_000_000
+#: Signatures that a task remembers (a power of two; 17 bytes each).
+RECENT = 1 << 18
 #: Weight of the logarithm in DivideSkip's choice of how many long lists to set aside.
 DIVIDE_MU = 0.0085
 
@@ -94,30 +96,54 @@ class Schemes:
         return np.concatenate(owners), np.concatenate(out)
 
 
-def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Set size and set digest of each row's text."""
+def _digests(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """A 128-bit digest of each set, null for an empty one."""
+    two = np.zeros((len(bounds) - 1, 2), np.uint64)
+    for i, salt in enumerate((0x1234567, 0x89ABCDEF)):
+        total = np.r_[np.uint64(0), np.cumsum(mix(tokens ^ np.uint64(salt)), dtype=np.uint64)]
+        two[:, i] = total[bounds[1:]] - total[bounds[:-1]]
+    return [row.tobytes() if n else None for row, n in zip(two, np.diff(bounds), strict=True)]
+
+
+def _profiles(batches: Iterator[pa.RecordBatch], width: int, text: bool) -> Iterator[pa.RecordBatch]:
+    """Set size and set digest of each row's text, with or without the text."""
     for batch in batches:
         sizes, digests = [], []
         for _, tokens, bounds in shingled(batch, width):
-            n = np.diff(bounds)
-            two = np.zeros((len(n), 2), np.uint64)
-            for i, salt in enumerate((0x1234567, 0x89ABCDEF)):
-                total = np.r_[np.uint64(0), np.cumsum(mix(tokens ^ np.uint64(salt)), dtype=np.uint64)]
-                two[:, i] = total[bounds[1:]] - total[bounds[:-1]]
-            sizes.append(n)
-            digests += [row.tobytes() if k else None for row, k in zip(two, n, strict=True)]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), "digest": pa.array(digests, pa.binary())})
+            sizes.append(np.diff(bounds))
+            digests += _digests(tokens, bounds)
+        out = {"doc_id": batch.column("doc_id"), "n": pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), "digest": pa.array(digests, pa.binary())}
+        yield pa.RecordBatch.from_pydict(out | ({"text": batch.column("text")} if text else {}))
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """A row for each signature of each text."""
-    schemes = Schemes(percent)
+    """A row for each signature of each text, but for those that the task has met lately.
+
+    Where a signature repeats in a batch, or is still in a table of ``RECENT`` slots, the row
+    links the two texts at once (``hub``, under any signature) and its own signature goes no
+    further.  So one that a large part of all texts share leaves each task a few times only.
+    """
+    schemes, slots = Schemes(percent), np.uint64(RECENT - 1)
+    held, holder, used = np.zeros(RECENT, np.uint64), np.zeros(RECENT, np.int64), np.zeros(RECENT, bool)
     for batch in batches:
-        ids = np.asarray(batch.column("doc_id"))
+        ids = np.asarray(batch.column("rep"))
         for first, tokens, bounds in shingled(batch, width):
             owner, sig = schemes.signatures(tokens, bounds)
-            if len(sig):
-                yield pa.RecordBatch.from_pydict({"rep": ids[first + owner], "sig": sig.view(np.int64)})
+            if not len(sig):
+                continue
+            rep = ids[first + owner]
+            own, at, which = np.unique(sig, return_index=True, return_inverse=True)
+            lead, slot = rep[at], (own & slots).astype(np.int64)
+            met = used[slot] & (held[slot] == own)
+            hubs = np.where(met, holder[slot], lead)
+            links = np.concatenate([np.stack([rep, lead[which]]), np.stack([lead, hubs])], 1)
+            links = np.unique(links[:, links[0] != links[1]], axis=1)
+            held[slot[~met]], holder[slot[~met]], used[slot[~met]] = own[~met], lead[~met], True
+            yield pa.RecordBatch.from_pydict({
+                "rep": np.r_[lead[~met], links[0]],
+                "sig": pa.array(np.r_[own[~met], mix(mix(links[0].view(np.uint64)) + links[1].view(np.uint64))].view(np.int64)),
+                "hub": pa.array(np.r_[np.zeros((~met).sum(), np.int64), links[1]], mask=np.r_[np.ones((~met).sum(), bool), np.zeros(links.shape[1], bool)]),
+            })
 
 
 class Links:
@@ -184,7 +210,7 @@ def links_of_block(sets: list[np.ndarray], sides: list[int], percent: int, apart
     With ``apart`` only pairs of different sides count.  A set probes the smaller ones; those
     already connected with it need no check, as a further link between them changes nothing.
     """
-    size = np.array([len(x) for x in sets])
+    size = np.array([len(x) for x in sets], np.int64)
     order = np.argsort(size, kind="stable")
     size, side = size[order], np.array(sides)[order]
     tokens = np.concatenate([sets[i] for i in order])
@@ -299,7 +325,7 @@ def _compare(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFr
         yield ended(held)
 
 
-def _refined(base: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def _refined(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Candidate edges that are left when the histograms of the members are compared.
 
     A passage that many documents share can chain thousands of candidates; their histograms, a
@@ -312,7 +338,7 @@ def _refined(base: DataFrame, members: DataFrame, width: int, percent: int) -> D
     near = lambda step, name: counts.select("grp", (F.col("cls") + step).alias("cls"), F.col("n_subs").alias(name))
     members = members.join(counts, ["grp", "cls"]).join(near(1, "below"), ["grp", "cls"], "left").join(near(-1, "above"), ["grp", "cls"], "left").fillna(0, ["below", "above"])
     members = _small(members.withColumn("sub", F.pmod(F.xxhash64("rep"), "n_subs").cast("int")).drop("n"))
-    rows = base.join(members, F.col("doc_id") == F.col("rep")).select("rep", "grp", "cls", "n_subs", "sub", "below", "above", "text")
+    rows = texts.join(members, "rep").select("rep", "grp", "cls", "n_subs", "sub", "below", "above", "text")
     rows = rows.mapInArrow(lambda it: _histogram_rows(it, width), "rep long, grp long, cls int, n_subs int, sub int, below int, above int, n long, hist binary")
     pair = lambda ci, si, cj, sj: F.struct(ci.alias("ci"), si.alias("si"), cj.alias("cj"), sj.alias("sj"))
     c, s, upto = F.col("cls"), F.col("sub"), lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
@@ -342,45 +368,82 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     documents; those with equal sets are searched as one.
 
     Null, empty and wordless texts have an empty set and link with nothing, so they stand for
-    themselves.  Rows that share an id are one document with the links of them all; each keeps
-    its row.  A row with a null id takes the component of documents with an equal set, else
-    null.  Shingles are compared by 64-bit hashes, sets by 128 bits.
+    themselves.  Rows that share an id are one document with the links of them all, and all get
+    its component; each keeps its row and its own set size.  A row with a null id takes the
+    component of documents with an equal set, else null.  Texts of any length are read whole; an
+    empty table gives an empty result; other columns are not looked at.  Shingles are compared by
+    64-bit hashes, sets by 128 bits.
 
     Plan: candidates meet by signatures (:class:`Schemes`), which are grouped into candidate
     components over (first, member) edges; within these, histograms of the sets rule out most
     pairs that cannot link (:func:`_refined`); only the sets of what is left are searched, in blocks of
     bounded size, by :func:`t_occurrences`; the links that connect them give the components.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = written(base.mapInArrow(lambda it: _profiles(it, width), "doc_id long, n long, digest binary"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    profile = written(base.mapInArrow(lambda it: _profiles(it, width, False), "doc_id long, n long, digest binary"))
     known = profile.where("digest is not null and doc_id is not null")
-    reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    texts, sizes, names, same_id = _one_of_each_set(base, profile, known, width)
+    rows = texts.mapInArrow(lambda it: _signature_rows(it, width, percent), "rep long, sig long, hub long")
 
-    # Equal sets are searched once, under their smallest id.
-    spare = known.join(reps, "digest").where("doc_id <> rep").select("doc_id").distinct()
-    spare = _small(spare.join(reps, F.col("doc_id") == F.col("rep"), "left_anti"))
-    rows = base.where("doc_id is not null").join(spare, "doc_id", "left_anti")
-    rows = rows.mapInArrow(lambda it: _signature_rows(it, width, percent), "rep long, sig long")
-
-    hub = F.min("rep").over(Window.partitionBy("sig"))
-    edges = written(rows.withColumn("hub", hub).where("rep <> hub").select("rep", "hub").distinct())
+    first = F.min("rep").over(Window.partitionBy("sig"))
+    edges = written(rows.withColumn("hub", F.coalesce("hub", first)).where("rep <> hub").select("rep", "hub").distinct())
     groups = connected_components(edges, "rep", "hub").withColumnRenamed("node", "rep").withColumnRenamed("component", "grp")
-    sizes = known.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("n"))
-    edges = _refined(base, groups.join(sizes, "rep"), width, percent)
+    edges = _refined(texts, groups.join(sizes, "rep"), width, percent)
     groups = connected_components(edges, "rep", "hub").withColumnRenamed("node", "rep").withColumnRenamed("component", "grp")
     members = groups.join(sizes, "rep")
     blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
     members = _small(members.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int")))
 
-    sets = base.join(members, F.col("doc_id") == F.col("rep")).select("rep", "grp", "block", "n_blocks", "text")
+    sets = texts.join(members, "rep").select("rep", "grp", "block", "n_blocks", "text")
     sets = sets.mapInArrow(lambda it: _token_rows(it, width), "rep long, grp long, block int, n_blocks int, tokens binary")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     pairs = sets.withColumn("other", other).select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "block", "tokens")
     pairs = pairs.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "rep")
-    found = connected_components(written(pairs.mapInPandas(lambda it: _search(it, percent), "src long, dst long")))
-
-    labels = reps.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return profile.join(labels, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    links = pairs.mapInPandas(lambda it: _search(it, percent), "src long, dst long")
+    found = connected_components(written(links if same_id is None else links.union(same_id)))
+
+    if same_id is None:
+        # Every name is the smallest id of its set, and components are called by names.
+        own = profile.join(names, "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+        linked = _small(found.where("node <> component"))
+        return own.join(linked, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    # Some names are no ids: a component is called by the smallest id of its documents.
+    labels = names.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    placed = written(profile.join(labels, "digest", "left"))
+    lowest = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # A wordless row of an id goes with the id's other rows.
+    of_id = placed.where("component is not null and doc_id is not null").groupBy("doc_id").agg(F.first("component").alias("other"))
+    placed = placed.join(of_id, "doc_id", "left").withColumn("component", F.coalesce("component", "other"))
+    return placed.join(lowest, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _one_of_each_set(base: DataFrame, profile: DataFrame, known: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """One text ``(rep, text)`` of each distinct set under the set's name, the sizes of the sets by
+    name, the names by digest, and edges between the names that one id's rows have.
+
+    A set is called by the smallest id that has one row only, whose text needs no further look.
+    Where there is none, a hash of its digest is its name, and of its rows one is taken by digest.
+    Without ids that repeat, which is the rule, there are no such names and no edges (None), and
+    names are given only for sets of several documents; others are called by their own id.
+    """
+    repeated = written(profile.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"))
+    if not repeated.limit(1).count():
+        several = profile.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+        several = _small(several.where("rows > 1 and rep is not null").drop("rows"))
+        spare = _small(known.join(several, "digest").where("doc_id <> rep").select("doc_id"))
+        texts = base.where("doc_id is not null").join(spare, "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
+        return texts, known.select(F.col("doc_id").alias("rep"), "n"), several, None
+    marked = known.join(repeated.withColumn("again", F.lit(True)), "doc_id", "left")
+    names = marked.groupBy("digest").agg(F.min(F.when(F.col("again").isNull(), F.col("doc_id"))).alias("rep"), F.first("n").alias("n"))
+    names = written(names.withColumn("known", F.col("rep").isNotNull()).withColumn("rep", F.coalesce("rep", F.xxhash64("digest"))))
+    once = names.where("known").select("rep")
+    single = base.join(once, F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep")
+    more = base.join(repeated, "doc_id", "left_semi").mapInArrow(lambda it: _profiles(it, width, True), "doc_id long, n long, digest binary, text string")
+    more = more.where("digest is not null").join(names.where("not known").select("digest", "rep"), "digest").select("rep", "text").dropDuplicates(["rep"])
+    texts = written(single.select("rep", "text").union(more))
+    held = written(marked.where("again").join(names.select("digest", "rep"), "digest").select("doc_id", "rep").distinct())
+    same_id = held.join(held.groupBy("doc_id").agg(F.min("rep").alias("low")), "doc_id").where("rep <> low").select(F.col("rep").alias("src"), F.col("low").alias("dst"))
+    return texts, names.select("rep", "n"), names.select("digest", "rep"), same_id
 
 
 def _small(df: DataFrame) -> DataFrame:

@@ -119,6 +119,61 @@ def test_t_occurrences_skip_keeps_lists_that_stand_at_the_target():
         assert want and dict(zip(found.tolist(), counts.tolist())) == want
 
 
+def brute_of_repeated_ids(rows, width, percent):
+    """As ``brute``, for rows whose ids repeat: a document has the links of all its texts."""
+    texts = dict(enumerate(t for _, t in rows))
+    of_text = brute(list(texts.items()), width, percent)
+    label = {d: d for d, _ in rows}
+    for i, (_, c) in of_text.items():
+        a, b = label[rows[i][0]], label[rows[c][0]]
+        label = {d: min(a, b) if x in (a, b) else x for d, x in label.items()}
+    return sorted((d, of_text[i][0], label[d]) for i, (d, _) in enumerate(rows))
+
+
+def test_a_repeated_id_joins_the_groups_of_its_texts(spark):
+    a, b, c = "one two three four five", "six seven eight nine ten", "red green blue black white"
+    for rows in ([(1, a), (2, b), (5, a), (5, b)], [(5, a), (5, b), (5, None), (7, b), (9, a), (9, a)], [(3, a), (3, b), (4, b), (4, c), (6, c), (8, "x y z")]):
+        got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=90)
+        assert sorted(tuple(r) for r in got.collect()) == brute_of_repeated_ids(rows, 3, 90)
+    rng, rows = random.Random(11), copies(5, 90)
+    rows = [(rng.randrange(60) - 30, t if rng.random() < 0.9 else None) for _, t in rows]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=80)
+    assert sorted(tuple(r) for r in got.collect()) == brute_of_repeated_ids(rows, 3, 80)
+
+
+def test_signatures_met_lately_link_at_once(monkeypatch):
+    import pyarrow as pa
+
+    import rigspark.llm.ngram_join as join
+
+    monkeypatch.setattr(join, "RECENT", 8)
+    rows = copies(9, 150)
+    batches = [pa.RecordBatch.from_pydict({"rep": pa.array([d for d, _ in part]), "text": pa.array([t for _, t in part])}) for part in (rows[:40], rows[40:41], rows[41:])]
+    out = [r for b in join._signature_rows(iter(batches), 3, 80) for r in b.to_pylist()]
+    alone = Schemes(80)
+    parent = {d: d for d, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders = {}
+    for r in out:
+        if r["hub"] is None:
+            parent[root(r["rep"])] = root(holders.setdefault(r["sig"], r["rep"]))
+        else:
+            parent[root(r["rep"])] = root(r["hub"])
+    got = {d: root(d) for d, _ in rows}
+    parent, holders = {d: d for d, _ in rows}, {}
+    for first, tokens, bounds in join.shingled(pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in rows])}), 3):
+        for o, g in zip(*alone.signatures(tokens, bounds)):
+            parent[root(rows[first + o][0])] = root(holders.setdefault(int(g), rows[first + o][0]))
+    want = {d: root(d) for d, _ in rows}
+    pairs = lambda label: {(a, b) for a in label for b in label if label[a] == label[b]}
+    assert pairs(got) == pairs(want) and len(set(want.values())) < 100
+
+
 def test_repeated_rows_null_ids_extra_columns_and_no_rows(spark):
     schema = "doc_id long, text string, digest int, n string, rep int"
     rows = [(1, "a b c d", 0, "x", 1), (1, "a b c d", 0, "x", 1), (None, "a b c d", 0, "x", 1), (None, "z z z", 0, "", 2), (2, "A b C d", 1, "y", 3)]
