@@ -46,6 +46,14 @@ def fresh_names(df: DataFrame, *names: str) -> dict[str, str]:
     return {n: mark + n for n in names}
 
 
+def fresh_prefix(df: DataFrame) -> str:
+    """A prefix for helper columns that no column of ``df`` begins with, in any case."""
+    mark = "__"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    return mark
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words of the plain rule; null counts as no text."""
     text = F.col(text) if isinstance(text, str) else text

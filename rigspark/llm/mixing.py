@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rigspark.llm.common import word_count, written
+from rigspark.llm.common import fresh_prefix, word_count, written
 
 #: Rows of the per-source tables up to which they are broadcast (under 100 bytes a row).
 BROADCAST_ROWS = 500_000
@@ -57,16 +57,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in this order up to the rank whose sum of words is nearest to what is missing.  So every
     source's words meet its target but for half of one document at most.
 
-    Documents without words add none and get no copies.  Rows with equal id and text are ranked
-    as one and chosen together.  An empty table gives an empty result.  Reruns agree.
+    Documents without words (null, empty or blank texts) add none and get no copies.  Rows with
+    equal id and text, null ids included, are ranked as one and chosen together.  Texts of any
+    length are counted whole.  An empty table gives an empty result.  Other columns of any name
+    stay.  Reruns agree.
 
     Plan: two aggregations by source and length class, one by source and rank range, and a window
     over the ranges in which the order is cut; the documents themselves are never shuffled.
     """
-    text, key = F.col(text_col), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t"))
+    mark = fresh_prefix(docs)
+    text, key = F.col(f"`{text_col}`"), F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`")), F.lit("t"))
     size = word_count(text)
     # The class of a length: its number of binary digits.
-    row = {"__key": key, "__size": size, "__class": F.when(size > 0, F.floor(F.log2(size.cast("double")))).cast("int"), "__u": _uniform(seed, F.col(id_col), text)}
+    row = {"__key": key, "__size": size, "__class": F.when(size > 0, F.floor(F.log2(size.cast("double")))).cast("int"), "__u": _uniform(seed, F.col(f"`{id_col}`"), text)}
     narrow = written(docs.select(*(c.alias(n) for n, c in row.items())))
 
     classes = narrow.groupBy("__key", "__class").agg(F.sum("__size").cast("double").alias("words"), F.count(F.lit(1)).alias("rows"))
@@ -108,16 +111,28 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last = inside.groupBy("__key").agg(F.max(F.when(F.col("take"), F.col("__q"))).alias("top"), F.min("__q").alias("low"))
     last = _bounded(last.select("__key", F.coalesce("top", F.col("low") * (1 - 1e-12)).alias("last_q")))
 
-    out = docs.drop("size", "source_size", "target", "copies", "taken")
-    out = out.withColumns(row).join(likes.drop("missing", "mean_p", "ranges"), ["__key", "__class"], "left").join(last, "__key", "left").join(sources, "__key", "left")
-    chosen = (F.col("p") > 0) & (odds <= F.coalesce(F.col("last_q"), F.lit(float("inf"))))
-    copies = F.coalesce(F.col("sure") + F.when(chosen, 1).otherwise(0), F.lit(0)).cast("int")
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    return out.select(*kept, F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("__size") * copies).cast("long").alias("taken"))
+    # Beside the input's columns all others stand under names that it does not have.
+    own = lambda df, *names: df.select(*(F.col(c).alias(f"{mark}{c}") for c in names))
+    mine = lambda c: F.col(f"{mark}{c}")
+    kept = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies", "taken")]
+    out = docs.select(*(F.col(f"`{c}`") for c in kept), *(c.alias(f"{mark}{n}") for n, c in row.items()))
+    for table, keys in ((own(likes, "__key", "__class", "sure", "p"), ["__key", "__class"]), (own(last, "__key", "last_q"), ["__key"]), (own(sources, "__key", "source_size", "target"), ["__key"])):
+        out = out.join(table, [f"{mark}{k}" for k in keys], "left")
+    odds = mine("__u") / (1 - mine("__u")) / (mine("p") / (1 - mine("p")))
+    chosen = (mine("p") > 0) & (odds <= F.coalesce(mine("last_q"), F.lit(float("inf"))))
+    copies = F.coalesce(mine("sure") + F.when(chosen, 1).otherwise(0), F.lit(0)).cast("int")
+    return out.select(*(F.col(f"`{c}`") for c in kept), mine("__size").alias("size"), mine("source_size").alias("source_size"), mine("target").alias("target"), copies.alias("copies"), (mine("__size") * copies).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, with the input's columns."""
-    took = mix_sources(docs, **options)
-    rows = took.where("copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-    return rows.select(*[c for c in docs.columns if c in rows.columns])
+    """The mix itself: each document as many times as it is taken, with the input's columns.
+
+    An input column that :func:`mix_sources` would replace stays as it is.
+    """
+    mark = fresh_prefix(docs)
+    held = docs.select(*(F.col(f"`{c}`").alias(f"{mark}{i}") for i, c in enumerate(docs.columns)))
+    at = {c: f"{mark}{i}" for i, c in enumerate(docs.columns)}
+    names = {k: at[options.pop(k, d)] for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    took = mix_sources(held, **names, **options)
+    rows = took.where("copies > 0").select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return rows.select(*(F.col(n).alias(c) for c, n in at.items()))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rigspark.llm.common import texts_of
@@ -16,8 +16,9 @@ from rigspark.llm.common import texts_of
 #: bytes), and chunks overlap by 32 of them.
 SPAN, STRIDE, CHUNK, STEP = 8, 2, 256, 224
 DEPTH, FILTERS, HIDDEN = 8, 32, 16
-#: Labelled documents of each class, and chunks of each of them, that training uses at most.
-TRAIN_DOCS, TRAIN_CHUNKS = 1500, 4
+#: The labelled rows that training uses: at most so many of each class, and of these, in the order of
+#: a hash of the id, as many as have so many bytes of text together.  Each is read whole.
+TRAIN_DOCS, TRAIN_BYTES = 1500, 64 << 20
 
 
 def chunk_starts(places: int) -> np.ndarray:
@@ -27,6 +28,12 @@ def chunk_starts(places: int) -> np.ndarray:
     return np.unique(np.r_[np.arange(0, places - CHUNK, STEP), places - CHUNK])
 
 
+def chunk_runs(places: int) -> list[np.ndarray]:
+    """The chunks of a text in runs of 64, which bounds what is held of a long one."""
+    starts = chunk_starts(places)
+    return [starts[at : at + 64] for at in range(0, len(starts), 64)]
+
+
 def byte_pairs(data: np.ndarray) -> np.ndarray:
     """Pairs of bytes at even places; a text shorter than a filter is filled up with zeros."""
     n = max(len(data), SPAN)
@@ -74,26 +81,25 @@ class QualityModel:
         """Mean, least and largest of the chunks' pooled responses; long texts go in pieces."""
         pairs = byte_pairs(data)
         places = len(pairs) - SPAN // 2 + 1
-        starts, tops = chunk_starts(places), []
-        for at in range(0, len(starts), 64):
-            part = starts[at : at + 64]
+        runs, tops = chunk_runs(places), []
+        for part in runs:
             first, last = int(part[0]), min(int(part[-1]) + CHUNK, places)
             got = self.responses(pairs[first : last + SPAN // 2 - 1], table)
             got = np.concatenate([got, np.full((1, FILTERS), -np.inf, np.float32)])
             bounds = np.minimum(np.stack([part, part + CHUNK], 1).ravel() - first, len(got) - 1)
             tops.append(np.maximum.reduceat(got, bounds, axis=0)[::2])
         act = np.tanh(np.concatenate(tops) + self.bias)
-        return np.concatenate([act.mean(0), act.min(0), act.max(0), [np.log2(min(places, CHUNK)) / 8]]).astype(np.float32), len(starts)
+        return np.concatenate([act.mean(0), act.min(0), act.max(0), [np.log2(min(places, CHUNK)) / 8]]).astype(np.float32), sum(map(len, runs))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2[0]
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 6, steps: int = 300, batch: int = 96, rate: float = 4e-3) -> QualityModel:
-    """Fit by Adam on chunks of labelled documents; both classes are drawn equally often."""
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 6, steps: int = 300, batch: int = 96, rate: float = 4e-3) -> QualityModel:
+    """Fit by Adam on all chunks of labelled documents; both classes are drawn equally often."""
     rng, model = np.random.default_rng(seed), QualityModel.fresh(seed)
-    pairs = [[byte_pairs(np.frombuffer(c, np.uint8)) for c in t] for t in texts]
+    pairs = [byte_pairs(np.frombuffer(t, np.uint8)) for t in texts]
     pools = [np.flatnonzero(labels == k) for k in (0, 1)]
     first, second = [np.zeros_like(p) for p in model.params()], [np.zeros_like(p) for p in model.params()]
     for step in range(1, steps + 1):
@@ -101,14 +107,17 @@ def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 6, steps: in
         y, table = labels[docs].astype(np.float32), model.pair_table()
         tops, where, owner = [], [], []
         for i, d in enumerate(docs):
-            for p in pairs[d]:
-                got = model.responses(p, table)
-                at = got.argmax(0)
-                tops.append(got[at, np.arange(FILTERS)])
-                padded = np.stack([p // 256, p % 256], 1).ravel()
-                where.append(padded[(at[:, None] * STRIDE) + np.arange(SPAN)])
-                owner.append(i)
-        sizes = np.array([np.log2(min(len(pairs[d][0]) - SPAN // 2 + 1, CHUNK)) / 8 for d in docs], np.float32)
+            p = pairs[d]
+            flat = np.stack([p // 256, p % 256], 1).ravel().astype(np.uint8)
+            for starts in chunk_runs(len(p) - SPAN // 2 + 1):
+                low, high = int(starts[0]), int(starts[-1]) + CHUNK
+                got = model.responses(p[low : high + SPAN // 2 - 1], table)
+                for s in starts - low:
+                    at = got[s : s + CHUNK].argmax(0)
+                    tops.append(got[s + at, np.arange(FILTERS)])
+                    where.append(flat[((low + s + at)[:, None] * STRIDE) + np.arange(SPAN)])
+                    owner.append(i)
+        sizes = np.array([np.log2(min(len(pairs[d]) - SPAN // 2 + 1, CHUNK)) / 8 for d in docs], np.float32)
         act, owner = np.tanh(np.array(tops) + model.bias), np.array(owner)
         begin = np.searchsorted(owner, np.arange(len(docs)))
         count = np.bincount(owner, minlength=len(docs))[:, None].astype(np.float32)
@@ -137,17 +146,6 @@ def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 6, steps: in
     return model
 
 
-def _training_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for _, data, offsets in texts_of(batch.column("text")):
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                starts = chunk_starts((b - a + b % 2 - SPAN) // STRIDE + 1 if b - a > SPAN else 1)
-                pick = starts[np.unique(np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).astype(int))] * STRIDE
-                out.append([data[a + s : min(a + s + CHUNK * STRIDE + SPAN - STRIDE, b)].tobytes() for s in pick])
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "chunks": pa.array(out, pa.list_(pa.binary()))})
-
-
 def held_out(id_col: str = "doc_id"):
     """Rows whose labels are never learnt from: the id's CRC-32, as text, leaves 1 modulo 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
@@ -156,23 +154,26 @@ def held_out(id_col: str = "doc_id"):
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 6) -> QualityModel | None:
     """Learn from at most ``TRAIN_DOCS`` labelled documents of each class, chosen by a hash of the id.
 
-    Held-out rows, null ids and labels other than 0 and 1 are left out; of repeated ids one row
-    counts.  Without documents of both classes there is no model (None).
+    They are read whole; their texts come to the driver, ``TRAIN_BYTES`` at most, so a document
+    that would go beyond this is not among those learnt from.  Held-out rows, null ids and labels
+    other than 0 and 1 are left out, as are empty texts; of repeated ids one row counts.  Without
+    documents of both classes there is no model (None).  Other columns are not looked at.
     """
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    picked = None
+    order, picked = (F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")), None
     for k in (0, 1):
-        part = own.where(F.col("label") == k).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(TRAIN_DOCS)
+        part = own.where(F.col("label") == k).orderBy(*order).limit(TRAIN_DOCS)
         picked = part if picked is None else picked.union(part)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0")
-    rows = rows.join(F.broadcast(picked.groupBy("doc_id").agg(F.min("label").alias("label"))), "doc_id")
-    # At most 2 * TRAIN_DOCS rows of TRAIN_CHUNKS chunks of 518 bytes reach the driver.
-    got = rows.mapInArrow(_training_chunks, "doc_id long, label int, chunks array<binary>").groupBy("doc_id").agg(F.min(F.struct("label", "chunks")).alias("r")).collect()
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("length(text) > 0")
+    picked = F.broadcast(picked.groupBy("doc_id").agg(F.min("label").alias("label")))
+    sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).join(picked, "doc_id").groupBy("doc_id", "label").agg(F.max("bytes").alias("bytes"))
+    within = sizes.withColumn("sum", F.sum("bytes").over(Window.orderBy(*order))).where(F.col("sum") <= TRAIN_BYTES).select("doc_id", "label")
+    got = rows.join(F.broadcast(within), "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("r")).collect()
     got = sorted(got, key=lambda r: r.doc_id)
     y = np.array([r.r.label for r in got])
     if len(set(y.tolist())) < 2:
         return None
-    return train([[bytes(c) for c in r.r.chunks] for r in got], y, seed)
+    return train([r.r.text.encode() for r in got], y, seed)
 
 
 def _scores(batch: pa.RecordBatch, column: str, model: QualityModel | None, table: np.ndarray | None) -> np.ndarray:
@@ -189,7 +190,8 @@ def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "do
     """``(doc_id, score)``: the probability of label 1, over the bytes of every whole text.
 
     Null and empty texts are scored as one chunk of zero bytes.  Without a model all score 0.5.
-    Each input row has its own result, whatever its id.
+    Each input row has its own result, whatever its id; equal texts score alike.  An empty table
+    gives an empty result; other columns are not looked at.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.pair_table() if model else None
@@ -200,7 +202,10 @@ def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "do
 
 
 def keep_quality(docs: DataFrame, model: QualityModel | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that score at least ``threshold``, with all their columns."""
+    """The documents that score at least ``threshold``, with all their columns, whatever their names.
+
+    Rows are judged as in :func:`score_quality`, each by itself.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.pair_table() if model else None
         for batch in batches:

@@ -70,15 +70,17 @@ def _parse(raw: bytes, keep: bool) -> tuple[int, int, dict] | None:
         return None
     head = dict(re.findall(rb"^([A-Za-z-]+): ?([^\r\n]*)\r?$", raw[: stop + 1], re.M))
     length = head.get(b"Content-Length", b"")
-    if not length.isdigit() or b"WARC-Type" not in head:
+    stated, digest = head.get(b"X-Payload-Length", b"0"), head.get(b"WARC-Payload-Digest", b"")
+    # A count beyond 18 digits is no size of anything.
+    if not (re.fullmatch(rb"[0-9]{1,18}", length) and re.fullmatch(rb"[0-9]{1,18}", stated) and digest.isascii() and b"WARC-Type" in head):
         return None
-    number = lambda v: int(m[1]) if v and (m := re.fullmatch(rb"<urn:page:(-?\d+)>", v)) else None
+    number = lambda v: int(m[1]) if v and (m := re.fullmatch(rb"<urn:page:(-?[0-9]{1,19})>", v)) and -(1 << 63) <= int(m[1]) < 1 << 63 else None
     at, size = stop + len(END), int(length)
     body = raw[at : at + size]
     kind = head[b"WARC-Type"].decode("utf-8", "replace")
     out = {"page_id": number(head.get(b"WARC-Record-ID")), "url": head.get(b"WARC-Target-URI", b"").decode("utf-8", "replace"), "record_type": kind, "refers_to": number(head.get(b"WARC-Refers-To"))}
     if kind == "revisit":
-        out |= {"payload_bytes": int(head.get(b"X-Payload-Length", b"0")), "payload_digest": head.get(b"WARC-Payload-Digest", b"").decode().removeprefix("sha256:"), "payload": None}
+        out |= {"payload_bytes": int(stated), "payload_digest": digest.decode().removeprefix("sha256:"), "payload": None}
     else:
         out |= {"payload_bytes": len(body), "payload_digest": hashlib.sha256(body).hexdigest(), "payload": body if keep else None}
     return at, size, out
@@ -168,7 +170,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     splits, doubling the reach in each round, keeps what the start of the file leads to.
     Candidates inside payloads are not reached; their bytes go back to the record around them.
 
-    An unreadable header ends the chain of its file; a record cut off by the file's end is left
+    An unreadable header (one without a type, with lengths that are no numbers or a digest beyond
+    ASCII) ends the chain of its file; a page number that does not fit is null; a record cut off by the file's end is left
     out; a file that does not begin with the magic has no records.  No files, no rows.
     """
     text = spark.read.option("lineSep", MAGIC.decode()).text(path)

@@ -3,7 +3,9 @@ from collections import defaultdict
 
 import pytest
 
-from rigspark.llm.mixing import mix_sources, mixed
+from pyspark.sql import functions as F
+
+from rigspark.llm.mixing import _uniform, mix_sources, mixed
 
 
 def targets(sizes, weights=(1, 2, 3), most=3):
@@ -47,6 +49,66 @@ def test_given_table(spark):
     assert sorted(map(str, got)) == sorted(map(str, mix_sources(docs.repartition(5)).collect()))
 
 
+def brute_copies(rows, tilt=0.1, most=3):
+    """Copies by the docstring's law; ``rows``: (key, source, words, u)."""
+    sizes = defaultdict(int)
+    for _, s, n, _ in rows:
+        sizes[s] += n
+    out, want = {}, targets(sizes)
+    for source in sizes:
+        own = [(k, n, u) for k, s, n, u in rows if s == source and n]
+        words = defaultdict(int)
+        for _, n, _ in own:
+            words[n.bit_length() - 1] += n
+        low, high = 0.0, float(most)
+        for _ in range(200):  # the level at which the classes' shares sum to the target
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(most * w, level * w * (1 + tilt * c)) for c, w in words.items()) < want[source] else (low, level)
+        copies = {c: min(most, low * (1 + tilt * c)) for c in words}
+        p = {c: x - int(x + 1e-9) if x - int(x + 1e-9) > 1e-9 else 0.0 for c, x in copies.items()}
+        ranked, missing = defaultdict(list), 0.0
+        for k, n, u in own:
+            c = n.bit_length() - 1
+            out[k] = int(copies[c] + 1e-9)
+            missing += p[c] * n
+            if p[c]:
+                ranked[u / (1 - u) / (p[c] / (1 - p[c]))].append((k, n))
+        so_far = 0.0
+        for q in sorted(ranked):
+            more = sum(n for _, n in ranked[q])
+            if so_far + more > missing and so_far + more - missing >= more / 2:
+                break
+            so_far += more
+            for k, _ in ranked[q]:
+                out[k] += 1
+            if so_far > missing:
+                break
+    return out
+
+
+def test_ranking_and_cut_match_a_plain_version(spark, monkeypatch):
+    import rigspark.llm.mixing as module
+
+    for ranges, table in ((8192, "sf0.01"), (40, "sf0.001")):
+        monkeypatch.setattr(module, "BUCKET_ROWS", ranges)
+        docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+        drawn = docs.withColumn("u", _uniform(20, F.col("doc_id"), F.col("text"))).collect()
+        rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.u) for r in drawn]
+        want = brute_copies(rows)
+        got = {r.doc_id: r.copies for r in mix_sources(docs).collect()}
+        assert got == {k: want.get(k, 0) for k in got} and len(set(got.values())) > 2
+
+
+def test_clashing_names(spark):
+    names = ["p", "sure", "last_q", "__size", "__key", "missing", "SIZE", "range"]
+    docs = spark.createDataFrame([(i, "w " * (i % 5), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    more = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    plain = {r.doc_id: r.copies for r in mix_sources(docs).collect()}
+    got = mix_sources(more).collect()
+    assert {r.doc_id: r.copies for r in got} == plain and all(r[n] == n for r in got for n in names if n != "SIZE")
+    assert mixed(more).columns == more.columns and all(r[n] == n for r in mixed(more).collect() for n in names)
+
+
 def test_caps_nulls_ties_and_ranges(spark, monkeypatch):
     import rigspark.llm.mixing as module
 

@@ -42,6 +42,18 @@ def test_held_out_accuracy(spark):
     assert np.mean([s >= 0.5 for s in good]) > 0.93
 
 
+def test_training_reads_whole_texts_within_the_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, y, seed: seen.append((texts, y)))
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 120_000)
+    long = "x" * 50_000 + "end"
+    docs = spark.createDataFrame([(i, long if i < 4 else f"short {i}", "a") for i in range(40)], "doc_id long, text string, label string")
+    train_quality(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    [(texts, y)] = seen
+    assert sum(map(len, texts)) <= 120_000 and len(set(y.tolist())) == 2
+    assert all(t == long.encode() or t.startswith(b"short") for t in texts)
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     rows = [(i, ("good words here. " if i % 2 else "@@## $$%% ") * 20, "x") for i in range(60)] + [(60, None, "x"), (61, "", "x"), (61, "", "x"), (None, "a", "x"), (62, "ü" * 300_000, "x")]

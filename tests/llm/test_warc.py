@@ -71,3 +71,13 @@ def test_damage_and_no_rows(spark, tmp_path):
         (tmp_path / name / "x.warc").write_bytes(bad)
         assert ids(tmp_path / name) == want, name
     assert warc_round_trip(pages.limit(0)).count() == 0
+    # Malformed headers of a revisit end the chain like any other unreadable header.
+    both = spark.createDataFrame([(i, "u", "x" * 200) for i in (1, 2)] + [(3, "u", "end")], "page_id long, url string, html string").coalesce(1).sortWithinPartitions("page_id")
+    write_warc(both, str(tmp_path / "v"))
+    [file] = (tmp_path / "v").glob("part-*")
+    data = file.read_bytes()
+    for name, old, new in [("count", b"X-Payload-Length: 200", b"X-Payload-Length: abc"), ("huge", b"X-Payload-Length: 200", b"X-Payload-Length: " + b"9" * 40), ("digest", b"Digest: sha256:", b"Digest: sh\xff256:"), ("length", b"Content-Length: 0", b"Content-Length: \xb2")]:
+        at = data.index(b"WARC-Type: revisit")
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(data[:at] + data[at:].replace(old, new, 1))
+        assert 1 in ids(tmp_path / name) and 2 not in ids(tmp_path / name), name
