@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,106 +10,165 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigspark.llm.common import ALPHANUMERIC, texts_of, word_hashes
+from rigspark.llm.common import ALPHANUMERIC, fresh_prefix, mix, texts_of, word_hashes, written
 
-#: Benchmark text of one search, in bytes; a larger benchmark is searched in several passes.
-PASS_BYTES = 32 << 20
+#: Windows of one search, on average over the passes; a larger benchmark is searched in several
+#: passes.  The tables take about 40 bytes a window, and three times that while they are built.
+PASS_WINDOWS = 4_000_000
+#: Windows of one row of the benchmark's table.
+PIECE_WINDOWS = 4096
 #: Words of a block of the shift table.
 BLOCK = 2
 
 
 class Searcher:
-    """Wu-Manber over words: patterns of at least ``least`` words, given as word hashes.
+    """Wu-Manber over words: the windows of ``least`` words of pieces of text, given as word hashes.
 
-    Words are numbered; a word that no pattern has is 0.  ``shift`` tells for a block of two
-    words how far the search may move on; where it may not, the bucket of the last two words
-    of the pattern's first ``least`` words gives the patterns to compare directly.
+    Words are numbered; a word that no piece has is 0.  The shift table tells for a block of two
+    words how far the search may move on; where it may not, the bucket of the last two words of a
+    window gives those to compare directly.  All tables are flat sorted arrays.
     """
 
-    def __init__(self, patterns: dict[tuple[int, ...], set[int]], least: int) -> None:
+    def __init__(self, pieces: list[tuple[int, np.ndarray]], least: int) -> None:
         self.least, self.block = least, min(BLOCK, least)
-        words = np.unique(np.array([w for p in patterns for w in p], np.uint64)) if patterns else np.zeros(0, np.uint64)
-        self.words = words
-        number = {int(w): i + 1 for i, w in enumerate(words)}
-        self.base, self.shift, self.bucket = len(words) + 1, {}, defaultdict(list)
-        for pattern, owners in patterns.items():
-            ids = tuple(number[w] for w in pattern)
-            for end in range(self.block, least + 1):
-                key = self.key(ids[end - self.block : end])
-                self.shift[key] = min(self.shift.get(key, least), least - end)
-            self.bucket[self.key(ids[least - self.block : least])].append((np.array(ids), owners))
-
-    def key(self, ids: tuple[int, ...]) -> int:
-        return ids[0] if self.block == 1 else ids[0] * self.base + ids[1]
+        sizes = np.array([len(h) for _, h in pieces])
+        self.words, numbers = np.unique(np.concatenate([h for _, h in pieces]), return_inverse=True)
+        self.base, self.flat = len(self.words) + 1, (numbers + 1).astype(np.int32)
+        begin = np.cumsum(sizes) - sizes
+        # Of each block within a piece: how far it lies from the end of the first window that holds it.
+        count = sizes - self.block + 1
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        keys = self.keys(self.flat)[np.repeat(begin, count) + at]
+        reach = np.maximum(least - self.block - at, 0)
+        order = np.lexsort((reach, keys))
+        first = np.r_[True, np.diff(keys[order]) != 0]
+        self.blocks, self.shift = keys[order][first], reach[order][first].astype(np.int32)
+        # Distinct windows, dealt to buckets by their last block and sorted by their hash there.
+        count = sizes - least + 1
+        starts = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        owner = np.repeat(np.array([o for o, _ in pieces], np.int32), count)
+        last, own = self.keys(self.flat)[starts + least - self.block], self.window_hash(self.flat, starts)
+        order = np.lexsort((owner, own, last))
+        starts, owner, last, own = starts[order], owner[order], last[order], own[order]
+        fresh = np.r_[True, (np.diff(last) != 0) | (own[1:] != own[:-1])]
+        for at in range(1, len(starts), 1 << 16):  # equal hashes, unequal words
+            part = np.arange(at, min(at + (1 << 16), len(starts)))
+            part = part[~fresh[part]]
+            fresh[part] = (self.at(self.flat, starts[part]) != self.at(self.flat, starts[part - 1])).any(1)
+        self.starts, self.last, self.own = starts[fresh].astype(np.int32), last[fresh], own[fresh]
+        self.owners, self.ends = owner, np.r_[np.flatnonzero(fresh)[1:], len(owner)]
+
+    def keys(self, ids: np.ndarray) -> np.ndarray:
+        ids = ids.astype(np.int64)
+        return ids if self.block == 1 else ids[:-1] * self.base + ids[1:]
+
+    def at(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The words of the windows that begin at ``starts``."""
+        return ids[np.asarray(starts, np.int64)[:, None] + np.arange(self.least)]
+
+    def window_hash(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(starts), np.uint64)
+        for k in range(self.least):
+            out = mix(out + ids[starts + k].astype(np.uint64) + np.uint64(1))
+        return out
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, at + 1, 0)
 
-    def search(self, ids: np.ndarray, hit: np.ndarray, items: set[int]) -> None:
-        """Mark the words of all occurrences in ``hit`` and add their items."""
-        n, least, block = len(ids), self.least, self.block
-        if n < least or not ids.any():
+    def search(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Text, first word and owners of every occurrence, for consecutive texts with these bounds."""
+        least, back = self.least, self.least - self.block
+        if len(hashes) < least:
             return
-        keys = (ids if block == 1 else ids[:-1] * self.base + ids[1:]).tolist()
-        shift, jump, at = self.shift, least - block + 1, least - block
-        while at < len(keys):
-            step = shift.get(keys[at], jump)
-            if step:
-                at += step
-                continue
-            begin = at + block - least
-            for pattern, owners in self.bucket[keys[at]]:
-                if begin + len(pattern) <= n and (ids[begin : begin + len(pattern)] == pattern).all():
-                    hit[begin : begin + len(pattern)] = True
-                    items |= owners
-            at += 1
-
-
-def searchers(items: list[tuple[str, str]], window: int) -> list[Searcher]:
-    """One searcher for full windows and, if there are shorter items, one for these."""
-    full, short = defaultdict(set), defaultdict(set)
-    column = pa.array([t for _, t in items], pa.large_string())
-    for first, data, offsets in texts_of(column):
-        hashes, bounds = word_hashes(data, offsets, ALPHANUMERIC)
-        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            words = tuple(hashes[a:b].tolist())
-            for at in range(len(words) - window + 1):
-                full[words[at : at + window]].add(first + i)
-            if 0 < len(words) < window:
-                short[words].add(first + i)
-    found = [Searcher(dict(full), window)] if full else []
-    lengths = sorted({len(p) for p in short})
+        ids = self.numbers(hashes)
+        keys = self.keys(ids)
+        at = np.minimum(np.searchsorted(self.blocks, keys), len(self.blocks) - 1)
+        shift = np.where(self.blocks[at] == keys, self.shift[at], back + 1)
+        # Texts without a block that ends a window hold none.
+        ends = np.flatnonzero(shift == 0)
+        some = np.searchsorted(ends, bounds[:-1]) < np.searchsorted(ends, bounds[1:])
+        for text in np.flatnonzero(some & (np.diff(bounds) >= least)):
+            low, high = int(bounds[text]), int(bounds[text + 1])
+            step, at = shift[low : high - self.block + 1].tolist(), back
+            while at < len(step):
+                if step[at]:
+                    at += step[at]
+                    continue
+                begin = low + at - back
+                for window in self.bucket(ids, begin, keys[low + at]):
+                    yield int(text), begin - low, self.owners[(self.ends[window - 1] if window else 0) : self.ends[window]]
+                at += 1
+
+    def bucket(self, ids: np.ndarray, begin: int, key: int) -> list[int]:
+        """The window of the key's bucket that the words from ``begin`` on are."""
+        a, b = np.searchsorted(self.last, [key, key + 1])
+        own = self.window_hash(ids, np.array([begin]))[0]
+        a, b = a + np.searchsorted(self.own[a:b], [own, own], "left")[0], a + np.searchsorted(self.own[a:b], [own, own], "right")[0]
+        return [w for w in range(a, b) if (self.flat[self.starts[w] : self.starts[w] + self.least] == ids[begin : begin + self.least]).all()]
+
+
+def searchers(items: list[tuple[str, bytes]], window: int) -> tuple[list[Searcher], list[str]]:
+    """One searcher for full windows and one for each length of shorter items; the items' names."""
+    names = sorted({i for i, _ in items})
+    number, by = {n: i for i, n in enumerate(names)}, {}
+    for name, raw in items:
+        hashes = np.frombuffer(raw, np.uint64)
+        by.setdefault(min(len(hashes), window), []).append((number[name], hashes))
     # Each length of short item shifts by its own length, not by the shortest one.
-    return found + [Searcher({p: o for p, o in short.items() if len(p) == n}, n) for n in lengths]
+    return [Searcher(by[n], n) for n in sorted(by)], names
 
 
-def _hits(batches: Iterator[pa.RecordBatch], items: list[tuple[str, str]], window: int) -> Iterator[pa.RecordBatch]:
-    """Adds the words of each text, the hit words as runs, and the items that occur."""
-    search = searchers(items, window)
+def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The words of the items, as hashes, cut into pieces that hold each window once."""
     for batch in batches:
-        counts, runs, found = [], [], []
-        earlier = {c: batch.column(c) for c in ("hits", "items")}
+        names, out = batch.column("item"), {"item": [], "words": [], "windows": []}
         for first, data, offsets in texts_of(batch.column("text")):
             hashes, bounds = word_hashes(data, offsets, ALPHANUMERIC)
-            numbers = [s.numbers(hashes) for s in search]
             for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                hit, own = np.zeros(b - a + 2, bool), set()
-                for s, ids in zip(search, numbers, strict=True):
-                    s.search(ids[a:b], hit[1:-1], own)
-                counts.append(b - a)
-                before = earlier["hits"][first + i].as_py()
-                if own or before:
-                    for x, y in zip(before[::2], before[1::2], strict=True):
-                        hit[x + 1 : y + 1] = True
-                    runs.append(np.flatnonzero(hit[1:] != hit[:-1]).tolist())
-                else:
-                    runs.append([])
-                found.append(sorted({items[k][0] for k in own}.union(earlier["items"][first + i].as_py())))
+                for at in range(a, max(b - window + 1, a + (b > a)), PIECE_WINDOWS):
+                    piece = hashes[at : min(at + PIECE_WINDOWS + window - 1, b)]
+                    out["item"].append(names[first + i].as_py())
+                    out["words"].append(piece.tobytes())
+                    out["windows"].append(max(len(piece) - window + 1, 1))
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("item", pa.string()), ("words", pa.binary()), ("windows", pa.int64())]))
+
+
+def _passes(benchmark: DataFrame, item_col: str, item_text: str, window: int) -> Iterator:
+    """The tables of each pass, built once on the driver from its bounded share and broadcast."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text}`").alias("text"))
+    pieces = written(rows.mapInArrow(lambda it: _pieces(it, window), "item string, words binary, windows long").distinct())
+    total = pieces.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    passes = max(1, math.ceil(total / PASS_WINDOWS))
+    for i in range(passes):
+        held = pieces.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == i).select("item", "words").collect()
+        yield i + 1 == passes, spark.sparkContext.broadcast(searchers([(r.item, bytes(r.words)) for r in held], window))
+
+
+def _hits(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
+    """Adds the words of each text, the hit words as runs, and the items that occur."""
+    search, names = tables.value
+    for batch in batches:
+        counts, hits, items = [], batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+        for first, data, offsets in texts_of(batch.column("text")):
+            hashes, bounds = word_hashes(data, offsets, ALPHANUMERIC)
+            counts.append(np.diff(bounds))
+            marks: dict[int, np.ndarray] = {}
+            owners: dict[int, set[int]] = {}
+            for s in search:
+                for text, begin, own in s.search(hashes, bounds):
+                    if text not in marks:
+                        marks[text], owners[text] = np.zeros(bounds[text + 1] - bounds[text] + 2, bool), set()
+                        for x, y in zip(hits[first + text][::2], hits[first + text][1::2], strict=True):
+                            marks[text][x + 1 : y + 1] = True
+                    marks[text][begin + 1 : begin + s.least + 1] = True
+                    owners[text].update(own.tolist())
+            for text, hit in marks.items():
+                hits[first + text] = np.flatnonzero(hit[1:] != hit[:-1]).tolist()
+                items[first + text] = sorted({names[i] for i in owners[text]}.union(items[first + text]))
         keep = {f.name: batch.column(f.name) for f in batch.schema if f.name not in ("hits", "items", "n_words")}
-        yield pa.RecordBatch.from_pydict(keep | {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(runs, pa.list_(pa.int64())), "items": pa.array(found, pa.list_(pa.string()))})
+        yield pa.RecordBatch.from_pydict(keep | {"n_words": pa.array(np.concatenate(counts) if counts else [], pa.int64()), "hits": pa.array(hits, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))})
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
@@ -124,25 +182,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     Null or wordless texts have no words and no hits; null or wordless items have no window and
     items without an id count under the empty string.  Rows repeat as they come in; repeated
-    items merge.  Windows are compared by 64-bit hashes of their words, word by word.
+    items merge.  Texts of any length are searched whole; empty tables give no rows or no hits;
+    other columns are not looked at.  Words are compared by 64-bit hashes, windows word by word.
 
-    The benchmark goes to the tasks in passes of at most ``PASS_BYTES`` of text, so that what a
-    task holds is bounded; each pass reads the documents that the one before returned, without a
-    shuffle.
+    The benchmark is dealt by hash into passes of ``PASS_WINDOWS`` windows on average, so that
+    what the driver and a task hold is bounded.  A pass reads the documents that the one before
+    wrote; with a single pass there is no writing, and there never is a shuffle.
     """
-    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
-    passes, held, size = [], [], 0
-    for row in rows.toLocalIterator():
-        if held and size + len(row.t) > PASS_BYTES:
-            passes.append(held)
-            held, size = [], 0
-        held.append((row.i, row.t))
-        size += len(row.t)
-    passes.append(held)
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = out.schema
-    for held in passes:
-        out = out.mapInArrow(lambda it, held=held: _hits(it, held, window), schema)
+    for last, tables in _passes(benchmark, item_col, item_text, window):
+        out = out.mapInArrow(lambda it, tables=tables: _hits(it, tables), schema)
+        out = out if last else written(out)
     return out
 
 
@@ -153,35 +204,27 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
     return found.select("doc_id", "n_words", lengths.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents in which no benchmark window occurs, with all their columns."""
-    import pyarrow.compute as pc
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+    """The documents in which no benchmark window occurs, with all their columns, whatever their names.
 
-    rows = benchmark.select(F.col(options.get("item_text", "text")).alias("t")).where("t is not null").distinct()
-    window, passes, held, size = options.get("window", 10), [], [], 0
-    for row in rows.toLocalIterator():
-        if held and size + len(row.t) > PASS_BYTES:
-            passes.append(held)
-            held, size = [], 0
-        held.append(("", row.t))
-        size += len(row.t)
-    passes.append(held)
+    Rows are judged as in :func:`find_contamination`, each by itself.
+    """
+    held = fresh_prefix(docs) + "text"
 
-    def clean(batches: Iterator[pa.RecordBatch], held: list) -> Iterator[pa.RecordBatch]:
-        search = searchers(held, window)
+    def clean(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
+        search, _ = tables.value
         for batch in batches:
             keep = np.ones(len(batch), bool)
-            for first, data, offsets in texts_of(batch.column(batch.schema.get_field_index(text_col))):
+            for first, data, offsets in texts_of(batch.column(batch.schema.get_field_index(held))):
                 hashes, bounds = word_hashes(data, offsets, ALPHANUMERIC)
                 for s in search:
-                    ids = s.numbers(hashes)
-                    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                        own: set = set()
-                        s.search(ids[a:b], np.zeros(b - a, bool), own)
-                        if own:
-                            keep[first + i] = False
-            yield batch.filter(pc.equal(pa.array(keep), True))
-
-    for held in passes:
-        docs = docs.mapInArrow(lambda it, held=held: clean(it, held), docs.schema)
-    return docs
+                    for text, _, _ in s.search(hashes, bounds):
+                        keep[first + text] = False
+            yield batch.filter(pa.array(keep))
+
+    names = docs.columns
+    docs = docs.withColumnRenamed(text_col, held)
+    for last, tables in _passes(benchmark, item_col, item_text, window):
+        docs = docs.mapInArrow(lambda it, tables=tables: clean(it, tables), docs.schema)
+        docs = docs if last else written(docs)
+    return docs.toDF(*names)

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rigspark.llm.decontamination import contamination_report, decontaminate
 
@@ -50,8 +51,8 @@ def test_matches_brute_force_on_small_cases(spark):
     docs = spark.createDataFrame([(*d, "e", 1) for d in DOCS], "doc_id long, text string, items string, hits int")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert rows(contamination_report(docs, bench)) == brute(DOCS, ITEMS)
-    kept = decontaminate(docs, bench)
-    assert kept.columns == docs.columns
+    kept = decontaminate(docs.withColumn("__text", F.col("text")), bench)
+    assert kept.columns == [*docs.columns, "__text"]
     clean = {(r[0], r[5]) for r in brute(DOCS, ITEMS)}
     assert sorted((r.doc_id, False) for r in kept.collect()) == sorted(x for x in clean if not x[1])
 
@@ -69,13 +70,39 @@ def test_passes_and_empty_tables(spark, monkeypatch):
 
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    monkeypatch.setattr(module, "PASS_BYTES", 20)
+    monkeypatch.setattr(module, "PASS_WINDOWS", 3)
+    monkeypatch.setattr(module, "PIECE_WINDOWS", 2)
     assert rows(contamination_report(docs, bench)) == brute(DOCS, ITEMS)
     assert decontaminate(docs, bench.limit(0)).count() == len(DOCS)
     assert rows(contamination_report(docs, bench.limit(0))) == brute(DOCS, [])
     assert contamination_report(docs.limit(0), bench).count() == 0
 
 
+def test_tables_of_a_large_benchmark_stay_small():
+    import pickle
+    import tracemalloc
+
+    import numpy as np
+
+    from rigspark.llm.decontamination import searchers
+
+    rng = np.random.default_rng(3)
+    n = 1_000_000
+    vocabulary = rng.integers(0, 1 << 63, 50_000).astype(np.uint64)
+    text = vocabulary[rng.zipf(1.3, n) % len(vocabulary)]
+    items = [(str(i), text[i * 4000 : i * 4000 + 4009].tobytes()) for i in range(n // 4000)] + [(f"same{i}", text[:2000].tobytes()) for i in range(20)]
+    tracemalloc.start()
+    [table], names = searchers(items, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pickle.dumps(table)) < 60 * n and peak < 200 * n
+    found = {}
+    for t, begin, own in table.search(np.concatenate([text[5000:5030], vocabulary[:40], text[100:112]]), np.array([0, 30, 70, 82])):
+        found.setdefault((t, begin), set()).update(names[o] for o in own)
+    assert {t for t, _ in found} >= {0, 2} and all("1" in found[0, b] for b in range(21))
+    assert all({"0", "same0", "same19"} <= found[2, b] for b in range(3))
+
+
 @pytest.mark.parametrize("window", [1, 2, 3])
 def test_small_windows(spark, window):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
