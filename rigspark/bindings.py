@@ -46,12 +46,12 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("serial"), F.col("event_id").alias("counter"), "ts", F.col("event_type").alias("kind"), "value")
 
 
-#: ``src, dst``: order and part of single-piece line items.
-GRAPH_SQL = "select 'o'||l_orderkey src, 'p'||l_partkey dst from lineitem where l_quantity = 1"
+#: ``src, dst``: order and part of each line item.
+GRAPH_SQL = "select 'o'||l_orderkey src, 'p'||l_partkey dst from lineitem"
 
 
 def match_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity = 1")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
 
 

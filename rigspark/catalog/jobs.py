@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rigspark import bindings as B
-from rigspark.catalog import query, r6
-from rigspark.operators.graph import _materialise
+from rigspark.catalog import query, r6, s6
+from rigspark.scratch import written
 
 
 def _streamed(spark: SparkSession, d: str, build, mode: str = "append") -> DataFrame:
     """Run a stream over the events, split by time into five files, and return what it wrote."""
-    packets = _materialise(B.stream(spark, d))
+    packets = written(B.stream(spark, d))
     base = spark.conf.get("spark.checkpoint.dir").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     cuts = packets.agg(F.percentile("counter", [0.2, 0.4, 0.6, 0.8])).first()[0]
     low = None
@@ -26,15 +26,16 @@ def _streamed(spark: SparkSession, d: str, build, mode: str = "append") -> DataF
         low = high
     from rigspark.streaming.frames import stream_frames
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # A state partition costs two files a batch: no more of them than the machine works on at once.
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
     try:
         out = build(stream_frames(spark, f"{base}/in"))
         q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        spark.conf.set(key, before)
     return spark.read.parquet(f"{base}/out")
 
 
@@ -52,11 +53,12 @@ def s3_stream_decimate(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, lambda s: stream_decimate(s, 5))
 
 
-@query()
+@query(f"""with f as (select user_id serial, event_id counter, value, row_number() over (partition by user_id order by event_id) n from events)
+ select serial, counter, {s6('power(0.6, n) * sum(value * power(0.6, -n) * case when n = 1 then 1 else 0.4 end) over (partition by serial order by n rows unbounded preceding)', 5)} as value from f""")
 def s8_stream_temporal_blend(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.streaming.frames import stream_temporal_blend
 
-    return _streamed(spark, d, lambda s: stream_temporal_blend(s, 0.4)).select("serial", "counter", r6("value").alias("value"))
+    return _streamed(spark, d, lambda s: stream_temporal_blend(s, 0.4, None)).select("serial", "counter", r6("value", 5).alias("value"))
 
 
 @query("select user_id serial, event_id counter, user_id%4 shard from events")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigspark.functions import camera as C
-from rigspark.operators.graph import _materialise
+from rigspark.scratch import small, written
 
 
 def normal_sums(df: DataFrame, keys: list[str], xs: list[Column], ys: list[Column]) -> DataFrame:
@@ -77,7 +77,7 @@ def triangulate(obs: DataFrame, keys: list[str], start: DataFrame, steps: int =
     is one aggregation of the normal sums per point and a 3 x 3 solve in expressions.  A point
     without a solvable system stays; one that falls behind a camera ends at its start.
     """
-    cur = _materialise(start.select(*keys, "x", "y", "z"))
+    cur = written(start.select(*keys, "x", "y", "z"))
     names = ["xx", "xyy", "xz", "yy", "yz", "zz", "gx", "gy", "gz"]
     for _ in range(steps):
         rows = obs.join(cur, keys)
@@ -95,7 +95,7 @@ def triangulate(obs: DataFrame, keys: list[str], start: DataFrame, steps: int =
         inv = _inverse3([[c["xx"], c["xyy"], c["xz"]], [c["xyy"], c["yy"], c["yz"]], [c["xz"], c["yz"], c["zz"]]])
         step = [sum((inv[i][j] * c[n] for j, n in enumerate(("gx", "gy", "gz"))), F.lit(0.0)).alias(f"d{a}") for i, a in enumerate("xyz")]
         moved = cur.join(sums.select(*keys, *step), keys, "left")
-        cur = _materialise(moved.select(*keys, *((F.col(a) + F.coalesce(F.when(F.isnan(f"d{a}"), 0.0).otherwise(F.col(f"d{a}")), F.lit(0.0))).alias(a) for a in "xyz")))
+        cur = written(moved.select(*keys, *((F.col(a) + F.coalesce(F.when(F.isnan(f"d{a}"), 0.0).otherwise(F.col(f"d{a}")), F.lit(0.0))).alias(a) for a in "xyz")))
     behind = obs.join(cur, keys).groupBy(*keys).agg(F.max(C.is_behind(tuple(F.col(c) for c in "xyz"))).alias("behind"))
     first = start.select(*keys, *(F.col(c).alias(f"s{c}") for c in "xyz"))
     out = cur.join(behind, keys).join(first, keys)
@@ -122,7 +122,7 @@ def fit_vignetting(samples: DataFrame, keys: list[str], x: str, y: str, target:
     basis = lambda c: [math.comb(order, i) * F.pow(1 - F.col(c), F.lit(float(order - i))) * F.pow(F.col(c), F.lit(float(i))) for i in range(order + 1)]
     ones = F.array(*[F.lit(1.0)] * (order + 1))
     samples = samples.select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(target).alias("__t"))
-    cur = _materialise(samples.select(*keys).distinct().withColumn("h", ones).withColumn("v", ones))
+    cur = written(samples.select(*keys).distinct().withColumn("h", ones).withColumn("v", ones))
     kinds = ", ".join(f"`{k}` {samples.schema[k].dataType.simpleString()}" for k in keys)
 
     def solve(frames: Iterator[pd.DataFrame], name: str) -> Iterator[pd.DataFrame]:
@@ -133,10 +133,10 @@ def fit_vignetting(samples: DataFrame, keys: list[str], x: str, y: str, target:
     for _ in range(rounds):
         for own, other, at, along in (("h", "v", "__x", "__y"), ("v", "h", "__y", "__x")):
             fixed = sum((F.col(other)[i] * b for i, b in enumerate(basis(along))), F.lit(0.0))
-            rows = samples.join(F.broadcast(cur), keys)
+            rows = samples.join(small(cur), keys)
             sums = normal_sums(rows, keys, [b * fixed for b in basis(at)], [F.col("__t")])
             new = sums.select(*keys, "xx", "xy").mapInPandas(lambda it, own=own: solve(it, own), f"{kinds}, {own} array<double>")
-            cur = _materialise(new.join(cur.select(*keys, other), keys))
+            cur = written(new.join(cur.select(*keys, other), keys))
     scale = F.aggregate("h", F.lit(0.0), lambda a, b: a + b) / (order + 1)
     cur = cur.withColumn("s", scale)
     return cur.select(*keys, F.transform("h", lambda c: c / F.col("s")).alias("h"), F.transform("v", lambda c: c * F.col("s")).alias("v"))
@@ -163,7 +163,7 @@ def fit_color(patches: DataFrame, keys: list[str], illuminant: str = "D50", step
     n = 12
     kinds = ", ".join(f"`{k}` {patches.schema[k].dataType.simpleString()}" for k in keys)
     first = F.array(*map(F.lit, [0.01] * 3 + [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]))
-    cur = _materialise(patches.select(*keys).distinct().withColumn("params", first).withColumn("tried", first).withColumn("damp", F.lit(1e-2)).withColumn("best", F.lit(float("inf"))))
+    cur = written(patches.select(*keys).distinct().withColumn("params", first).withColumn("tried", first).withColumn("damp", F.lit(1e-2)).withColumn("best", F.lit(float("inf"))))
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -191,13 +191,13 @@ def fit_color(patches: DataFrame, keys: list[str], illuminant: str = "D50", step
             yield f[keys].assign(params=[o[0] for o in out], best=[o[1] for o in out], damp=[o[2] for o in out], tried=[o[3] for o in out])
 
     def sums(cur: DataFrame, name: str) -> DataFrame:
-        rows = patches.select(*keys, "r", "g", "b", "l0", "a0", "b0").join(F.broadcast(cur.select(*keys, F.col(name).alias("tried"))), keys)
+        rows = patches.select(*keys, "r", "g", "b", "l0", "a0", "b0").join(small(cur.select(*keys, F.col(name).alias("tried"))), keys)
         parts = rows.mapInPandas(partial, f"{kinds}, s array<double>").select(*keys, F.posexplode("s").alias("i", "v"))
         each = parts.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
         return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("s"))
 
     for _ in range(steps):
-        cur = _materialise(sums(cur, "tried").join(cur, keys).mapInPandas(advance, f"{kinds}, params array<double>, best double, damp double, tried array<double>"))
+        cur = written(sums(cur, "tried").join(cur, keys).mapInPandas(advance, f"{kinds}, params array<double>, best double, damp double, tried array<double>"))
     last = sums(cur, "params").select(*keys, (F.element_at("s", -2) / F.element_at("s", -1)).alias("error"))
     return cur.select(*keys, "params").join(last, keys)
 
@@ -239,5 +239,5 @@ def ransac_inliers(matches: DataFrame, threshold: float = 3.0, trials: int = 200
     hs = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(names, m[1:], strict=True))) for m in models))
     near = matches.select(F.transform(hs, lambda s: F.when(error([s[n] for n in names]) < threshold, 1).otherwise(0)).alias("near"))
     score = near.select(F.posexplode("near").alias("trial", "hit")).groupBy("trial").agg(F.sum("hit").alias("hits"))
-    best = score.join(F.broadcast(table), "trial").orderBy(F.desc("hits"), "trial").first()
+    best = score.join(small(table), "trial").orderBy(F.desc("hits"), "trial").first()
     return matches.where(error([F.lit(best[n]) for n in names]) < threshold)

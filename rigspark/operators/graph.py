@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rigspark.scratch import small, written
 
-def _materialise(df: DataFrame) -> DataFrame:
-    """Write below ``spark.checkpoint.dir`` and read back, so each round starts from a table."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rigspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Nodes up to which the table of minima is broadcast (about 16 bytes a node).
+BROADCAST_NODES = 500_000
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -26,29 +16,33 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Alternates the published large-star and small-star steps on the edge table.  A step is a
     grouped minimum and an equi join, never a pair of neighbours, so a hub with a third of all
-    edges costs its edges only; partial aggregation and skew-join splitting spread it.  Every
-    round is written out, and the loop ends when a round changes nothing.  Rows with a null end
-    are ignored; a node that only has a loop is its own component.
+    edges costs its edges only: partial aggregation spreads the minimum, and the join with the
+    table of minima, one row a node, is a broadcast up to ``BROADCAST_NODES`` nodes and beyond
+    that one whose skewed side Spark splits.  Every round is written out, and the loop ends when
+    a round changes nothing.  Rows with a null end are ignored; a node that only has a loop is its
+    own component.
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    nodes = both.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    work = _materialise(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    nodes = written(both.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    few = nodes.count() <= BROADCAST_NODES
+    spread = F.broadcast if few else lambda df: df
+    work = written(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
         # Large star: each node hands its larger neighbours to the smallest of its neighbourhood.
         around = work.union(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = around.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = around.where("v > u").join(spread(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: each node and its smaller neighbours point to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v"))
-        work = _materialise(small.where("u <> v").distinct())
+        small = large.join(spread(low), "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v"))
+        work = written(small.where("u <> v").distinct())
         now = tuple(work.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
     labels = work.groupBy("u").agg(F.min("v").alias("m"))
-    return nodes.join(labels, nodes.node == labels.u, "left").select("node", F.coalesce("m", "node").alias("component"))
+    return nodes.join(spread(labels), nodes.node == labels.u, "left").select("node", F.coalesce("m", "node").alias("component"))
 
 
 def singleton_traces(matches: DataFrame) -> DataFrame:
@@ -66,4 +60,4 @@ def trace_members(matches: DataFrame) -> DataFrame:
 def trace_observations(members: DataFrame, keypoints: DataFrame, cameras: DataFrame, camera_of) -> DataFrame:
     """Members with their keypoint's place and their image's camera."""
     rows = members.join(keypoints, ["image", "kp_idx"]).withColumn("id", camera_of)
-    return rows.join(F.broadcast(cameras), "id")
+    return rows.join(small(cameras), "id")

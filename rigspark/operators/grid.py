@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rigspark.functions.scalars import lerp
+from rigspark.scratch import small
 
 
 def _axis(keys: list[str], line: str, pos: str) -> Window:
@@ -259,7 +260,7 @@ def stack(df: DataFrame, group: list[str], order: str, sizes: DataFrame, axis: s
     """
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     at = sizes.withColumn("__at", F.coalesce(F.sum("size").over(w), F.lit(0))).drop("size")
-    return df.join(F.broadcast(at), [*group, order]).withColumn(axis, F.col(axis) + F.col("__at")).drop("__at", order)
+    return df.join(small(at), [*group, order]).withColumn(axis, F.col(axis) + F.col("__at")).drop("__at", order)
 
 
 #: Place (row, column) of each face in the video layout, and order in the photo one.

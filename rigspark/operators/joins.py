@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a side up to which it is broadcast (cameras, charts, tables).
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose row count is checked to be within the bound."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+from rigspark.scratch import small
 
 
 def with_camera(df: DataFrame, cameras: DataFrame, key: str = "id") -> DataFrame:
@@ -133,7 +127,7 @@ def search_box_candidates(grid: DataFrame, src: DataFrame, keys: list[str], hint
 
 
 def with_reference(patches: DataFrame, reference: DataFrame, illuminant: str, on: str = "patch") -> DataFrame:
-    return patches.join(F.broadcast(reference.where(F.col("illuminant") == illuminant)), on)
+    return patches.join(small(reference.where(F.col("illuminant") == illuminant)), on)
 
 
 def with_isp_config(frames: DataFrame, isp: DataFrame, key: str = "serial") -> DataFrame:

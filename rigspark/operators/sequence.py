@@ -73,9 +73,11 @@ def frame_range(headers: DataFrame, first: str, last: str, start: int, count: in
 
 
 def line_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Distance of a point to the line through a and b."""
+    """Distance of a point to the line through a and b; where these are one point, to that point."""
     cross = (bx - ax) * (ay - py) - (ax - px) * (by - ay)
-    return F.abs(cross) / F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+    length = F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+    away = F.sqrt((px - ax) * (px - ax) + (py - ay) * (py - ay))
+    return F.coalesce(F.abs(cross) / F.nullif(length, F.lit(0.0)), away)
 
 
 def raster_order(points: DataFrame, keys: list[str], k: int, x: str = "x", y: str = "y") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from rigspark.scratch import small
 
 
 def floor_percentile(df: DataFrame, keys: list[str], v: str, ps: list[float]) -> DataFrame:
@@ -66,7 +67,7 @@ def gray_response(patches: DataFrame, keys: list[str], level: str, v: str) -> Da
 
 def color_error(patches: DataFrame, reference: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
     """Distance in Lab to the reference for each patch, and its mean over the keys."""
-    p, r = patches.alias("p"), F.broadcast(reference).alias("r")
+    p, r = patches.alias("p"), small(reference).alias("r")
     d = sum(((F.col(f"p.{c}") - F.col(f"r.{c}")) * (F.col(f"p.{c}") - F.col(f"r.{c}")) for c in ("l", "a", "b")), F.lit(0.0))
     rows = p.join(r, on).withColumn("error", F.sqrt(d))
     return rows.select(*dict.fromkeys([*keys, *on]), "error").withColumn("mean_error", F.avg("error").over(Window.partitionBy(*keys)))

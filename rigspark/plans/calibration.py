@@ -15,8 +15,8 @@ from rigspark.functions.scalars import black_level
 from rigspark.operators import fit as FT
 from rigspark.operators import grid as GD
 from rigspark.operators import stats as D
-from rigspark.operators.graph import _materialise, singleton_traces, trace_members
-from rigspark.operators.joins import small
+from rigspark.operators.graph import singleton_traces, trace_members
+from rigspark.scratch import small, written
 
 CAMERA_COLUMNS = [f.split()[0] for f in RIG_SCHEMA.split(", ")]
 
@@ -86,13 +86,13 @@ def rig_rmse(a: DataFrame, b: DataFrame) -> DataFrame:
     def sq(col: str, n: int) -> Column:
         return sum(((F.col(f"a.{col}")[i] - F.col(f"b.{col}")[i]) ** 2 for i in range(n)), F.lit(0.0))
 
-    rows = a.alias("a").join(F.broadcast(b).alias("b"), "id")
+    rows = a.alias("a").join(small(b).alias("b"), "id")
     sizes = {"origin": 3, "forward": 3, "up": 3, "right": 3, "principal": 2, "distortion": 2, "focal": 2}
     one = rows.agg(*(F.sqrt(F.avg(sq(c, n))).alias(c) for c, n in sizes.items()))
     axis = lambda df, n: df.select(F.col("id").alias(n), F.col("forward").alias(f"f{n}"))
     angle = lambda p: F.acos(F.least(F.greatest(C.dot(tuple(F.col(f"{p}.fi")[k] for k in range(3)), tuple(F.col(f"{p}.fj")[k] for k in range(3))), F.lit(-1.0)), F.lit(1.0)))
-    pairs = [axis(r, "i").join(F.broadcast(axis(r, "j")), F.col("i") < F.col("j")) for r in (a, b)]
-    both = pairs[0].alias("p").join(F.broadcast(pairs[1]).alias("q"), ["i", "j"]).where(angle("p") < 1)
+    pairs = [axis(r, "i").join(small(axis(r, "j")), F.col("i") < F.col("j")) for r in (a, b)]
+    both = pairs[0].alias("p").join(small(pairs[1]).alias("q"), ["i", "j"]).where(angle("p") < 1)
     return one.crossJoin(both.agg(F.sqrt(F.avg((angle("p") - angle("q")) ** 2)).alias("angles")))
 
 
@@ -104,7 +104,7 @@ def match_report(matches: DataFrame, keypoints: DataFrame, cameras: DataFrame, p
         obs = obs.join(kp, [f"image{side}", f"idx{side}"])
     pairs = overlap_fraction(cameras).where(F.col("overlap") >= least)
     obs = obs.withColumn("first", camera_of("image0")).withColumn("second", camera_of("image1"))
-    return obs.join(F.broadcast(pairs), ["first", "second"])
+    return obs.join(small(pairs), ["first", "second"])
 
 
 def _residual_blocks(rows: pa.Table, free: list[str], size: int, lam: float) -> pa.Table:
@@ -160,7 +160,7 @@ def bundle_adjust(obs: DataFrame, cameras: DataFrame, points: DataFrame, key: st
     free = free or ["r0", "r1", "r2"]
     rig = {r.ordinal: r.asDict() for r in cameras.collect()}  # a rig: tens of cameras
     order = sorted(rig)
-    points, lam = _materialise(points.select(key, "x", "y", "z")), 1e-4
+    points, lam = written(points.select(key, "x", "y", "z")), 1e-4
 
     def frame(rig: dict) -> DataFrame:
         return F.broadcast(spark.createDataFrame([tuple(rig[o][c] for c in CAMERA_COLUMNS) for o in order], RIG_SCHEMA))
@@ -220,7 +220,7 @@ def bundle_adjust(obs: DataFrame, cameras: DataFrame, points: DataFrame, key: st
         moved = FT.triangulate(obs.join(frame(new), "id"), [key], points, steps=3)
         then = cost(new, moved)
         if then < now:
-            rig, points, now, lam = new, _materialise(moved), then, lam / 10
+            rig, points, now, lam = new, written(moved), then, lam / 10
         else:
             lam *= 10
     return spark.createDataFrame([tuple(rig[o][c] for c in CAMERA_COLUMNS) for o in order], RIG_SCHEMA), points
@@ -238,7 +238,7 @@ def calibrate_geometry(matches: DataFrame, keypoints: DataFrame, cameras: DataFr
 
     def members_obs(members: DataFrame, rig: DataFrame) -> DataFrame:
         kp = keypoints.select("image", "kp_idx", F.col("x").alias("px"), F.col("y").alias("py"))
-        return members.join(kp, ["image", "kp_idx"]).withColumn("id", camera("image")).join(F.broadcast(rig), "id")
+        return members.join(kp, ["image", "kp_idx"]).withColumn("id", camera("image")).join(small(rig), "id")
 
     def start(obs: DataFrame) -> DataFrame:
         ray = C.unproject(F.col("px"), F.col("py"))
@@ -247,19 +247,19 @@ def calibrate_geometry(matches: DataFrame, keypoints: DataFrame, cameras: DataFr
 
     def rejected(kept: DataFrame, members: DataFrame, rig: DataFrame) -> DataFrame:
         """Matches whose pixel error is within the factor of their camera pair's median."""
-        obs = _materialise(members_obs(members, rig))
+        obs = written(members_obs(members, rig))
         err = FT.reprojection_error(obs, FT.triangulate(obs, ["trace_id"], start(obs)), ["trace_id"]).select("trace_id", "image", "kp_idx", "error")
         side = lambda i: err.select(F.col("image").alias(f"image{i}"), F.col("kp_idx").alias(f"idx{i}"), F.col("error").alias(f"e{i}"), F.col("trace_id").alias(f"t{i}"))
         both = kept.join(side(0), ["image0", "idx0"]).join(side(1), ["image1", "idx1"]).where("t0 = t1")
         both = both.withColumn("error", F.sqrt((F.col("e0") ** 2 + F.col("e1") ** 2) / 2)).withColumn("pair", F.concat_ws("|", camera("image0"), camera("image1")))
-        return _materialise(D.reject_outliers(both, ["pair"], "error", factor).select("image0", "idx0", "image1", "idx1").distinct())
+        return written(D.reject_outliers(both, ["pair"], "error", factor).select("image0", "idx0", "image1", "idx1").distinct())
 
     for _ in range(passes):
         single = singleton_traces(matches).withColumn("trace_id", F.to_json("trace"))
         ends = F.explode(F.array(F.struct(F.col("image0").alias("image"), F.col("idx0").alias("kp_idx")), F.struct(F.col("image1").alias("image"), F.col("idx1").alias("kp_idx"))))
         kept = rejected(matches, single.select("trace_id", ends.alias("m")).select("trace_id", "m.*"), rig)
         kept = rejected(kept, trace_members(kept), rig)
-        obs = _materialise(members_obs(trace_members(kept), rig))
+        obs = written(members_obs(trace_members(kept), rig))
         points = FT.triangulate(obs, ["trace_id"], start(obs))
         rig, points = bundle_adjust(obs.select("trace_id", "id", "px", "py"), rig, points)
     return rig, points
@@ -288,11 +288,11 @@ def black_hole_level(pixels: DataFrame, keys: list[str], bins: int = 256, share:
     total = pixels.groupBy(*keys).count()
     need = int((total.agg(F.min("count")).first()[0] or 0) * share)
     limit = D.cumulative_threshold(D.histogram(pixels, keys, "v", bins, 0.0, 1.0), keys, need, 0)
-    dark = pixels.join(F.broadcast(limit.withColumnRenamed("bin", "__bin")), keys).withColumn("mask", F.when(F.col("v") * bins <= F.col("__bin") + 1, 1).otherwise(0))
+    dark = pixels.join(small(limit.withColumnRenamed("bin", "__bin")), keys).withColumn("mask", F.when(F.col("v") * bins <= F.col("__bin") + 1, 1).otherwise(0))
     labels = GD.label_grid(dark, keys)
     blobs = D.filter_round(D.component_stats(labels, [*keys, "label"]), least)
     best = D.best_by(blobs, keys, F.col("area"), ["label"])
-    cells = labels.join(F.broadcast(best.select(*keys, "label")), [*keys, "label"])
+    cells = labels.join(small(best.select(*keys, "label")), [*keys, "label"])
     return D.patch_medians(pixels, cells.select(*keys, "y", "x"), [*keys, "y", "x"], keys, "v").withColumnRenamed("value", "black_level")
 
 
@@ -337,5 +337,5 @@ def calibrate_vignetting(samples: DataFrame, keys: list[str], black: float = 0.0
     """Vignetting curves per camera and channel from ``(keys, ch, x, y, v)``; x and y in [0, 1]."""
     rows = samples.withColumn("v", black_level(F.col("v"), black))
     top = rows.groupBy(*keys, "ch").agg(F.max("v").alias("__top"))
-    rows = rows.join(F.broadcast(top), [*keys, "ch"]).withColumn("t", F.col("__top") / F.col("v"))
+    rows = rows.join(small(top), [*keys, "ch"]).withColumn("t", F.col("__top") / F.col("v"))
     return FT.fit_vignetting(rows, [*keys, "ch"], "x", "y", "t", rounds=rounds)

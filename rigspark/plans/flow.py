@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rigspark.operators import grid as GD
 from rigspark.operators.joins import gather
-from rigspark.operators.graph import _materialise
+from rigspark.scratch import written
 
 #: Weights of the error, step and difference of the refinement.
 SMOOTH, VERTICAL, HORIZONTAL, STEP, PROBE = 0.001, 0.01, 0.01, 0.5, 0.001
@@ -41,19 +41,19 @@ def refine_flow(flow: DataFrame, a: DataFrame, b: DataFrame, keys: list[str], ro
         for name, w in (("p", wx), ("q", wy)):
             for c in ("fx", "fy"):
                 cur = cur.withColumn(f"{name}{c}", F.coalesce(near(c).over(w), F.col(c)))
-        cur = _materialise(cur)
+        cur = written(cur)
         base = cur
         trials = [("fx", "fy", "e0"), ("pfx", "pfy", "e1"), ("qfx", "qfy", "e2")]
         for x, y, name in trials:
             base = _error(base, ga, gb, keys, rows, cols, F.col(x), F.col(y), name)
         best = F.array_min(F.array(*(F.struct(F.col(n).alias("e"), F.lit(i).alias("i"), F.col(x).alias("fx"), F.col(y).alias("fy")) for i, (x, y, n) in enumerate(trials))))
-        base = _materialise(base.withColumn("b", best).select(*keys, "y", "x", "mx", "my", F.col("b.fx").alias("fx"), F.col("b.fy").alias("fy"), F.col("b.e").alias("e0")))
+        base = written(base.withColumn("b", best).select(*keys, "y", "x", "mx", "my", F.col("b.fx").alias("fx"), F.col("b.fy").alias("fy"), F.col("b.e").alias("e0")))
         probe = _error(base, ga, gb, keys, rows, cols, F.col("fx") + PROBE, F.col("fy"), "ex")
         probe = _error(probe, ga, gb, keys, rows, cols, F.col("fx"), F.col("fy") + PROBE, "ey")
         probe = probe.withColumn("tx", F.col("fx") - STEP * (F.col("ex") - F.col("e0")) / PROBE).withColumn("ty", F.col("fy") - STEP * (F.col("ey") - F.col("e0")) / PROBE)
         probe = _error(probe, ga, gb, keys, rows, cols, F.col("tx"), F.col("ty"), "et")
         better = F.col("et") < F.col("e0")
-        flow = _materialise(probe.select(*keys, "y", "x", F.when(better, F.col("tx")).otherwise(F.col("fx")).alias("fx"), F.when(better, F.col("ty")).otherwise(F.col("fy")).alias("fy")))
+        flow = written(probe.select(*keys, "y", "x", F.when(better, F.col("tx")).otherwise(F.col("fx")).alias("fx"), F.when(better, F.col("ty")).otherwise(F.col("fy")).alias("fy")))
     return flow
 
 

@@ -11,6 +11,7 @@ from rigspark.functions import camera as C
 from rigspark.functions.scalars import _c, lerp, ramp
 from rigspark.operators import grid as GD
 from rigspark.operators.joins import gather, ring_pairs
+from rigspark.scratch import small
 
 Num = Column | float | str
 
@@ -90,7 +91,7 @@ def pair_flow(images: DataFrame, ring: str, hint: str = "right", percent: float
     from rigspark.plans.flow import dense_flow
 
     pairs = ring_pairs(images.select(ring).distinct().withColumn("__all", F.lit(1)), ["__all"], ring).select(F.col("i").alias(ring), F.col("j"))
-    pairs = F.broadcast(pairs)
+    pairs = small(pairs)
     a = images.join(pairs, ring).select(F.col(ring).alias("pair_id"), "y", "x", "v")
     b = images.withColumnRenamed(ring, "j").join(pairs, "j").select(F.col(ring).alias("pair_id"), "y", "x", "v")
     return dense_flow(a, b, ["pair_id"], rows, cols, hint, percent)
@@ -229,12 +230,12 @@ def preview(frames: DataFrame, cameras: DataFrame, serials: list[int], size: tup
     from rigspark.operators.sequence import assign_ordinals
     from rigspark.operators.stats import flatten_softmax
 
-    order = F.broadcast(assign_ordinals(frames, "serial"))
+    order = small(assign_ordinals(frames, "serial"))
     half = frames.where(F.col("serial").isin(serials)).groupBy("serial", F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(F.pow(F.avg("v") / 65535, F.lit(gamma)).alias("v"))
-    half = half.join(order, "serial").join(F.broadcast(cameras.select("ordinal", "id")), "ordinal").select("id", "y", "x", "v")
+    half = half.join(order, "serial").join(small(cameras.select("ordinal", "id")), "ordinal").select("id", "y", "x", "v")
     scaled = cameras.withColumns(C.rescale_camera(0.5))
     eq = cameras.sparkSession.range(rows * cols).select(F.floor(F.col("id") / cols).alias("dy"), (F.col("id") % cols).alias("dx"))
-    cells = eq.crossJoin(F.broadcast(scaled.join(F.broadcast(half.select("id").distinct()), "id", "left_semi")))
+    cells = eq.crossJoin(small(scaled.join(small(half.select("id").distinct()), "id", "left_semi")))
     d = C.equirect_direction(F.col("dx"), F.col("dy"), cols, rows)
     p = tuple(C.NEAR_INFINITY * c for c in d)
     u, v = C.project(p)

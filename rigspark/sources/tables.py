@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from rigspark.scratch import small
 
 _CAMERA = "struct<version:int,type:string,id:string,group:string,origin:array<double>,forward:array<double>,up:array<double>,right:array<double>,resolution:array<double>,principal:array<double>,focal:array<double>,distortion:array<double>,fov:double>"
 
@@ -86,7 +87,7 @@ def read_matches(spark: SparkSession, path: str, cameras: DataFrame | None = Non
     kp = raw.select(F.explode("images").alias("image", "k")).select("image", F.posexplode("k").alias("kp_idx", "k")).select("image", "kp_idx", "k.*")
     m = raw.select(F.explode("all_matches").alias("m")).select(F.col("m.image1").alias("image0"), F.col("m.image2").alias("image1"), F.explode("m.matches").alias("p")).select("image0", F.col("p.idx1").alias("idx0"), "image1", F.col("p.idx2").alias("idx1"))
     if cameras is not None:
-        known = F.broadcast(cameras.select(F.col("id").alias("__id")))
+        known = small(cameras.select(F.col("id").alias("__id")))
         camera = lambda c: F.element_at(F.split(c, "/"), -2)
         kp = kp.join(known, camera("image") == F.col("__id"), "left_semi")
         for c in ("image0", "image1"):
@@ -125,7 +126,7 @@ def features_to_matches(images: DataFrame, keypoints: DataFrame, matches: DataFr
                 a = np.frombuffer(bytes(data), "<u4").reshape(-1, 2).astype(np.int64)
                 yield pd.DataFrame({"pair_id": pair, "idx0": a[:, 0], "idx1": a[:, 1]})
 
-    names = F.broadcast(images.select("image_id", "name"))
+    names = small(images.select("image_id", "name"))
     kp = keypoints.where("data is not null").mapInPandas(points, "image_id long, kp_idx int, x double, y double, scale double, orientation double").join(names, "image_id").drop("image_id").withColumnRenamed("name", "image")
     m = matches.where("data is not null").mapInPandas(pairs, "pair_id long, idx0 long, idx1 long")
     i, j = split_pair_id(F.col("pair_id"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PACKET_SCHEMA = "serial long, counter long, ts timestamp, kind string, value double"
 
@@ -17,55 +17,33 @@ def stream_frames(spark: SparkSession, path: str, schema: str = PACKET_SCHEMA, f
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-class _Gaps(StatefulProcessor):
-    """The last counter of each camera."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "counter long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for c in sorted(pd.concat(list(rows))["counter"]):
-            if last is not None and c - last > 1:
-                out.append((int(key[0]), int(c), int(last), int(c - last - 1)))
-            if last is None or c > last:
-                last = int(c)
-        self.last.update((last,))
-        yield pd.DataFrame(out, columns=["serial", "counter", "previous", "lost"]).astype("int64")
-
-    def close(self) -> None:
-        pass
+def _gaps(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The state: the last counter of a camera."""
+    last, out = state.get[0] if state.exists else None, []
+    for c in sorted(pd.concat(list(rows))["counter"]):
+        if last is not None and c - last > 1:
+            out.append((int(key[0]), int(c), int(last), int(c - last - 1)))
+        if last is None or c > last:
+            last = int(c)
+    state.update((last,))
+    yield pd.DataFrame(out, columns=["serial", "counter", "previous", "lost"]).astype("int64")
 
 
 def stream_gaps(df: DataFrame) -> DataFrame:
     """Lost frames of each camera.  Files must arrive in order per camera; within a batch rows are sorted."""
-    return df.groupBy("serial").transformWithStateInPandas(_Gaps(), "serial long, counter long, previous long, lost long", "Append", "None")
-
-
-class _Decimate(StatefulProcessor):
-    """How many rows of each camera came so far."""
-
-    def __init__(self, n: int) -> None:
-        self.n = n
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        seen = self.seen.get()[0] if self.seen.exists() else 0
-        df = pd.concat(list(rows)).sort_values("counter")
-        nth = range(seen + 1, seen + len(df) + 1)
-        self.seen.update((seen + len(df),))
-        yield df[[i % self.n == 0 for i in nth]][["serial", "counter"]]
-
-    def close(self) -> None:
-        pass
+    return df.groupBy("serial").applyInPandasWithState(_gaps, "serial long, counter long, previous long, lost long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_decimate(df: DataFrame, n: int) -> DataFrame:
     """Every n-th packet of each camera."""
-    return df.groupBy("serial").transformWithStateInPandas(_Decimate(n), "serial long, counter long", "Append", "None")
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The state: how many rows of a camera came so far."""
+        seen = state.get[0] if state.exists else 0
+        df = pd.concat(list(rows)).sort_values("counter")
+        state.update((seen + len(df),))
+        yield df[[i % n == 0 for i in range(seen + 1, seen + len(df) + 1)]][["serial", "counter"]]
+
+    return df.groupBy("serial").applyInPandasWithState(step, "serial long, counter long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_sets(df: DataFrame, frames: int, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
@@ -84,34 +62,28 @@ def stream_histogram(df: DataFrame, serial: int, sink: str, bins: int, lo: float
     return df.writeStream.foreachBatch(write)
 
 
-class _Blend(StatefulProcessor):
-    """The blended value of each camera's last frame."""
-
-    def __init__(self, motion: float, ttl_ms: int) -> None:
-        self.motion, self.ttl = motion, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.field = handle.getValueState("field", "v double", self.ttl)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last = self.field.get()[0] if self.field.exists() else None
-        out = []
-        for r in pd.concat(list(rows)).sort_values("counter").itertuples():
-            last = r.value if last is None else r.value * self.motion + last * (1 - self.motion)
-            out.append((int(key[0]), int(r.counter), float(last)))
-        self.field.update((last,))
-        yield pd.DataFrame(out, columns=["serial", "counter", "value"])
+def stream_temporal_blend(df: DataFrame, motion: float, ttl_ms: int | None = 3_600_000) -> DataFrame:
+    """Each value drawn to the last blended one of its camera: ``value * motion + last * (1 - motion)``.
 
-    def close(self) -> None:
-        pass
-
-
-def stream_temporal_blend(df: DataFrame, motion: float, ttl_ms: int = 3_600_000) -> DataFrame:
-    """Each value drawn to the last blended one of its camera; old state is dropped.
-
-    Stateful operators with a time to live run in processing time.
+    The state of a camera that sends nothing for ``ttl_ms`` is dropped, in processing time; for
+    this Spark runs batches without data on and on, so a run over what is there (``availableNow``)
+    ends only with None, which keeps all state.
     """
-    return df.groupBy("serial").transformWithStateInPandas(_Blend(motion, ttl_ms), "serial long, counter long, value double", "Append", "ProcessingTime")
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        df = pd.concat(list(rows)).sort_values("counter")
+        last, out = state.get[0] if state.exists else None, []
+        for v in df["value"].tolist():
+            last = v if last is None else v * motion + last * (1 - motion)
+            out.append(last)
+        state.update((last,))
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
+        yield df[["serial", "counter"]].assign(value=out)
+
+    return df.groupBy("serial").applyInPandasWithState(step, "serial long, counter long, value double", "v double", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def write_footage_stream(df: DataFrame, path: str, checkpoint: str, shards: int, camera: str = "serial"):
