@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,26 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, the one that driver and executors share.
+from rigspark.scratch import scratch_dir, written  # noqa: F401  (shared with the other operators)
 
-    Only where the setting is missing (local tests) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rigspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/rigspark-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

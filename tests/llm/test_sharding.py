@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from rigspark.llm.sharding import interleave, shard_report
 
 
@@ -49,3 +51,31 @@ def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = shard_report(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def brute_places(rows, shards):
+    """Shard and slot by the docstring's law; ``rows``: (row, source, hash, id), ids without null."""
+    by, n = {}, len(rows)
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    order = []
+    for source, own in by.items():
+        own.sort(key=lambda r: ((r[2] % (1 << 64)) >> 11, r[2], r[3]))
+        order += [((k + 0.5) / len(own), source is None, (source or "").encode(), r[2], r[3], r[0]) for k, r in enumerate(own)]
+    out, taken = {}, {}
+    for place, (*_, row) in enumerate(sorted(order)):
+        shard = place * shards // n
+        out[row] = shard, taken.setdefault(shard, 0)
+        taken[shard] += 1
+    return out
+
+
+def test_order_matches_a_plain_version(spark, monkeypatch):
+    import rigspark.llm.sharding as module
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hashed = docs.select("doc_id", "source", F.xxhash64(F.lit(4), "doc_id", F.xxhash64("text")).alias("h")).collect()
+    want = brute_places([(r.doc_id, r.source, r.h, r.doc_id) for r in hashed], 24)
+    for ranges in (8192, 50):
+        monkeypatch.setattr(module, "RANGE_ROWS", ranges)
+        assert {r.doc_id: (r["shard"], r.slot) for r in module.shard_report(docs, 24).collect()} == want
