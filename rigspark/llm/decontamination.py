@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -21,6 +22,29 @@ PIECE_WINDOWS = 4096
 BLOCK = 2
 
 
+class Places:
+    """Places of values in a sorted array of distinct ones, -1 for others.
+
+    A bit table, a few bytes a value, turns down most of what is not there before the binary search.
+    """
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        self.right = np.uint64(64 - min(24, max(10, math.ceil(math.log2(8 * len(values))))))
+        self.there = np.zeros(1 << (64 - int(self.right)), bool)
+        self.there[self.slots(values)] = True
+
+    def slots(self, values: np.ndarray) -> np.ndarray:
+        return ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.right).astype(np.int64)
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out = np.full(len(values), -1, np.int64)
+        some = np.flatnonzero(self.there[self.slots(values)])
+        at = np.minimum(np.searchsorted(self.values, values[some]), len(self.values) - 1)
+        out[some] = np.where(self.values[at] == values[some], at, -1)
+        return out
+
+
 class Searcher:
     """Wu-Manber over words: the windows of ``least`` words of pieces of text, given as word hashes.
 
@@ -72,23 +96,32 @@ class Searcher:
             out = mix(out + ids[starts + k].astype(np.uint64) + np.uint64(1))
         return out
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 1, 0)
+    @functools.cached_property
+    def places(self) -> tuple[Places, Places, Places]:
+        """Places of the words, the blocks and the windows' hashes, made where they are used."""
+        return Places(self.words), Places(self.blocks), Places(np.unique(self.own))
 
     def search(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """Text, first word and owners of every occurrence, for consecutive texts with these bounds."""
         least, back = self.least, self.least - self.block
         if len(hashes) < least:
             return
-        ids = self.numbers(hashes)
+        words, blocks, windows = self.places
+        ids = words.of(hashes) + 1
         keys = self.keys(ids)
-        at = np.minimum(np.searchsorted(self.blocks, keys), len(self.blocks) - 1)
-        shift = np.where(self.blocks[at] == keys, self.shift[at], back + 1)
-        # Texts without a block that ends a window hold none.
-        ends = np.flatnonzero(shift == 0)
-        some = np.searchsorted(ends, bounds[:-1]) < np.searchsorted(ends, bounds[1:])
-        for text in np.flatnonzero(some & (np.diff(bounds) >= least)):
+        shift = np.full(len(keys), back + 1)
+        # A block with a word that no piece has is none of theirs.
+        known = np.flatnonzero(ids > 0 if self.block == 1 else (ids[:-1] > 0) & (ids[1:] > 0))
+        at = blocks.of(keys[known])
+        shift[known[at >= 0]] = self.shift[at[at >= 0]]
+        # Texts are scanned only if, where a block may end a window, the words before it have the
+        # hash of one; all others hold none.
+        begins = np.flatnonzero(shift == 0) - back
+        begins = begins[begins >= 0]
+        owner = np.searchsorted(bounds, begins, "right") - 1
+        inside = begins + least <= bounds[owner + 1]
+        begins, owner = begins[inside], owner[inside]
+        for text in np.unique(owner[windows.of(self.window_hash(ids, begins)) >= 0]):
             low, high = int(bounds[text]), int(bounds[text + 1])
             step, at = shift[low : high - self.block + 1].tolist(), back
             while at < len(step):
