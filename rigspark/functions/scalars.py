@@ -66,8 +66,10 @@ def unpack12(b0: Num, b1: Num, b2: Num) -> tuple[Column, Column]:
 BAYER = {"RGGB": (0, 1, 1, 2), "GRBG": (1, 0, 2, 1), "GBRG": (1, 2, 0, 1), "BGGR": (2, 1, 1, 0)}
 
 
-def bayer_channel(y: Num, x: Num, pattern: str = "GBRG") -> Column:
-    """0 red, 1 green, 2 blue at a pixel of the mosaic."""
+def bayer_channel(y: Num, x: Num, pattern: str | Column = "GBRG") -> Column:
+    """0 red, 1 green, 2 blue at a pixel of the mosaic; the pattern may differ by row."""
+    if isinstance(pattern, Column):
+        return F.coalesce(*(F.when(pattern == p, bayer_channel(y, x, p)) for p in BAYER))
     at = BAYER[pattern]
     even = F.when(_c(x) % 2 == 0, at[0]).otherwise(at[1])
     odd = F.when(_c(x) % 2 == 0, at[2]).otherwise(at[3])
@@ -113,6 +115,16 @@ def piecewise_linear(v: Num, points: list[tuple[float, float]]) -> Column:
     raise ValueError("a curve needs two points")
 
 
+def piecewise_curve(v: Num, points: Num | str) -> Column:
+    """``piecewise_linear`` with the points ``array<array<double>>`` (x, y, ...) of each row."""
+    v, points = _c(v), _c(points)
+    last = F.size(points) - 1
+    # The segment that begins at the last point not above the value, the outer ones continued.
+    i = F.greatest(F.least(F.size(F.filter(points, lambda p: p[0] <= v)), last), F.lit(1))
+    a, b = F.element_at(points, i), F.element_at(points, i + 1)
+    return a[1] + (v - a[0]) * ((b[1] - a[1]) / (b[0] - a[0]))
+
+
 # Color.
 #: Color transforms, row by row.
 RGB_TO_YUV = ((0.299, 0.587, 0.114), (-0.14713, -0.28886, 0.436), (0.615, -0.51499, -0.10001))
@@ -252,15 +264,18 @@ def lut_bin(x: Num, n: int, lo: float, hi: float) -> Column:
     return clamp(((_c(x) - lo) / (hi - lo) * (n - 1)).cast("int"), 0, n - 1)
 
 
+def tone(x: Num, gamma: Num = 1.0, low_key: Num = 0.0, high_key: Num = 0.0, contrast: Num = 1.0) -> Column:
+    """Tone of a value in [0, 1]: gamma, Bezier boosts of the dark and the bright half, contrast."""
+    x, slope = F.pow(_c(x), _c(gamma)), F.tan(_c(contrast) * (math.pi / 4))
+    low = bezier([0.0, clamp(_c(low_key) + 0.1666, 0.0, 1.0), 0.3333, 0.5], 2 * x)
+    high = bezier([0.5, 0.6666, clamp(_c(high_key) + 0.8333, 0.0, 1.0), 1.0], 2 * (x - 0.5))
+    return clamp(slope * F.when(x <= 0.5, low).otherwise(high) + 0.5 * (1 - slope), 0.0, 1.0)
+
+
 def tone_curve(spark: SparkSession, gamma: float = 1.0, low_key: float = 0.0, high_key: float = 0.0, contrast: float = 1.0, out_bits: int = 8, bins: int = 4096) -> DataFrame:
     """``(bin, v)``: gamma, low and high key Bezier boost, contrast, scaled to the output range."""
-    top, slope = 2.0**out_bits - 1, math.tan(math.pi / 4 * contrast)
-    x = F.pow(F.col("id") / float(bins - 1), F.lit(gamma))
-    between = lambda v: min(max(v, 0.0), 1.0)
-    low = bezier([0.0, between(0.1666 + low_key), 0.3333, 0.5], 2 * x)
-    high = bezier([0.5, 0.6666, between(0.8333 + high_key), 1.0], 2 * (x - 0.5))
-    v = F.when(x <= 0.5, low).otherwise(high)
-    return spark.range(bins).select(F.col("id").alias("bin"), clamp((slope * v + 0.5 * (1 - slope)) * top, 0.0, top).alias("v"))
+    v = tone(F.col("id") / float(bins - 1), gamma, low_key, high_key, contrast)
+    return spark.range(bins).select(F.col("id").alias("bin"), (v * (2.0**out_bits - 1)).alias("v"))
 
 
 # Vectors and names.

@@ -126,10 +126,14 @@ def sharpen(df: DataFrame, lp: DataFrame, on: list[str], amount: float, core: fl
     return rows.withColumn(v, F.least(F.greatest(F.col("lp") + hp * (1 - F.exp(-hp * hp * core)) * amount, F.lit(limit[0])), F.lit(limit[1]))).drop("lp")
 
 
-def neighbours(df: DataFrame, keys: list[str], r: int, v: str = "v", step: int = 1) -> DataFrame:
-    """Each cell with the cells of its square that exist: ``(*keys, y, x, nv)``."""
-    off = F.explode(F.sequence(F.lit(-r), F.lit(r), F.lit(step)))
-    moved = df.select(*keys, F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(v).alias("nv")).withColumn("__dy", off).withColumn("__dx", off)
+def neighbours(df: DataFrame, keys: list[str], r: int | Column, v: str = "v", step: int = 1) -> DataFrame:
+    """Each cell with the cells of its square that exist: ``(*keys, y, x, nv)``.
+
+    The radius may be a column, the same for all cells of a key.
+    """
+    r = r if isinstance(r, Column) else F.lit(r)
+    off = F.explode(F.sequence(-F.col("__r"), F.col("__r"), F.lit(step)))
+    moved = df.select(*keys, F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(v).alias("nv"), r.alias("__r")).withColumn("__dy", off).withColumn("__dx", off)
     moved = moved.select(*keys, (F.col("ny") - F.col("__dy")).alias("y"), (F.col("nx") - F.col("__dx")).alias("x"), "nv")
     return moved.join(df.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
 
@@ -140,10 +144,11 @@ def median_filter(df: DataFrame, keys: list[str], r: int = 2, v: str = "v") -> D
     return got.select(*keys, "y", "x", F.element_at("a", (F.floor(F.size("a") / 2) + 1).cast("int")).alias(v))
 
 
-def repair_stuck(df: DataFrame, keys: list[str], threshold: int = 1, darkness: float = 0.2, r: int = 2, v: str = "v") -> DataFrame:
+def repair_stuck(df: DataFrame, keys: list[str], threshold: int | Column = 1, darkness: float | Column = 0.2, r: int | Column = 2, v: str = "v") -> DataFrame:
     """Pixels among the top ``threshold`` of a dark same-color neighbourhood become its median.
 
-    Cells two apart share their color in the mosaic.
+    Cells two apart share their color in the mosaic.  The settings may be columns, so that each
+    key has its own.
     """
     near = neighbours(df, keys, r, v, step=2).groupBy(*keys, "y", "x").agg(F.sort_array(F.collect_list("nv")).alias("a"), F.avg("nv").alias("m"))
     rows = df.join(near, [*keys, "y", "x"])
@@ -152,7 +157,7 @@ def repair_stuck(df: DataFrame, keys: list[str], threshold: int = 1, darkness: f
     return rows.withColumn(v, F.when((F.col("m") < darkness) & (rank < threshold), median).otherwise(F.col(v))).drop("a", "m")
 
 
-def demosaic_bilinear(df: DataFrame, keys: list[str], pattern: str = "GBRG", v: str = "v") -> DataFrame:
+def demosaic_bilinear(df: DataFrame, keys: list[str], pattern: str | Column = "GBRG", v: str = "v") -> DataFrame:
     """Red, green and blue of each mosaic cell: the mean of that color's cells in the 3 x 3 square.
 
     Own values stay; cells at the border use the neighbours they have.
