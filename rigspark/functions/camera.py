@@ -44,12 +44,14 @@ def undistort(r: Column, steps: int = 10, probe: float = 1e-6) -> Column:
 
 
 def project(point: tuple[Column, Column, Column]) -> tuple[Column, Column]:
-    """Pixel of a world point.  A point on the axis falls on the principal point."""
+    """Pixel of a world point.  A point on the axis falls on the principal point; one exactly
+    beside a flat camera has no image: null."""
     x, y, z = in_camera(point)
     n = F.sqrt(x * x + y * y)
     fisheye = F.when(n == 0, 0.0).otherwise(distort(F.atan2(n, -z)) / n)
-    q2 = (x * x + y * y) / (z * z)
-    flat = (1 + q2 * (F.col("distortion")[0] + q2 * F.col("distortion")[1])) / -z
+    depth = F.nullif(z, F.lit(0.0))
+    q2 = (x * x + y * y) / (depth * depth)
+    flat = (1 + q2 * (F.col("distortion")[0] + q2 * F.col("distortion")[1])) / -depth
     scale = F.when(F.col("type") == "FTHETA", fisheye).otherwise(flat)
     return x * scale * F.col("focal")[0] + F.col("principal")[0], y * scale * F.col("focal")[1] + F.col("principal")[1]
 
@@ -74,8 +76,9 @@ def projected(point: tuple[Column, Column, Column]) -> Column:
     def scaled(c: Column) -> Column:
         n = F.sqrt(c["x"] * c["x"] + c["y"] * c["y"])
         fisheye = F.when(n == 0, 0.0).otherwise(distort(F.atan2(n, -c["z"])) / n)
-        q2 = (c["x"] * c["x"] + c["y"] * c["y"]) / (c["z"] * c["z"])
-        flat = (1 + q2 * (F.col("distortion")[0] + q2 * F.col("distortion")[1])) / -c["z"]
+        depth = F.nullif(c["z"], F.lit(0.0))
+        q2 = (c["x"] * c["x"] + c["y"] * c["y"]) / (depth * depth)
+        flat = (1 + q2 * (F.col("distortion")[0] + q2 * F.col("distortion")[1])) / -depth
         k = F.when(F.col("type") == "FTHETA", fisheye).otherwise(flat)
         return _let(k, lambda k: F.struct((c["x"] * k * F.col("focal")[0] + F.col("principal")[0]).alias("u"), (c["y"] * k * F.col("focal")[1] + F.col("principal")[1]).alias("v")))
 
