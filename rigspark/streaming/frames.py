@@ -46,10 +46,32 @@ def stream_decimate(df: DataFrame, n: int) -> DataFrame:
     return df.groupBy("serial").applyInPandasWithState(step, "serial long, counter long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_sets(df: DataFrame, frames: int, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """Cameras that arrived for each set of ``frames`` counters, once its window is closed."""
+def stream_takes(df: DataFrame, start: str, stop: str) -> DataFrame:
+    """Packets between a packet of kind ``start`` and the next of kind ``stop``, with their ``take``.
+
+    As ``segment_takes``: the start's packet belongs to its take, the stop's does not, and a start
+    within a take begins another.
+    """
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The state: the number of the last take, and whether it is still on."""
+        take, on = state.get if state.exists else (0, False)
+        df = pd.concat(list(rows)).sort_values("counter")
+        takes = take + (df["kind"] == start).cumsum()
+        events = df["kind"].map({start: 1.0, stop: 0.0}).ffill().fillna(float(on))
+        state.update((int(takes.iloc[-1]), bool(events.iloc[-1])))
+        yield df[["serial", "counter"]].assign(take=takes.astype("int64"))[events == 1]
+
+    return df.groupBy("serial").applyInPandasWithState(step, "serial long, counter long, take long", "take long, is_on boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_sets(df: DataFrame, frames: int, delay: str = "10 minutes", window: str = "1 hour", n: int | None = None) -> DataFrame:
+    """Cameras that arrived for each set of ``frames`` counters, once its window is closed.
+
+    With ``n``, the number of cameras of the rig, sets that lack some come with ``complete`` false.
+    """
     frame = F.floor(F.col("counter") / frames)
-    return df.withWatermark("ts", delay).groupBy(F.window("ts", window), frame.alias("frame")).agg(F.size(F.collect_set("serial")).alias("cameras"))
+    out = df.withWatermark("ts", delay).groupBy(F.window("ts", window), frame.alias("frame")).agg(F.size(F.collect_set("serial")).alias("cameras"))
+    return out if n is None else out.withColumn("complete", F.col("cameras") >= n)
 
 
 def stream_histogram(df: DataFrame, serial: int, sink: str, bins: int, lo: float, hi: float):
