@@ -92,6 +92,19 @@ def rig(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, RIG_SCHEMA)
 
 
+def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One camera for each part: those of the rig in turn, with the part's own focal length and place."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (1 + F.col("p_size") / 50.0).alias("__o"), (1 + F.col("p_size") / 100.0).alias("__f"))
+    rows = part.join(F.broadcast(rig(spark)), F.col("ordinal") == F.col("k") % 17)
+    scaled = lambda c, by: F.transform(c, lambda v: v * F.col(by))
+    return rows.withColumns({"origin": scaled("origin", "__o"), "focal": scaled("focal", "__f"), "id": F.concat_ws("-", "id", "k")}).drop("__o", "__f")
+
+
+def cameras_sql() -> str:
+    own, f = "(1+p_size/50.0::double)", "(1+p_size/100.0::double)"
+    return f"(select p_partkey k, ordinal, id||'-'||p_partkey id, grp, type, ox*{own} ox, oy*{own} oy, oz*{own} oz, fx, fy, fz, ux, uy, uz, rx, ry, rz, focx*{f} focx, focy*{f} focy, fov from part join {rig_sql()} r on ordinal = p_partkey%17)"
+
+
 def rig_sql() -> str:
     """The rig as a VALUES list with one column for each number (``right`` is named ``ri``)."""
     def values(r: tuple) -> str:

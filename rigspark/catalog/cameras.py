@@ -9,7 +9,7 @@ from rigspark import bindings as B
 from rigspark.catalog import query, r6, s6
 from rigspark.functions import camera as C
 
-P, RIG = B.POINTS_SQL, B.rig_sql()
+P, RIG, CAMERAS = B.POINTS_SQL, B.rig_sql(), B.cameras_sql()
 
 
 def _all(spark: SparkSession, d: str) -> DataFrame:
@@ -57,25 +57,23 @@ def b17_unproject(spark: SparkSession, d: str) -> DataFrame:
     return _all(spark, d).select("point_id", "id", *(r6(c).alias(f"d{a}") for a, c in zip("xyz", ray, strict=True)))
 
 
-@query(f"select point_id, id, {s6('focx*0.5', 4)} focal, 1024.0::double width from {RIG}, (select point_id from ({P}))")
+@query(f"select k, id, {s6('focx*0.5', 4)} focal, 1024.0::double width from {CAMERAS}")
 def b20_rescale_camera(spark: SparkSession, d: str) -> DataFrame:
-    half = B.rig(spark).withColumns(C.rescale_camera(0.5))
-    return B.points(spark, d).crossJoin(F.broadcast(half)).select("point_id", "id", r6(F.col("focal")[0], 4).alias("focal"), F.col("resolution")[0].alias("width"))
+    half = B.cameras(spark, d).withColumns(C.rescale_camera(0.5))
+    return half.select("k", "id", r6(F.col("focal")[0], 4).alias("focal"), F.col("resolution")[0].alias("width"))
 
 
 _HALF = "case when type='FTHETA' then 1024/abs(focx) else atan(1024/abs(focx)) end"
 
 
-@query(f"select k, id, {s6(_THR)} threshold, {s6(_HALF)} half_fov from {RIG}, (select distinct p_size k from part)")
+@query(f"select k, id, {s6(_THR)} threshold, {s6(_HALF)} half_fov from {CAMERAS}")
 def b21_fov(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.table(spark, d, "part").select(F.col("p_size").alias("k")).distinct().crossJoin(F.broadcast(B.rig(spark)))
-    return rows.select("k", "id", r6(C.fov_threshold()).alias("threshold"), r6(C.approx_fov(True)).alias("half_fov"))
+    return B.cameras(spark, d).select("k", "id", r6(C.fov_threshold()).alias("threshold"), r6(C.approx_fov(True)).alias("half_fov"))
 
 
-@query(f"select k, id, {s6('sqrt(greatest(power(ox-t*fx,2)+power(oy-t*fy,2)+power(oz-t*fz,2),0))')} distance from (select *, ox*fx+oy*fy+oz*fz t from {RIG}), (select distinct p_size k from part)")
+@query(f"select k, id, {s6('sqrt(greatest(power(ox-t*fx,2)+power(oy-t*fy,2)+power(oz-t*fz,2),0))')} distance from (select *, ox*fx+oy*fy+oz*fz t from {CAMERAS})")
 def b22_axis_distance(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.table(spark, d, "part").select(F.col("p_size").alias("k")).distinct().crossJoin(F.broadcast(B.rig(spark)))
-    return rows.select("k", "id", r6(C.axis_distance()).alias("distance"))
+    return B.cameras(spark, d).select("k", "id", r6(C.axis_distance()).alias("distance"))
 
 
 _EQ = "(select point_id, point_id%64 x, (point_id*7)%32 y from ({p}))".format(p=P)
@@ -108,12 +106,12 @@ def f2_camera_by_direction(spark: SparkSession, d: str) -> DataFrame:
     return camera_by_direction(rows, B.rig(spark), ["k"], 100.0).select("k", "id", r6("score").alias("score"))
 
 
-@query(f"select k, {s6("max(sqrt(ox*ox+oy*oy+oz*oz)) filter (grp<>'')")} radius, {s6(f"max({_HALF}) filter (grp<>'')")} half_fov from {RIG}, (select distinct p_size k from part) group by 1")
+@query(f"""select {s6("max(sqrt(ox*ox+oy*oy+oz*oz)) filter (grp<>'')")} radius, {s6(f"max({_HALF}) filter (grp<>'')")} half_fov,
+ {s6("min(case when type='FTHETA' then least(abs(focx)*fov, 2048*sqrt(2)) else 2048*sqrt(2) end)", 3)} usable from {CAMERAS}""")
 def d18_rig_summary(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.calibration import rig_summary
 
-    s = rig_summary(B.rig(spark)).select("radius", "half_fov")
-    return B.table(spark, d, "part").select(F.col("p_size").alias("k")).distinct().crossJoin(F.broadcast(s)).select("k", r6("radius").alias("radius"), r6("half_fov").alias("half_fov"))
+    return rig_summary(B.cameras(spark, d)).select(r6("radius").alias("radius"), r6("half_fov").alias("half_fov"), r6("usable", 3).alias("usable"))
 
 
 @query()
@@ -185,16 +183,23 @@ def d17_linreg_apply(spark: SparkSession, d: str) -> DataFrame:
     return linreg_apply(rows, ["a", "b"], np.array([[2.5], [-0.5], [3.0]]), ["p"]).select("l_orderkey", "l_linenumber", r6("p").alias("p"))
 
 
-@query()
+@query(f"select {s6('regr_slope(b, a)')} slope, {s6('regr_intercept(b, a)')} intercept from (select cast(l_quantity as double)/50 a, cast(l_extendedprice as double)/1e5 b from lineitem)")
 def d16_linreg_gd(spark: SparkSession, d: str) -> DataFrame:
+    """Descent long enough to reach the least squares, which the SQL states in closed form."""
     from rigspark.operators.fit import linreg_gd
 
     rows = B.table(spark, d, "lineitem").select((F.col("l_quantity").cast("double") / 50).alias("a"), (F.col("l_extendedprice").cast("double") / 1e5).alias("b"))
-    m = linreg_gd(rows, ["a"], ["b"], 500, 0.5)
+    m = linreg_gd(rows, ["a"], ["b"], 1000, 0.5)
     return spark.createDataFrame([(float(round(m[0, 0], 6)), float(round(m[1, 0], 6)))], "slope double, intercept double")
 
 
-@query()
+_M3 = "(select p_partkey, 1.2+p_size/100.0::double m00, 0.1::double m01, 0.05::double m02, 0.02::double m10, 1.1-p_size/100.0::double m11, 0.03::double m12, -0.1::double m20, 0.0::double m21, 1.3::double m22 from part)"
+_CRAMER = f"""(select *, m11*m22-m12*m21-m01*(m22-m12)+m02*(m21-m11) b0, m00*(m22-m12)-(m10*m22-m12*m20)+m02*(m10-m20) b1, m00*(m11-m21)-m01*(m10-m20)+m10*m21-m11*m20 b2,
+ m00*(m11*m22-m12*m21)-m01*(m10*m22-m12*m20)+m02*(m10*m21-m11*m20) det from {_M3})"""
+_GAINS = f"(select *, greatest(b0/det, b1/det, b2/det)/(b0/det) g0, greatest(b0/det, b1/det, b2/det)/(b1/det) g1, greatest(b0/det, b1/det, b2/det)/(b2/det) g2 from {_CRAMER})"
+
+
+@query(f"""select p_partkey, {', '.join(f"{s6(f'g{i}')} gain{i}" for i in range(3))}, {', '.join(f"{s6(f'm{i}{j}/g{j}/(m00/g0+m01/g1+m02/g2)')} m{i}{j}" for i in range(3) for j in range(3))} from {_GAINS}""")
 def g13_decompose_color(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.operators.fit import decompose_color
 

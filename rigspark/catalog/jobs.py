@@ -53,6 +53,14 @@ def s3_stream_decimate(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, lambda s: stream_decimate(s, 5))
 
 
+@query("""select serial, counter, take from (select user_id serial, event_id counter, last_value(case when event_type='signup' then 1 when event_type='error' then 0 end ignore nulls) over w is_on,
+ cast(sum(case when event_type='signup' then 1 else 0 end) over w as bigint) take from events window w as (partition by user_id order by event_id)) where is_on=1""")
+def s5_stream_takes(spark: SparkSession, d: str) -> DataFrame:
+    from rigspark.streaming.frames import stream_takes
+
+    return _streamed(spark, d, lambda s: stream_takes(s, "signup", "error"))
+
+
 @query(f"""with f as (select user_id serial, event_id counter, value, row_number() over (partition by user_id order by event_id) n from events)
  select serial, counter, {s6('power(0.6, n) * sum(value * power(0.6, -n) * case when n = 1 then 1 else 0.4 end) over (partition by serial order by n rows unbounded preceding)', 5)} as value from f""")
 def s8_stream_temporal_blend(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +74,39 @@ def s9_footage_stream(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, lambda s: s.withColumn("shard", F.pmod("serial", F.lit(4)))).select("serial", "counter", "shard")
 
 
+_TONED = "power(floor(least(greatest({c},0),1)*4095)/4095, {g})"
+_BEZ = "({a}*power(1-{t},3)+3*{b}*power(1-{t},2)*{t}+3*{c}*(1-{t})*power({t},2)+{d}*power({t},3))"
+
+
+def _tone_sql(x: str, low: float, high: float, contrast: float) -> str:
+    dark = _BEZ.format(a="0.0::double", b=f"{0.1666 + low!r}::double", c="0.3333::double", d="0.5::double", t=f"(2*{x})")
+    bright = _BEZ.format(a="0.5::double", b="0.6666::double", c=f"{0.8333 + high!r}::double", d="1.0::double", t=f"(2*({x}-0.5))")
+    slope = f"tan({contrast!r}::double*pi()/4)"
+    return f"least(greatest({slope}*(case when {x}<=0.5 then {dark} else {bright} end)+0.5*(1-{slope}),0),1)"
+
+
+_CCM = ((1.5, -0.3, -0.2), (-0.25, 1.4, -0.15), (0.05, -0.45, 1.4))
+
+
+def _developed_sql() -> str:
+    from rigspark.functions.scalars import color_matrix
+
+    m = color_matrix([list(c) for c in zip(*_CCM, strict=True)], 1.2)
+    linear = ", ".join(f"({row[0]!r}::double*r+{row[1]!r}::double*g+{row[2]!r}::double*b) {n}" for n, row in zip("rgb", m, strict=True))
+    bins = ", ".join(f"{_TONED.format(c=n, g=f'{g}::double')} {n}" for n, g in zip("rgb", (0.9, 1.0, 1.1), strict=True))
+    return f"select vec_id, {', '.join(s6(_tone_sql(n, 0.05, -0.04, 1.1), 2) + f' {n}' for n in 'rgb')} from (select vec_id, {bins} from (select vec_id, {linear} from ({B.TRIPLES_SQL})))"
+
+
+@query(_developed_sql())
+def h1_color_and_tone(spark: SparkSession, d: str) -> DataFrame:
+    """Rounded to two digits: a bin of the table is 0.0002 wide."""
+    from rigspark.plans.isp import color_and_tone
+
+    lit = lambda *v: [F.lit(x) for x in v]
+    out = color_and_tone(F.col("r"), F.col("g"), F.col("b"), lambda i, j: F.lit(_CCM[i][j]), F.lit(1.2), lit(0.9, 1.0, 1.1), lit(*[0.05] * 3), lit(*[-0.04] * 3), F.lit(1.1))
+    return B.triples(spark, d).select("vec_id", *(r6(c, 2).alias(n) for n, c in zip("rgb", out, strict=True)))
+
+
 @query()
 def h2_to_spherical(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.panorama import to_spherical

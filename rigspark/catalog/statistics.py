@@ -317,6 +317,35 @@ def g2_singleton_traces(spark: SparkSession, d: str) -> DataFrame:
     return GR.singleton_traces(rows).select("trace.*")
 
 
+@query("""select 'p'||l_partkey trace_id, 'o'||l_orderkey image, o_custkey kp_idx, cast(o_totalprice as double) x, cast(o_custkey as double) y, 'cam'||(l_orderkey%17) id
+ from lineitem join orders on l_orderkey=o_orderkey where l_suppkey%2=o_custkey%2""")
+def c9_trace_observations(spark: SparkSession, d: str) -> DataFrame:
+    """Customers are the keypoints of an order's image; an item is a member where its parity is the customer's."""
+    keypoints = B.table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("image"), F.col("o_custkey").alias("kp_idx"), F.col("o_totalprice").cast("double").alias("x"), F.col("o_custkey").cast("double").alias("y"))
+    items = B.table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("trace_id"), F.concat(F.lit("o"), "l_orderkey").alias("image"), (F.col("l_suppkey") % 2).alias("side"))
+    members = items.join(keypoints.select("image", "kp_idx"), "image").where(F.col("side") == F.col("kp_idx") % 2).drop("side")
+    camera = F.concat(F.lit("cam"), F.substring("image", 2, 20).cast("long") % 17)
+    return GR.trace_observations(members, keypoints, B.rig(spark), camera).select("trace_id", "image", "kp_idx", "x", "y", "id")
+
+
+_SHAPE = "(select l_orderkey, count(*) area, max(l_linenumber)-min(l_linenumber)+1 h, max(l_suppkey%5)-min(l_suppkey%5)+1 w from lineitem group by 1)"
+
+
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Of each order the cells (line, supplier mod 5), measured as a component."""
+    return D.component_stats(B.table(spark, d, "lineitem").withColumn("x", F.col("l_suppkey") % 5), ["l_orderkey"], "l_linenumber", "x")
+
+
+@query(f"select l_orderkey, area from {_SHAPE} where area between 2 and 4 and greatest(h,w)/least(h,w)::double<2.0 and area/(h*w)::double>=0.7")
+def b30_filter_patches(spark: SparkSession, d: str) -> DataFrame:
+    return D.filter_patches(_shapes(spark, d), 2, 4).select("l_orderkey", "area")
+
+
+@query(f"select l_orderkey, area from {_SHAPE} where area>=2 and area/(pi()*(greatest(h,w)/2.0::double)*(greatest(h,w)/2.0::double))>=0.3")
+def b30_filter_round(spark: SparkSession, d: str) -> DataFrame:
+    return D.filter_round(_shapes(spark, d), 2).select("l_orderkey", "area")
+
+
 @query(f"select l_orderkey, l_linenumber from {_LI} l join {_FP(_K, 'price', _LI, 0.5)} m using ({_K}) where l_linenumber=7 or price<1.6*pv")
 def g4_reject_outliers(spark: SparkSession, d: str) -> DataFrame:
     return D.reject_outliers(_items(spark, d), KEYS, "price", 1.6, F.col("l_linenumber") == 7).select("l_orderkey", "l_linenumber")
