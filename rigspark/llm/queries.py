@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rigspark.llm.oracles import MERKLE_SQL, NEGATIVES_SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,9 +75,29 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours_of_every_twentieth(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rigspark.llm.hyperplane_tree import negatives_of_every_fiftieth
+
+    return negatives_of_every_fiftieth(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from rigspark.llm.packing import packing_report
+
+    return packing_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rigspark.llm.merkle import dataset_manifest
+
+    return dataset_manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_hard_negatives": NEGATIVES_SQL, "op13_merkle": MERKLE_SQL}
