@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -18,44 +17,75 @@ from rigspark.llm.common import small_batches, written
 
 #: Pieces that are packed together in one task.
 GROUP_PIECES = 4096
-#: Characters that are tokenised at a time.
-SLICE = 1 << 16
 
-_SPACE = re.compile("[ \n]")
+
+class WordTokens:
+    """Token ids of texts, word by word: no token crosses a blank or a line feed, so the ids of a
+    text are those of its words, and a word met before needs no second run of the tokenizer.
+
+    ASCII letters are lower-cased first, as the tokenizer does, but in texts where a special token
+    may stand; punctuation round a word is looked up apart from it, as no token joins a letter or
+    digit with it.  Words not met before are tokenised many at a time, joined by a mark whose id
+    parts them again; words that hold the mark, and long ones, go by themselves.  At most
+    ``WORDS`` are remembered.
+    """
+
+    WORDS, LONGEST, MARK, AROUND, SPECIAL = 1_000_000, 64, b"~", b'.,;:!?#$%&*()"', b"<|"
+    INNER = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        mark = self._encode([self.MARK])[0]
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain = [w for w in words if self.mark is not None and self.MARK not in w]
+        for first in range(0, len(plain), 512):
+            run = plain[first : first + 512]
+            [ids] = self._encode([(b" " + self.MARK + b" ").join(run)])
+            at = np.flatnonzero(ids == self.mark)
+            data, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            if len(at) == len(run) - 1:
+                self.known |= zip(run, (data[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)), strict=True)
+        rest = [w for w in words if w not in self.known]
+        self.known |= zip(rest, (ids.tobytes() for ids in self._encode(rest)), strict=True)
+
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
+        core = word.strip(self.AROUND)
+        if core == word or not core or core[0] not in self.INNER or core[-1] not in self.INNER:
+            return (word,)
+        at = word.index(core)
+        return word[:at], core, word[at + len(core) :]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each whole text, as little-endian 32-bit numbers."""
+        raw = [text.encode() for text in texts]
+        words = [(t if self.SPECIAL in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in raw]
+        if len(self.known) > self.WORDS:
+            self.known.clear()
+        known = self.known
+        new = set().union(*words).difference(known)
+        long = {w for w in new if len(w) > self.LONGEST}
+        parts = {w: self._parts(w) for w in new - long}
+        self._learn([p for p in {p for ps in parts.values() for p in ps} if p not in known])
+        known |= {w: known[a] + known[b] + known[c] for w, (a, b, c) in ((w, ps) for w, ps in parts.items() if len(ps) == 3)}
+        if not long:
+            return [b"".join(map(known.__getitem__, own)) for own in words]
+        long = sorted(long)
+        once = dict(zip(long, (ids.tobytes() for ids in self._encode(long)), strict=True))
+        return [b"".join([once[w] if w in once else known[w] for w in own]) for own in words]
 
 
 @cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def slices(text: str) -> Iterator[str]:
-    """A text in parts that end behind a blank or line feed, where no token can cross."""
-    at = 0
-    while len(text) - at > SLICE:
-        found = _SPACE.search(text, at + SLICE)
-        if found is None:
-            break
-        yield text[at : found.end()]
-        at = found.end()
-    yield text[at:]
-
-
-def token_ids(texts: list[str], path: str, end_id: int) -> Iterator[np.ndarray]:
-    """Ids of each whole text, ``end_id`` at the end."""
-    tokenizer = _tokenizer(path)
-    parts = [(i, part) for i, text in enumerate(texts) for part in slices(text)]
-    ids: list[list] = [[] for _ in texts]
-    for first in range(0, len(parts), 64):
-        run = parts[first : first + 64]
-        for (i, _), found in zip(run, tokenizer.encode_batch_fast([p for _, p in run], add_special_tokens=False), strict=True):
-            ids[i].append(np.array(found.ids, "<u4"))
-    end = np.array([end_id], "<u4")
-    for own in ids:
-        yield np.concatenate([*own, end])
+def _words(path: str) -> WordTokens:
+    return WordTokens(path)
 
 
 def cuts(tokens: int, capacity: int, longest: int) -> list[tuple[int, int]]:
@@ -84,15 +114,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = f"row long, start long, length long, ids binary, doc_tokens long, doc_id {named.schema['doc_id'].dataType.simpleString()}"
 
+    end = end_id.to_bytes(4, "little")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, names, texts = batch.column("row"), batch.column("doc_id"), batch.column("text")
             at, out = [], []
-            for i in range(0, len(batch), 16):
-                for k, ids in enumerate(token_ids(texts[i : i + 16].to_pylist(), tokenizer, end_id), i):
-                    for start, length in cuts(len(ids), capacity, longest):
+            for i in range(0, len(batch), 32):
+                for k, found in enumerate(_words(tokenizer)(texts[i : i + 32].to_pylist()), i):
+                    ids, tokens = found + end, len(found) // 4 + 1
+                    for start, length in cuts(tokens, capacity, longest):
                         at.append(k)
-                        out.append((start, length, ids[start : start + length].tobytes(), len(ids)))
+                        out.append((start, length, ids[4 * start : 4 * (start + length)], tokens))
             start, length, ids, tokens = zip(*out, strict=True) if out else ((), (), (), ())
             taken = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([rows.take(taken), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64()), names.take(taken)], names=["row", "start", "length", "ids", "doc_tokens", "doc_id"])
@@ -187,7 +220,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     Every id of every document, null and empty texts included (they are ``end_id`` alone), lies in
     exactly one piece; a sequence's pieces follow each other without gap and sum to ``capacity``
     at most.  Rows with equal ids are documents of their own.  Texts of any length are tokenised
-    whole, in parts that end at a blank.  Reruns agree for the same partitions of the input.  An
+    whole, word by word.  Reruns agree for the same partitions of the input.  An
     empty table gives an empty result; further columns are not looked at.
     """
     return packed(written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col)), capacity).drop("row")

@@ -48,8 +48,8 @@ def test_given_table(spark):
 
 def test_edges(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_PIECES", 40)
-    monkeypatch.setattr(packing, "SLICE", 50)
-    texts = {0: None, 1: "", 2: " \n ", 3: "ÀÉ ́x ΑΣ ΣΑΣ b  <|endoftext|> it's\tdon't 12345" * 30, 4: "y" * 3000, 5: "word " * 20_000, None: "no id"}
+    monkeypatch.setattr(packing.WordTokens, "WORDS", 20)
+    texts = {0: None, 1: "", 2: " \n ", 3: "ÀÉ ́x ΑΣ ΣΑΣ b  <|endoftext|> it's\tdon't 12345" * 30, 4: "y" * 3000, 5: "word " * 20_000, None: "no id", 301: "a~b ~ ~~ c", 302: "x" * 65 + " ~" + "é" * 70}
     texts |= {i: "same text" for i in range(6, 300)}
     docs = spark.createDataFrame([(k, v, 1, "s", 2) for k, v in texts.items()], "doc_id long, text string, row int, ids string, part int")
     got = packing.packing_report(docs, PATH, 64)
