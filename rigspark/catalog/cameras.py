@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rigspark import bindings as B
 from rigspark.catalog import query, r6, s6
 from rigspark.functions import camera as C
+from rigspark.scratch import written
 
 P, RIG, CAMERAS = B.POINTS_SQL, B.rig_sql(), B.cameras_sql()
 
@@ -175,8 +177,6 @@ def d16_normal_sums(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select l_orderkey, l_linenumber, {s6('2.5*cast(l_quantity as double)-0.5*cast(l_discount as double)+3')} p from lineitem")
 def d17_linreg_apply(spark: SparkSession, d: str) -> DataFrame:
-    import numpy as np
-
     from rigspark.operators.fit import linreg_apply
 
     rows = B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("a"), F.col("l_discount").cast("double").alias("b"))
@@ -229,3 +229,51 @@ def g14_ransac_inliers(spark: SparkSession, d: str) -> DataFrame:
     m = p.select("point_id", F.col("x").alias("x0"), F.col("z").alias("y0"), (F.col("x") * 1.1 + 5 + noise).alias("x1"), (F.col("z") * 0.9 - 3 + noise).alias("y1"))
     return ransac_inliers(m, 1.0, 60).select("point_id")
 
+
+_SEEN = f"(select * from {_PX} where not outside and px>=0 and px<2048 and py>=0 and py<2048)"
+
+
+def _calibrated(spark: SparkSession, d: str):
+    """What the rig sees of the parts' points, and the rig after a small change of all but its places."""
+    from rigspark.plans.adjustment import ALL, Rig, moved, unknowns
+    from rigspark.plans.calibration import visible_observations
+
+    seen = visible_observations(B.points(spark, d), B.rig(spark)).select(F.col("point_id").cast("string").alias("trace_id"), "id", "px", "py")
+    obs = written(seen.join(seen.groupBy("trace_id").count().where("count > 1"), "trace_id", "left_semi"))
+    rig = Rig.of(B.rig(spark))
+    columns, size = unknowns(rig, ALL, True)
+    step = np.zeros(size)
+    for name, most in (("rotation", 0.004), ("principal", 2.0), ("focal", 0.004), ("distortion", 0.004)):
+        at = np.unique(columns[name][columns[name] >= 0])
+        step[at] = most * np.sin(1 + 2.4 * np.arange(len(at)))
+    return obs, moved(rig, columns, step)
+
+
+@query(f"""with o as (select point_id, id, count(*) over (partition by point_id) cams from {_SEEN})
+ select id, {s6('fx', 4)} fx, {s6('fy', 4)} fy, {s6('fz', 4)} fz, {s6('focx', 1)} focal, 1024.0::double principal, 0.0::double distortion, n from {RIG} join (select id, count(*) n from o where cams>1 group by id) using (id)""")
+def g8_bundle_adjust(spark: SparkSession, d: str) -> DataFrame:
+    """Rotations, principal points, focal lengths and shared distortions found again from pixels."""
+    from rigspark.plans.adjustment import ALL, bundle_adjust
+
+    obs, start = _calibrated(spark, d)
+    done = bundle_adjust(obs, start.table(spark), free=tuple(p for p in ALL if p != "position"))
+    rows = done.cameras.join(obs.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id")
+    f = F.col("forward")
+    return rows.select("id", r6(f[0], 4).alias("fx"), r6(f[1], 4).alias("fy"), r6(f[2], 4).alias("fz"), r6(F.col("focal")[0], 1).alias("focal"), r6(F.col("principal")[0], 1).alias("principal"), r6(F.col("distortion")[0], 2).alias("distortion"), "n")
+
+
+@query()
+def h15_calibrate_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """The rig from matches of all image pairs, one match in fifty of them wrong."""
+    from rigspark.plans.adjustment import calibrate_geometry
+
+    obs, start = _calibrated(spark, d)
+    image = F.concat(F.lit("rgb/"), "id", F.lit("/000001.png"))
+    kp = obs.select(image.alias("image"), F.col("trace_id").cast("int").alias("kp_idx"), F.col("px").alias("x"), F.col("py").alias("y"))
+    side = lambda i: kp.select(F.col("image").alias(f"image{i}"), F.col("kp_idx").alias("k"))
+    pairs = side(0).join(side(1), "k").where("image0 < image1")
+    other = F.when(F.xxhash64("image0", "image1", "k") % 50 == 0, F.lead("k").over(Window.partitionBy("image0", "image1").orderBy("k")))
+    matches = pairs.select("image0", F.col("k").alias("idx0"), "image1", F.coalesce(other, "k").alias("idx1"))
+    done = calibrate_geometry(written(matches), written(kp), start.table(spark))
+    f = F.col("forward")
+    return done.cameras.select("id", *(r6(f[i], 3).alias(f"f{a}") for i, a in enumerate("xyz")), r6(F.col("focal")[0], 0).alias("focal"), r6(F.col("principal")[0], 0).alias("principal"))

@@ -4,21 +4,15 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rigspark.bindings import RIG_SCHEMA
 from rigspark.functions import camera as C
 from rigspark.functions.scalars import black_level
 from rigspark.operators import fit as FT
 from rigspark.operators import grid as GD
 from rigspark.operators import stats as D
-from rigspark.operators.graph import singleton_traces, trace_members
-from rigspark.scratch import small, written
-
-CAMERA_COLUMNS = [f.split()[0] for f in RIG_SCHEMA.split(", ")]
+from rigspark.scratch import small
 
 
 def visible_observations(points: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -27,9 +21,8 @@ def visible_observations(points: DataFrame, cameras: DataFrame) -> DataFrame:
     A rig has few cameras: they are broadcast after a check of their number.
     """
     p = tuple(F.col(c) for c in "xyz")
-    u, v = C.project(p)
-    rows = points.crossJoin(small(cameras)).where(~C.outside_fov(p)).withColumns({"px": u, "py": v})
-    return rows.where(C.in_frame(F.col("px"), F.col("py")))
+    rows = points.crossJoin(small(cameras)).where(~C.outside_fov(p)).withColumn("__p", C.projected(p))
+    return rows.withColumns({"px": F.col("__p.u"), "py": F.col("__p.v")}).drop("__p").where(C.in_frame(F.col("px"), F.col("py")))
 
 
 def camera_by_direction(directions: DataFrame, cameras: DataFrame, keys: list[str], farthest: float = 1.0) -> DataFrame:
@@ -107,164 +100,6 @@ def match_report(matches: DataFrame, keypoints: DataFrame, cameras: DataFrame, p
     return obs.join(small(pairs), ["first", "second"])
 
 
-def _residual_blocks(rows: pa.Table, free: list[str], size: int, lam: float) -> pa.Table:
-    """One point's part of the reduced camera system: its own unknowns eliminated."""
-    cams = np.array(rows["ordinal"].to_pylist())
-    jc = np.array(rows["jc"].to_pylist()).reshape(len(cams), 2, len(free))
-    jp = np.array(rows["jp"].to_pylist()).reshape(len(cams), 2, 3)
-    e = np.array(rows["e"].to_pylist())
-    norm = np.sqrt((e**2).sum(1))
-    w = np.where(norm > 1, 1 / np.maximum(norm, 1e-12), 1.0)  # Huber at one pixel
-    v = np.einsum("k,kij,kil->jl", w, jp, jp)
-    v += lam * np.diag(np.diag(v)) + 1e-12 * np.eye(3)
-    inv, gp = np.linalg.pinv(v), np.einsum("k,kij,ki->j", w, jp, e)
-    blocks: dict[tuple[int, int], np.ndarray] = {}
-    grads: dict[int, np.ndarray] = {}
-    wk = np.einsum("k,kij,kil->kjl", w, jc, jp)
-    for a, ca in enumerate(cams):
-        u = np.einsum("ij,il->jl", jc[a], jc[a]) * w[a]
-        blocks[ca, ca] = blocks.get((ca, ca), 0) + u
-        grads[ca] = grads.get(ca, 0) + w[a] * jc[a].T @ e[a] - wk[a] @ inv @ gp
-        for b, cb in enumerate(cams):
-            blocks[ca, cb] = blocks.get((ca, cb), 0) - wk[a] @ inv @ wk[b].T
-    out = [{"i": int(i), "j": int(j), "m": m.ravel().tolist()} for (i, j), m in blocks.items()]
-    out += [{"i": int(i), "j": -1, "m": g.tolist()} for i, g in grads.items()]
-    return pa.Table.from_pylist(out, pa.schema([("i", pa.int32()), ("j", pa.int32()), ("m", pa.list_(pa.float64()))]))
-
-
-def _turned(cam: dict, move: np.ndarray, free: list[str]) -> dict:
-    """A camera after a small rotation and changes of its other free parameters."""
-    out = {k: (list(v) if isinstance(v, list) else v) for k, v in cam.items()}
-    w = np.array([move[free.index(f"r{i}")] if f"r{i}" in free else 0.0 for i in range(3)])
-    n = np.linalg.norm(w)
-    if n > 0:
-        k = np.array([[0, -w[2], w[1]], [w[2], 0, -w[0]], [-w[1], w[0], 0]]) / n
-        rot = np.eye(3) + math.sin(n) * k + (1 - math.cos(n)) * k @ k
-        for a in ("forward", "up", "right"):
-            out[a] = (rot @ np.array(cam[a])).tolist()
-    for name, col, i in (("ox", "origin", 0), ("oy", "origin", 1), ("oz", "origin", 2), ("px", "principal", 0), ("py", "principal", 1), ("fx", "focal", 0), ("fy", "focal", 1)):
-        if name in free:
-            out[col][i] += float(move[free.index(name)])
-    return out
-
-
-def bundle_adjust(obs: DataFrame, cameras: DataFrame, points: DataFrame, key: str = "trace_id", free: list[str] | None = None, steps: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Camera rotations (and other parameters if freed) and points that least misplace the pixels.
-
-    ``obs``: key, camera ``id``, ``px``, ``py``; the first camera is fixed.  Levenberg-Marquardt
-    with the points eliminated: each point emits the camera blocks it touches, the blocks are
-    summed by Spark, and the system of the rig's few cameras is solved on the driver.  Points
-    then follow by triangulation against the moved rig.
-    """
-    spark = obs.sparkSession
-    free = free or ["r0", "r1", "r2"]
-    rig = {r.ordinal: r.asDict() for r in cameras.collect()}  # a rig: tens of cameras
-    order = sorted(rig)
-    points, lam = written(points.select(key, "x", "y", "z")), 1e-4
-
-    def frame(rig: dict) -> DataFrame:
-        return F.broadcast(spark.createDataFrame([tuple(rig[o][c] for c in CAMERA_COLUMNS) for o in order], RIG_SCHEMA))
-
-    def cost(rig: dict, points: DataFrame) -> float:
-        rows = obs.join(frame(rig), "id").join(points, key)
-        rows = rows.withColumn("__p", C.projected(tuple(F.col(c) for c in "xyz")))
-        u, v = F.col("__p.u"), F.col("__p.v")
-        e = F.sqrt((u - F.col("px")) ** 2 + (v - F.col("py")) ** 2)
-        return rows.agg(F.avg(F.when(e > 1, 2 * e - 1).otherwise(e * e))).first()[0] or 0.0
-
-    now = cost(rig, points)
-    for _ in range(steps):
-        rows = obs.join(frame(rig), "id").join(points, key)
-        p = tuple(F.col(c) for c in "xyz")
-        rows = rows.withColumn("__p", C.projected(p))
-        u, v = F.col("__p.u"), F.col("__p.v")
-        at = lambda q: (C.projected(q)["u"], C.projected(q)["v"])
-        h = 1e-6
-        jc = []
-        rel = tuple(a - F.col("origin")[i] for i, a in enumerate(p))
-        for name in free:
-            if name[0] == "r":
-                # Turning the camera is turning the point about it the other way.
-                k = int(name[1])
-                cross = [(F.lit(0.0), -rel[2], rel[1]), (rel[2], F.lit(0.0), -rel[0]), (-rel[1], rel[0], F.lit(0.0))][k]
-                q = tuple(a - h * c for a, c in zip(p, cross, strict=True))
-                qu, qv = at(q)
-                jc += [(qu - u) / h, (qv - v) / h]
-            elif name[0] == "o":
-                i = "xyz".index(name[1])
-                qu, qv = at(tuple(a - (h if j == i else 0.0) for j, a in enumerate(p)))
-                jc += [(qu - u) / h, (qv - v) / h]
-            elif name[0] == "p":
-                jc += [F.lit(float(name == "px")), F.lit(float(name == "py"))]
-            else:
-                jc += [(u - F.col("principal")[0]) / F.col("focal")[0] if name == "fx" else F.lit(0.0), (v - F.col("principal")[1]) / F.col("focal")[1] if name == "fy" else F.lit(0.0)]
-        step = 1e-4
-        jp = []
-        for i in range(3):
-            qu, qv = at(tuple(a + (step if j == i else 0.0) for j, a in enumerate(p)))
-            jp += [(qu - u) / step, (qv - v) / step]
-        by_row = lambda cols: F.array(*(cols[2 * i + k] for k in (0, 1) for i in range(len(cols) // 2)))
-        rows = rows.select(key, "ordinal", by_row(jc).alias("jc"), by_row(jp).alias("jp"), F.array(F.col("px") - u, F.col("py") - v).alias("e"))
-        n, lam_now = len(free), lam
-        blocks = rows.groupBy(key).applyInArrow(lambda t, lam_now=lam_now: _residual_blocks(t, free, n, lam_now), "i int, j int, m array<double>")
-        width = blocks.select("i", "j", F.posexplode("m").alias("k", "v")).groupBy("i", "j", "k").agg(F.sum("v").alias("v")).collect()
-        place = {o: i for i, o in enumerate(order[1:])}
-        a, g = np.zeros((len(place) * n, len(place) * n)), np.zeros(len(place) * n)
-        for r in width:
-            if r.i in place and r.j == -1:
-                g[place[r.i] * n + r.k] += r.v
-            elif r.i in place and r.j in place:
-                a[place[r.i] * n + r.k // n, place[r.j] * n + r.k % n] += r.v
-        move = np.linalg.lstsq(a + lam * np.diag(np.diag(a)) + 1e-12 * np.eye(len(a)), g, rcond=None)[0]
-        new = {o: _turned(rig[o], move[place[o] * n : place[o] * n + n], free) if o in place else rig[o] for o in order}
-        moved = FT.triangulate(obs.join(frame(new), "id"), [key], points, steps=3)
-        then = cost(new, moved)
-        if then < now:
-            rig, points, now, lam = new, written(moved), then, lam / 10
-        else:
-            lam *= 10
-    return spark.createDataFrame([tuple(rig[o][c] for c in CAMERA_COLUMNS) for o in order], RIG_SCHEMA), points
-
-
-def calibrate_geometry(matches: DataFrame, keypoints: DataFrame, cameras: DataFrame, passes: int = 1, factor: float = 3.0, distance: float = 1000.0) -> tuple[DataFrame, DataFrame]:
-    """Rig and points from matched keypoints; each pass starts from all matches.
-
-    Single matches are triangulated and those far above their camera pair's median error go; the
-    rest are assembled to traces, triangulated, rejected once more, and adjusted.  An image's
-    camera is its parent folder.
-    """
-    camera = lambda c: F.element_at(F.split(c, "/"), -2)
-    rig = cameras
-
-    def members_obs(members: DataFrame, rig: DataFrame) -> DataFrame:
-        kp = keypoints.select("image", "kp_idx", F.col("x").alias("px"), F.col("y").alias("py"))
-        return members.join(kp, ["image", "kp_idx"]).withColumn("id", camera("image")).join(small(rig), "id")
-
-    def start(obs: DataFrame) -> DataFrame:
-        ray = C.unproject(F.col("px"), F.col("py"))
-        rays = obs.select("trace_id", *(F.col("origin")[i].alias(f"o{a}") for i, a in enumerate("xyz")), *(c.alias(f"d{a}") for a, c in zip("xyz", ray, strict=True)))
-        return D.average_at_distance(rays, ["trace_id"], distance)
-
-    def rejected(kept: DataFrame, members: DataFrame, rig: DataFrame) -> DataFrame:
-        """Matches whose pixel error is within the factor of their camera pair's median."""
-        obs = written(members_obs(members, rig))
-        err = FT.reprojection_error(obs, FT.triangulate(obs, ["trace_id"], start(obs)), ["trace_id"]).select("trace_id", "image", "kp_idx", "error")
-        side = lambda i: err.select(F.col("image").alias(f"image{i}"), F.col("kp_idx").alias(f"idx{i}"), F.col("error").alias(f"e{i}"), F.col("trace_id").alias(f"t{i}"))
-        both = kept.join(side(0), ["image0", "idx0"]).join(side(1), ["image1", "idx1"]).where("t0 = t1")
-        both = both.withColumn("error", F.sqrt((F.col("e0") ** 2 + F.col("e1") ** 2) / 2)).withColumn("pair", F.concat_ws("|", camera("image0"), camera("image1")))
-        return written(D.reject_outliers(both, ["pair"], "error", factor).select("image0", "idx0", "image1", "idx1").distinct())
-
-    for _ in range(passes):
-        single = singleton_traces(matches).withColumn("trace_id", F.to_json("trace"))
-        ends = F.explode(F.array(F.struct(F.col("image0").alias("image"), F.col("idx0").alias("kp_idx")), F.struct(F.col("image1").alias("image"), F.col("idx1").alias("kp_idx"))))
-        kept = rejected(matches, single.select("trace_id", ends.alias("m")).select("trace_id", "m.*"), rig)
-        kept = rejected(kept, trace_members(kept), rig)
-        obs = written(members_obs(trace_members(kept), rig))
-        points = FT.triangulate(obs, ["trace_id"], start(obs))
-        rig, points = bundle_adjust(obs.select("trace_id", "id", "px", "py"), rig, points)
-    return rig, points
-
-
 # Charts.
 def detect_patches(images: DataFrame, keys: list[str], least: float, most: float, per_row: int, block: int = 19, c: float = 0.02) -> DataFrame:
     """Chart patches of gray images ``(keys, y, x, v)``: ``(keys, place, cy, cx, area, label)``.
