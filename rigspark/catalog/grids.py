@@ -11,6 +11,7 @@ from rigspark.operators import grid as GD
 from rigspark.operators import joins as J
 from rigspark.operators import sequence as Q
 from rigspark.operators import stats as D
+from rigspark.scratch import written
 
 G = B.GRID_SQL
 K = ["image_id"]
@@ -263,25 +264,70 @@ def h1_develop_sensor_part(spark: SparkSession, d: str) -> DataFrame:
     return g.select("image_id", "y", "x", r6(v).alias("v"))
 
 
-@query(f"select image_id, level, h as rows_, w as cols_ from (select distinct image_id from ({G})), (values (0,50,64),(1,45,57),(2,40,51),(3,36,45),(4,32,40),(5,28,36),(6,25,32)) t(level,h,w)")
-def e11_pyramid_sizes(spark: SparkSession, d: str) -> DataFrame:
-    sizes = spark.createDataFrame([(i, h, w) for i, (h, w) in enumerate(GD.pyramid_sizes(50, 64))], "level int, rows_ int, cols_ int")
-    return B.grid(spark, d).select("image_id").distinct().crossJoin(F.broadcast(sizes))
+_SIZES = f"""recursive size(image_id, level, rows_, cols_) as (select image_id, 0::bigint, max(y)+1, max(x)+1 from ({G}) group by 1 union all
+ select image_id, level+1, cast(floor(rows_*0.9::double+0.5) as bigint), cast(floor(cols_*0.9::double+0.5) as bigint) from size where least(floor(rows_*0.9::double+0.5), floor(cols_*0.9::double+0.5)) > 24)"""
 
 
-@query()
+def _levels(spark: SparkSession, d: str) -> list[DataFrame]:
+    from rigspark.operators import bands as BD
+    from rigspark.plans.flow import pyramid
+
+    return pyramid(BD.lines(B.grid(spark, d), K, ["v"]), K, ["v"])
+
+
+@query(f"with {_SIZES} select * from size")
+def e11_pyramid_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of each image's pyramid and their sizes, from the images themselves."""
+    sizes = [df.groupBy("image_id").agg(F.lit(i).cast("long").alias("level"), F.count(F.lit(1)).alias("rows_"), F.max(F.size("v")).cast("long").alias("cols_")) for i, df in enumerate(_levels(spark, d))]
+    out = sizes[0]
+    for more in sizes[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _stretched(axis: str) -> str:
+    """Cells of level 1 with their two taps along an axis, by centres, edges replicated."""
+    n, m = ("a.rows_", "b.rows_") if axis == "y" else ("a.cols_", "b.cols_")
+    s = f"least(greatest((t+0.5)*({n}::double/{m})-0.5, 0), {n}-1)"
+    m_of = "b.rows_" if axis == "y" else "b.cols_"
+    cells = f"(select image_id, a.rows_, a.cols_, unnest(range({m_of})) t from size a join size b using (image_id) where a.level=0 and b.level=1)"
+    return f"(select image_id, t, cast(least(floor({s}), {n}-2) as bigint) i, {s}-least(floor({s}), {n}-2) f from {cells} a join size b using (image_id) where b.level=1)"
+
+
+@query(f"""with {_SIZES}, g as ({G}), ys as {_stretched('y')}, xs as {_stretched('x')}
+ select ys.image_id, ys.t y, xs.t x, {s6('(p.v*(1-xs.f)+q.v*xs.f)*(1-ys.f)+(r.v*(1-xs.f)+s.v*xs.f)*ys.f')} v from ys join xs using (image_id)
+ join g p on p.image_id=ys.image_id and p.y=ys.i and p.x=xs.i join g q on q.image_id=ys.image_id and q.y=ys.i and q.x=xs.i+1
+ join g r on r.image_id=ys.image_id and r.y=ys.i+1 and r.x=xs.i join g s on s.image_id=ys.image_id and s.y=ys.i+1 and s.x=xs.i+1""")
 def e11_pyramid_level(spark: SparkSession, d: str) -> DataFrame:
-    return _out(GD.pyramid(B.grid(spark, d), K, 50, 64)[-1])
+    from rigspark.operators import bands as BD
+
+    return _out(BD.cells(_levels(spark, d)[1], K, ["v"]))
+
+
+def _moved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Smooth images, and the same moved on by one column."""
+    g = GD.gaussian(B.grid(spark, d), K, 5, 1.0)
+    return g, GD.wrap_shift(g, 64, 1)
 
 
 @query()
 def g16_refine_flow(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.flow import refine_flow
 
-    g = B.grid(spark, d)
-    b = GD.wrap_shift(g, 64, 1)
-    zero = g.select("image_id", "y", "x", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
-    return refine_flow(zero, g, b, K, 50, 64, sweeps=1)
+    a, b = _moved(spark, d)
+    zero = a.select("image_id", "y", "x", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
+    return refine_flow(zero, a, b, K).select("image_id", "y", "x", r6("fx").alias("fx"), r6("fy").alias("fy"))
+
+
+@query()
+def h3_dense_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Flow over all levels, and what it leaves of the difference of the images."""
+    from rigspark.plans.flow import dense_flow, warp_error
+
+    a, b = _moved(spark, d)
+    a, b = written(a), written(b)
+    error = warp_error(a, b, written(dense_flow(a, b, K, scale=1.0)), K)
+    return error.select("image_id", r6("rmse").alias("rmse"), r6("rmse_still").alias("rmse_still"))
 
 
 @query()

@@ -194,17 +194,8 @@ def diffuse_low_confidence(df: DataFrame, keys: list[str], a0: str, a1: str, k:
 def pyramid_sizes(rows: int, cols: int, scale: float = 0.9, least: int = 24) -> list[tuple[int, int]]:
     """Sizes of the levels, largest first."""
     out = [(rows, cols)]
-    while min(int(out[-1][0] * scale), int(out[-1][1] * scale)) > least:
-        out.append((int(out[-1][0] * scale), int(out[-1][1] * scale)))
-    return out
-
-
-def pyramid(df: DataFrame, keys: list[str], rows: int, cols: int, scale: float = 0.9, least: int = 24) -> list[DataFrame]:
-    """The levels of an image pyramid, each sampled from the one before."""
-    out, (h, w) = [df], (rows, cols)
-    for hh, ww in pyramid_sizes(rows, cols, scale, least)[1:]:
-        out.append(resize(out[-1], keys, h, w, hh, ww))
-        h, w = hh, ww
+    while min(size := tuple(int(n * scale + 0.5) for n in out[-1])) > least:
+        out.append(size)
     return out
 
 

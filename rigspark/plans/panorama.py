@@ -86,15 +86,19 @@ def to_spherical(images: DataFrame, cameras: DataFrame, cols: int, rows: int, sp
     return out.select("id", F.col("dy").alias("y"), F.col("dx").alias("x"), "v").withColumn("dx", F.col("x")).withColumn("a", edge).drop("dx")
 
 
-def pair_flow(images: DataFrame, ring: str, hint: str = "right", percent: float = 20.0, rows: int = 32, cols: int = 64) -> DataFrame:
-    """Displacement of each ring pair's overlap, from a block match refined level by level."""
+def pair_flow(images: DataFrame, ring: str, hint: str = "right", percent: float = 20.0, scale: float = 0.5) -> DataFrame:
+    """Displacement of each ring pair's overlap, from a block match refined level by level.
+
+    ``images``: ``(ring, y, x, v)``, with an alpha ``a`` if they have one; the pair is named by its first image.
+    """
     from rigspark.plans.flow import dense_flow
 
     pairs = ring_pairs(images.select(ring).distinct().withColumn("__all", F.lit(1)), ["__all"], ring).select(F.col("i").alias(ring), F.col("j"))
     pairs = small(pairs)
-    a = images.join(pairs, ring).select(F.col(ring).alias("pair_id"), "y", "x", "v")
-    b = images.withColumnRenamed(ring, "j").join(pairs, "j").select(F.col(ring).alias("pair_id"), "y", "x", "v")
-    return dense_flow(a, b, ["pair_id"], rows, cols, hint, percent)
+    kept = ["y", "x", "v", *(["a"] if "a" in images.columns else [])]
+    a = images.join(pairs, ring).select(F.col(ring).alias("pair_id"), *kept)
+    b = images.withColumnRenamed(ring, "j").join(pairs, "j").select(F.col(ring).alias("pair_id"), *kept)
+    return dense_flow(a, b, ["pair_id"], hint, percent, scale)
 
 
 def novel_view(left: DataFrame, right: DataFrame, flow_l: DataFrame, flow_r: DataFrame, keys: list[str], t: float, rows: int, cols: int) -> DataFrame:
