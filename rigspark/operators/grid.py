@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rigspark.functions.scalars import lerp
-from rigspark.scratch import small
+from rigspark.scratch import small, written
 
 
 def _axis(keys: list[str], line: str, pos: str) -> Window:
@@ -96,29 +97,68 @@ def gradients(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
 
 
 def iir_lowpass(df: DataFrame, keys: list[str], line: str, pos: str, v: str, amount: float, boundary: str = "reflect", limit: tuple[float, float] | None = None) -> DataFrame:
-    """Recursive low-pass along an axis, forward then backward, as folds over each line's array.
+    """Recursive low-pass along an axis, forward then backward, in time linear in a line's length.
 
-    ``alpha = amount ** 0.25``.  The border is mirrored or wrapped by one cell.
+    ``alpha = amount ** 0.25``.  The border is mirrored or wrapped by one cell; a line of one cell stays.
     """
     alpha = amount**0.25
     rows = df.groupBy(*keys, line).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(v).cast("double").alias("v")))), lambda s: s["v"]).alias("a"))
-    n = F.size("a")
-    mixed = lambda s, x: s * alpha + x * (1 - alpha)  # noqa: E731  lerp(x, s, alpha)
-    scan = lambda seed, xs: F.aggregate(xs, F.struct(seed.alias("v"), F.array().cast("array<double>").alias("o")), lambda s, x: F.struct(mixed(s["v"], x).alias("v"), F.concat(s["o"], F.array(mixed(s["v"], x))).alias("o")))
-    after = F.element_at("a", 1) if boundary == "wrap" else F.element_at("a", -2)
-    forward = scan(F.element_at("a", 1), F.concat(F.slice("a", 2, n - 1), F.array(after)))
-    rows = rows.withColumn("f", forward)
-    buffer = F.col("f.o")  # buffer[j-1] holds the value after reading cell j, for j = 1..n
-    # Backward over n-2..0, then the cell before the first: the last one, or mirrored to 1.
-    before = F.element_at(buffer, n) if boundary == "wrap" else F.element_at(buffer, 2)
-    back = scan(F.element_at(buffer, n), F.concat(F.reverse(F.slice(buffer, 1, n - 1)), F.array(before)))
-    rows = rows.withColumn("b", F.reverse(back["o"]))
-    out = rows.select(*keys, line, F.posexplode("b").alias(pos, "lp"))
+
+    def run(frames):
+        for frame in frames:
+            out = [None] * len(frame)
+            for n, at in frame.groupby(frame["a"].map(len)).indices.items():
+                for i, smooth in zip(at, lowpass(np.stack(frame["a"].iloc[at].to_list()), alpha, boundary), strict=True):
+                    out[i] = smooth
+            frame["a"] = out
+            yield frame
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, line])
+    out = rows.mapInPandas(run, f"{kinds}, a array<double>").select(*keys, line, F.posexplode("a").alias(pos, "lp"))
     if limit:
         out = out.withColumn("lp", F.least(F.greatest(F.col("lp"), F.lit(limit[0])), F.lit(limit[1])))
     return out.withColumn(pos, F.col(pos).cast(df.schema[pos].dataType))
 
 
+#: Cells of a line that one run of the recursion passes over one by one.
+SCAN_CELLS = 512
+
+
+def scanned(x: np.ndarray, seed: np.ndarray, alpha: float) -> np.ndarray:
+    """``s[i] = alpha * s[i - 1] + x[i]`` along each row, ``s[-1]`` being its seed, in linear time.
+
+    What a block of cells does to the state is a factor and an offset: blocks run side by side
+    from zero, the same recursion over their offsets gives the state before each, and this is
+    added with its factor.
+    """
+    rows, n = x.shape
+    if n <= SCAN_CELLS:
+        out, state = np.empty_like(x), seed
+        for i in range(n):
+            state = alpha * state + x[:, i]
+            out[:, i] = state
+        return out
+    blocks = -(-n // SCAN_CELLS)
+    padded = np.zeros((rows, blocks * SCAN_CELLS))
+    padded[:, :n] = x
+    local = scanned(padded.reshape(rows * blocks, SCAN_CELLS), np.zeros(rows * blocks), alpha).reshape(rows, blocks, SCAN_CELLS)
+    ends = scanned(local[:, :, -1], seed, alpha**SCAN_CELLS)
+    before = np.concatenate([seed[:, None], ends[:, :-1]], 1)
+    return (local + before[:, :, None] * alpha ** np.arange(1, SCAN_CELLS + 1)).reshape(rows, -1)[:, :n]
+
+
+def lowpass(a: np.ndarray, alpha: float, boundary: str) -> np.ndarray:
+    """Recursive low-pass of rows, forward then backward, mirrored or wrapped by one cell."""
+    n = a.shape[1]
+    if n < 2:
+        return a.copy()
+    after = a[:, :1] if boundary == "wrap" else a[:, -2:-1]
+    buffer = scanned((1 - alpha) * np.concatenate([a[:, 1:], after], 1), a[:, 0], alpha)
+    before = buffer[:, -1:] if boundary == "wrap" else buffer[:, 1:2]
+    back = np.concatenate([buffer[:, -2::-1], before], 1)
+    return scanned((1 - alpha) * back, buffer[:, -1], alpha)[:, ::-1]
+
+
 def sharpen(df: DataFrame, lp: DataFrame, on: list[str], amount: float, core: float = 100.0, v: str = "v", limit: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """Low-pass plus cored high-pass times the gain."""
     rows = df.join(lp, on)
@@ -319,61 +359,81 @@ def block_match(a: DataFrame, b: DataFrame, keys: list[str], hint: str, percent:
     return best.select(*keys, "y", "x", F.col("m.ox").alias("fx"), F.col("m.oy").alias("fy"), F.col("m.error").alias("error"))
 
 
+#: Rows of the vote's square, and the votes from which a cell is filled along its row.
+VOTE_REACH, VOTES = 4, 40
+#: Where a color's differences to green are taken from, ``(dy, dx)``, each with equal
+#: weight: at its own cells, at those of the other color, and at green cells beside and below it
+#: (there one tap counts twice and its mirror image not at all).
+OWN_TAPS = ((0, 0), (-2, 0), (2, 0), (0, -2), (0, 2))
+CORNER_TAPS = ((-1, -1), (1, -1), (-1, 1), (1, 1))
+BESIDE_TAPS = ((-2, -1), (0, -1), (2, -1), (-2, 1), (0, 1), (2, 1))
+ABOVE_TAPS = ((-1, -2), (-1, 0), (-1, 2), (1, -2), (1, 2), (1, 2))
+
+
 def _edge_aware(mosaic, channel):
-    """Red, green and blue of one mosaic as arrays: green along the calmer direction, constant hue."""
-    import numpy as np
+    """Red, green and blue of a mosaic: green along the direction that most of the square finds calmer.
+
+    ``channel``: the color of each cell.  Borders are mirrored, so colors keep their places.
+    """
+    def at(a, dy, dx, n=2):
+        p = np.pad(a, n, mode="reflect")
+        return p[n + dy : n + dy + a.shape[0], n + dx : n + dx + a.shape[1]]
 
-    pad = lambda a, n: np.pad(a, n, mode="reflect")
-    at = lambda a, dy, dx, n=2: a[n + dy : a.shape[0] - n + dy, n + dx : a.shape[1] - n + dx]
-    p = pad(mosaic, 2)
     green = channel == 1
-    across = (at(p, 0, -1) + at(p, 0, 1)) / 2 + (2 * mosaic - at(p, 0, -2) - at(p, 0, 2)) / 4
-    down = (at(p, -1, 0) + at(p, 1, 0)) / 2 + (2 * mosaic - at(p, -2, 0) - at(p, 2, 0)) / 4
-    g_h, g_v = np.where(green, mosaic, across), np.where(green, mosaic, down)
-
-    def box_sum(a, r):
-        c = np.cumsum(np.cumsum(np.pad(pad(a, r), ((1, 0), (1, 0))), 0), 1)
-        k = 2 * r + 1
-        return c[k:, k:] - c[:-k, k:] - c[k:, :-k] + c[:-k, :-k]
-
-    h, v = pad(g_h, 1), pad(g_v, 1)
-    rough_h, rough_v = np.abs(at(h, 0, 1, 1) - at(h, 0, -1, 1)), np.abs(at(v, 1, 0, 1) - at(v, -1, 0, 1))
-    g = np.where(box_sum(rough_h, 4) <= box_sum(rough_v, 4), g_h, g_v)
-    kernel = np.array([[1, 2, 1], [2, 4, 2], [1, 2, 1]], float)
+    fills, changes = [], []
+    for dy, dx in ((1, 0), (0, 1)):
+        one, two = (at(mosaic, -dy, -dx), at(mosaic, dy, dx)), (at(mosaic, -2 * dy, -2 * dx), at(mosaic, 2 * dy, 2 * dx))
+        bend = 2 * mosaic - two[0] - two[1]
+        fills.append(np.where(green, mosaic, (one[0] + one[1]) / 2 + bend / 4))
+        own = (np.abs(two[1] - mosaic) + np.abs(mosaic - two[0])) / 2
+        changes.append(np.where(green, own, np.abs(one[0] - one[1]) / 2 + np.abs(bend) / 2))
+    # At least as calm along the row, counted in the square.
+    calm = np.pad((changes[1] <= changes[0]).astype(int), VOTE_REACH, mode="reflect")
+    sums, k = np.pad(np.cumsum(np.cumsum(calm, 0), 1), ((1, 0), (1, 0))), 2 * VOTE_REACH + 1
+    votes = sums[k:, k:] - sums[:-k, k:] - sums[k:, :-k] + sums[:-k, :-k]
+    g = np.where(votes < VOTES, fills[0], fills[1])
+
     out = []
-    for c in (0, 2):
-        mask = (channel == c).astype(float)
-        diff, weight = pad((mosaic - g) * mask, 1), pad(mask, 1)
-        num = sum(kernel[i, j] * at(diff, i - 1, j - 1, 1) for i in range(3) for j in range(3))
-        den = sum(kernel[i, j] * at(weight, i - 1, j - 1, 1) for i in range(3) for j in range(3))
-        out.append(np.where(channel == c, mosaic, g + num / np.maximum(den, 1e-12)))
+    for color, other in ((0, 2), (2, 0)):
+        diff = np.where(channel == color, mosaic - g, 0.0)
+        mean = lambda taps: sum(at(diff, dy, dx) for dy, dx in taps) / len(taps)
+        beside = (at(channel, 0, -1) == color) | (at(channel, 0, 1) == color)
+        at_green = np.where(beside, mean(BESIDE_TAPS), mean(ABOVE_TAPS))
+        out.append(g + np.where(channel == color, mean(OWN_TAPS), np.where(channel == other, mean(CORNER_TAPS), at_green)))
     return out[0], g, out[1]
 
 
+def complete(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
+    """Images with a 0 for each missing cell."""
+    sizes = df.groupBy(*keys).agg((F.max("y") + 1).alias("__h"), (F.max("x") + 1).alias("__w"), F.count(F.lit(1)).alias("__n"))
+    holes = written(sizes.where("__n <> __h * __w"))
+    if not holes.limit(1).count():
+        return df
+    cells = holes.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__h") - 1)).alias("y"), "__w").select(*keys, "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__w") - 1)).alias("x"))
+    missing = cells.join(df.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
+    return df.select(*keys, "y", "x", v).unionByName(missing.withColumn(v, F.lit(0.0)))
+
+
 def demosaic_edge_aware(df: DataFrame, keys: list[str], pattern: str = "GBRG") -> DataFrame:
-    """Red, green and blue of whole mosaics ``(*keys, y, x, v)``, green along the calmer direction.
+    """Red, green and blue of mosaics ``(*keys, y, x, v)``, green along the calmer direction.
 
-    A task holds one image at a time.  The direction is that of the smaller sum of green gradients
-    in the 9 x 9 square; red and blue keep their difference to green.  Cells of an image that are
-    missing count as 0; images need at least three rows and columns.
-    """
-    import numpy as np
-    import pyarrow as pa
+    Each cell's change along its column and row is that of green and of the bend of its own color;
+    the direction is the row unless fewer than :data:`VOTES` cells of the 9 x 9 square are as calm
+    along it.  Red and blue follow the mean of their differences to green.  Missing cells count as
+    0, borders are mirrored.
 
+    Plan: images are dealt in bands of rows with a halo of eight, so no task holds an image.
+    """
     from rigspark.functions.scalars import BAYER
+    from rigspark.operators import bands as BD
 
     table = np.array(BAYER[pattern]).reshape(2, 2)
 
-    def run(rows: pa.Table) -> pa.Table:
-        y, x, v = (rows[c].to_numpy() for c in ("y", "x", "v"))
-        image = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
-        image[y, x] = v
-        yy, xx = np.indices(image.shape)
-        colors = _edge_aware(image, table[yy % 2, xx % 2])
-        out = rows.select([*keys, "y", "x"])
-        for name, c in zip("rgb", colors, strict=True):
-            out = out.append_column(name, pa.array(c[y, x]))
-        return out
+    def run(band: BD.Band) -> dict:
+        v = band["v"]
+        yy, xx = np.indices(v.shape)
+        colors = _edge_aware(v, table[(yy + band.first) % 2, xx % 2])
+        return {n: c[band.own] for n, c in zip("rgb", colors, strict=True)}
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, "y", "x"])
-    return df.select(*keys, "y", "x", "v").groupBy(*keys).applyInArrow(run, f"{kinds}, r double, g double, b double")
+    rows = BD.lines(complete(df.select(*keys, "y", "x", "v"), keys), keys, ["v"])
+    return BD.cells(BD.banded(rows, keys, ["v"], 8, run, list("rgb")), keys, list("rgb"))

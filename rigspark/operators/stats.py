@@ -4,15 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from rigspark.scratch import small
+
+from rigspark.scratch import small, written
+
+
+#: Rows of a group up to which they are sorted in one task.
+GROUP_ROWS = 1_000_000
+#: Accuracy of the sketch that narrows larger groups: ranks are off by one in so many rows at most.
+SKETCH = 10_000
 
 
 def floor_percentile(df: DataFrame, keys: list[str], v: str, ps: list[float]) -> DataFrame:
     """For each group and p the value at 0-based place ``floor(p * n)``: ``(*keys, p, value)``.
 
-    No interpolation.  Null and NaN do not count; a group without other values has no row.
+    No interpolation.  Null and NaN do not count; a group without other values, and a place that
+    the group does not have (p of 1), has no row.
+
+    Plan: groups of at most :data:`GROUP_ROWS` rows are sorted; see :func:`select_ranks` for the
+    way where there is a larger one.
     """
     rows = df.where(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")))
+    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most > GROUP_ROWS:
+        return select_ranks(rows, keys, v, ps)
     w = Window.partitionBy(*keys)
     rows = rows.select(*keys, F.col(v).alias("value"), F.row_number().over(w.orderBy(v)).alias("__rn"), F.count(F.lit(1)).over(w).alias("__n"))
     at = F.array(*(F.struct(F.lit(float(p)).alias("p"), (F.floor(F.lit(float(p)) * F.col("__n")) + 1).alias("at")) for p in ps))
@@ -20,6 +34,33 @@ def floor_percentile(df: DataFrame, keys: list[str], v: str, ps: list[float]) ->
     return rows.select(*keys, F.col("__p.p").alias("p"), "value")
 
 
+def select_ranks(rows: DataFrame, keys: list[str], v: str, ps: list[float]) -> DataFrame:
+    """:func:`floor_percentile` of groups of any size, without sorting one.
+
+    A sketch of each group, summed over the tasks, gives two values between which each place must
+    lie; one more pass counts the rows below them and those of each value between.  The place is
+    then found among the distinct values of a range that holds about one row in
+    ``SKETCH / 6``.  Should a sketch miss its bound the job fails rather than give another value.
+    """
+    x, slack = F.col(v).cast("double"), 3.0 / SKETCH
+    ends = [min(max(float(p) + s, 0.0), 1.0) for p in ps for s in (-slack, slack)]
+    sketch = rows.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(x, ends, SKETCH).alias("__e"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    # The sketch's value at the ends of the scale are the least and the largest.
+    edge = lambda i, p, name: F.col(name) if ends[i] in (0.0, 1.0) else F.col("__e")[i]
+    ranges = F.array(*(F.struct(F.lit(float(p)).alias("p"), (F.floor(F.lit(float(p)) * F.col("__n")) + 1).alias("at"), edge(2 * i, p, "__lo").alias("low"), edge(2 * i + 1, p, "__hi").alias("high")) for i, p in enumerate(ps)))
+    bounds = small(written(sketch.select(*(f"__{k}" for k in keys), ranges.alias("__r"))))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    both = rows.join(bounds, same) if keys else rows.crossJoin(bounds)
+    both = both.select(*keys, F.col(v).alias("value"), x.alias("__x"), F.explode("__r").alias("__r")).where(F.col("__x") <= F.col("__r.high"))
+    below = F.col("__x") < F.col("__r.low")
+    counts = both.groupBy(*keys, F.col("__r.p").alias("p"), F.col("__r.at").alias("__at"), F.when(~below, F.col("value")).alias("value"), below.alias("__below")).agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*keys, "p")
+    until = F.sum("__c").over(w.orderBy(F.desc("__below"), "value"))
+    found = counts.withColumn("__u", until).withColumn("__all", F.sum("__c").over(w)).where((F.col("__u") >= F.col("__at")) & (F.col("__u") - F.col("__c") < F.col("__at")))
+    sure = F.when(~F.col("__below"), F.col("value")).otherwise(F.raise_error(F.lit("the sketch missed a place")).cast(rows.schema[v].dataType))
+    return found.select(*keys, "p", sure.alias("value"))
+
+
 def median_vector(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Median of each column, the mean of the two middle values for even counts."""
     return df.groupBy(*keys).agg(*(F.percentile(c, 0.5).alias(c) for c in cols))
