@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rigspark.llm.common import mix, shingled, written
+from rigspark.llm.common import fresh_names, mix, shingled, written
 from rigspark.operators.graph import connected_components
 
 #: Shingles of one block of the search; larger candidate groups are searched block by block.
@@ -455,8 +455,10 @@ def _small(df: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The input without near copies: of each linked group the rows with its smallest id stay.
 
-    Rows with a null id and texts without words all stay; so do rows that repeat a kept id.
+    Rows with a null id and texts without words all stay; so do rows that repeat a kept id, and
+    all columns of any name.
     """
     found = jaccard_components(docs, id_col, text_col, width, percent)
-    gone = _small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    name = fresh_names(docs, "gone")["gone"]
+    gone = _small(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

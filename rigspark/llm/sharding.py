@@ -33,13 +33,17 @@ def interleave(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     counts differ by one at most.  So every shard holds each source in the proportion of the
     whole.  A null source is a source of its own, null ids and texts hash as such, and rows equal
     in id and text take neighbouring ranks of their source in either order.  An empty table gives
-    an empty result; columns named ``shard`` or ``slot`` are replaced.
+    an empty result; columns named ``shard`` or ``slot`` are replaced, all others of any name stay
+    as they are.
 
     Plan: each of the two rankings is a count over hash or rank ranges of about ``RANGE_ROWS``
     rows, running sums over these counts, and a row number within each range.  No task gets more
     than such a range for any key, however many rows a source has.
     """
-    docs = docs.drop("shard", "slot")
+    # The input's columns stand under numbers until the end, apart from the helpers' names.
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    docs = docs.select(*(F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(names)))
+    id_col, text_col, source_col = (f"__in{names.index(c)}" for c in (id_col, text_col, source_col))
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t"))
     rows = docs.withColumn("__key", key).withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
     total = docs.count()
@@ -59,13 +63,15 @@ def interleave(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     n = max(total, 1)
     out = out.withColumn("shard", F.expr(f"__place * {shards}L div {n}L"))
     slot = F.col("__place") - F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")
-    return out.select(*docs.columns, F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return out.select(*(F.col(f"__in{i}").alias(c) for i, c in enumerate(names)), F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def shard_report(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 4) -> DataFrame:
     """Shard and slot of each document with its size in bytes plus 8 and its text's CRC-32.
 
-    The law is ``rows``: the row counts of the shards differ by one at most.  A null text has
+    The law is ``rows``: the row counts of the shards differ by one at most, and every shard
+    holds the sources in proportion, so equal texts, which the contract calls groups, are rows of
+    their own and may lie in several shards: the laws bind sizes, counts or keys, not groups.  A null text has
     size 8 and the CRC-32 of no bytes, 0.  ``grown_shard`` is null under this law.
     """
     size: Column = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8

@@ -47,6 +47,18 @@ def test_edges(spark, monkeypatch):
     assert shard_report(docs.limit(0)).count() == 0
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["__key", "__hash", "__all", "__range", "__before", "__rank", "__part", "__earlier", "__place", "__rows", "n", "a.b", "__in0", "__in1"]
+    rows = [(i, f"text {i}", "ab"[i % 2], *(f"{n}{i}" for n in names)) for i in range(30)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{n}` string" for n in names)]))
+    got = interleave(docs, 7)
+    assert got.columns == [*docs.columns, "shard", "slot"]
+    check(got.collect(), 7, 30)
+    assert sorted(tuple(r)[:-2] for r in got.collect()) == sorted(map(tuple, rows))
+    dotted = interleave(docs.withColumnRenamed("text", "the.text"), 7, text_col="the.text")
+    assert "the.text" in dotted.columns and dotted.count() == 30
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = shard_report(docs)._jdf.queryExecution().toString()
