@@ -3,6 +3,12 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and
 read again as the next stage's ``docs``.  All but the last return the columns of ``documents``;
 the last adds ``shard`` and ``slot``.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, ties and further
+columns of any name, which stay (but ``shard`` and ``slot`` at the end): a null text is judged like
+an empty one by the classifier, has no words for the joins and the benchmark, and so gets no copies
+in the mix; a null source is a source of its own; rows with a null id, or that repeat a kept id,
+are no copies of others.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
