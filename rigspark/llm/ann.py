@@ -23,6 +23,9 @@ EF_BUILD, EF_SEARCH = 100, 384
 #: Distinct vectors of a shard, and queries of one block; a block of queries is then at least as
 #: large as the graph that is sent to it, so copies of graphs at most double what is shuffled.
 SHARD_ROWS, QUERY_ROWS = 16_384, 32_768
+#: How much the lengths in one graph may differ, vectors that it has at least, and candidates kept
+#: at least where a shard has several graphs.
+BAND, BAND_ROWS, LEAST_SEARCH = 1.1, 512, 96
 #: Nodes inserted together, and queries walked together.
 INSERT_ROWS, WALK_ROWS = 512, 128
 
@@ -35,7 +38,7 @@ def _best(most: int, score: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
     return [np.take_along_axis(a, at, 1) for a in (score, *more)]
 
 
-class Graph:
+class Layers:
     """Layered graph over vectors of one length, each layer a flat array of neighbours (-1: none).
 
     Inner products are made comparable with distances by one more component that brings all
@@ -160,7 +163,7 @@ class Graph:
         return out | {f"links{k}": x[self.level >= k] for k, x in enumerate(self.links) if k}
 
     @classmethod
-    def of(cls, arrays) -> Graph:
+    def of(cls, arrays) -> Layers:
         self = cls.__new__(cls)
         self.points, self.level, self.entry = arrays["points"], arrays["level"], int(arrays["entry"])
         self.links = [arrays["links0"]]
@@ -171,6 +174,57 @@ class Graph:
         return self
 
 
+class Graph:
+    """A shard's graphs: one for each band of vectors whose lengths differ little.
+
+    In one graph over all lengths the component that makes inner products comparable outweighs the
+    others for short vectors, and these crowd together.  Bands hold lengths within ``BAND`` of
+    each other, but ``BAND_ROWS`` vectors at least; vectors of one length are one band.  Every
+    band is searched, a small one with a shorter list of candidates.
+    """
+
+    def __init__(self, vectors: np.ndarray, seed: int = 10) -> None:
+        norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        order = np.argsort(-norm, kind="stable")
+        cuts, first = [0], 0
+        while first < len(order):
+            last = int(np.searchsorted(-norm[order], -norm[order[first]] / BAND, "right"))
+            last = max(last, first + BAND_ROWS)
+            first = len(order) if len(order) - last < BAND_ROWS else last
+            cuts.append(first)
+        # Within a band nodes keep the order that they came in.
+        self.rows = [np.sort(order[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.bands = [Layers(vectors[rows], seed) for rows in self.rows]
+
+    @property
+    def links(self) -> list[np.ndarray]:
+        return [links for band in self.bands for links in band.links]
+
+    def search(self, queries: np.ndarray, ef: int) -> np.ndarray:
+        """For each query the nodes that the walks find, at least ``ef`` where there are as many, in any order (-1: none)."""
+        out, total = [], sum(map(len, self.rows))
+        for rows, band in zip(self.rows, self.bands, strict=True):
+            width = min(max(int(ef * math.sqrt(len(rows) / total)), LEAST_SEARCH), ef, len(rows)) if len(self.rows) > 1 else min(ef, len(rows))
+            found = band.search(queries, width)
+            out.append(np.where(found >= 0, rows[found], -1))
+        return np.concatenate(out, 1)
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """The flat form of all bands."""
+        out = {}
+        for i, (rows, band) in enumerate(zip(self.rows, self.bands, strict=True)):
+            out |= {f"rows_{i}": rows} | {f"{name}_{i}": a for name, a in band.arrays().items()}
+        return out
+
+    @classmethod
+    def of(cls, arrays) -> Graph:
+        self = cls.__new__(cls)
+        count = sum(k.startswith("rows_") for k in arrays)
+        self.rows = [arrays[f"rows_{i}"] for i in range(count)]
+        self.bands = [Layers.of({k.rsplit("_", 1)[0]: a for k, a in arrays.items() if k.endswith(f"_{i}")}) for i in range(count)]
+        return self
+
+
 def _distinct(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Vectors of a batch as bytes with the smallest ids of each: repeated ones before any shuffle."""
     for batch in batches:
@@ -203,7 +257,7 @@ def _search(queries: pa.Table, graphs: pa.Table, k: int) -> pa.Table:
         query_ids, query_tags = queries["query_id"].to_pylist(), queries["tag"].to_pylist()
         for at in range(0, len(queries), WALK_ROWS):
             q = np.frombuffer(b"".join(queries["vec"].slice(at, WALK_ROWS).to_pylist()), np.float64).reshape(-1, vectors.shape[1])
-            nodes = graph.search(q, min(max(EF_SEARCH, 2 * k), len(vectors)))
+            nodes = graph.search(q, max(EF_SEARCH, 2 * k))
             scores = np.where(nodes >= 0, np.einsum("amd,ad->am", vectors[nodes], q), -np.inf)
             # What is below the k + 1 best nodes cannot be among the k best rows other than the query's own.
             least = np.sort(scores, axis=1)[:, -min(k + 1, scores.shape[1])]

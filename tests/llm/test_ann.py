@@ -44,6 +44,28 @@ def test_recall_of_a_full_shard_of_random_vectors(equal_lengths):
     assert recall >= (0.98 if equal_lengths else 0.9), recall
 
 
+@pytest.mark.parametrize("sigma", [0.1, 0.25, 0.5])
+def test_recall_of_a_shard_whose_lengths_differ(sigma):
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((SHARD_ROWS, 64))
+    vectors *= rng.lognormal(0, sigma, (SHARD_ROWS, 1)) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    queries = vectors[rng.choice(SHARD_ROWS, 200, False)]
+    found = Graph(vectors).search(queries, EF_SEARCH)
+    want = np.argsort(-(queries @ vectors.T), axis=1)
+    for k in (3, 20):
+        assert np.mean([len(set(f) & set(w[:k])) / k for f, w in zip(found.tolist(), want.tolist())]) >= 0.9
+
+
+def test_bands_cover_all_rows():
+    rng = np.random.default_rng(2)
+    vectors = rng.standard_normal((5000, 6)) * rng.lognormal(0, 1, (5000, 1))
+    graph = Graph(vectors)
+    assert len(graph.rows) > 3 and sorted(np.concatenate(graph.rows).tolist()) == list(range(5000))
+    assert min(map(len, graph.rows)) >= 512
+    again = Graph.of(graph.arrays())
+    assert (graph.search(vectors[:40], 60) == again.search(vectors[:40], 60)).all()
+
+
 def test_stored_graph_is_the_graph():
     vectors = np.random.default_rng(1).standard_normal((3000, 8))
     graph = Graph(vectors)
