@@ -35,9 +35,34 @@ _NAMED = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def name_parts(attributes: str) -> set[str]:
-    """Words of an element's class, id, role and label."""
-    return {p.lower() for m in _NAMED.finditer(attributes) for p in _PART.findall(m[1] or m[2] or m[3] or "")} if attributes else set()
+#: Words that main elements are named by, and words after or before which a name
+#: tells of a page's make, not of what the element holds.
+MAIN_WORDS = frozenset("article body content copy entry hentry main page post prose single story text".split())
+TELLING_OF = frozenset("with has have no without is not show hide".split())
+STATES = frozenset("open closed enabled disabled active on off".split())
+KINDS = frozenset("category tag tags type format status author".split())
+
+
+def name_parts(tag: str, attributes: str) -> set[str]:
+    """Words of an element's class, id, role and label.
+
+    Names of main elements are full of words that tell of other parts (``post with-sidebar``,
+    ``comments-open``, ``category-news``).  So what follows a word like *with* or *has*, and what
+    stands before a state, is left out; and in an element that is an article or main, or has a
+    name of main words only, all other words carry a mark and are learnt apart.
+    """
+    if not attributes:
+        return set()
+    names = [[p.lower() for p in _PART.findall(name)] for m in _NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split()]
+    kept = []
+    for parts in names:
+        at = next((i for i, p in enumerate(parts) if p in TELLING_OF), len(parts))
+        if parts[-1:] and parts[-1] in STATES:
+            at = 0
+        kept.append(parts[:at])
+    main = tag in ("article", "main") or any(parts and MAIN_WORDS.issuperset(parts) for parts in kept)
+    words = {p for parts in kept for p in parts}
+    return {p if p in MAIN_WORDS else f"{p}@main" for p in words} if main else words
 
 
 @dataclass
@@ -116,7 +141,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 del stack[stop:]
         _, above, inner, both = stack[-1]
         # Names of the whole page tell none of its blocks apart.
-        names = name_parts(m[4] or m[7] or "") if tag not in ("html", "body") else ()
+        names = name_parts(tag, m[4] or m[7] or "") if tag not in ("html", "body") else ()
         fresh = {f"<{tag}>", *(f".{p}" for p in names)}
         own = frozenset("=" + f for f in fresh) if block else inner
         if fresh <= above and own == inner:
@@ -268,6 +293,8 @@ def labelled_pages(count: int = 700, seed: int = 2) -> list[tuple[list[Block], l
     def named(kind: str) -> str:
         names = PART_NAMES[kind].split()
         name = rng.choice(names[:4] if rng.random() < 0.4 else names)
+        if rng.random() < 0.12:  # named after what they belong to
+            name = rng.choice(["post", "entry", "article", "content", "page"]) + "-" + name
         return rng.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {rng.choice(["box", "wrap", "block", "x1"])}"', f" class='{name}'"])
 
     def links(n: int) -> str:
@@ -306,14 +333,43 @@ def labelled_pages(count: int = 700, seed: int = 2) -> list[tuple[list[Block], l
             out.append(part(rng.choice(["comments", "share", "aside", "comments"]), 1.0))
         return "".join(out)
 
+    def noise() -> str:
+        """Further names of a main element, taken from the names of other parts."""
+        other = rng.choice([n for names in PART_NAMES.values() for n in names.split()])
+        return rng.choice([f"with-{other}", f"has-{other}", f"no-{other}", f"{other}-open", f"category-{other}", f"tag-{other}", f"post-{other}", f"type-post format-{other}", f"content-with-{other}", f"{other}-closed", "hentry", "status-publish", "x1 wide"])
+
+    def some(name: str) -> str:
+        return " ".join([*name.split()[:1], *(noise() for _ in range(rng.choice([0, 0, 1, 1, 2, 3])))])
+
+    def stray() -> str:
+        """Short parts that no name or tag tells: a word or link at the page's ends."""
+        text = words(rng.randint(1, 2))
+        return rng.choice([f"<div>{text}</div>", f"<div><a href='/'>{text}</a></div>", f"<table><tr><td><a href='/'>{text}</a></td></tr></table>", f"<div class='x{rng.randint(1, 9)}'>{text}</div>", f"<p><a href='/'>{text}</a></p>"])
+
     pages = []
+    for _ in range(count // 20):  # text without markup, or with paragraphs only
+        texts = [mark + paragraph() for _ in range(rng.randint(1, 4))]
+        bare = "".join(f"<p>{t}</p>" for t in texts) if rng.random() < 0.5 else mark + paragraph()
+        blocks = leaf_blocks(bare)
+        pages.append(([Block(b.text.replace(mark, ""), b.above, b.links) for b in blocks if b.text.replace(mark, "")], [True for b in blocks if b.text.replace(mark, "")]))
     for _ in range(count):
         kind = rng.random()
-        name = rng.choice(MAIN_NAMES.split())
-        open_, close = ("<article>", "</article>") if kind < 0.4 else ("<main>", "</main>") if kind < 0.5 else (f"<div class='{name}'>", "</div>") if kind < 0.75 else (f"<main><article class='{name}'>", "</article></main>") if kind < 0.85 else (f"<section id='{name}'>", "</section>") if kind < 0.93 else ("<div>", "</div>")
+        name = some(rng.choice(MAIN_NAMES.split()))
+        open_, close = (rng.choice(["<article>", f"<article class='{name}'>"]), "</article>") if kind < 0.4 else ("<main>", "</main>") if kind < 0.5 else (f"<div class='{name}'>", "</div>") if kind < 0.75 else (f"<main><article class='{name}'>", "</article></main>") if kind < 0.85 else (f"<section id='{name}'>", "</section>") if kind < 0.93 else ("<div>", "</div>")
         before = [part(rng.choice(["nav", "header", "nav", "notice", "ad", "form", "header"])) for _ in range(rng.randint(1, 4))]
         after = [part(rng.choice(["footer", "aside", "comments", "ad", "footer", "nav", "notice", "form", "share"])) for _ in range(rng.randint(1, 4))]
-        page = f"<html><head><title>{words(5)}</title></head><body>" + "".join(before) + open_ + main() + (close if rng.random() < 0.95 else "") + "".join(after) + rng.choice(["</body></html>", ""])
+        if rng.random() < 0.15:
+            before.insert(0, stray())
+        if rng.random() < 0.15:
+            after.append(stray())
+        around = ("", "")
+        if rng.random() < 0.2:  # a layout's wrapper, named by what else it holds
+            around = (f"<div class='{rng.choice(['wrap', 'container', 'layout', 'page'])} {noise()}'>", "</div>")
+            if rng.random() < 0.5:
+                before.append(around[0])
+                after.insert(rng.randint(0, len(after)), around[1])
+                around = ("", "")
+        page = f"<html><head><title>{words(5)}</title></head><body>" + around[0] + "".join(before) + open_ + main() + (close if rng.random() < 0.95 else "") + "".join(after) + around[1] + rng.choice(["</body></html>", ""])
         blocks = leaf_blocks(page)
         labels = [mark in b.text for b in blocks]
         pages.append(([Block(b.text.replace(mark, ""), b.above, b.links) for b in blocks if b.text.replace(mark, "")], [k for k, b in zip(labels, blocks, strict=True) if b.text.replace(mark, "")]))

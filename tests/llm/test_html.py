@@ -1,6 +1,8 @@
 import re
 from html import unescape
 
+import pytest
+
 from rigspark.llm.html import default_field, extract_text, labelled_pages, leaf_blocks, main_text, page_texts
 
 #: Hand-written pages and the main text that a reader would take from each.
@@ -127,3 +129,46 @@ def test_edges(spark):
     assert got[1] == "" and got[2] == "" and got[None] == "" and len(got[3]) == 17 * 50_000 - 1
     assert extract_text(pages).columns == ["page_id", "url", "n_chars", "text"]
     assert page_texts(pages.limit(0)).count() == 0
+
+
+ARTICLE = "<h1>A fine title here</h1><p>The first paragraph says something of interest, at some length.</p><p>The second one goes on and ends.</p>"
+ARTICLE_TEXT = "A fine title here\n\nThe first paragraph says something of interest, at some length.\n\nThe second one goes on and ends."
+AROUND = "<nav><ul><li><a href=/>Home</a></li><li><a href=/b>Blog</a></li></ul></nav>{}<footer><p>&copy; Example. All rights reserved.</p></footer>"
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("name", ["", "post", "main-content", "post with-sidebar", "post has-sidebar", "post category-news tag-links", "post comments-open", "content-with-ads", "entry post-notice", "hentry type-post status-publish format-standard category-sidebar", "page no-sidebar has-comments"])
+def test_names_of_the_main_element_drop_nothing(tag, name):
+    page = AROUND.format(f"<{tag} class='{name}'>{ARTICLE}</{tag}>")
+    assert main_text(page, default_field(), {}) == ARTICLE_TEXT
+
+
+def test_pages_without_names_or_tags():
+    text = "Just plain text without any tags. It has two sentences."
+    assert main_text(text, default_field(), {}) == text
+    assert main_text("<p>One paragraph only.</p>", default_field(), {}) == "One paragraph only."
+    wrapped = AROUND.format(f"<div class='wrap with-sidebar'><div class='post'>{ARTICLE}</div><div class='sidebar'><p>About me and more.</p></div></div>")
+    assert main_text(wrapped, default_field(), {}) == ARTICLE_TEXT
+    assert main_text(AROUND.format(f"<div>{ARTICLE}</div><div class='x7'>Imprint</div>"), default_field(), {}) == ARTICLE_TEXT
+
+
+#: Pages of other makes than the generator's; ``+`` marks the blocks that are main text.
+WRITTEN = [
+    """<body class="home blog sidebar-right"><div id="page" class="hfeed site"><div class="skip-link"><a href="#c">Skip to content</a></div><header id="masthead"><p class="site-title"><a href="/">Garden Notes</a></p><nav class="main-navigation"><ul class="menu"><li><a href="/">Start</a><li><a href="/about">About</a></ul></nav></header>
+    <div id="primary" class="content-area"><main id="main" class="site-main"><article id="post-12" class="post-12 post type-post hentry category-garden tag-soil comments-open"><h1 class="entry-title">+Digging in spring</h1><div class="entry-content"><p>+Wait until the soil crumbles in your hand.</p><p>+Then turn it over, a spade deep, and leave it to the birds.</p><blockquote><p>+Patience is half the harvest.</p></blockquote></div></article>
+    <div id="comments" class="comments-area"><h2>2 thoughts on this</h2><ol class="comment-list"><li class="comment"><article class="comment-body"><p>Works for me as well, thank you!</p></article></ol><form class="comment-form"><label>Your reply</label><textarea></textarea></form></div></main></div>
+    <aside id="secondary" class="widget-area"><section class="widget"><h2>Recent posts</h2><ul><li><a href="/1">Compost</a></ul></section></aside><footer class="site-footer"><p>Proudly powered by nothing.</p></footer></div></body>""",
+    """<html><body><center><table width=700><tr><td bgcolor=silver><a href=i.html>Index</a> | <a href=n.html>Next</a></td></tr><tr><td><h2>+The old lighthouse</h2><p>+It was built in 1821 of grey stone, and the sea has taken two of its three keepers' houses since.<p>+Visitors climb 112 steps. The lamp was put out for good in 1974.</td></tr></table></center></body></html>""",
+    """<div class="cookie-banner"><p>We use cookies to improve your visit. <button>Accept</button></p></div><header class="top-bar"><a class="logo" href="/">Daily Herald</a></header><main><section class="story" itemprop="articleBody"><h1>+Bridge to open a year late</h1><p>+The new bridge will not open before next autumn, the council said on Monday.</p><div class="ad-slot">Sponsored: the best mattress of the year.</div><p>+Costs have risen by a third, and two of the four builders have left.</p><ul class="share-buttons"><li><a href="#">Share</a></li></ul></section><section class="related"><h3>Read more</h3><ul><li><a href="/x">Ferry fares rise again</a></li></ul></section></main><footer>Copyright 2021 Daily Herald. All rights reserved.</footer>""",
+    """<div class="layout has-toc"><div class="toc"><ul><li><a href="#a">Install</a></li><li><a href="#b">Use</a></li></ul></div><div class="markdown-body content"><h1>+Install</h1><p>+Unpack the archive into any folder.</p><pre>+tar xf tool.tar</pre><h2>+Use</h2><p>+Run the tool on a file to see its parts.</p><ol><li>+Open a shell.</li><li>+Type the name of the tool.</li></ol></div><div class="pagination"><a href="/p">Previous</a> <a href="/n">Next</a></div></div>""",
+]
+
+
+def test_hand_written_pages_of_other_makes():
+    hit = kept = true = 0
+    for page in WRITTEN:
+        got = main_text(page.replace("+", ""), default_field(), {}).split("\n\n")
+        want = [b.text[1:] for b in leaf_blocks(page) if b.text.startswith("+")]
+        hit, kept, true = hit + len(set(got) & set(want)), kept + len(got), true + len(want)
+    print(f"block precision {hit / kept:.3f}, recall {hit / true:.3f}")
+    assert hit / true >= 0.95 and hit / kept >= 0.85
