@@ -91,12 +91,17 @@ def b23_spherical_maps(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("point_id", *(r6(c).alias(f"d{a}") for a, c in zip("xyz", ray, strict=True)), r6(fx).alias("front_x"), r6(fy).alias("front_y"))
 
 
-@query(f"select point_id, {s6('x/1000')} x, {s6('y/1000')} y, {s6('z/1000')} z from ({P})")
+_AXIS = f"(select point_id, x/1000 x, y/1000 y, z/1000 z, sqrt(x*x+y*y+z*z)/1000 n from ({P}))"
+
+
+@query(f"""select point_id, {s6('x')} x, {s6('y')} y, {s6('z')} z, {s6('cos(n)+(1-cos(n))*x*x/(n*n)')} r00, {s6('(1-cos(n))*x*y/(n*n)-sin(n)*z/n')} r01,
+ {s6('(1-cos(n))*x*z/(n*n)+sin(n)*y/n')} r02, {s6('(1-cos(n))*y*z/(n*n)-sin(n)*x/n')} r12 from {_AXIS}""")
 def b19_rotation_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the rotation by its formula, and the vector that comes back from it."""
     rows = C.rotation_rows(tuple(F.col(c) / 1000 for c in "xyz"))
     flat = B.points(spark, d).select("point_id", *(rows[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)))
     back = C.angle_axis([[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)])
-    return flat.select("point_id", *(r6(c).alias(a) for a, c in zip("xyz", back, strict=True)))
+    return flat.select("point_id", *(r6(c).alias(a) for a, c in zip("xyz", back, strict=True)), *(r6(c).alias(c) for c in ("r00", "r01", "r02", "r12")))
 
 
 @query(f"select p_size k, id, {s6('dx*fx+dy*fy+dz*fz')} score from (select *, row_number() over (partition by p_size order by round(dx*fx+dy*fy+dz*fz,9) desc, ordinal) rn from (select distinct p_size, cos(p_size/8.0) dx, sin(p_size/8.0) dy, 0.0 dz from part), {RIG}) where rn=1")
@@ -123,22 +128,35 @@ def c7_overlap_fraction(spark: SparkSession, d: str) -> DataFrame:
     return overlap_fraction(B.rig(spark).join(B.points(spark, d).select((F.col("point_id") - 1).cast("int").alias("ordinal")), "ordinal", "left_semi"))
 
 
-@query(f"""with q as (select point_id, x, y, z, -50.0 ax, 10.0 ay, 0.0 az, 60.0 bx, -20.0 by_, 5.0 bz from ({P}))
- select point_id, {s6('x', 3)} x, {s6('y', 3)} y, {s6('z', 3)} z from q""")
+_RAYS = f"""(select point_id, -50.0::double px, 10.0::double py, 0.0::double pz, x+50 vx, y-10 vy, z vz, 60.0::double qx, -20.0::double qy, 5.0::double qz,
+ x-60+point_id%7 wx, y+20-point_id%3 wy, z-5+point_id%5 wz from ({P}))"""
+_TWO = f"""(select *, vx*vx+vy*vy+vz*vz aa, vx*wx+vy*wy+vz*wz ab, wx*wx+wy*wy+wz*wz bb, vx*(px-qx)+vy*(py-qy)+vz*(pz-qz) ad, wx*(px-qx)+wy*(py-qy)+wz*(pz-qz) bd from {_RAYS})"""
+_NEAREST = f"(select *, (ab*bd-bb*ad)/(aa*bb-ab*ab) ta, (aa*bd-ab*ad)/(aa*bb-ab*ab) tb from {_TWO})"
+_TA, _TB = (f"case when ta>=0 and tb>=0 then {t} else 1e6::double end" for t in ("ta", "tb"))
+
+
+@query(f"select point_id, {', '.join(s6(f'(p{a}+{_TA}*v{a}+q{a}+{_TB}*w{a})/2', 3) + f' {a}' for a in 'xyz')} from {_NEAREST}")
 def g5_midpoint(spark: SparkSession, d: str) -> DataFrame:
+    """The middle between the closest points of rays that pass each other."""
     a, b = tuple(F.lit(v) for v in (-50.0, 10.0, 0.0)), tuple(F.lit(v) for v in (60.0, -20.0, 5.0))
-    to = lambda o: tuple(F.col(c) - v for c, v in zip("xyz", o, strict=True))
-    m = C.midpoint(a, to(a), b, to(b))
+    i, (x, y, z) = F.col("point_id"), (F.col(c) for c in "xyz")
+    m = C.midpoint(a, (x + 50, y - 10, z), b, (x - 60 + i % 7, y + 20 - i % 3, z - 5 + i % 5))
     return B.points(spark, d).select("point_id", *(r6(c, 3).alias(n) for n, c in zip("xyz", m, strict=True)))
 
 
-@query(f"select point_id, id, {s6('sqrt(power(px-(px+point_id%5),2)+power(1.0,2))', 4)} error from {_PX} where not outside and px>=0 and px<2048 and py>=0 and py<2048")
+_SHIFTED = _PX.replace(f"({P}) p", f"(select point_id, x+point_id%5 x, y+1 y, z-point_id%3 z from ({P})) p")
+_IN = "not {0}.outside and {0}.px>=0 and {0}.px<2048 and {0}.py>=0 and {0}.py<2048"
+
+
+@query(f"select a.point_id, a.id, case when {_IN.format('a')} then {s6('sqrt(power(a.px-b.px,2)+power(a.py-b.py,2))', 4)} end error from {_PX} a join {_SHIFTED} b using (point_id, id) where {_IN.format('b')}")
 def g7_reprojection_error(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of points that lie a little beside those they are compared with."""
     from rigspark.operators.fit import reprojection_error
     from rigspark.plans.calibration import visible_observations
 
-    obs = visible_observations(B.points(spark, d), B.rig(spark)).drop("x", "y", "z")
-    obs = obs.withColumn("px", F.col("px") + F.col("point_id") % 5).withColumn("py", F.col("py") + 1)
+    i = F.col("point_id")
+    beside = B.points(spark, d).select("point_id", (F.col("x") + i % 5).alias("x"), (F.col("y") + 1).alias("y"), (F.col("z") - i % 3).alias("z"))
+    obs = visible_observations(beside, B.rig(spark)).drop("x", "y", "z")
     return reprojection_error(obs, B.points(spark, d), ["point_id"]).select("point_id", "id", r6("error", 4).alias("error"))
 
 
@@ -151,7 +169,7 @@ def g6_triangulate(spark: SparkSession, d: str) -> DataFrame:
     truth = B.points(spark, d)
     obs = visible_observations(truth, B.rig(spark)).drop("x", "y", "z")
     start = truth.select("point_id", *((F.col(c) * 1.1 + 5).alias(c) for c in "xyz"))
-    got = triangulate(obs, ["point_id"], start, steps=3)
+    got = triangulate(obs, ["point_id"], start)
     t = truth.select("point_id", *(F.col(c).alias(f"t{c}") for c in "xyz"))
     gone = F.sqrt(sum(((F.col(c) - F.col(f"t{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
     return got.join(t, "point_id").select("point_id", F.round(gone, 2).alias("distance"))
@@ -216,7 +234,7 @@ def g11_fit_vignetting(spark: SparkSession, d: str) -> DataFrame:
 
     g = B.grid(spark, d)
     s = g.select("image_id", (F.col("x") / 64.0).alias("sx"), (F.col("y") / 64.0).alias("sy"), (1 + 0.3 * (F.col("x") / 64.0 - 0.5) ** 2 + 0.1 * F.col("v")).alias("t"))
-    out = fit_vignetting(s, ["image_id"], "sx", "sy", "t", rounds=3)
+    out = fit_vignetting(s, ["image_id"], "sx", "sy", "t")
     return out.select("image_id", F.transform("h", lambda c: F.round(c, 3)).alias("h"))
 
 
@@ -227,7 +245,7 @@ def g14_ransac_inliers(spark: SparkSession, d: str) -> DataFrame:
     p = B.points(spark, d)
     noise = F.when(F.col("point_id") % 4 == 0, F.col("point_id") * 13 % 500).otherwise(0)
     m = p.select("point_id", F.col("x").alias("x0"), F.col("z").alias("y0"), (F.col("x") * 1.1 + 5 + noise).alias("x1"), (F.col("z") * 0.9 - 3 + noise).alias("y1"))
-    return ransac_inliers(m, 1.0, 60).select("point_id")
+    return ransac_inliers(m, 1.0).select("point_id")
 
 
 _SEEN = f"(select * from {_PX} where not outside and px>=0 and px<2048 and py>=0 and py<2048)"

@@ -114,7 +114,7 @@ def h2_to_spherical(spark: SparkSession, d: str) -> DataFrame:
     rig = B.rig(spark).withColumns({c: F.transform(c, lambda v: v / 32) for c in ("resolution", "principal", "focal")})
     images = B.grid(spark, d).join(F.broadcast(rig.select(F.col("ordinal").cast("long").alias("image_id"), "id")), "image_id").select("id", "y", "x", "v")
     rig = rig.join(F.broadcast(images.select("id").distinct()), "id", "left_semi")
-    return to_spherical(images, rig, 40, 30, 1.2, 0.6, (50, 64)).select("id", "y", "x", r6("v").alias("v"), r6("a").alias("a"))
+    return to_spherical(images, rig, 40, 30, 1.2, 0.6, B.grid_size(images)).select("id", "y", "x", r6("v").alias("v"), r6("a").alias("a"))
 
 
 @query()
@@ -122,8 +122,10 @@ def h5_stereo_panorama(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.panorama import stereo_panorama
 
     g = B.grid(spark, d).withColumnRenamed("image_id", "pair")
-    zero = g.select("pair", "y", "x", F.lit(1.5).alias("fx"), F.lit(0.0).alias("fy"))
-    out = stereo_panorama(g, g, zero, zero, "pair", 20, 64, 10, 60.0, 400, "left")
+    flow = g.select("pair", "y", "x", F.lit(1.5).alias("fx"), F.lit(0.0).alias("fy"))
+    rows, cols = B.grid_size(g)
+    pairs = g.select("pair").distinct().count()
+    out = stereo_panorama(g, g, flow, flow, "pair", rows, cols, pairs, 60.0, cols * 6, "left")
     return out.select("y", "x", r6("v").alias("v"))
 
 
@@ -152,7 +154,7 @@ def h14_calibrate_vignetting(spark: SparkSession, d: str) -> DataFrame:
 
     g = B.grid(spark, d)
     s = g.select("image_id", F.lit(0).alias("ch"), (F.col("x") / 64.0).alias("x"), (F.col("y") / 64.0).alias("y"), (0.8 - 0.2 * (F.col("x") / 64.0 - 0.5) ** 2 + 0.02 * F.col("v")).alias("v"))
-    return calibrate_vignetting(s, ["image_id"], rounds=2).select("image_id", "ch", F.transform("h", lambda c: F.round(c, 3)).alias("h"))
+    return calibrate_vignetting(s, ["image_id"]).select("image_id", "ch", F.transform("h", lambda c: F.round(c, 3)).alias("h"))
 
 
 @query()

@@ -142,38 +142,73 @@ def fit_vignetting(samples: DataFrame, keys: list[str], x: str, y: str, target:
     return cur.select(*keys, F.transform("h", lambda c: c / F.col("s")).alias("h"), F.transform("v", lambda c: c * F.col("s")).alias("v"))
 
 
-def _lab(p: np.ndarray, rgb: np.ndarray, illuminant: str) -> np.ndarray:
-    """Lab of colors under black levels ``p[:3]`` and the matrix ``p[3:]``, by rows."""
+def _lab(p: np.ndarray, rgb: np.ndarray, illuminant: str, scale: np.ndarray | float = 1.0) -> np.ndarray:
+    """Lab of colors under black levels ``p[:3]`` and the matrix ``p[3:12]``, by rows, each first times its ``scale``."""
     from rigspark.functions.scalars import RGB_TO_XYZ, WHITE
 
-    lin = (rgb - p[:3]) / (1 - p[:3]) @ p[3:].reshape(3, 3).T
+    lin = (rgb * np.reshape(scale, (-1, 1)) - p[:3]) / (1 - p[:3]) @ p[3:12].reshape(3, 3).T
     x = lin @ (np.array(RGB_TO_XYZ[illuminant]) / np.array(WHITE[illuminant])[:, None]).T
     f = np.where(x > 0.008856, np.cbrt(np.maximum(x, 0)), 7.787 * x + 16 / 116)
     return np.stack([116 * f[:, 1] - 16, 500 * (f[:, 0] - f[:, 1]), 200 * (f[:, 1] - f[:, 2])], 1)
 
 
-def fit_color(patches: DataFrame, keys: list[str], illuminant: str = "D50", steps: int = 15) -> DataFrame:
+#: Order of the illumination's Bezier curves.
+LIGHT_ORDER = 4
+
+
+def _bernstein(t: np.ndarray) -> np.ndarray:
+    i = np.arange(LIGHT_ORDER + 1)
+    return np.array([math.comb(LIGHT_ORDER, k) for k in i]) * (1 - t[:, None]) ** (LIGHT_ORDER - i) * t[:, None] ** i
+
+
+def _light(p: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Illumination at places in the chart: two curves multiplied, each with its first control point at 1."""
+    x, y = np.r_[1.0, p[12 : 12 + LIGHT_ORDER]], np.r_[1.0, p[12 + LIGHT_ORDER :]]
+    return (_bernstein(place[:, 0]) @ x) * (_bernstein(place[:, 1]) @ y)
+
+
+def fit_color(patches: DataFrame, keys: list[str], illuminant: str = "D50", steps: int = 15, place: tuple[str, str] | None = None, black: str | None = None) -> DataFrame:
     """Black level and 3 x 3 matrix per group that bring the patches' Lab nearest to the reference.
 
-    ``patches``: keys, r, g, b and the reference l0, a0, b0.  In each Levenberg-Marquardt step the
-    tasks sum J'J and J'r of their rows per group, Spark adds these up, and each group's system is
-    solved; the black level stays within [0, 0.9].  Returns keys, ``params`` (three black levels,
-    then the matrix by rows) and ``error`` (mean distance in Lab).
+    ``patches``: keys, r, g, b and the reference l0, a0, b0.  ``place``: two columns with where a
+    patch lies in the chart; then an uneven illumination, a Bezier surface over the chart from its
+    first corner (the least place, scale 1) to its last, is fitted together with the rest.
+    ``black``: a column with the three black levels, the same in a group, that are held; else they
+    are fitted within [0, 0.9].
+
+    In each Levenberg-Marquardt step the tasks sum J'J and J'r of their rows per group, Spark adds
+    these up, and each group's system is solved.  Returns keys, ``params`` (three black levels,
+    then the matrix by rows), ``error`` (mean distance in Lab) and, with ``place``, the control
+    points ``light_x`` and ``light_y``.
     """
-    n = 12
+    n = 12 + (2 * LIGHT_ORDER if place else 0)
     kinds = ", ".join(f"`{k}` {patches.schema[k].dataType.simpleString()}" for k in keys)
-    first = F.array(*map(F.lit, [0.01] * 3 + [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]))
-    cur = written(patches.select(*keys).distinct().withColumn("params", first).withColumn("tried", first).withColumn("damp", F.lit(1e-2)).withColumn("best", F.lit(float("inf"))))
+    cols = ["r", "g", "b", "l0", "a0", "b0"]
+    if place:
+        box = patches.groupBy(*keys).agg(*(f(c).alias(f"__{m}{i}") for i, c in enumerate(place) for m, f in (("lo", F.min), ("hi", F.max))))
+        patches = patches.join(small(written(box)), keys)
+        patches = patches.withColumns({f"__p{i}": F.coalesce((F.col(c) - F.col(f"__lo{i}")) / F.nullif(F.col(f"__hi{i}") - F.col(f"__lo{i}"), F.lit(0.0)), F.lit(0.0)) for i, c in enumerate(place)})
+        cols += ["__p0", "__p1"]
+    start = F.array(*map(F.lit, [0.01] * 3 + [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0] + [1.0] * (n - 12)))
+    first = patches.groupBy(*keys).agg(F.first(black).alias("__black") if black else F.lit(None).alias("__black"))
+    first = first.select(*keys, F.concat(F.col("__black"), F.slice(start, 4, n - 3)).alias("params") if black else start.alias("params"))
+    cur = written(first.withColumn("tried", F.col("params")).withColumn("damp", F.lit(1e-2)).withColumn("best", F.lit(float("inf"))))
+    patches = written(patches.select(*keys, *(F.col(c).cast("double").alias(c) for c in cols)))
+
+    def lab(p: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return _lab(p, part[:, :3], illuminant, _light(p, part[:, 6:]) if place else 1.0)
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for key, part in f.groupby(keys, dropna=False):
-                p, rgb = np.array(part["tried"].iloc[0]), part[["r", "g", "b"]].to_numpy(float)
-                base = _lab(p, rgb, illuminant)
-                e = part[["l0", "a0", "b0"]].to_numpy(float) - base
-                jac = np.stack([(_lab(p + 1e-6 * (np.arange(n) == i), rgb, illuminant) - base) / 1e-6 for i in range(n)], -1)
+            for key, group in f.groupby(keys, dropna=False):
+                p, part = np.array(group["tried"].iloc[0]), group[cols].to_numpy(float)
+                base = lab(p, part)
+                e = part[:, 3:6] - base
+                jac = np.stack([(lab(p + 1e-6 * (np.arange(n) == i), part) - base) / 1e-6 for i in range(n)], -1)
+                if black:
+                    jac[:, :, :3] = 0
                 s = np.r_[np.einsum("rki,rkj->ij", jac, jac).ravel(), np.einsum("rki,rk->i", jac, e), (e**2).sum(), np.sqrt((e**2).sum(1)).sum(), len(part)]
-                yield part[keys].iloc[:1].assign(s=[s.tolist()])
+                yield group[keys].iloc[:1].assign(s=[s.tolist()])
 
     def advance(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -186,12 +221,13 @@ def fit_color(patches: DataFrame, keys: list[str], illuminant: str = "D50", step
                     params, best, damp, new = list(tried), float(cost), max(damp / 4, 1e-9), np.array(tried) + move
                 else:
                     damp, new = damp * 6, (np.array(params) + np.array(tried)) / 2
-                new[:3] = np.clip(new[:3], 0.0, 0.9)
+                if not black:
+                    new[:3] = np.clip(new[:3], 0.0, 0.9)
                 out.append((list(params), best, damp, new.tolist()))
             yield f[keys].assign(params=[o[0] for o in out], best=[o[1] for o in out], damp=[o[2] for o in out], tried=[o[3] for o in out])
 
     def sums(cur: DataFrame, name: str) -> DataFrame:
-        rows = patches.select(*keys, "r", "g", "b", "l0", "a0", "b0").join(small(cur.select(*keys, F.col(name).alias("tried"))), keys)
+        rows = patches.join(small(cur.select(*keys, F.col(name).alias("tried"))), keys)
         parts = rows.mapInPandas(partial, f"{kinds}, s array<double>").select(*keys, F.posexplode("s").alias("i", "v"))
         each = parts.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
         return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("s"))
@@ -199,7 +235,8 @@ def fit_color(patches: DataFrame, keys: list[str], illuminant: str = "D50", step
     for _ in range(steps):
         cur = written(sums(cur, "tried").join(cur, keys).mapInPandas(advance, f"{kinds}, params array<double>, best double, damp double, tried array<double>"))
     last = sums(cur, "params").select(*keys, (F.element_at("s", -2) / F.element_at("s", -1)).alias("error"))
-    return cur.select(*keys, "params").join(last, keys)
+    light = [F.concat(F.array(F.lit(1.0)), F.slice("params", at, LIGHT_ORDER)).alias(name) for name, at in (("light_x", 13), ("light_y", 13 + LIGHT_ORDER))] if place else []
+    return cur.select(*keys, F.slice("params", 1, 12).alias("params"), *light).join(last, keys)
 
 
 def _homography(p: np.ndarray, q: np.ndarray) -> np.ndarray:

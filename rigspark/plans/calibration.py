@@ -12,7 +12,7 @@ from rigspark.functions.scalars import black_level
 from rigspark.operators import fit as FT
 from rigspark.operators import grid as GD
 from rigspark.operators import stats as D
-from rigspark.scratch import small
+from rigspark.scratch import small, written
 
 
 def visible_observations(points: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -145,29 +145,62 @@ CHART_D50 = (
 )
 
 
-def calibrate_color(patches: DataFrame, keys: list[str], illuminant: str = "D50", common_black: bool = False) -> DataFrame:
+def patch_colors(images: DataFrame, keys: list[str], patches: DataFrame) -> DataFrame:
+    """Median ``r, g, b`` of the middle of each patch: ``(keys, patch, cx, cy, r, g, b)``.
+
+    ``images``: ``(keys, y, x, r, g, b)``; ``patches``: :func:`detect_patches`, whose reading order
+    numbers them.  The middle is a square of half the patch's side.
+    """
+    half = F.greatest(F.floor(F.sqrt("area") / 4), F.lit(0))
+    around = patches.select(*keys, F.col("place").cast("int").alias("patch"), "cx", "cy", F.explode(F.sequence(-half, half)).alias("__dy"), half.alias("__half"))
+    around = around.select(*keys, "patch", "cx", "cy", "__dy", F.explode(F.sequence(-F.col("__half"), F.col("__half"))).alias("__dx"))
+    cells = around.select(*keys, "patch", "cx", "cy", (F.round("cy") + F.col("__dy")).cast("long").alias("y"), (F.round("cx") + F.col("__dx")).cast("long").alias("x"))
+    rows = cells.join(images.select(*keys, "y", "x", "r", "g", "b"), [*keys, "y", "x"])
+    return D.median_vector(rows, [*keys, "patch", "cx", "cy"], ["r", "g", "b"])
+
+
+def chart_colors(images: DataFrame, keys: list[str], least: float, most: float, per_row: int = 6, block: int = 19, c: float = 0.02) -> DataFrame:
+    """:func:`patch_colors` of the charts found in color images ``(keys, y, x, r, g, b)``."""
+    gray = images.select(*keys, "y", "x", ((F.col("r") + F.col("g") + F.col("b")) / 3).alias("v"))
+    return patch_colors(images, keys, written(detect_patches(gray, keys, least, most, per_row, block, c)))
+
+
+def calibrate_color(patches: DataFrame, keys: list[str], illuminant: str = "D50", common_black: bool = False, place: tuple[str, str] | None = None, steps: int = 15) -> DataFrame:
     """Black level, white balance and color matrix per camera from its patches' ``r, g, b``.
 
-    ``common_black``: the black level of a second pass is the median over the cameras.  Adds the
-    worst-case clamps over all cameras.
+    ``common_black``: a second pass holds the black level, the median of the cameras', and fits
+    the rest again; ``error_before`` is then the first pass's error.  ``place``: fit an uneven
+    illumination as well, see ``fit_color``.  Adds the worst-case clamps over all cameras.
     """
     ref = chart_reference(patches.sparkSession).where(F.col("illuminant") == illuminant)
     rows = patches.join(F.broadcast(ref.select("patch", F.col("l").alias("l0"), F.col("a").alias("a0"), F.col("b").alias("b0"))), "patch")
-    fitted = FT.fit_color(rows, keys, illuminant)
+    fitted = FT.fit_color(rows, keys, illuminant, steps, place)
     if common_black:
-        black = fitted.agg(*(F.percentile(F.col("params")[i], 0.5).alias(f"k{i}") for i in range(3)))
-        params = F.concat(F.array(*(F.col(f"k{i}") for i in range(3))), F.slice("params", 4, 9))
-        fitted = fitted.crossJoin(F.broadcast(black)).withColumn("params", params).drop("k0", "k1", "k2")
+        fitted = written(fitted)
+        black = fitted.agg(F.array(*(F.percentile(F.col("params")[i], 0.5) for i in range(3))).alias("black"))
+        again = FT.fit_color(rows.crossJoin(F.broadcast(black)), keys, illuminant, steps, place, "black")
+        fitted = again.join(fitted.select(*keys, F.col("error").alias("error_before")), keys)
+    more = [c for c in ("light_x", "light_y", "error_before") if c in fitted.columns]
     m = [[F.col("params")[3 + 3 * i + j] for j in range(3)] for i in range(3)]
     gains, ccm = FT.decompose_color(m)
     lo = [F.min(F.col(c)) for c in "rgb"]
     hi = [F.max(F.col(c)) for c in "rgb"]
     ext = patches.groupBy(*keys).agg(*(f.alias(n) for n, f in zip(("lr", "lg", "lb"), lo, strict=True)), *(f.alias(n) for n, f in zip(("hr", "hg", "hb"), hi, strict=True)))
     worst = ext.agg(F.array(F.max("lr"), F.max("lg"), F.max("lb")).alias("clamp_min"), F.array(F.min("hr"), F.min("hg"), F.min("hb")).alias("clamp_max"))
-    out = fitted.select(*keys, F.slice("params", 1, 3).alias("black_level"), F.array(*gains).alias("white_balance"), F.array(*(F.array(*r) for r in ccm)).alias("ccm"), "error")
+    out = fitted.select(*keys, F.slice("params", 1, 3).alias("black_level"), F.array(*gains).alias("white_balance"), F.array(*(F.array(*r) for r in ccm)).alias("ccm"), "error", *more)
     return out.crossJoin(F.broadcast(worst))
 
 
+def vignetting_samples(images: DataFrame, keys: list[str], image: str, patch: int, size: tuple[int, int], **detect) -> DataFrame:
+    """Samples for :func:`calibrate_vignetting` from images of a chart that moves about.
+
+    ``images``: ``(keys, image, y, x, r, g, b)`` of ``size`` rows and columns.  In each image the
+    same patch gives its place and its median color.
+    """
+    found = chart_colors(images, [*keys, image], **detect).where(F.col("patch") == patch)
+    return found.select(*keys, ((F.col("cx") + 0.5) / size[1]).alias("x"), ((F.col("cy") + 0.5) / size[0]).alias("y"), F.posexplode(F.array("r", "g", "b")).alias("ch", "v"))
+
+
 def calibrate_vignetting(samples: DataFrame, keys: list[str], black: float = 0.0, rounds: int = 20) -> DataFrame:
     """Vignetting curves per camera and channel from ``(keys, ch, x, y, v)``; x and y in [0, 1]."""
     rows = samples.withColumn("v", black_level(F.col("v"), black))
