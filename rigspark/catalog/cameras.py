@@ -121,11 +121,16 @@ def d18_rig_summary(spark: SparkSession, d: str) -> DataFrame:
     return rig_summary(B.cameras(spark, d)).select(r6("radius").alias("radius"), r6("half_fov").alias("half_fov"), r6("usable", 3).alias("usable"))
 
 
+def _rigs(spark: SparkSession, d: str) -> DataFrame:
+    """The parts' cameras, seventeen parts in turn being a rig."""
+    return B.cameras(spark, d).withColumn("rig", F.floor(F.col("k") / 17))
+
+
 @query()
 def c7_overlap_fraction(spark: SparkSession, d: str) -> DataFrame:
     from rigspark.plans.calibration import overlap_fraction
 
-    return overlap_fraction(B.rig(spark).join(B.points(spark, d).select((F.col("point_id") - 1).cast("int").alias("ordinal")), "ordinal", "left_semi"))
+    return overlap_fraction(_rigs(spark, d), 4, ["rig"])
 
 
 _RAYS = f"""(select point_id, -50.0::double px, 10.0::double py, 0.0::double pz, x+50 vx, y-10 vy, z vz, 60.0::double qx, -20.0::double qy, 5.0::double qz,
@@ -175,13 +180,22 @@ def g6_triangulate(spark: SparkSession, d: str) -> DataFrame:
     return got.join(t, "point_id").select("point_id", F.round(gone, 2).alias("distance"))
 
 
-@query()
+_MOVED = f"(select k//17 rig, id, 0.1*(k%7) away, fx, fy, fz, fx*cos(0.01*(k%5))-fy*sin(0.01*(k%5)) gx, fx*sin(0.01*(k%5))+fy*cos(0.01*(k%5)) gy from {CAMERAS})"
+_ARC = "acos(least(greatest({0},-1.0),1.0))"
+
+
+@query(f"""with m as {_MOVED}, one as (select rig, {s6('sqrt(avg(3*away*away))')} origin, {s6('sqrt(avg(power(fx-gx,2)+power(fy-gy,2)))')} forward from m group by rig),
+ pairs as (select a.rig, {_ARC.format('a.fx*b.fx+a.fy*b.fy+a.fz*b.fz')} p, {_ARC.format('a.gx*b.gx+a.gy*b.gy+a.fz*b.fz')} q from m a join m b on a.rig=b.rig and a.id<b.id)
+ select rig, origin, forward, angles from one left join (select rig, {s6('sqrt(avg(power(p-q,2)))', 5)} angles from pairs where p<1 group by rig) using (rig)""")
 def d11_rig_rmse(spark: SparkSession, d: str) -> DataFrame:
+    """Rigs against themselves with cameras moved and turned a little, each in its own way."""
     from rigspark.plans.calibration import rig_rmse
 
-    rig = B.rig(spark).join(B.points(spark, d).select((F.col("point_id") - 1).cast("int").alias("ordinal")), "ordinal", "left_semi")
-    moved = rig.withColumn("origin", F.transform("origin", lambda v: v + 0.5))
-    return rig_rmse(rig, moved)
+    rigs, k = _rigs(spark, d), F.col("k")
+    t, f = 0.01 * (k % 5), F.col("forward")
+    moved = rigs.withColumn("origin", F.transform("origin", lambda v: v + 0.1 * (k % 7)))
+    moved = moved.withColumn("forward", F.array(f[0] * F.cos(t) - f[1] * F.sin(t), f[0] * F.sin(t) + f[1] * F.cos(t), f[2]))
+    return rig_rmse(rigs, moved, ["rig"]).select("rig", r6("origin").alias("origin"), r6("forward").alias("forward"), r6("angles", 5).alias("angles"))
 
 
 @query(f"select {s6('sum(a*a)/count(*)', 4)} xx, {s6('sum(a*b)/count(*)', 4)} xy from (select cast(l_quantity as double) a, cast(l_extendedprice as double)/1000 b from lineitem)")

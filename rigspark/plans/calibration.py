@@ -61,32 +61,43 @@ def usable_radius(cameras: DataFrame, samples: int = 10) -> DataFrame:
     return rows.groupBy("id").agg(F.min(F.when(F.isnan("__d"), diagonal).otherwise(F.least("__d", diagonal))).alias("usable"))
 
 
-def overlap_fraction(cameras: DataFrame, n: int = 10) -> DataFrame:
-    """For each pair of cameras the share of an n x n grid of the first's pixels that the second sees."""
+def overlap_fraction(cameras: DataFrame, n: int = 10, keys: list[str] | None = None) -> DataFrame:
+    """For each pair of cameras of a rig the share of an n x n grid of the first's pixels that the second sees.
+
+    ``keys``: columns that name the rig, where there are several.
+    """
+    keys = keys or []
     probes = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = cameras.withColumn("i", probes).withColumn("j", probes)
     far = C.near_infinity(F.col("i") / (n - 1) * F.col("resolution")[0], F.col("j") / (n - 1) * F.col("resolution")[1])
-    a = a.select(F.col("id").alias("first"), *(c.alias(x) for x, c in zip("xyz", far, strict=True)))
-    rows = a.crossJoin(small(cameras)).where(F.col("first") != F.col("id"))
-    return rows.groupBy("first", F.col("id").alias("second")).agg(F.avg(C.sees(tuple(F.col(c) for c in "xyz")).cast("double")).alias("overlap"))
+    a = a.select(*keys, F.col("id").alias("first"), *(c.alias(x) for x, c in zip("xyz", far, strict=True)))
+    rows = (a.join(cameras, keys) if keys else a.crossJoin(small(cameras))).where(F.col("first") != F.col("id"))
+    p = tuple(F.col(c) for c in "xyz")
+    rows = rows.withColumn("__p", C.projected(p))
+    seen = F.coalesce(~C.outside_fov(p) & C.in_frame(F.col("__p.u"), F.col("__p.v")), F.lit(False))
+    return rows.groupBy(*keys, "first", F.col("id").alias("second")).agg(F.avg(seen.cast("double")).alias("overlap"))
 
 
-def rig_rmse(a: DataFrame, b: DataFrame) -> DataFrame:
+def rig_rmse(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Root mean square differences of two rigs by camera id, and of the angles between axes.
 
-    Angles count for pairs of cameras whose axes are less than a radian apart.
+    Angles count for pairs of cameras whose axes are less than a radian apart.  ``keys``: columns
+    that name the rig, where there are several; without them all cameras are one rig.
     """
+    keys = keys or []
+
     def sq(col: str, n: int) -> Column:
         return sum(((F.col(f"a.{col}")[i] - F.col(f"b.{col}")[i]) ** 2 for i in range(n)), F.lit(0.0))
 
-    rows = a.alias("a").join(small(b).alias("b"), "id")
+    rows = a.alias("a").join((b if keys else small(b)).alias("b"), [*keys, "id"])
     sizes = {"origin": 3, "forward": 3, "up": 3, "right": 3, "principal": 2, "distortion": 2, "focal": 2}
-    one = rows.agg(*(F.sqrt(F.avg(sq(c, n))).alias(c) for c, n in sizes.items()))
-    axis = lambda df, n: df.select(F.col("id").alias(n), F.col("forward").alias(f"f{n}"))
+    one = rows.groupBy(*keys).agg(*(F.sqrt(F.avg(sq(c, n))).alias(c) for c, n in sizes.items()))
+    axis = lambda df, n: df.select(*keys, F.col("id").alias(n), F.col("forward").alias(f"f{n}"))
     angle = lambda p: F.acos(F.least(F.greatest(C.dot(tuple(F.col(f"{p}.fi")[k] for k in range(3)), tuple(F.col(f"{p}.fj")[k] for k in range(3))), F.lit(-1.0)), F.lit(1.0)))
-    pairs = [axis(r, "i").join(small(axis(r, "j")), F.col("i") < F.col("j")) for r in (a, b)]
-    both = pairs[0].alias("p").join(small(pairs[1]).alias("q"), ["i", "j"]).where(angle("p") < 1)
-    return one.crossJoin(both.agg(F.sqrt(F.avg((angle("p") - angle("q")) ** 2)).alias("angles")))
+    pairs = [axis(r, "i").join(axis(r, "j"), keys).where("i < j") if keys else axis(r, "i").join(small(axis(r, "j")), F.col("i") < F.col("j")) for r in (a, b)]
+    both = pairs[0].alias("p").join((pairs[1] if keys else small(pairs[1])).alias("q"), [*keys, "i", "j"]).where(angle("p") < 1)
+    angles = both.groupBy(*keys).agg(F.sqrt(F.avg((angle("p") - angle("q")) ** 2)).alias("angles"))
+    return one.join(angles, keys, "left") if keys else one.crossJoin(angles)
 
 
 def match_report(matches: DataFrame, keypoints: DataFrame, cameras: DataFrame, points: DataFrame, camera_of, least: float = 0.1) -> DataFrame:
