@@ -121,8 +121,9 @@ def detect_patches(images: DataFrame, keys: list[str], least: float, most: float
     g = GD.gaussian(images.withColumn("v", F.least(F.col("v") * 2, F.lit(1.0))).repartition(*keys), keys, 5, 1.0)
     m = GD.adaptive_threshold(g, keys, block, c)
     m = GD.close_gaps(m.select(*keys, "y", "x", F.col("mask").cast("double").alias("v")), keys, 1)
-    labels = GD.drop_small(GD.label_grid(m.withColumn("mask", F.when(F.col("v") < 0.5, 1).otherwise(0)), keys), keys, max(1, int(least * 0.3)))
-    stats = D.filter_patches(D.component_stats(labels, [*keys, "label"]), least, most)
+    mask = written(m.withColumn("mask", F.when(F.col("v") < 0.5, 1).otherwise(0)))
+    labels = GD.drop_small(GD.label_grid(mask, keys), keys, max(1, int(least * 0.3)))
+    stats = written(D.filter_patches(D.component_stats(labels, [*keys, "label"]), least, most))
     near = D.remove_isolated(stats, keys, "label", "cx", "cy")
     from rigspark.operators.sequence import raster_order
 
