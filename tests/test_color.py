@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from rigspark.functions.scalars import RGB_TO_XYZ, WHITE
@@ -52,38 +51,3 @@ def test_light_black_level_and_matrix_are_found_together(spark):
         assert np.allclose(np.array(r.params[3:]).reshape(3, 3), MATRIX + 0.02 * cam * np.eye(3), atol=0.02)
         surface = (FT._bernstein(places()[:, 0] / 5) @ r.light_x) * (FT._bernstein(places()[:, 1] / 3) @ r.light_y)
         assert np.allclose(surface, light_of(x, y), atol=0.01)
-
-
-def drawn(spark, cams, side=9, gap=5):
-    """Images of the chart on black, one for each camera: ``cam -> (black, matrix)``."""
-    h, w = 4 * (side + gap) + gap, 6 * (side + gap) + gap
-    rows = []
-    for cam, (black, matrix) in cams.items():
-        image = np.zeros((h, w, 3))
-        for (i, j), color in zip(places().astype(int), seen_colors(black, matrix, np.ones(24))):
-            y, x = gap + j * (side + gap), gap + i * (side + gap)
-            image[y : y + side, x : x + side] = color
-        rows += [(cam, y, x, *map(float, image[y, x])) for y in range(h) for x in range(w)]
-    return spark.createDataFrame(rows, "cam int, y long, x long, r double, g double, b double")
-
-
-def test_color_from_drawn_charts_in_two_passes(spark):
-    cams = {1: (np.array([0.05, 0.05, 0.05]), MATRIX), 2: (np.array([0.06, 0.05, 0.04]), MATRIX + 0.1 * np.eye(3)), 3: (np.array([0.05, 0.06, 0.05]), MATRIX)}
-    patches = CAL.chart_colors(drawn(spark, cams), ["cam"], 20, 300, block=15).cache()
-    found = {(r.cam, r.patch): (r.r, r.g, r.b) for r in patches.collect()}
-    assert len(found) == 72
-    for cam, (black, matrix) in cams.items():
-        assert np.allclose([found[cam, i] for i in range(24)], seen_colors(black, matrix, np.ones(24)), atol=1e-9)
-    out = {r.cam: r for r in CAL.calibrate_color(patches, ["cam"], common_black=True, steps=8).collect()}
-    for cam in cams:
-        assert np.allclose(out[cam].black_level, [0.05, 0.05, 0.05], atol=2e-3)
-        assert out[cam].error < 1.5 and out[cam].error_before <= out[cam].error + 1e-6
-
-
-def test_vignetting_samples_from_moving_charts(spark):
-    image = drawn(spark, {1: (BLACK, MATRIX)}).where("x < 75").withColumnRenamed("cam", "serial")
-    two = image.withColumn("image", F.lit("a")).unionByName(image.select("serial", (F.col("y") + 6).alias("y"), (F.col("x") + 10).alias("x"), "r", "g", "b").withColumn("image", F.lit("b")))
-    got = CAL.vignetting_samples(two, ["serial"], "image", 0, (70, 90), least=20, most=300, per_row=5, block=15).collect()
-    assert len(got) == 6 and {r.ch for r in got} == {0, 1, 2}
-    at = sorted({(round(r.x * 90 - 0.5, 3), round(r.y * 70 - 0.5, 3)) for r in got})
-    assert at[1][0] - at[0][0] == pytest.approx(10) and at[1][1] - at[0][1] == pytest.approx(6)
