@@ -20,6 +20,10 @@ PASS_WINDOWS = 4_000_000
 PIECE_WINDOWS = 4096
 #: Words of a block of the shift table.
 BLOCK = 2
+#: Possible first words of the stretches of text that are searched side by side.
+STRETCH = 512
+#: Possible windows that are compared at a time.
+LOOK = 1 << 15
 
 
 class Places:
@@ -86,6 +90,10 @@ class Searcher:
         ids = ids.astype(np.int64)
         return ids if self.block == 1 else ids[:-1] * self.base + ids[1:]
 
+    def block_keys(self, blocks: np.ndarray) -> np.ndarray:
+        """Keys of blocks given as rows of word numbers."""
+        return blocks[:, 0] if self.block == 1 else blocks[:, 0] * self.base + blocks[:, 1]
+
     def at(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The words of the windows that begin at ``starts``."""
         return ids[np.asarray(starts, np.int64)[:, None] + np.arange(self.least)]
@@ -97,49 +105,72 @@ class Searcher:
         return out
 
     @functools.cached_property
-    def places(self) -> tuple[Places, Places, Places]:
-        """Places of the words, the blocks and the windows' hashes, made where they are used."""
-        return Places(self.words), Places(self.blocks), Places(np.unique(self.own))
+    def places(self) -> tuple[Places, Places]:
+        """Places of the words and of the blocks, made where they are used."""
+        return Places(self.words), Places(self.blocks)
+
+    @functools.cached_property
+    def buckets(self) -> tuple[Places, np.ndarray]:
+        """Places of the windows' last blocks, and where the bucket of each begins and ends."""
+        first = np.flatnonzero(np.r_[True, self.last[1:] != self.last[:-1]])
+        return Places(self.last[first]), np.r_[first, len(self.last)]
 
     def search(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """Text, first word and owners of every occurrence, for consecutive texts with these bounds."""
-        least, back = self.least, self.least - self.block
-        if len(hashes) < least:
-            return
-        words, blocks, windows = self.places
-        ids = words.of(hashes) + 1
-        keys = self.keys(ids)
-        shift = np.full(len(keys), back + 1)
-        # A block with a word that no piece has is none of theirs.
-        known = np.flatnonzero(ids > 0 if self.block == 1 else (ids[:-1] > 0) & (ids[1:] > 0))
-        at = blocks.of(keys[known])
-        shift[known[at >= 0]] = self.shift[at[at >= 0]]
-        # Texts are scanned only if, where a block may end a window, the words before it have the
-        # hash of one; all others hold none.
-        begins = np.flatnonzero(shift == 0) - back
-        begins = begins[begins >= 0]
-        owner = np.searchsorted(bounds, begins, "right") - 1
-        inside = begins + least <= bounds[owner + 1]
-        begins, owner = begins[inside], owner[inside]
-        for text in np.unique(owner[windows.of(self.window_hash(ids, begins)) >= 0]):
-            low, high = int(bounds[text]), int(bounds[text + 1])
-            step, at = shift[low : high - self.block + 1].tolist(), back
-            while at < len(step):
-                if step[at]:
-                    at += step[at]
-                    continue
-                begin = low + at - back
-                for window in self.bucket(ids, begin, keys[low + at]):
-                    yield int(text), begin - low, self.owners[(self.ends[window - 1] if window else 0) : self.ends[window]]
-                at += 1
-
-    def bucket(self, ids: np.ndarray, begin: int, key: int) -> list[int]:
-        """The window of the key's bucket that the words from ``begin`` on are."""
-        a, b = np.searchsorted(self.last, [key, key + 1])
-        own = self.window_hash(ids, np.array([begin]))[0]
-        a, b = a + np.searchsorted(self.own[a:b], [own, own], "left")[0], a + np.searchsorted(self.own[a:b], [own, own], "right")[0]
-        return [w for w in range(a, b) if (self.flat[self.starts[w] : self.starts[w] + self.least] == ids[begin : begin + self.least]).all()]
-
+        begins = self.halts(hashes, bounds)
+        for low in range(0, len(begins), LOOK):
+            part = begins[low : low + LOOK]
+            owner = np.searchsorted(bounds, part, "right") - 1
+            for i, window in self.compare(hashes, part):
+                yield int(owner[i]), int(part[i] - bounds[owner[i]]), self.owners[(self.ends[window - 1] if window else 0) : self.ends[window]]
+
+    def halts(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where the shift table does not let the search move on: first words of possible windows.
+
+        Texts are cut into stretches of ``STRETCH`` possible first words.  All stretches advance
+        together, each by its own shift; words that are jumped over are not looked up.
+        """
+        back, (words, blocks) = self.least - self.block, self.places
+        room = np.maximum(np.diff(bounds) - self.least + 1, 0)
+        count = -(-room // STRETCH)
+        text = np.repeat(np.arange(len(room)), count)
+        at = bounds[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STRETCH
+        end, out = np.minimum(at + STRETCH, bounds[:-1][text] + room[text]), [np.zeros(0, np.int64)]
+        while len(at):
+            ids = words.of(hashes[(at + back)[:, None] + np.arange(self.block)].ravel()).reshape(-1, self.block) + 1
+            # A block with a word that no piece has is none of theirs.
+            known = np.flatnonzero((ids > 0).all(1))
+            place = blocks.of(self.block_keys(ids[known]))
+            shift = np.full(len(at), back + 1)
+            shift[known[place >= 0]] = self.shift[place[place >= 0]]
+            out.append(at[shift == 0])
+            at = at + np.maximum(shift, 1)
+            at, end = at[at < end], end[at < end]
+        return np.sort(np.concatenate(out))
+
+    def compare(self, hashes: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Of the possible windows those that occur, with their places in the buckets.
+
+        Within the bucket of the last block a hash leaves those that are then compared word by word.
+        """
+        buckets, edges = self.buckets
+        ids = self.places[0].of(self.at(hashes, begins).ravel()).reshape(-1, self.least) + 1
+        rows = np.flatnonzero((ids > 0).all(1))
+        ids = ids[rows]
+        own = self.window_hash(ids.ravel(), np.arange(len(rows)) * self.least)
+        bucket = buckets.of(self.block_keys(ids[:, -self.block :]))
+        low, high = edges[bucket], edges[bucket + 1]
+        top = high.copy()
+        while (low < high).any():
+            middle = (low + high) // 2
+            open_, less = low < high, self.own[np.minimum(middle, len(self.own) - 1)] < own
+            low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        while len(low):
+            same = np.flatnonzero((low < top) & (self.own[np.minimum(low, len(self.own) - 1)] == own))
+            rows, ids, own, low, top = rows[same], ids[same], own[same], low[same], top[same]
+            equal = (self.at(self.flat, self.starts[low]) == ids).all(1)
+            yield from zip(rows[equal].tolist(), low[equal].tolist(), strict=True)
+            low = low + 1
 
 def searchers(items: list[tuple[str, bytes]], window: int) -> tuple[list[Searcher], list[str]]:
     """One searcher for full windows and one for each length of shorter items; the items' names."""

@@ -108,3 +108,39 @@ def test_small_windows(spark, window):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert rows(contamination_report(docs, bench, window=window)) == brute(DOCS, ITEMS, window)
+
+
+def test_shifts_skip_words_and_miss_nothing():
+    """Texts longer than a stretch, of frequent and of unknown words, against every position."""
+    import numpy as np
+
+    from rigspark.llm.decontamination import searchers
+
+    rng = np.random.default_rng(5)
+    known, other = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (60, 4000))
+    items = [(str(i), known[rng.integers(0, 60, 25)]) for i in range(40)]
+    [table], names = searchers([(n, w.tobytes()) for n, w in items], 10)
+    parts = []
+    for _ in range(700):
+        parts.append(rng.choice([known, other][rng.integers(2)], rng.integers(0, 30)))
+        if rng.random() < 0.3:
+            n, w = items[rng.integers(40)]
+            at = rng.integers(0, 16)
+            parts.append(w[at : at + 10])
+    text = np.concatenate(parts)
+    bounds = np.array([0, 0, 5, 2000, 2000, len(text)])
+    held = {}
+    for n, w in items:
+        for at in range(16):
+            held.setdefault(w[at : at + 10].tobytes(), set()).add(n)
+    want = {}
+    for t in range(5):
+        for at in range(bounds[t], bounds[t + 1] - 9):
+            if (own := held.get(text[at : at + 10].tobytes())) is not None:
+                want[t, at - bounds[t]] = own
+    assert {(t, b): {names[o] for o in own} for t, b, own in table.search(text, bounds)} == want and len(want) > 100
+    looked = []
+    words, blocks = table.places
+    table.places = type("Counted", (), {"of": lambda self, v: looked.append(len(v)) or words.of(v)})(), blocks
+    plain = rng.choice(other, 100_000)
+    assert len(table.halts(plain, np.array([0, len(plain)]))) == 0 and sum(looked) < 30_000
