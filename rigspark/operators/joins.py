@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rigspark.scratch import small
+from rigspark.scratch import small, written
 
 
 def with_camera(df: DataFrame, cameras: DataFrame, key: str = "id") -> DataFrame:
@@ -54,22 +54,54 @@ def with_previous(df: DataFrame, keys: list[str], frame: str, cols: list[str]) -
     return df.join(before, [*keys, frame], "left")
 
 
-def match_descriptors(left: DataFrame, right: DataFrame, keys: list[str], ident: str, vector: str, mode: str = "floor", factor: float = 3.0, floor: float = 0.02, ratio: float = 0.75) -> DataFrame:
+#: Rows of the right side of each key whose distances rule out the others.
+PIVOTS = 32
+
+
+def match_descriptors(left: DataFrame, right: DataFrame, keys: list[str], ident: str, vector: str, mode: str = "floor", factor: float = 3.0, floor: float = 0.02, ratio: float = 0.75, pivots: int = PIVOTS) -> DataFrame:
     """Nearest descriptor of the right side for each of the left within the keys (exact search).
 
     ``floor``: accept a distance up to the greater of ``factor`` times the key's least and
-    ``floor``.  ``ratio``: accept where the best is below ``ratio`` times the second best.
+    ``floor``.  ``ratio``: accept where the best is below ``ratio`` times the second best; a key
+    with one descriptor on the right gives none.  Ties go to the smaller id.  Vectors that are
+    null or hold null or NaN take no part.
+
+    Plan: each right descriptor belongs to the nearest of its key's ``pivots`` (a sample by hash).
+    A left one is held only against the cells that the triangle inequality does not rule out,
+    given that the pivots themselves are candidates.  The two best are kept by a rank limit.
     """
     from rigspark.functions.scalars import dist_l2sq
 
-    a = left.select(*keys, F.col(ident).alias("left_id"), F.col(vector).alias("__a"))
-    b = right.select(*keys, F.col(ident).alias("right_id"), F.col(vector).alias("__b"))
-    rows = a.join(b, keys).withColumn("distance", F.sqrt(dist_l2sq("__a", "__b"))).drop("__a", "__b")
-    best = rows.groupBy(*keys, "left_id").agg(F.min(F.struct("distance", "right_id")).alias("b"), F.sort_array(F.collect_list("distance")).alias("__all")).select(*keys, "left_id", "b.right_id", "b.distance", F.get("__all", F.lit(1)).alias("__second"))
+    fit = F.col(vector).isNotNull() & F.forall(vector, lambda x: F.coalesce(~F.isnan(x.cast("double")), F.lit(False)))
+    a = left.where(fit).select(*keys, F.col(ident).alias("left_id"), F.col(vector).alias("__a"))
+    b = right.where(fit).select(*keys, F.col(ident).alias("right_id"), F.col(vector).alias("__b"))
+    drawn = Window.partitionBy(*keys).orderBy(F.xxhash64("right_id"), "right_id")
+    sample = b.withColumn("__rn", F.row_number().over(drawn)).where(F.col("__rn") <= pivots)
+    table = small(written(sample.groupBy(*keys).agg(F.collect_list("__b").alias("__pivots"))))
+
+    def to_pivots(rows: DataFrame, v: str) -> DataFrame:
+        return rows.join(table, keys).withColumn("__to", F.transform("__pivots", lambda p: F.sqrt(dist_l2sq(F.col(v), p)))).drop("__pivots")
+
+    b = written(to_pivots(b, "__b").withColumn("__cell", F.array_position("__to", F.array_min("__to")).cast("int")).withColumn("__r", F.array_min("__to")).drop("__to"))
+    cells = small(b.groupBy(*keys, "__cell").agg(F.max("__r").alias("__r")).groupBy(*keys).agg(F.collect_list(F.struct("__cell", "__r")).alias("__cells")))
+    nearest = F.array_sort("__to")
+    # As many of the pivots as are wanted are this near, so farther cells hold nothing better.
+    bound = F.coalesce(F.get(nearest, F.lit(int(mode == "ratio"))), F.lit(float("inf")))
+
+    def reached(c: Column) -> Column:
+        to = F.get(F.col("__to"), c["__cell"] - 1)
+        return to - c["__r"] <= F.col("__bound") + (to + c["__r"]) * 1e-9
+
+    a = to_pivots(a, "__a").withColumn("__bound", bound).join(cells, keys)
+    a = a.withColumn("__cell", F.explode(F.transform(F.filter("__cells", reached), lambda c: c["__cell"]))).drop("__cells", "__to", "__bound")
+    rows = a.join(b.drop("__r"), [*keys, "__cell"]).withColumn("distance", F.sqrt(dist_l2sq("__a", "__b"))).select(*keys, "left_id", "right_id", "distance")
     if mode == "ratio":
-        return best.where(F.col("distance") < ratio * F.col("__second")).drop("__second")
-    least = F.min("distance").over(Window.partitionBy(*keys))
-    return best.drop("__second").withColumn("__least", least).where(F.col("distance") <= F.greatest(factor * F.col("__least"), F.lit(floor))).drop("__least")
+        ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "left_id").orderBy("distance", "right_id"))).where("__rn <= 2")
+        best = ranked.groupBy(*keys, "left_id").agg(F.min(F.struct("distance", "right_id")).alias("b"), F.max(F.when(F.col("__rn") == 2, F.col("distance"))).alias("__second"))
+        return best.where(F.col("b.distance") < ratio * F.col("__second")).select(*keys, "left_id", "b.right_id", "b.distance")
+    best = written(rows.groupBy(*keys, "left_id").agg(F.min(F.struct("distance", "right_id")).alias("b")).select(*keys, "left_id", "b.right_id", "b.distance"))
+    least = small(best.groupBy(*keys).agg(F.greatest(factor * F.min("distance"), F.lit(floor)).alias("__most")))
+    return best.join(least, keys).where("distance <= __most").select(*best.columns)
 
 
 def _cubic(t: Column, a: float = -0.75) -> list[Column]:

@@ -194,14 +194,68 @@ def average_at_distance(rays: DataFrame, keys: list[str], distance: float) -> Da
     return rays.groupBy(*keys).agg(*(F.avg(F.col(f"o{c}") + distance * F.col(f"d{c}")).alias(c) for c in "xyz"))
 
 
-def remove_isolated(points: DataFrame, keys: list[str], ident: str, x: str, y: str, factor: float = 2.0) -> DataFrame:
-    """Points whose nearest other point of the group is nearer than twice the median of those.
+#: Points of a group up to which all of them are compared with each other.
+NEAR_POINTS = 2_048
+#: Points of a grid cell at which the search begins.
+CELL_POINTS = 64
+
+
+def nearest_distance(points: DataFrame, keys: list[str], ident: str, x: str, y: str) -> DataFrame:
+    """Distance of each point to the nearest other point of its group: ``(*keys, ident, __d)``.
+
+    ``ident`` is unique in a group.  Points without a coordinate, and points alone in their group,
+    have no row.
 
-    Compares all points of a group with each other: groups are the patches of one chart.
+    Plan: where a group has more than :data:`NEAR_POINTS`, a grid.  The search begins with cells
+    that hold at most :data:`CELL_POINTS` places; a place looks around itself and is done once it
+    has found another within a cell's width.  The others, which are few to a cell, look again in
+    cells four times as wide.
     """
-    a, b = points.alias("a"), points.select(*keys, *(F.col(c).alias(f"__{c}") for c in (ident, x, y))).alias("b")
-    d = F.sqrt((F.col(x) - F.col(f"__{x}")) ** 2 + (F.col(y) - F.col(f"__{y}")) ** 2)
-    near = a.join(b, keys).where(F.col(ident) != F.col(f"__{ident}")).withColumn("__d", d).groupBy(*keys, ident).agg(F.min("__d").alias("__d"))
+    points = points.select(*keys, F.col(ident), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where("not isnan(__x) and not isnan(__y)")
+    most = points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    gap = lambda a, b: F.sqrt((F.col(f"{a}x") - F.col(f"{b}x")) ** 2 + (F.col(f"{a}y") - F.col(f"{b}y")) ** 2)
+    if most <= NEAR_POINTS:
+        others = points.select(*keys, *(F.col(c).alias(f"__o{c}") for c in (ident, "__x", "__y")))
+        near = points.join(others, keys).where(F.col(ident) != F.col(f"__o{ident}"))
+        return near.groupBy(*keys, ident).agg(F.min(gap("__", "__o__")).alias("__d"))
+    # Points in the same place are at distance 0; beyond that only places matter.
+    places = written(points.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("__n")))
+    box = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"), F.max("__x").alias("__bx"), F.min("__x").alias("__ax"), F.max("__y").alias("__by"), F.min("__y").alias("__ay"))
+    wide, high = F.col("__bx") - F.col("__ax"), F.col("__by") - F.col("__ay")
+    width = F.greatest(F.sqrt(wide * high / F.col("__m")), F.greatest(wide, high) / F.col("__m"))
+    grid = written(box.where("__m > 1").select(*keys, "__ax", "__ay", width.alias("__s"), F.greatest(wide, high).alias("__size")))
+
+    def celled(rows: DataFrame, grid: DataFrame) -> DataFrame:
+        at = {c: F.floor((F.col(f"__{c}") - F.col(f"__a{c}")) / F.col("__s")) for c in "xy"}
+        return rows.join(small(grid), keys).withColumns({f"__g{c}": v for c, v in at.items()}).drop("__ax", "__ay")
+
+    while True:
+        crowd = celled(places, grid).groupBy(*keys, "__gx", "__gy").count().groupBy(*keys).agg(F.max("count").alias("__c"))
+        # A width near the spacing of doubles cannot part places any more.
+        crowd = written(crowd.join(grid, keys).where((F.col("__c") > CELL_POINTS) & (F.col("__s") > F.col("__size") * 1e-12)).select(*keys, F.lit(0.25).alias("__f")))
+        if crowd.isEmpty():
+            break
+        grid = written(grid.join(crowd, keys, "left").withColumn("__s", F.col("__s") * F.coalesce("__f", F.lit(1.0))).drop("__f"))
+    found, left = places.where("__n > 1").select(*keys, "__x", "__y", F.lit(0.0).alias("__d")), places.where("__n = 1").drop("__n")
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    while True:
+        held = celled(places.drop("__n"), grid).select(*keys, "__gx", "__gy", F.col("__x").alias("__o__x"), F.col("__y").alias("__o__y"))
+        look = celled(left, grid).withColumn("__t", around).withColumns({"__gx": F.col("__gx") + F.col("__t.i"), "__gy": F.col("__gy") + F.col("__t.j")})
+        pairs = look.join(held, [*keys, "__gx", "__gy"], "left").withColumn("__d", gap("__", "__o__"))
+        pairs = pairs.withColumn("__d", F.when((F.col("__x") != F.col("__o__x")) | (F.col("__y") != F.col("__o__y")), F.col("__d")))
+        best = written(pairs.groupBy(*keys, "__x", "__y", "__s", "__size").agg(F.min("__d").alias("__d")))
+        done = (F.col("__d") <= F.col("__s")) | (F.col("__s") > F.col("__size"))
+        found = found.unionByName(best.where(done & F.col("__d").isNotNull()).select(*found.columns))
+        left = best.where(~F.coalesce(done, F.lit(False))).select(*left.columns)
+        if left.isEmpty():
+            break
+        grid = grid.withColumn("__s", F.col("__s") * 4)
+    return points.join(found, [*keys, "__x", "__y"]).select(*keys, ident, "__d")
+
+
+def remove_isolated(points: DataFrame, keys: list[str], ident: str, x: str, y: str, factor: float = 2.0) -> DataFrame:
+    """Points whose nearest other point of the group is nearer than ``factor`` times the median of those."""
+    near = written(nearest_distance(points, keys, ident, x, y))
     limit = floor_percentile(near, keys, "__d", [0.5]).select(*keys, (F.col("value") * factor).alias("__limit"))
     kept = near.join(limit, keys).where("__d < __limit").select(*keys, ident)
     return points.join(kept, [*keys, ident], "left_semi")
