@@ -12,7 +12,11 @@ from rigspark.catalog import query, r6, s6
 from rigspark.scratch import written
 
 
-def _streamed(spark: SparkSession, d: str, build, mode: str = "append") -> DataFrame:
+def _parquet(df: DataFrame, path: str, log: str):
+    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).outputMode("append")
+
+
+def _streamed(spark: SparkSession, d: str, build, writer=_parquet) -> DataFrame:
     """Run a stream over the events, split by time into five files, and return what it wrote."""
     packets = written(B.stream(spark, d))
     base = spark.conf.get("spark.checkpoint.dir").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
@@ -32,7 +36,7 @@ def _streamed(spark: SparkSession, d: str, build, mode: str = "append") -> DataF
     spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
     try:
         out = build(stream_frames(spark, f"{base}/in"))
-        q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode(mode).trigger(availableNow=True).start()
+        q = writer(out, f"{base}/out", f"{base}/log").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
         spark.conf.set(key, before)
@@ -71,7 +75,9 @@ def s8_stream_temporal_blend(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select user_id serial, event_id counter, user_id%4 shard from events")
 def s9_footage_stream(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(spark, d, lambda s: s.withColumn("shard", F.pmod("serial", F.lit(4)))).select("serial", "counter", "shard")
+    from rigspark.streaming.frames import write_footage_stream
+
+    return _streamed(spark, d, lambda s: s, lambda s, out, log: write_footage_stream(s, out, log, 4)).select("serial", "counter", F.col("shard").cast("long").alias("shard"))
 
 
 _TONED = "power(floor(least(greatest({c},0),1)*4095)/4095, {g})"

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PACKET_SCHEMA = "serial long, counter long, ts timestamp, kind string, value double"
 
@@ -17,33 +17,68 @@ def stream_frames(spark: SparkSession, path: str, schema: str = PACKET_SCHEMA, f
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _gaps(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+#: What keeps the state of a camera: typed state with a time to live needs this provider.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _OfCamera(StatefulProcessor):
+    """One typed value for each camera, carried from batch to batch by ``step(rows, value)``.
+
+    ``rows`` are a camera's packets of the batch in the order of their counters, ``value`` is None
+    at first and after the time to live; ``step`` gives the new value and the rows to put out.
+    """
+
+    def __init__(self, step: Callable, state: str, ttl_ms: int | None) -> None:
+        self.step, self.state, self.ttl_ms = step, state, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("value", self.state, self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        value, out = self.step(pd.concat(list(rows)).sort_values("counter"), self.value.get() if self.value.exists() else None)
+        self.value.update(value)
+        yield out
+
+
+def of_camera(df: DataFrame, step: Callable, out: str, state: str, ttl_ms: int | None = None) -> DataFrame:
+    """Rows that ``step`` puts out for each camera.
+
+    A state not written for ``ttl_ms`` is dropped, in processing time; for this Spark runs batches
+    without data on and on, so a run over what is there (``availableNow``) ends only with None, or
+    with ``spark.sql.streaming.noDataMicroBatches.enabled`` off.  Sets :data:`PROVIDER`.
+    """
+    df.sparkSession.conf.set(*PROVIDER)
+    return df.groupBy("serial").transformWithStateInPandas(_OfCamera(step, state, ttl_ms), out, "append", "None" if ttl_ms is None else "ProcessingTime")
+
+
+def _gaps(rows: pd.DataFrame, value: tuple | None) -> tuple[tuple, pd.DataFrame]:
     """The state: the last counter of a camera."""
-    last, out = state.get[0] if state.exists else None, []
-    for c in sorted(pd.concat(list(rows))["counter"]):
+    last, out = value[0] if value else None, []
+    for serial, c in zip(rows["serial"].tolist(), rows["counter"].tolist(), strict=True):
         if last is not None and c - last > 1:
-            out.append((int(key[0]), int(c), int(last), int(c - last - 1)))
+            out.append((serial, c, last, c - last - 1))
         if last is None or c > last:
-            last = int(c)
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["serial", "counter", "previous", "lost"]).astype("int64")
+            last = c
+    return (last,), pd.DataFrame(out, columns=["serial", "counter", "previous", "lost"]).astype("int64")
+
 
+def stream_gaps(df: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Lost frames of each camera.  Files must arrive in order per camera; within a batch rows are sorted.
 
-def stream_gaps(df: DataFrame) -> DataFrame:
-    """Lost frames of each camera.  Files must arrive in order per camera; within a batch rows are sorted."""
-    return df.groupBy("serial").applyInPandasWithState(_gaps, "serial long, counter long, previous long, lost long", "last long", "append", GroupStateTimeout.NoTimeout)
+    With ``ttl_ms`` a camera silent for that long begins anew, see :func:`of_camera`.
+    """
+    return of_camera(df, _gaps, "serial long, counter long, previous long, lost long", "last long", ttl_ms)
 
 
 def stream_decimate(df: DataFrame, n: int) -> DataFrame:
     """Every n-th packet of each camera."""
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(rows: pd.DataFrame, value: tuple | None) -> tuple[tuple, pd.DataFrame]:
         """The state: how many rows of a camera came so far."""
-        seen = state.get[0] if state.exists else 0
-        df = pd.concat(list(rows)).sort_values("counter")
-        state.update((seen + len(df),))
-        yield df[[i % n == 0 for i in range(seen + 1, seen + len(df) + 1)]][["serial", "counter"]]
+        seen = value[0] if value else 0
+        at = range(seen + 1, seen + len(rows) + 1)
+        return (seen + len(rows),), rows[[i % n == 0 for i in at]][["serial", "counter"]]
 
-    return df.groupBy("serial").applyInPandasWithState(step, "serial long, counter long", "n long", "append", GroupStateTimeout.NoTimeout)
+    return of_camera(df, step, "serial long, counter long", "n long")
 
 
 def stream_takes(df: DataFrame, start: str, stop: str) -> DataFrame:
@@ -52,16 +87,14 @@ def stream_takes(df: DataFrame, start: str, stop: str) -> DataFrame:
     As ``segment_takes``: the start's packet belongs to its take, the stop's does not, and a start
     within a take begins another.
     """
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(rows: pd.DataFrame, value: tuple | None) -> tuple[tuple, pd.DataFrame]:
         """The state: the number of the last take, and whether it is still on."""
-        take, on = state.get if state.exists else (0, False)
-        df = pd.concat(list(rows)).sort_values("counter")
-        takes = take + (df["kind"] == start).cumsum()
-        events = df["kind"].map({start: 1.0, stop: 0.0}).ffill().fillna(float(on))
-        state.update((int(takes.iloc[-1]), bool(events.iloc[-1])))
-        yield df[["serial", "counter"]].assign(take=takes.astype("int64"))[events == 1]
+        take, on = value or (0, False)
+        takes = take + (rows["kind"] == start).cumsum()
+        events = rows["kind"].map({start: 1.0, stop: 0.0}).ffill().fillna(float(on))
+        return (int(takes.iloc[-1]), bool(events.iloc[-1])), rows[["serial", "counter"]].assign(take=takes.astype("int64"))[events == 1]
 
-    return df.groupBy("serial").applyInPandasWithState(step, "serial long, counter long, take long", "take long, is_on boolean", "append", GroupStateTimeout.NoTimeout)
+    return of_camera(df, step, "serial long, counter long, take long", "take long, is_on boolean")
 
 
 def stream_sets(df: DataFrame, frames: int, delay: str = "10 minutes", window: str = "1 hour", n: int | None = None) -> DataFrame:
@@ -87,25 +120,16 @@ def stream_histogram(df: DataFrame, serial: int, sink: str, bins: int, lo: float
 def stream_temporal_blend(df: DataFrame, motion: float, ttl_ms: int | None = 3_600_000) -> DataFrame:
     """Each value drawn to the last blended one of its camera: ``value * motion + last * (1 - motion)``.
 
-    The state of a camera that sends nothing for ``ttl_ms`` is dropped, in processing time; for
-    this Spark runs batches without data on and on, so a run over what is there (``availableNow``)
-    ends only with None, which keeps all state.
+    A camera silent for ``ttl_ms`` begins anew, see :func:`of_camera`.
     """
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        df = pd.concat(list(rows)).sort_values("counter")
-        last, out = state.get[0] if state.exists else None, []
-        for v in df["value"].tolist():
+    def step(rows: pd.DataFrame, value: tuple | None) -> tuple[tuple, pd.DataFrame]:
+        last, out = value[0] if value else None, []
+        for v in rows["value"].tolist():
             last = v if last is None else v * motion + last * (1 - motion)
             out.append(last)
-        state.update((last,))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
-        yield df[["serial", "counter"]].assign(value=out)
+        return (last,), rows[["serial", "counter"]].assign(value=out)
 
-    return df.groupBy("serial").applyInPandasWithState(step, "serial long, counter long, value double", "v double", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return of_camera(df, step, "serial long, counter long, value double", "v double", ttl_ms)
 
 
 def write_footage_stream(df: DataFrame, path: str, checkpoint: str, shards: int, camera: str = "serial"):

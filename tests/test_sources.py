@@ -50,6 +50,46 @@ def test_footage_violations(spark, tmp_path):
         S.read_footage(spark, str(tmp_path / "*.bin")).collect()
 
 
+def test_header_of_a_large_file(spark, tmp_path):
+    """A sparse file of 3 GB, more than one value of a row may hold; a file shorter than a header."""
+    write(tmp_path / "0.bin", 0, 2, 1, 8, 1024, 512)
+    with open(tmp_path / "0.bin", "r+b") as f:
+        f.truncate(3 << 30)
+    (tmp_path / "1.bin").write_bytes(b"abc")
+    head = S.frame_count(S.footage_header(spark, f"file://{tmp_path}/*.bin")).orderBy("file").collect()
+    assert (head[0].file, head[0].file_bytes, head[0].n_frames) == (f"file://{tmp_path}/0.bin", 3 << 30, ((3 << 30) - S.PAGE) // (1 << 20))
+    assert head[1].magic != S.MAGIC and head[1].file_bytes == 3 and str(head[0].ts)[:4] == "2017"
+    part = S.read_footage(spark, f"file://{tmp_path}/0.bin", 2000, 3)
+    assert part.count() == 6 and {r.frame_no for r in part.select("frame_no").collect()} == {2000, 2001, 2002}
+    with pytest.raises(Exception, match="none.bin"):
+        S.footage_header(spark, str(tmp_path / "none.bin")).collect()
+    assert S.footage_header(spark, str(tmp_path / "*.none")).count() == S.read_footage(spark, str(tmp_path / "*.none")).count() == 0
+
+
+def test_growing_files_stream_each_frame_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    want = write(tmp_path / "whole", 0, 2, 40, 8)
+    whole = (tmp_path / "whole").read_bytes()
+    size = 2 * 16 * 8
+
+    def run():
+        q = S.stream_footage(spark, str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        got = spark.read.parquet(str(tmp_path / "out")).collect()
+        return sorted((r.file[-5:], r.frame_no, r.camera_ordinal, bytes(r.payload)) for r in got)
+
+    # Half of the first page, then three frames and a part, then all and another file.
+    (tmp_path / "in" / "0.bin").write_bytes(whole[:2000])
+    (tmp_path / "in" / "1.bin").write_bytes(whole[: S.PAGE + size])
+    first = [("1.bin", 0, c, want[c]) for c in (0, 1)]
+    assert run() == first
+    (tmp_path / "in" / "0.bin").write_bytes(whole[: S.PAGE + 3 * size + 50])
+    assert run() == [("0.bin", i // 2, i % 2, want[i]) for i in range(6)] + first
+    (tmp_path / "in" / "0.bin").write_bytes(whole)
+    assert run() == [("0.bin", i // 2, i % 2, p) for i, p in enumerate(want)] + first
+    assert run() == [("0.bin", i // 2, i % 2, p) for i, p in enumerate(want)] + first
+
+
 def test_rig_and_settings(spark, tmp_path):
     cam = {"version": 1, "type": "FTHETA", "id": "c", "origin": [0, 0, 1], "forward": [0, 0, 1], "up": [0, 1, 0], "right": [-1, 0, 0], "resolution": [20, 10], "focal": [5, -5]}
     (tmp_path / "rig.json").write_text(json.dumps({"cameras": [cam, cam | {"id": "d", "fov": 1.5, "distortion": [0.1, 0]}]}))
