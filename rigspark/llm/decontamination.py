@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rigspark.llm.common import ALPHANUMERIC, fresh_prefix, mix, texts_of, word_hashes, written
+from rigspark.llm.common import ALPHANUMERIC, mix, texts_of, word_hashes, written
 
 #: Windows of one search, on average over the passes; a larger benchmark is searched in several
 #: passes.  The tables take about 40 bytes a window, and three times that while they are built.
@@ -273,21 +273,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Rows are judged as in :func:`find_contamination`, each by itself.
     """
-    held = fresh_prefix(docs) + "text"
+    # mapInArrow takes a dot in a name for a field's: columns go by their places.
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
         search, _ = tables.value
         for batch in batches:
             keep = np.ones(len(batch), bool)
-            for first, data, offsets in texts_of(batch.column(batch.schema.get_field_index(held))):
+            for first, data, offsets in texts_of(batch.column(at)):
                 hashes, bounds = word_hashes(data, offsets, ALPHANUMERIC)
                 for s in search:
                     for text, _, _ in s.search(hashes, bounds):
                         keep[first + text] = False
             yield batch.filter(pa.array(keep))
 
-    names = docs.columns
-    docs = docs.withColumnRenamed(text_col, held)
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
     for last, tables in _passes(benchmark, item_col, item_text, window):
         docs = docs.mapInArrow(lambda it, tables=tables: clean(it, tables), docs.schema)
         docs = docs if last else written(docs)

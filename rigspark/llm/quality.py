@@ -209,9 +209,12 @@ def keep_quality(docs: DataFrame, model: QualityModel | None, text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.pair_table() if model else None
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch, text_col, model, table) >= threshold))
+            yield batch.filter(pa.array(_scores(batch, names[at], model, table) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    # mapInArrow takes a dot in a name for a field's: columns go by their places.
+    held, at = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), docs.columns.index(text_col)
+    names = held.columns
+    return held.mapInArrow(run, held.schema).toDF(*docs.columns)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
