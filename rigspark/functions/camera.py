@@ -4,31 +4,49 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How far away a point at infinity is placed.
 NEAR_INFINITY = 1e6
 
 
-def _v(name: str) -> tuple[Column, Column, Column]:
-    return tuple(F.col(name)[i] for i in range(3))
+def _item(name: str, i: int) -> Column:
+    return F.col(name)[i]
+
+
+def unfolded(name: str, i: int) -> Column:
+    """A camera's number as :func:`unfold` names it."""
+    return F.col(f"__{name}{i}")
+
+
+def unfold(cameras: DataFrame) -> DataFrame:
+    """Adds each number of the cameras' arrays, and the threshold of their field of view, as a column.
+
+    For joins with many rows: expressions over plain columns compile to a fraction of the code.
+    """
+    sizes = {"origin": 3, "right": 3, "up": 3, "forward": 3, "focal": 2, "principal": 2, "resolution": 2, "distortion": 2}
+    return cameras.withColumns({f"__{c}{i}": F.col(c)[i] for c, n in sizes.items() for i in range(n)} | {"__threshold": fov_threshold()})
+
+
+def _v(name: str, get=_item) -> tuple[Column, Column, Column]:
+    return tuple(get(name, i) for i in range(3))
 
 
 def dot(a, b) -> Column:
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 
 
-def in_camera(point: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+def in_camera(point: tuple[Column, Column, Column], get=_item) -> tuple[Column, Column, Column]:
     """A world point in the camera's axes: right, up, backward."""
-    d = tuple(p - o for p, o in zip(point, _v("origin"), strict=True))
-    return dot(_v("right"), d), dot(_v("up"), d), -dot(_v("forward"), d)
+    d = tuple(p - o for p, o in zip(point, _v("origin", get), strict=True))
+    return dot(_v("right", get), d), dot(_v("up", get), d), -dot(_v("forward", get), d)
 
 
-def distort(r: Column) -> Column:
+def distort(r: Column, get=_item) -> Column:
     """Radius on the sensor of an undistorted radius."""
     r2 = r * r
-    return r * (1 + r2 * (F.col("distortion")[0] + r2 * F.col("distortion")[1]))
+    return r * (1 + r2 * (get("distortion", 0) + r2 * get("distortion", 1)))
 
 
 def undistort(r: Column, steps: int = 10, probe: float = 1e-6) -> Column:
@@ -85,6 +103,24 @@ def projected(point: tuple[Column, Column, Column]) -> Column:
     return _let(_let(world, seen), scaled)
 
 
+def with_projected(df: DataFrame, point: tuple[Column, Column, Column], u: str = "px", v: str = "py", get=_item) -> DataFrame:
+    """Adds the pixel of :func:`project`, its parts computed as columns one after the other.
+
+    For plans over many rows: every part is compiled code, which the lambdas of :func:`projected` are not.
+    """
+    kept = [c for c in df.columns if c not in (u, v)]
+    x, y, z, n, k = (F.col(f"__{c}") for c in ("cx", "cy", "cz", "cn", "ck"))
+    rows = df.withColumns({f"__c{a}": c for a, c in zip("xyz", in_camera(tuple(c.cast("double") for c in point), get), strict=True)})
+    rows = rows.withColumn("__cn", F.sqrt(x * x + y * y))
+    fisheye = F.when(n == 0, 0.0).otherwise(distort(F.atan2(n, -z), get) / n)
+    depth = F.nullif(z, F.lit(0.0))
+    q2 = (x * x + y * y) / (depth * depth)
+    flat = (1 + q2 * (get("distortion", 0) + q2 * get("distortion", 1))) / -depth
+    rows = rows.withColumn("__ck", F.when(F.col("type") == "FTHETA", fisheye).otherwise(flat))
+    pixel = (x * k * get("focal", 0) + get("principal", 0)).alias(u), (y * k * get("focal", 1) + get("principal", 1)).alias(v)
+    return rows.select(*kept, *pixel)
+
+
 def unproject(px: Column, py: Column) -> tuple[Column, Column, Column]:
     """Direction of the world ray through a pixel; the principal point looks along the axis."""
     sx, sy = (px - F.col("principal")[0]) / F.col("focal")[0], (py - F.col("principal")[1]) / F.col("focal")[1]
@@ -116,14 +152,14 @@ def is_behind(point) -> Column:
     return in_camera(point)[2] >= 0
 
 
-def outside_fov(point) -> Column:
-    v = tuple(p - o for p, o in zip(point, _v("origin"), strict=True))
-    d = dot(_v("forward"), v)
-    return d * F.abs(d) <= fov_threshold() * dot(v, v)
+def outside_fov(point, get=_item) -> Column:
+    v = tuple(p - o for p, o in zip(point, _v("origin", get), strict=True))
+    d = dot(_v("forward", get), v)
+    return d * F.abs(d) <= (fov_threshold() if get is _item else F.col("__threshold")) * dot(v, v)
 
 
-def in_frame(px: Column, py: Column) -> Column:
-    return (px >= 0) & (px < F.col("resolution")[0]) & (py >= 0) & (py < F.col("resolution")[1])
+def in_frame(px: Column, py: Column, get=_item) -> Column:
+    return (px >= 0) & (px < get("resolution", 0)) & (py >= 0) & (py < get("resolution", 1))
 
 
 def sees(point) -> Column:

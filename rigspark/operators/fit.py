@@ -70,12 +70,108 @@ def decompose_color(m) -> tuple[list[Column], list[list[Column]]]:
     return gains, [[v / total for v in row] for row in ccm]
 
 
+#: Observations of a point that one row holds; points with more are fitted by sums over their rows.
+MOST_SEEN = 1024
+#: A system whose determinant is below this share of its mean diagonal's cube is not solvable: what
+#: is left of it, as where one camera sees a point, is rounding.
+SINGULAR = 1e-13
+#: Observations that a task works on at a time.
+SEEN_AT_ONCE = 100_000
+#: A camera's columns and how many numbers each holds.
+_CAMERA = (("origin", 3), ("right", 3), ("up", 3), ("forward", 3), ("principal", 2), ("focal", 2), ("distortion", 2))
+
+
+def _packed() -> Column:
+    """An observation as one array: pixel, whether the lens is flat, the camera's numbers; NaN for null."""
+    own = F.array(F.col("px").cast("double"), F.col("py").cast("double"), F.when(F.col("type") == "FTHETA", 0.0).otherwise(1.0))
+    width = 3 + sum(n for _, n in _CAMERA)
+    return F.coalesce(F.concat(own, *(F.col(c).cast("array<double>") for c, _ in _CAMERA)), F.array_repeat(F.lit(float("nan")), width))
+
+
+def _in_camera(o: np.ndarray, world: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points in the axes of the cameras of packed observations: right, up, backward."""
+    d = world - o[:, 3:6]
+    return tuple(sign * (o[:, at : at + 3] * d).sum(1) for at, sign in ((6, 1), (9, 1), (12, -1)))
+
+
+def _seen(o: np.ndarray, world: np.ndarray) -> np.ndarray:
+    """Pixels of points in the cameras of packed observations, NaN where there is no image."""
+    x, y, z = _in_camera(o, world)
+    n, d0, d1 = np.hypot(x, y), o[:, 19], o[:, 20]
+    r = np.where(o[:, 2] > 0, n / np.where(z == 0, np.nan, -z), np.arctan2(n, -z))
+    r2 = r * r
+    bent = 1 + r2 * (d0 + r2 * d1)
+    scale = np.where(o[:, 2] > 0, bent / np.where(z == 0, np.nan, -z), np.where(n == 0, 0.0, r * bent / np.where(n == 0, 1.0, n)))
+    return np.stack([x * scale * o[:, 17] + o[:, 15], y * scale * o[:, 18] + o[:, 16]], 1)
+
+
+def _settled(o: np.ndarray, begin: np.ndarray, start: np.ndarray, steps: int) -> np.ndarray:
+    """Gauss-Newton for points whose packed observations begin at ``begin``, all at once."""
+    times = np.diff(np.r_[begin, len(o)])
+    total = lambda v: np.add.reduceat(v, begin, axis=0)
+    world = start.copy()
+    with np.errstate(all="ignore"):
+        for _ in range(steps):
+            h = 1e-4 * np.maximum(1.0, np.sqrt((world * world).sum(1)) * 1e-2)
+            each, wide = np.repeat(world, times, axis=0), np.repeat(h, times)
+            at = _seen(o, each)
+            by = np.stack([(_seen(o, each + wide[:, None] * (np.arange(3) == i)) - at) / wide[:, None] for i in range(3)], 2)
+            error = o[:, :2] - at
+            usable = np.isfinite(by).all((1, 2)) & np.isfinite(error).all(1)
+            by, error = np.where(usable[:, None, None], by, 0.0), np.where(usable[:, None], error, 0.0)
+            m, g = total(np.einsum("kij,kil->kjl", by, by)), total(np.einsum("kij,ki->kj", by, error))
+            cof = lambda i, j: m[:, (i + 1) % 3, (j + 1) % 3] * m[:, (i + 2) % 3, (j + 2) % 3] - m[:, (i + 1) % 3, (j + 2) % 3] * m[:, (i + 2) % 3, (j + 1) % 3]
+            det = m[:, 0, 0] * cof(0, 0) + m[:, 0, 1] * cof(0, 1) + m[:, 0, 2] * cof(0, 2)
+            det = np.where(det > SINGULAR * (np.trace(m, axis1=1, axis2=2) / 3) ** 3, det, np.nan)
+            inverse = np.stack([np.stack([cof(j, i) / det for j in range(3)], 1) for i in range(3)], 1)
+            step = np.einsum("pij,pj->pi", inverse, g)
+            world = world + np.where(np.isfinite(step).all(1)[:, None], step, 0.0)
+    behind = np.maximum.reduceat(_in_camera(o, np.repeat(world, times, axis=0))[2] >= 0, begin)
+    return np.where(behind[:, None], start, world)
+
+
 def triangulate(obs: DataFrame, keys: list[str], start: DataFrame, steps: int = 8) -> DataFrame:
     """Points that many rays see, by Gauss-Newton on the pixel error, all at once.
 
-    ``obs``: keys, pixel ``px, py`` and the camera's columns; ``start``: keys, x, y, z.  Each step
-    is one aggregation of the normal sums per point and a 3 x 3 solve in expressions.  A point
-    without a solvable system stays; one that falls behind a camera ends at its start.
+    ``obs``: keys, pixel ``px, py`` and the camera's columns; ``start``: keys, x, y, z.  A point
+    without a solvable system, as one that a single camera sees, stays; one that falls behind a
+    camera ends at its start.
+
+    Plan: one row holds a point with all its observations, so all steps are one shuffle.  Points
+    with more than :data:`MOST_SEEN` observations are fitted by aggregations instead, one a step.
+    """
+    first = start.select(*keys, *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    rows = written(obs.select(*keys, _packed().alias("__o")))
+    many = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > MOST_SEEN).select(*keys))
+    crowded = many.limit(1).count() > 0
+    few = rows.join(small(many), keys, "left_anti") if crowded else rows
+    points = few.groupBy(*keys).agg(F.flatten(F.collect_list("__o")).alias("__o")).join(first, keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        width = 3 + sum(n for _, n in _CAMERA)
+        for frame in frames:
+            ends = np.cumsum(frame["__o"].map(len).to_numpy() // width)
+            low = 0
+            while low < len(frame):
+                before = ends[low - 1] if low else 0
+                high = max(int(np.searchsorted(ends, before + SEEN_AT_ONCE, "right")), low + 1)
+                part = frame.iloc[low:high]
+                o = np.concatenate(part["__o"].to_list()).reshape(-1, width)
+                world = _settled(o, np.r_[before, ends[low : high - 1]] - before, part[list("xyz")].to_numpy(float), steps)
+                yield part[keys].assign(x=world[:, 0], y=world[:, 1], z=world[:, 2])
+                low = high
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields)
+    out = points.mapInPandas(run, kinds)
+    if not crowded:
+        return out
+    return out.unionByName(_triangulate_by_sums(obs.join(small(many), keys, "left_semi"), keys, first.join(small(many), keys, "left_semi"), steps))
+
+
+def _triangulate_by_sums(obs: DataFrame, keys: list[str], start: DataFrame, steps: int) -> DataFrame:
+    """:func:`triangulate` where a point has too many observations for one row.
+
+    Each step is one aggregation of the normal sums per point and a 3 x 3 solve in expressions.
     """
     cur = written(start.select(*keys, "x", "y", "z"))
     names = ["xx", "xyy", "xz", "yy", "yz", "zz", "gx", "gy", "gz"]
@@ -93,7 +189,9 @@ def triangulate(obs: DataFrame, keys: list[str], start: DataFrame, steps: int =
         sums = rows.select(*keys, *(c.alias(n) for c, n in zip([*jj, *g], names, strict=True))).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in names))
         c = {n: F.col(n) for n in names}
         inv = _inverse3([[c["xx"], c["xyy"], c["xz"]], [c["xyy"], c["yy"], c["yz"]], [c["xz"], c["yz"], c["zz"]]])
-        step = [sum((inv[i][j] * c[n] for j, n in enumerate(("gx", "gy", "gz"))), F.lit(0.0)).alias(f"d{a}") for i, a in enumerate("xyz")]
+        det = c["xx"] * (c["yy"] * c["zz"] - c["yz"] * c["yz"]) - c["xyy"] * (c["xyy"] * c["zz"] - c["yz"] * c["xz"]) + c["xz"] * (c["xyy"] * c["yz"] - c["yy"] * c["xz"])
+        solvable = det > SINGULAR * F.pow((c["xx"] + c["yy"] + c["zz"]) / 3, F.lit(3.0))
+        step = [F.when(solvable, sum((inv[i][j] * c[n] for j, n in enumerate(("gx", "gy", "gz"))), F.lit(0.0))).alias(f"d{a}") for i, a in enumerate("xyz")]
         moved = cur.join(sums.select(*keys, *step), keys, "left")
         cur = written(moved.select(*keys, *((F.col(a) + F.coalesce(F.when(F.isnan(f"d{a}"), 0.0).otherwise(F.col(f"d{a}")), F.lit(0.0))).alias(a) for a in "xyz")))
     behind = obs.join(cur, keys).groupBy(*keys).agg(F.max(C.is_behind(tuple(F.col(c) for c in "xyz"))).alias("behind"))
@@ -106,10 +204,10 @@ def reprojection_error(obs: DataFrame, points: DataFrame, keys: list[str]) -> Da
     """Pixel error of each observation, null where its camera does not see the point."""
     rows = obs.join(points, keys)
     p = tuple(F.col(c) for c in "xyz")
-    rows = rows.withColumn("__p", C.projected(p))
-    u, v = F.col("__p.u"), F.col("__p.v")
+    rows = C.with_projected(rows, p, "__u", "__v")
+    u, v = F.col("__u"), F.col("__v")
     seen = ~C.outside_fov(p) & C.in_frame(u, v)
-    return rows.withColumn("error", F.when(seen, F.sqrt((u - F.col("px")) ** 2 + (v - F.col("py")) ** 2))).drop("__p")
+    return rows.withColumn("error", F.when(seen, F.sqrt((u - F.col("px")) ** 2 + (v - F.col("py")) ** 2))).drop("__u", "__v")
 
 
 def fit_vignetting(samples: DataFrame, keys: list[str], x: str, y: str, target: str, order: int = 4, rounds: int = 20) -> DataFrame:

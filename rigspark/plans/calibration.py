@@ -21,8 +21,9 @@ def visible_observations(points: DataFrame, cameras: DataFrame) -> DataFrame:
     A rig has few cameras: they are broadcast after a check of their number.
     """
     p = tuple(F.col(c) for c in "xyz")
-    rows = points.crossJoin(small(cameras)).where(~C.outside_fov(p)).withColumn("__p", C.projected(p))
-    return rows.withColumns({"px": F.col("__p.u"), "py": F.col("__p.v")}).drop("__p").where(C.in_frame(F.col("px"), F.col("py")))
+    rows = points.crossJoin(small(C.unfold(cameras))).where(~C.outside_fov(p, C.unfolded))
+    rows = C.with_projected(rows, p, get=C.unfolded).where(C.in_frame(F.col("px"), F.col("py"), C.unfolded))
+    return rows.select(*points.columns, *cameras.columns, "px", "py")
 
 
 def camera_by_direction(directions: DataFrame, cameras: DataFrame, keys: list[str], farthest: float = 1.0) -> DataFrame:
@@ -73,8 +74,8 @@ def overlap_fraction(cameras: DataFrame, n: int = 10, keys: list[str] | None = N
     a = a.select(*keys, F.col("id").alias("first"), *(c.alias(x) for x, c in zip("xyz", far, strict=True)))
     rows = (a.join(cameras, keys) if keys else a.crossJoin(small(cameras))).where(F.col("first") != F.col("id"))
     p = tuple(F.col(c) for c in "xyz")
-    rows = rows.withColumn("__p", C.projected(p))
-    seen = F.coalesce(~C.outside_fov(p) & C.in_frame(F.col("__p.u"), F.col("__p.v")), F.lit(False))
+    rows = C.with_projected(rows, p, "__u", "__v")
+    seen = F.coalesce(~C.outside_fov(p) & C.in_frame(F.col("__u"), F.col("__v")), F.lit(False))
     return rows.groupBy(*keys, "first", F.col("id").alias("second")).agg(F.avg(seen.cast("double")).alias("overlap"))
 
 

@@ -100,3 +100,22 @@ def test_color_model_is_recovered(spark):
     rows = [(1, *map(float, a), *map(float, b)) for a, b in zip(rgb, lab)]
     [r] = FT.fit_color(spark.createDataFrame(rows, "cam int, r double, g double, b double, l0 double, a0 double, b0 double"), ["cam"], steps=8).collect()
     assert r.error < 0.3 and all(0 <= k <= 0.9 for k in r.params[:3])
+
+
+def test_points_of_one_camera_stay_and_crowded_points_agree(spark, monkeypatch):
+    truth = B.points(spark, "/root/testdata/sf0.001")
+    obs = visible_observations(truth, B.rig(spark)).drop("x", "y", "z")
+    start = truth.select("point_id", *((F.col(c) * 1.05 + 3).alias(c) for c in "xyz"))
+    get = lambda df: {r.point_id: (r.x, r.y, r.z) for r in df.collect()}
+    got, first = get(FT.triangulate(obs, ["point_id"], start)), get(start)
+    times = {r.point_id: r["count"] for r in obs.groupBy("point_id").count().collect()}
+    alone = [p for p, n in times.items() if n == 1]
+    assert alone and all(got[p] == first[p] for p in alone)
+    some = obs.where("point_id < 25")
+    monkeypatch.setattr(FT, "MOST_SEEN", 2)
+    monkeypatch.setattr(FT, "SEEN_AT_ONCE", 3)
+    again = get(FT.triangulate(some, ["point_id"], start, 3))
+    monkeypatch.setattr(FT, "MOST_SEEN", 1024)
+    want = get(FT.triangulate(some, ["point_id"], start, 3))
+    assert any(times[p] > 2 for p in again) and again.keys() == want.keys()
+    assert all(np.allclose(again[p], want[p], atol=1e-4, rtol=1e-6) for p in want)
