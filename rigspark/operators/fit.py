@@ -346,6 +346,10 @@ def _homography(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else h
 
 
+#: Matches that a task scores at a time, under all trials.
+SCORED_AT_ONCE = 2_000
+
+
 def ransac_inliers(matches: DataFrame, threshold: float = 3.0, trials: int = 200, seed: int = 14) -> DataFrame:
     """Matches (x0, y0, x1, y1) within ``threshold`` pixels of the best homography of random quads.
 
@@ -370,9 +374,20 @@ def ransac_inliers(matches: DataFrame, threshold: float = 3.0, trials: int = 200
         u, v = F.try_divide(h[0] * F.col("x0") + h[1] * F.col("y0") + h[2], w), F.try_divide(h[3] * F.col("x0") + h[4] * F.col("y0") + h[5], w)
         return F.sqrt((u - F.col("x1")) ** 2 + (v - F.col("y1")) ** 2)
 
-    # Trials stand beside each match as an array: a partial sum per trial, no row per pair.
-    hs = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(names, m[1:], strict=True))) for m in models))
-    near = matches.select(F.transform(hs, lambda s: F.when(error([s[n] for n in names]) < threshold, 1).otherwise(0)).alias("near"))
-    score = near.select(F.posexplode("near").alias("trial", "hit")).groupBy("trial").agg(F.sum("hit").alias("hits"))
+    h = np.array([m[1:] for m in models])
+
+    def hits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each trial the number of a task's matches that it fits."""
+        total = np.zeros(trials, int)
+        for frame in frames:
+            for low in range(0, len(frame), SCORED_AT_ONCE):
+                x0, y0, x1, y1 = frame.iloc[low : low + SCORED_AT_ONCE].to_numpy(float).T[:, :, None]
+                with np.errstate(all="ignore"):
+                    w = h[:, 6] * x0 + h[:, 7] * y0 + h[:, 8]
+                    u, v = (h[:, 0] * x0 + h[:, 1] * y0 + h[:, 2]) / w, (h[:, 3] * x0 + h[:, 4] * y0 + h[:, 5]) / w
+                    total += (np.sqrt((u - x1) ** 2 + (v - y1) ** 2) < threshold).sum(0)
+        yield pd.DataFrame({"trial": np.arange(trials), "hit": total})
+
+    score = matches.select(*(F.col(c).cast("double").alias(c) for c in pts)).mapInPandas(hits, "trial int, hit long").groupBy("trial").agg(F.sum("hit").alias("hits"))
     best = score.join(small(table), "trial").orderBy(F.desc("hits"), "trial").first()
     return matches.where(error([F.lit(best[n]) for n in names]) < threshold)
