@@ -80,3 +80,9 @@ def test_features(spark):
     a, b = df.select(*(c.alias(n) for n, c in lexical_features(F.col("url")).items())).collect()
     assert (a.depth, a.parameters, a.labels, a.hyphens, a.secure, a.fragment, a.extension, a.host_digits) == (3, 2, 2, 1, 1, 1, 1, 1)
     assert set(b.asDict().values()) == {0.0}
+
+
+def test_all_labelled_urls_are_learnt_from(spark):
+    rows = spark.range(30_000).select(F.concat(F.lit("https://h"), F.col("id") % 900, F.when(F.col("id") % 3 == 0, ".biz/").otherwise(".com/"), "id").alias("url"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    model = UrlFilter.train(rows, rounds=1, depth=2)
+    assert 9_500 < model.held_out["n"] < 10_500 and model.base_rate == 10_000 / 30_000
