@@ -98,3 +98,14 @@ def test_silent_cameras_begin_anew(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert {r.counter: r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: 8.0, 2: 6.0, 3: 2.0}
+
+
+def test_cameras_of_a_bucket_are_worked_on_together():
+    import numpy as np
+    import pandas as pd
+
+    from rigspark.streaming.frames import _gaps
+
+    rows = pd.DataFrame({"serial": [1, 1, 2, 2], "counter": [1, 4, 3, 4]})
+    states, out = _gaps(rows, np.array([0, 2]), [None, (1,)])
+    assert states == [(4,), (4,)] and out.to_numpy().tolist() == [[1, 4, 1, 2], [2, 3, 1, 1]]
