@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,39 +14,89 @@ from rigspark.scratch import small, written
 
 #: Nodes up to which the table of minima is broadcast (about 16 bytes a node).
 BROADCAST_NODES = 500_000
+#: Edges that a task contracts at a time.
+CHUNK_EDGES = 1_000_000
+#: Rows of one node from which on its minimum is broadcast instead of its rows being shuffled to one task.
+HEAVY_ROWS = 100_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every ``CHUNK_EDGES`` edges of a task, each node with the smallest one that they link it to."""
+
+    def stars(parts: list[pa.Table]) -> pa.RecordBatch:
+        edges = pa.concat_tables(parts)
+        both = pa.chunked_array([*edges["u"].chunks, *edges["v"].chunks], edges["u"].type).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(both.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ends = rank[both.indices.to_numpy()].reshape(2, -1)
+        low = np.arange(len(order))
+        u, v = ends.max(0), ends.min(0)
+        while len(u):
+            # The root of each edge's larger end goes below the smaller end's; then every node to its root.
+            np.minimum.at(low, u, v)
+            while (low[low] != low).any():
+                low = low[low]
+            ends = low[u], low[v]
+            u, v = np.maximum(*ends), np.minimum(*ends)
+            u, v = u[u != v], v[u != v]
+        own = np.flatnonzero(low != np.arange(len(low)))
+        return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(order[n])) for n in (own, low[own])], ["u", "v"])
+
+    parts, size = [], 0
+    for batch in batches:
+        parts.append(pa.Table.from_batches([batch]))
+        size += len(batch)
+        if size >= CHUNK_EDGES:
+            yield stars(parts)
+            parts, size = [], 0
+    if size:
+        yield stars(parts)
+
+
+def _with_low(rows: DataFrame, low: DataFrame, few: bool) -> DataFrame:
+    """Rows ``u, v`` with their node's minimum ``m``; nodes of very many rows are broadcast apart, so no task has one's rows."""
+    low_m = low.select("u", "m")
+    if few:
+        return rows.join(F.broadcast(low_m), "u")
+    heavy = low.where(F.col("n") > HEAVY_ROWS).select("u", "m")
+    if not heavy.limit(1).count():
+        return rows.join(low_m, "u")
+    rest = rows.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(low.where(F.col("n") <= HEAVY_ROWS).select("u", "m"), "u")
+    return rows.join(F.broadcast(heavy), "u").unionByName(rest)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Components of an undirected graph: ``(node, component)``, named by their smallest node.
 
-    Alternates the published large-star and small-star steps on the edge table.  A step is a
-    grouped minimum and an equi join, never a pair of neighbours, so a hub with a third of all
-    edges costs its edges only: partial aggregation spreads the minimum, and the join with the
-    table of minima, one row a node, is a broadcast up to ``BROADCAST_NODES`` nodes and beyond
-    that one whose skewed side Spark splits.  Every round is written out, and the loop ends when
-    a round changes nothing.  Rows with a null end are ignored; a node that only has a loop is its
-    own component.
+    Each task first contracts the edges it reads, ``CHUNK_EDGES`` at a time, to stars: a chain that
+    lies in one task is done at once.  Then the published large-star and small-star steps
+    alternate on what is left.  A step is a grouped minimum and an equi join, never a pair of
+    neighbours, so a hub with a third of all edges costs its edges only: partial aggregation
+    spreads the minimum, and the join with the table of minima, one row a node, is a broadcast up
+    to ``BROADCAST_NODES`` nodes; beyond that, nodes of more than ``HEAVY_ROWS`` rows, of which
+    there are few, are broadcast and the others shuffled.  The loop ends when every edge is
+    one of a star below its smallest node.  Rows with a null end are ignored; a node that only has
+    a loop is its own component.
     """
-    both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    both = written(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null"))
     nodes = written(both.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     few = nodes.count() <= BROADCAST_NODES
-    spread = F.broadcast if few else lambda df: df
-    work = written(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    work = written(both.where("u <> v").mapInArrow(_contracted, both.schema).distinct())
     while True:
-        # Large star: each node hands its larger neighbours to the smallest of its neighbourhood.
         around = work.union(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = around.where("v > u").join(spread(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: each node and its smaller neighbours point to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(spread(low), "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v"))
-        work = written(small.where("u <> v").distinct())
-        now = tuple(work.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
+        below = F.count_if(F.col("v") < F.col("u")).alias("below")
+        low = written(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"), below))
+        if not low.where("below > 1 or (below = 1 and n > 1)").limit(1).count():
             break
-        state = now
-    labels = work.groupBy("u").agg(F.min("v").alias("m"))
+        # Large star: each node hands its larger neighbours to the smallest of its neighbourhood.
+        large = written(_with_low(around.where("v > u"), low, few).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # Small star: each node and its smaller neighbours point to the smallest of them.
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        rest = _with_low(large, low, few).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        work = written(rest.union(low.select("u", F.col("m").alias("v"))).distinct())
+    labels = low.where("below = 1").select("u", "m")
+    spread = F.broadcast if few else lambda df: df
     return nodes.join(spread(labels), nodes.node == labels.u, "left").select("node", F.coalesce("m", "node").alias("component"))
 
 

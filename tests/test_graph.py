@@ -4,6 +4,7 @@ import pytest
 
 import rigspark.operators.graph as graph
 from rigspark.operators.graph import connected_components, trace_members, trace_observations
+from rigspark.scratch import written
 
 
 def brute(edges):
@@ -60,3 +61,18 @@ def test_traces_and_their_observations(spark):
     cameras = spark.createDataFrame([("cam0", 0), ("cam1", 1), ("cam2", 2)], "id string, ordinal int")
     got = trace_observations(members, keypoints, cameras, F.split("image", "/")[0]).collect()
     assert sorted((r.id, r.ordinal, r.px, r.py) for r in got) == [("cam0", 0, 0.0, 3.0), ("cam0", 0, 0.0, 9.0), ("cam1", 1, 1.0, 4.0), ("cam2", 2, 2.0, 5.0)]
+
+
+def test_heavy_nodes_are_broadcast_and_long_chains_end_in_few_rounds(spark, monkeypatch):
+    """A hub, rings over two chunks, and a chain that one task contracts before any round."""
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(graph, "HEAVY_ROWS", 20)
+    rng = random.Random(5)
+    edges = [("h", f"n{i}") for i in range(300)] + [(f"a{rng.randrange(200)}", f"b{rng.randrange(200)}") for _ in range(230)] + [("é", "z"), ("z", "\U0001f600")]
+    df = spark.createDataFrame(edges, "src string, dst string").repartition(4)
+    assert {r.node: r.component for r in connected_components(df).collect()} == brute(edges)
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda df: rounds.append(1) or written(df))
+    chain = spark.range(1, 20_000).coalesce(1).selectExpr("id src", "id - 1 dst")
+    assert connected_components(chain).where("component <> 0").count() == 0
+    assert len(rounds) <= 7
