@@ -64,3 +64,22 @@ def test_grid_equals_all_pairs(spark, monkeypatch):
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
     kept = D.remove_isolated(df, ["k"], "id", "x", "y")
     assert kept.where("k = 1").count() == 200 and kept.where("k = 0 and x = 4000").count() == 0 and kept.columns == df.columns
+
+
+def test_blocks_give_their_best_in_the_old_order(spark, monkeypatch):
+    """Small blocks, equal vectors and an infinite component: as one comparison of all pairs."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(J, "STRIP_ROWS", 3)
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(0, 1, (160, 5)), 1)
+    v[101] = v[103] = v[2]
+    v[7, 0] = np.inf
+    df = spark.createDataFrame([(0, i, [float(x) for x in v[i]]) for i in range(160)], "k int, id long, v array<double>")
+    got = {r.left_id: (r.right_id, r.distance) for r in J.match_descriptors(df.where("id % 2 = 0"), df.where("id % 2 = 1"), ["k"], "id", "v", factor=1e9, pivots=3).collect()}
+    want = {}
+    for i in range(0, 160, 2):
+        d = [np.sqrt(sum(float(a - b) ** 2 for a, b in zip(v[i], v[j], strict=True))) for j in range(1, 160, 2)]
+        want[i] = (2 * int(np.argmin(d)) + 1, min(d))
+    # The least distance is 0, so only what lies within the floor is kept.
+    assert got == {i: w for i, w in want.items() if w[1] <= 0.02} and got[2] == (101, 0.0)
+    assert "FlatMapCoGroups" in J.match_descriptors(df, df, ["k"], "id", "v", "ratio")._jdf.queryExecution().executedPlan().toString()
