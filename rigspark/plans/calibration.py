@@ -12,7 +12,7 @@ from rigspark.functions.scalars import black_level
 from rigspark.operators import fit as FT
 from rigspark.operators import grid as GD
 from rigspark.operators import stats as D
-from rigspark.scratch import small, written
+from rigspark.scratch import small, spread, written
 
 
 def visible_observations(points: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -72,11 +72,17 @@ def overlap_fraction(cameras: DataFrame, n: int = 10, keys: list[str] | None = N
     a = cameras.withColumn("i", probes).withColumn("j", probes)
     far = C.near_infinity(F.col("i") / (n - 1) * F.col("resolution")[0], F.col("j") / (n - 1) * F.col("resolution")[1])
     a = a.select(*keys, F.col("id").alias("first"), *(c.alias(x) for x, c in zip("xyz", far, strict=True)))
-    rows = (a.join(cameras, keys) if keys else a.crossJoin(small(cameras))).where(F.col("first") != F.col("id"))
+    b = C.unfold(cameras)
+    b = b.select(*keys, F.col("id").alias("second"), "type", *(c for c in b.columns if c not in cameras.columns))
+    if keys:
+        # A pair costs far more than its bytes, so partitions are not put together by size.
+        a, b = spread(a, *keys), spread(b, *keys)
+    rows = (a.join(b, keys) if keys else a.crossJoin(small(b))).where(F.col("first") != F.col("second"))
     p = tuple(F.col(c) for c in "xyz")
-    rows = C.with_projected(rows, p, "__u", "__v")
-    seen = F.coalesce(~C.outside_fov(p) & C.in_frame(F.col("__u"), F.col("__v")), F.lit(False))
-    return rows.groupBy(*keys, "first", F.col("id").alias("second")).agg(F.avg(seen.cast("double")).alias("overlap"))
+    rows = rows.withColumn("__in", ~C.outside_fov(p, C.unfolded))
+    rows = C.with_projected(rows, p, "__u", "__v", C.unfolded)
+    seen = F.coalesce(F.col("__in") & C.in_frame(F.col("__u"), F.col("__v"), C.unfolded), F.lit(False))
+    return rows.groupBy(*keys, "first", "second").agg(F.avg(seen.cast("double")).alias("overlap"))
 
 
 def rig_rmse(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -39,6 +39,14 @@ def written(df: DataFrame, name: str = "rigspark") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows dealt to ``spark.sql.shuffle.partitions`` tasks that are not put together by their bytes.
+
+    For rows whose work is large beside their bytes, as the points that Python places.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def small(df: DataFrame) -> DataFrame:
     """Broadcast a side of a join if it has few rows, else leave the join to Spark."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
