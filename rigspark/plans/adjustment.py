@@ -15,7 +15,7 @@ from rigspark.bindings import RIG_SCHEMA
 from rigspark.functions.camera import NEAR_INFINITY
 from rigspark.operators.graph import trace_members
 from rigspark.operators.stats import rejection_counts, reject_outliers
-from rigspark.scratch import small, written
+from rigspark.scratch import small, spread, written
 
 #: Cameras of a rig, whose system is solved on the driver; a larger table is refused.
 MOST_CAMERAS = 128
@@ -147,20 +147,21 @@ def settle(rig: Rig, cam: np.ndarray, seen: np.ndarray, begin: np.ndarray, world
     """
     if not len(begin):
         return world, np.zeros(0)
-    times = np.diff(np.r_[begin, len(cam)])
-    total, flat = lambda v: np.add.reduceat(v, begin, axis=0), rig.flat[cam]
+    placed, costs = world.copy(), np.zeros(len(world))
+    mine, times = np.arange(len(world)), np.diff(np.r_[begin, len(cam)])
 
     def cost(world: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         each = np.repeat(world, times, axis=0)
         error = seen - pixel(rig, cam, each)
         weight, own = _weights(error)
         behind = np.einsum("kj,kj->k", rig.axes[cam, 2], each - rig.origin[cam]) >= 0
-        own = np.where((behind & flat) | ~np.isfinite(own), np.inf, own)
-        return error, weight, total(own)
+        own = np.where((behind & rig.flat[cam]) | ~np.isfinite(own), np.inf, own)
+        return error, weight, np.add.reduceat(own, begin, axis=0)
 
     error, weight, now = cost(world)
     damp = np.full(len(world), 1e-3)
     for _ in range(steps):
+        total = lambda v: np.add.reduceat(v, begin, axis=0)  # noqa: B023, E731
         by = slopes(rig, cam, np.repeat(world, times, axis=0))["world"]
         v = total(np.einsum("k,kij,kil->kjl", weight, by, by))
         g = total(np.einsum("k,kij,ki->kj", weight, by, np.where(np.isfinite(error), error, 0)))
@@ -176,12 +177,22 @@ def settle(rig: Rig, cam: np.ndarray, seen: np.ndarray, begin: np.ndarray, world
         better = then < now
         gain = np.where(better, np.minimum(now, 1e300) - np.minimum(then, 1e300), 0)
         world = np.where(better[:, None], moved, world)
-        mine = np.repeat(better, times)
-        error, weight = np.where(mine[:, None], e, error), np.where(mine, w, weight)
+        own = np.repeat(better, times)
+        error, weight = np.where(own[:, None], e, error), np.where(own, w, weight)
         now, damp = np.where(better, then, now), np.where(better, damp / 10, damp * 10)
-        if not (gain > 1e-12 * (1 + now)).any() and (damp > 1e3).all() | better.any():
+        placed[mine], costs[mine] = world, now
+        # A point that gains no more is left where it is; the others go on without it.
+        on = (gain > 1e-12 * (1 + now)) | ~(better | (damp > 1e3))
+        if not on.any():
             break
-    return world, now
+        if not on.all():
+            own = np.repeat(on, times)
+            mine, world, now, damp, times = mine[on], world[on], now[on], damp[on], times[on]
+            cam, seen, error, weight = cam[own], seen[own], error[own], weight[own]
+            begin = np.r_[0, np.cumsum(times)[:-1]]
+    if not steps:
+        costs = now
+    return placed, costs
 
 
 def place(rig: Rig, cam: np.ndarray, seen: np.ndarray, begin: np.ndarray, world: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray]:
@@ -233,12 +244,12 @@ def tracks(obs: DataFrame, rig: Rig, key: str, points: DataFrame | None = None,
     if many.limit(1).count():
         rows = rows.join(small(many), key, "left")
         part = F.pmod(F.xxhash64("id", "px", "py"), F.ceil(F.coalesce("n", F.lit(1)) / MOST_SEEN)).cast("int")
-    rows = rows.withColumn("part", part).groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("cam", "px", "py"))).alias("s"))
+    rows = spread(rows.withColumn("part", part), key).groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("cam", "px", "py"))).alias("s"))
     if points is not None:
         rows = rows.join(points.select(key, *(F.col(c).cast("double").alias(c) for c in "xyz")), key, "left")
     else:
         rows = rows.withColumns({c: F.lit(None).cast("double") for c in "xyz"})
-    rows = rows.select(key, "part", F.col("s.cam").alias("cam"), F.col("s.px").alias("px"), F.col("s.py").alias("py"), "x", "y", "z", F.lit(0.0).alias("cost"))
+    rows = rows.select(key, "part", F.col("s.cam").alias("cam"), F.col("s.px").alias("px"), F.col("s.py").alias("py"), "x", "y", "z", F.lit(0.0).alias("cost"), F.lit(0.0).alias("robust"), F.lit(0.0).alias("square"))
     return settled(rows, rig, distance)
 
 
@@ -252,6 +263,8 @@ def settled(rows: DataFrame, rig: Rig, distance: float = 1000.0) -> DataFrame:
                 world = frame[["x", "y", "z"]].to_numpy(float)
                 world, cost = place(rig, cam, seen, begin, world, distance)
                 frame[["x", "y", "z"]], frame["cost"] = world, cost
+                error = seen - pixel(rig, cam, np.repeat(world, np.diff(np.r_[begin, len(cam)]), axis=0))
+                frame["robust"], frame["square"] = (np.add.reduceat(v, begin) for v in (_weights(error)[1], (error**2).sum(1)))
             yield frame
 
     return written(rows.mapInPandas(run, rows.schema))
@@ -361,18 +374,9 @@ class Adjusted(NamedTuple):
     rmse: list[float]
 
 
-def _cost(rows: DataFrame, rig: Rig) -> tuple[float, float]:
-    """Sum of the robust costs, and the root mean square pixel error."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                cam, seen, begin = _flat(frame)
-                world = np.repeat(frame[["x", "y", "z"]].to_numpy(float), np.diff(np.r_[begin, len(cam)]), axis=0)
-                error = seen - pixel(rig, cam, world)
-                yield pd.DataFrame({"cost": [_weights(error)[1].sum()], "square": [(error**2).sum()], "n": [len(cam)]})
-
-    got = rows.mapInPandas(run, "cost double, square double, n long").agg(F.sum("cost"), F.sum("square"), F.sum("n")).first()
+def _cost(rows: DataFrame) -> tuple[float, float]:
+    """Sum of the robust costs, and the root mean square pixel error, of settled tracks."""
+    got = rows.agg(F.sum("robust"), F.sum("square"), F.sum(F.size("cam"))).first()
     return (float(got[0] or 0.0), float(np.sqrt((got[1] or 0.0) / got[2])) if got[2] else 0.0)
 
 
@@ -395,7 +399,7 @@ def bundle_adjust(obs: DataFrame, cameras: DataFrame, points: DataFrame | None =
     spark, rig = obs.sparkSession, Rig.of(cameras)
     rows = tracks(obs, rig, key, points)
     columns, size = unknowns(rig, free, shared)
-    damp, (now, rmse) = 1e-4, _cost(rows, rig)
+    damp, (now, rmse) = 1e-4, _cost(rows)
     history = [rmse]
     for _ in range(steps if size else 0):
         a, g = reduced_system(rows, rig, columns, size)
@@ -405,7 +409,7 @@ def bundle_adjust(obs: DataFrame, cameras: DataFrame, points: DataFrame | None =
             step = np.linalg.lstsq(a / np.outer(scale, scale) + damp * np.eye(size), g / scale, rcond=1e-13)[0] / scale
             trial = moved(rig, columns, step)
             tried = settled(rows, trial)
-            then, rmse = _cost(tried, trial)
+            then, rmse = _cost(tried)
             if then < now:
                 gain, rig, rows, now, damp = now - then, trial, tried, then, max(damp / 10, 1e-12)
                 history.append(rmse)
@@ -475,7 +479,7 @@ def match_errors(rows: DataFrame, rig: Rig, distance: float = 1000.0) -> DataFra
             yield frame
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    found = rows.mapInPandas(run, f"{fields}, error double")
+    found = spread(rows).mapInPandas(run, f"{fields}, error double")
     return found.withColumn("error", F.when(~F.isnan("error"), F.col("error")))
 
 
@@ -501,13 +505,13 @@ def calibrate_geometry(matches: DataFrame, keypoints: DataFrame, cameras: DataFr
     Matches of unknown keypoints or cameras do not count, repeated ones count once.
     """
     spark, rig, report, points = matches.sparkSession, Rig.of(cameras), [], None
+    pixels = written(match_pixels(matches, keypoints, rig))
+    places = written(keypoints.select("image", "kp_idx", F.col("x").alias("px"), F.col("y").alias("py")).dropDuplicates(["image", "kp_idx"]))
     for turn in range(passes):
-        pixels = written(match_pixels(matches, keypoints, rig))
         alone = match_errors(pixels.withColumns({c: F.lit(None).cast("double") for c in "xyz"}), rig, distance)
         kept, (total, invisible, first) = _good(alone, factor)
         for again in (True, False):
             members = written(trace_members(kept).withColumn("id", camera_of("image")))
-            places = keypoints.select("image", "kp_idx", F.col("x").alias("px"), F.col("y").alias("py")).dropDuplicates(["image", "kp_idx"])
             obs = written(members.join(places, ["image", "kp_idx"]).select("trace_id", "id", "px", "py"))
             if again:
                 found = tracks(obs, rig, "trace_id", distance=distance).groupBy("trace_id").agg(*(F.min_by(c, "part").alias(c) for c in "xyz"))
