@@ -20,6 +20,20 @@ CHUNK_EDGES = 1_000_000
 HEAVY_ROWS = 100_000
 
 
+def roots(count: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of ``count`` nodes the smallest one that edges from ``u`` to smaller nodes ``v`` link it to."""
+    low = np.arange(count)
+    while len(u):
+        # The root of each edge's larger end goes below the smaller end's; then every node to its root.
+        np.minimum.at(low, u, v)
+        while (low[low] != low).any():
+            low = low[low]
+        ends = low[u], low[v]
+        u, v = np.maximum(*ends), np.minimum(*ends)
+        u, v = u[u != v], v[u != v]
+    return low
+
+
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of every ``CHUNK_EDGES`` edges of a task, each node with the smallest one that they link it to."""
 
@@ -30,16 +44,7 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         ends = rank[both.indices.to_numpy()].reshape(2, -1)
-        low = np.arange(len(order))
-        u, v = ends.max(0), ends.min(0)
-        while len(u):
-            # The root of each edge's larger end goes below the smaller end's; then every node to its root.
-            np.minimum.at(low, u, v)
-            while (low[low] != low).any():
-                low = low[low]
-            ends = low[u], low[v]
-            u, v = np.maximum(*ends), np.minimum(*ends)
-            u, v = u[u != v], v[u != v]
+        low = roots(len(order), ends.max(0), ends.min(0))
         own = np.flatnonzero(low != np.arange(len(low)))
         return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(order[n])) for n in (own, low[own])], ["u", "v"])
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigspark.functions import camera as C
 from rigspark.functions.scalars import black_level
+from rigspark.operators import bands as BD
 from rigspark.operators import fit as FT
 from rigspark.operators import grid as GD
 from rigspark.operators import stats as D
@@ -119,17 +122,45 @@ def match_report(matches: DataFrame, keypoints: DataFrame, cameras: DataFrame, p
 
 
 # Charts.
+#: The blur before a chart is looked for, and how far gaps are closed.
+CHART_BLUR, CHART_GAP = (5, 1.0), 1
+#: Rows of a band in which it is looked for.
+CHART_ROWS = 256
+
+
+def _dark_parts(v: np.ndarray, block: int, c: float) -> np.ndarray:
+    """1 where a cell, blurred, is above its neighbourhood's mean less ``c`` and no gap of what is not."""
+
+    def along(a: np.ndarray, axis: int, r: int, edge: dict) -> list[np.ndarray]:
+        p = np.pad(a, [(r, r) if i == axis else (0, 0) for i in (0, 1)], **edge)
+        return [p[i : i + len(a)] if axis == 0 else p[:, i : i + a.shape[1]] for i in range(2 * r + 1)]
+
+    def box(a: np.ndarray, r: int, f, outside: float) -> np.ndarray:
+        for axis in (1, 0):
+            a = functools.reduce(f, along(a, axis, r, {"constant_values": outside}))
+        return a
+
+    # Terms are added in the order of their places, so a cell's sum is the same in any band.
+    weights = GD.gaussian_weights(*CHART_BLUR)
+    for axis in (1, 0):
+        v = functools.reduce(np.add, [w * t for w, t in zip(weights, along(v, axis, CHART_BLUR[0] // 2, {"mode": "reflect"}), strict=True)])
+    mean = box(v, block // 2, np.add, 0.0) / box(np.ones_like(v), block // 2, np.add, 0.0)
+    mask = np.where(v > mean - c, 0.0, 1.0)
+    closed = box(box(mask, CHART_GAP, np.maximum, 0.0), CHART_GAP, np.minimum, 1.0)
+    return np.where(closed < 0.5, 1.0, 0.0)
+
+
 def detect_patches(images: DataFrame, keys: list[str], least: float, most: float, per_row: int, block: int = 19, c: float = 0.02) -> DataFrame:
     """Chart patches of gray images ``(keys, y, x, v)``: ``(keys, place, cy, cx, area, label)``.
 
-    Brightened, blurred, compared with the local mean, gaps closed, small parts dropped, labelled,
-    filtered by shape and isolation, and put in reading order.
+    Brightened, blurred, compared with the local mean, gaps closed, labelled, filtered by size,
+    shape and isolation, and put in reading order.  An image has all cells of its rows and columns;
+    its lines are dealt in bands up to the labels.
     """
-    g = GD.gaussian(images.withColumn("v", F.least(F.col("v") * 2, F.lit(1.0))).repartition(*keys), keys, 5, 1.0)
-    m = GD.adaptive_threshold(g, keys, block, c)
-    m = GD.close_gaps(m.select(*keys, "y", "x", F.col("mask").cast("double").alias("v")), keys, 1)
-    mask = written(m.withColumn("mask", F.when(F.col("v") < 0.5, 1).otherwise(0)))
-    labels = GD.drop_small(GD.label_grid(mask, keys), keys, max(1, int(least * 0.3)))
+    bright = BD.lines(images.withColumn("v", F.least(F.col("v") * 2, F.lit(1.0))), keys, ["v"])
+    halo = CHART_BLUR[0] // 2 + block // 2 + 2 * CHART_GAP
+    dark = BD.banded(bright, keys, ["v"], halo, lambda b: {"mask": _dark_parts(b["v"], block, c)[b.own]}, ["mask"], CHART_ROWS)
+    labels = GD.label_grid(BD.cells(dark, keys, ["mask"]), keys)
     stats = written(D.filter_patches(D.component_stats(labels, [*keys, "label"]), least, most))
     near = D.remove_isolated(stats, keys, "label", "cx", "cy")
     from rigspark.operators.sequence import raster_order
