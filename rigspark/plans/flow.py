@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigspark.operators import bands as BD
-from rigspark.scratch import small, written
+from rigspark.scratch import small, spread, written
 
 #: Weights of the error, the step and the difference of the refinement.
 SMOOTH, VERTICAL, HORIZONTAL, STEP, PROBE = 0.001, 0.01, 0.01, 0.5, 0.001
@@ -22,6 +22,8 @@ LEVEL, LEAST, OPAQUE = 0.9, 24, 0.9
 IMAGE_BLUR, GRADIENT_BLUR, FIELD_BLUR, END_BLUR = (5, 0.25), (3, 0.5), (15, 8.0), (3, 1.0)
 #: Rows of a halo beside those that displacements reach over: all stencils of a level together.
 HALO = 16
+#: Cells of the bands that a task refines together, about.
+RUN_CELLS = 1 << 17
 
 _IMAGES = ["v0", "v1", "a0", "a1"]
 _BEFORE = ["motion", "px", "py"]
@@ -32,18 +34,28 @@ def blur(a: np.ndarray, kernel: tuple[int, float]) -> np.ndarray:
     k, sigma = kernel
     w = np.exp(-((np.arange(k) - k // 2) ** 2) / (2 * sigma * sigma))
     w /= w.sum()
-    for axis in (0, 1):
-        r = min(k // 2, a.shape[axis] - 1)
-        pad = [(r, r) if i == axis else (0, 0) for i in (0, 1)]
+    for axis in (-2, -1):
+        n = a.shape[axis]
+        r = min(k // 2, n - 1)
+        pad = [(r, r) if i == axis else (0, 0) for i in range(-a.ndim, 0)]
         p = np.pad(a, pad, mode="reflect")
         used = w[k // 2 - r : k // 2 + r + 1]
-        a = sum(wt * np.take(p, range(i, i + a.shape[axis]), axis) for i, wt in enumerate(used / used.sum()))
+        a = sum(wt * (p[..., i : i + n, :] if axis == -2 else p[..., i : i + n]) for i, wt in enumerate(used / used.sum()))
     return a
 
 
+def _rimmed(a: np.ndarray, r: int) -> np.ndarray:
+    """Images, alone or in a stack, with ``r`` copies of their edges around them."""
+    return np.pad(a, [(0, 0)] * (a.ndim - 2) + [(r, r)] * 2, mode="edge")
+
+
 def median5(a: np.ndarray) -> np.ndarray:
-    p = np.pad(a, 2, mode="edge")
-    return np.median(np.stack([p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(5) for j in range(5)]), axis=0)
+    p, (rows, cols) = _rimmed(a, 2), a.shape[-2:]
+    squares = np.stack([p[..., i : i + rows, j : j + cols] for i in range(5) for j in range(5)], -1)
+    if np.isnan(a).any():
+        return np.median(squares, axis=-1)
+    squares.partition(12, axis=-1)
+    return squares[..., 12]
 
 
 def box5(a: np.ndarray) -> np.ndarray:
@@ -53,47 +65,54 @@ def box5(a: np.ndarray) -> np.ndarray:
 
 
 def gradients(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p = np.pad(a, 1, mode="edge")
-    return blur(p[1:-1, 2:] - p[1:-1, :-2], GRADIENT_BLUR), blur(p[2:, 1:-1] - p[:-2, 1:-1], GRADIENT_BLUR)
+    p = _rimmed(a, 1)
+    return blur(p[..., 1:-1, 2:] - p[..., 1:-1, :-2], GRADIENT_BLUR), blur(p[..., 2:, 1:-1] - p[..., :-2, 1:-1], GRADIENT_BLUR)
 
 
 class Level:
-    """What the error of a displacement needs, for one band at one level."""
-
-    def __init__(self, band: BD.Band, fx: np.ndarray, fy: np.ndarray) -> None:
-        self.first, (self.rows, self.cols), self.height = band.first, band["v0"].shape, band.height
-        self.gx0, self.gy0 = gradients(band["v0"])
-        self.gx1, self.gy1 = gradients(band["v1"])
+    """What the error of a displacement needs, for bands of one image that have as many rows each, at one level."""
+
+    def __init__(self, bands: list[BD.Band], fx: np.ndarray, fy: np.ndarray) -> None:
+        of = lambda c: np.stack([b[c] for b in bands])
+        self.first, self.height = np.array([b.first for b in bands])[:, None], bands[0].height
+        self.gx0, self.gy0 = gradients(of("v0"))
+        self.count, self.rows, self.cols = self.gx0.shape
+        self.ahead = [g.ravel() for g in gradients(of("v1"))]
         self.bx, self.by = blur(fx, FIELD_BLUR), blur(fy, FIELD_BLUR)
-        self.open = (band["a0"] > OPAQUE) & (band["a1"] > OPAQUE)
+        self.open = (of("a0") > OPAQUE) & (of("a1") > OPAQUE)
         self.x = np.arange(self.cols, dtype=float)
+        self.begin = np.arange(self.count)[:, None] * (self.rows * self.cols)
 
-    def error(self, row: int | slice, fx: np.ndarray, fy: np.ndarray) -> np.ndarray:
-        """Error of displacements of a row (or rows); infinite where they lead beyond the band's halo."""
-        y = (np.arange(self.rows)[row] + self.first)[..., None] if isinstance(row, slice) else row + self.first
+    def error(self, row: int, fx: np.ndarray, fy: np.ndarray) -> np.ndarray:
+        """Error of displacements of a row of each band; infinite where they lead beyond the band's halo."""
         x = np.clip(self.x + fx, 0, max(self.cols - 2, 0))
-        at = np.clip(y + fy, 0, max(self.height - 2, 0)) - self.first
+        at = np.clip(row + self.first + fy, 0, max(self.height - 2, 0)) - self.first
         x0, y0 = x.astype(int), np.floor(at).astype(int)
         inside = (y0 >= 0) & (y0 <= self.rows - 2)
         y0 = np.clip(y0, 0, max(self.rows - 2, 0))
         tx, ty = x - x0, at - y0
-        x1, y1 = np.minimum(x0 + 1, self.cols - 1), np.minimum(y0 + 1, self.rows - 1)
+        right, below = np.minimum(x0 + 1, self.cols - 1) - x0, (np.minimum(y0 + 1, self.rows - 1) - y0) * self.cols
         w00, w01, w10, w11 = (1 - ty) * (1 - tx), (1 - ty) * tx, ty * (1 - tx), ty * tx
-        take = lambda g: g[y0, x0] * w00 + g[y0, x1] * w01 + g[y1, x0] * w10 + g[y1, x1] * w11
-        e = np.hypot(self.gx0[row] - take(self.gx1), self.gy0[row] - take(self.gy1)) + SMOOTH * np.hypot(self.bx[row] - fx, self.by[row] - fy)
+        p = self.begin + y0 * self.cols + x0
+        q = p + below
+        p1, q1 = p + right, q + right
+        take = lambda g: g[p] * w00 + g[p1] * w01 + g[q] * w10 + g[q1] * w11
+        gx1, gy1 = map(take, self.ahead)
+        e = np.hypot(self.gx0[:, row] - gx1, self.gy0[:, row] - gy1) + SMOOTH * np.hypot(self.bx[:, row] - fx, self.by[:, row] - fy)
         return np.where(inside, e + VERTICAL * np.abs(fy) / self.cols + HORIZONTAL * np.abs(fx) / self.height, np.inf)
 
     def sweep(self, fx: np.ndarray, fy: np.ndarray, forward: bool) -> None:
         """Row by row, each cell takes a neighbour's displacement where that errs less, then a step downhill.
 
         The row before has its new values already; along a row good values spread by doubling.
+        All bands go on by a row at a time.
         """
         rows, back = range(self.rows) if forward else range(self.rows - 1, -1, -1), -1 if forward else 1
         for i in rows:
-            open_ = self.open[i]
+            open_ = self.open[:, i]
             if not open_.any():
                 continue
-            u, v = fx[i].copy(), fy[i].copy()
+            u, v = fx[:, i].copy(), fy[:, i].copy()
             e = self.error(i, u, v)
 
             def propose(pu: np.ndarray, pv: np.ndarray) -> None:
@@ -102,29 +121,29 @@ class Level:
                 u[better], v[better], e[better] = pu[better], pv[better], pe[better]
 
             if 0 <= i + back < self.rows:
-                propose(fx[i + back], fy[i + back])
+                propose(fx[:, i + back], fy[:, i + back])
             for shift in (1, 2, 4, 8):
                 if shift < self.cols:
                     ahead, behind = (slice(shift, None), slice(None, -shift)) if forward else (slice(None, -shift), slice(shift, None))
                     pu, pv = u.copy(), v.copy()
-                    pu[ahead], pv[ahead] = u[behind], v[behind]
+                    pu[:, ahead], pv[:, ahead] = u[:, behind], v[:, behind]
                     propose(pu, pv)
             down = open_ & np.isfinite(e)
             du = (self.error(i, u + PROBE, v) - e)[down] / PROBE
             dv = (self.error(i, u, v + PROBE) - e)[down] / PROBE
             u[down] -= STEP * np.where(np.isfinite(du), du, 0)
             v[down] -= STEP * np.where(np.isfinite(dv), dv, 0)
-            fx[i], fy[i] = u, v
+            fx[:, i], fy[:, i] = u, v
 
 
-def refined(band: BD.Band, fx: np.ndarray, fy: np.ndarray, sweeps: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Displacements of a band after sweeps down and up, each smoothed by a median; faint cells take the blur."""
-    level = Level(band, fx, fy)
+def refined(bands: list[BD.Band], fx: np.ndarray, fy: np.ndarray, sweeps: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Displacements of bands after sweeps down and up, each smoothed by a median; faint cells take the blur."""
+    level = Level(bands, fx, fy)
     fx, fy = fx.copy(), fy.copy()
     for turn in range(sweeps):
         level.sweep(fx, fy, turn % 2 == 0)
         fx, fy = median5(fx), median5(fy)
-    faint = 1 - band["a0"] * band["a1"]
+    faint = np.stack([1 - b["a0"] * b["a1"] for b in bands])
     return tuple(faint * blur(f, FIELD_BLUR) + (1 - faint) * f for f in (fx, fy))
 
 
@@ -196,7 +215,8 @@ def step(level: DataFrame, field: DataFrame | None, keys: list[str], hint: str |
     """Displacements at one level, ``(*keys, y, h, fx, fy)``, from those of the coarser one.
 
     An image that has no coarser level starts with the block match.  Bands get as many rows
-    beyond them as displacements reach, and refinement does not lead a cell beyond these.
+    beyond them as displacements reach, and refinement does not lead a cell beyond these.  A task
+    gets a run of bands, of about ``RUN_CELLS`` cells, and refines those of one height together.
     """
     channels = [c for c in (*_IMAGES, *_BEFORE) if c in level.columns]
     reach = 0
@@ -208,7 +228,9 @@ def step(level: DataFrame, field: DataFrame | None, keys: list[str], hint: str |
     size = max(BD.BAND_ROWS, 2 * halo)
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     images = level.join(small(written(_ratio(level.where(_is_top()), keys))), same, "left").select(*keys, "y", "h", *channels, "ratio")
-    images = BD.to_bands(images, F.col("y") - halo, F.col("y") + halo, "h", size)
+    wide = level.agg(F.max(F.size("v0"))).first()[0] or 1
+    most_rows = size * max(1, RUN_CELLS // (size * wide))
+    images = BD.to_bands(images, F.col("y") - halo, F.col("y") + halo, "h", most_rows)
 
     if field is None:
         field = level.sparkSession.createDataFrame([], f"{BD.schema_of(level, keys)}, y long, h_from long, h long, fx array<double>, fy array<double>")
@@ -216,27 +238,38 @@ def step(level: DataFrame, field: DataFrame | None, keys: list[str], hint: str |
         sizes = small(level.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.first("h").alias("__h")))
         field = field.join(sizes, same).select(*keys, "y", F.col("h").alias("h_from"), F.col("__h").alias("h"), "fx", "fy")
     low, high = BD.reach(F.col("y"), F.col("h_from"), F.col("h"))
-    field = BD.to_bands(field, low - halo, high + halo, "h", size)
+    field = BD.to_bands(field, low - halo, high + halo, "h", most_rows)
 
     def run(frame: pd.DataFrame, coarse: pd.DataFrame) -> pd.DataFrame:
-        band = BD.band_of(frame, channels, size)
+        whole = BD.band_of(frame, channels, most_rows)
+        bands = BD.cut(whole, size, halo)
         if len(coarse):
             coarse = coarse.sort_values("y", ignore_index=True)
-            old, y, cols = int(coarse["h_from"][0]), np.arange(len(frame)) + band.first, band["v0"].shape[1]
+            old, y, cols = int(coarse["h_from"][0]), np.arange(len(frame)) + whole.first, whole["v0"].shape[1]
             wide = np.stack(coarse["fx"].to_list())
-            grow_x, grow_y = cols / wide.shape[1], band.height / old
-            up = lambda c, by: by * BD.stretched(np.stack(coarse[c].to_list()), int(coarse["y"][0]), old, y, band.height, cols)
+            grow_x, grow_y = cols / wide.shape[1], whole.height / old
+            up = lambda c, by: by * BD.stretched(np.stack(coarse[c].to_list()), int(coarse["y"][0]), old, y, whole.height, cols)
             fx, fy = up("fx", grow_x), up("fy", grow_y)
+            begin = [b.first - whole.first for b in bands]
+            fields = [(fx[at : at + len(b["v0"])], fy[at : at + len(b["v0"])]) for at, b in zip(begin, bands, strict=True)]
         else:
             ratio = frame["ratio"].iloc[0]
-            fx, fy = first_match(band, 1.0 if pd.isna(ratio) else float(ratio), hint, percent)
-        fx, fy = refined(band, fx, fy, sweeps)
-        if "motion" in band.channels:  # a cell that did not move keeps the last frame's displacement
-            still = 1 - band["motion"]
-            fx, fy = fx * (1 - still) + band["px"] * still, fy * (1 - still) + band["py"] * still
-        return BD.lines_frame(frame, keys, band.y, {"h": band.height}, {"fx": fx[band.own], "fy": fy[band.own]})
+            fields = [first_match(b, 1.0 if pd.isna(ratio) else float(ratio), hint, percent) for b in bands]
+        out = [None] * len(bands)
+        for rows in {len(b["v0"]) for b in bands}:
+            some = [i for i, b in enumerate(bands) if len(b["v0"]) == rows]
+            fx, fy = refined([bands[i] for i in some], *(np.stack([fields[i][axis] for i in some]) for axis in (0, 1)), sweeps)
+            for i, x, y in zip(some, fx, fy, strict=True):
+                band = bands[i]
+                if "motion" in band.channels:  # a cell that did not move keeps the last frame's displacement
+                    still = 1 - band["motion"]
+                    x, y = x * (1 - still) + band["px"] * still, y * (1 - still) + band["py"] * still
+                out[i] = x[band.own], y[band.own]
+        fx, fy = (np.concatenate(parts) for parts in zip(*out, strict=True))
+        return BD.lines_frame(frame, keys, whole.y, {"h": whole.height}, {"fx": fx, "fy": fy})
 
     kinds = f"{BD.schema_of(level, keys)}, "
+    images, field = (spread(rows, *keys, "band") for rows in (images, field))
     return written(images.groupBy(*keys, "band").cogroup(field.groupBy(*keys, "band")).applyInPandas(run, f"{kinds}y long, h long, fx array<double>, fy array<double>"))
 
 
