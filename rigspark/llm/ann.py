@@ -26,8 +26,8 @@ SHARD_ROWS, QUERY_ROWS = 16_384, 32_768
 #: How much the lengths in one graph may differ, vectors that it has at least, and candidates kept
 #: at least where a shard has several graphs.
 BAND, BAND_ROWS, LEAST_SEARCH = 1.1, 512, 96
-#: Nodes inserted together, and queries walked together.
-INSERT_ROWS, WALK_ROWS = 512, 128
+#: Nodes inserted together, and queries walked together; nodes that a walk opens in one step.
+INSERT_ROWS, WALK_ROWS, OPEN_NODES = 512, 128, 8
 
 
 def _best(most: int, score: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
@@ -61,11 +61,13 @@ class Layers:
             done += size
 
     def _walk(self, q: np.ndarray, starts: np.ndarray, ef: int, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ``ef`` most similar nodes that a best-first walk finds for each row of ``q``, in any order."""
+        """The ``ef`` most similar nodes that a best-first walk, ``OPEN_NODES`` at a time, finds for each row of ``q``, in any order."""
         rows = len(q)
-        seen = np.zeros((rows, len(self.points) + 1), bool)
-        seen[:, -1] = True  # the place of -1
-        seen[np.arange(rows)[:, None], starts] = True
+        at_once = min(OPEN_NODES, ef)
+        # Where a node was met, as a place among a step's neighbours from 1 on; a node met twice in a step counts once.
+        seen = np.zeros((rows, len(self.points) + 1), np.int16)
+        seen[:, -1] = 1  # the place of -1
+        seen[np.arange(rows)[:, None], starts] = 1
         s = np.einsum("ad,amd->am", q, self.points[starts])
         s[starts < 0] = -np.inf
         s, i = _best(ef, s, starts)
@@ -73,17 +75,17 @@ class Layers:
         best[:, : s.shape[1]], node[:, : s.shape[1]] = s, i
         open_, active = best > -np.inf, np.arange(rows)
         while True:
-            s = np.where(open_[active], best[active], -np.inf)
-            at = s.argmax(1)
-            alive = s[np.arange(len(active)), at] > -np.inf
-            active, at = active[alive], at[alive]
+            active = active[open_[active].any(1)]
             if not len(active):
                 return best, node
-            open_[active, at] = False
-            near = links[node[active, at]]
-            row, column = np.nonzero(~seen[active[:, None], near])
+            s, at = _best(at_once, np.where(open_[active], best[active], -np.inf), np.broadcast_to(np.arange(ef), (len(active), ef)))
+            open_[active[:, None], at] = False
+            near = np.where(s[:, :, None] > -np.inf, links[node[active[:, None], at]], -1).reshape(len(active), -1)
+            row, column = np.nonzero(seen[active[:, None], near] == 0)
             fresh = near[row, column]
-            seen[active[row], fresh] = True
+            seen[active[row], fresh] = column + 1
+            once = seen[active[row], fresh] == column + 1
+            row, column, fresh = row[once], column[once], fresh[once]
             new = np.full(near.shape, -np.inf, np.float32)
             new[row, column] = np.einsum("ad,ad->a", self.points[fresh], q[active[row]])
             held = (np.concatenate(x, 1) for x in ((best[active], new), (node[active], near), (open_[active], new > -np.inf)))
@@ -246,7 +248,12 @@ def _build(rows: pa.Table, seed: int) -> pa.Table:
     return pa.table({"dim": pa.array([rows["dim"][0].as_py()], pa.int32()), "shard": pa.array([rows["shard"][0].as_py()], pa.int32()), "graph": pa.array([file.getvalue()], pa.large_binary())}).cast(pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary())]))
 
 
-def _search(queries: pa.Table, graphs: pa.Table, k: int) -> pa.Table:
+def search_width(k: int, shards: int) -> int:
+    """Candidates kept in each of ``shards`` shards: one holds a share of the ``k`` nearest only."""
+    return max(int(max(EF_SEARCH, 2 * k) / math.sqrt(shards)), LEAST_SEARCH, math.ceil(2 * k / shards))
+
+
+def _search(queries: pa.Table, graphs: pa.Table, k: int, width: int) -> pa.Table:
     """The ``k`` best rows of one shard for each query of a block."""
     asked, tags, found_ids, found_scores = [], [], [], []
     if len(queries) and len(graphs):
@@ -257,7 +264,7 @@ def _search(queries: pa.Table, graphs: pa.Table, k: int) -> pa.Table:
         query_ids, query_tags = queries["query_id"].to_pylist(), queries["tag"].to_pylist()
         for at in range(0, len(queries), WALK_ROWS):
             q = np.frombuffer(b"".join(queries["vec"].slice(at, WALK_ROWS).to_pylist()), np.float64).reshape(-1, vectors.shape[1])
-            nodes = graph.search(q, max(EF_SEARCH, 2 * k))
+            nodes = graph.search(q, width)
             scores = np.where(nodes >= 0, np.einsum("amd,ad->am", vectors[nodes], q), -np.inf)
             # What is below the k + 1 best nodes cannot be among the k best rows other than the query's own.
             least = np.sort(scores, axis=1)[:, -min(k + 1, scores.shape[1])]
@@ -302,6 +309,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     lowest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
     nodes = written(rows.groupBy("vec").agg(lowest.alias("ids")).withColumn("dim", F.octet_length("vec").cast("int")))
     shards = max(1, math.ceil(nodes.count() / SHARD_ROWS))
+    width = search_width(k, shards)
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int"))
     graphs = written(nodes.groupBy("dim", "shard").applyInArrow(lambda rows: _build(rows, seed), "dim int, shard int, graph binary"))
 
@@ -313,7 +321,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["dim", "shard", "block"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(lambda q, g: _search(q, g, k), "query_id long, tag long, ids array<long>, scores array<double>")
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(lambda q, g: _search(q, g, k, width), "query_id long, tag long, ids array<long>, scores array<double>")
     hits = found.select("query_id", "tag", F.explode(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))).alias("hit")).select("query_id", "tag", "hit.vec_id", "hit.score")
     order = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
