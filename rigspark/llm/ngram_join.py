@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,8 @@ BROADCAST_ROWS = 1_000_000
 RECENT = 1 << 18
 #: Weight of the logarithm in DivideSkip's choice of how many long lists to set aside.
 DIVIDE_MU = 0.0085
+#: Ids that DivideSkip finds before it first looks whether they link; sets whose histograms a set is first compared with.
+FIRST_IDS, FIRST_SETS = 4, 64
 
 
 class Schemes:
@@ -158,20 +160,43 @@ class Links:
         self.left -= 1
 
 
-def t_occurrences(lists: list[np.ndarray], least: int, mu: float = DIVIDE_MU) -> tuple[np.ndarray, np.ndarray]:
+def t_occurrences(lists: list[np.ndarray], least: int, mu: float = DIVIDE_MU, offer: Callable[[np.ndarray, np.ndarray], np.ndarray | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids that occur on at least ``least`` of the sorted lists, with their counts, by DivideSkip.
 
     The longest lists are set aside.  The short ones are merged with a heap: ids are popped
     until one occurs often enough, else the lists skip ahead by binary search to the next id
     that still can.  The ids that come out probe the long lists by binary search.
+
+    With ``offer`` they do so in batches, each four times the one before, and are offered as they
+    come out.  It answers with a mask of all ids that need no search any more, which leave the
+    short lists, or with None.
     """
     lists = sorted((x for x in lists if len(x)), key=len)
     if len(lists) < least:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     aside = min(least - 1, int(least / (mu * math.log(max(len(lists[-1]), 2)) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    need, found, counts = least - aside, [], []
-    heads = [(int(x[0]), i, 0) for i, x in enumerate(short)]
+    need, found, counts, out = least - aside, [], [], []
+    # The long lists one after another, each in a lane of its own: one binary search probes them all.
+    lanes, flat = np.arange(aside) * (max(int(x[-1]) for x in lists) + 1), None
+
+    def probed() -> np.ndarray | None:
+        """What the long lists leave of the ids found since the last time goes out; what its receiver answers."""
+        nonlocal flat
+        ids, times = np.array(found, np.int64), np.array(counts, np.int64)
+        if aside and len(ids):
+            if flat is None:
+                flat = np.concatenate(long) + np.repeat(lanes, [len(x) for x in long])
+            keys = lanes[:, None] + ids
+            at = np.minimum(np.searchsorted(flat, keys.ravel()), len(flat) - 1).reshape(keys.shape)
+            times = times + (flat[at] == keys).sum(0)
+        ids, times = ids[times >= least], times[times >= least]
+        out.append((ids, times))
+        found.clear()
+        counts.clear()
+        return offer(ids, times) if offer and len(ids) else None
+
+    heads, batch = [(int(x[0]), i, 0) for i, x in enumerate(short)], FIRST_IDS
     heapq.heapify(heads)
     while len(heads) >= need:
         top, popped = heads[0][0], []
@@ -193,15 +218,15 @@ def t_occurrences(lists: list[np.ndarray], least: int, mu: float = DIVIDE_MU) ->
                 at = at + 1 if at + 1 < len(x) and x[at + 1] >= target else at + int(np.searchsorted(x[at:], target))
             if at < len(x):
                 heapq.heappush(heads, (int(x[at]), i, at))
-    found, counts = np.array(found, np.int64), np.array(counts, np.int64)
-    for done, x in enumerate(reversed(long)):
-        if not len(found):
-            break
-        at = np.minimum(np.searchsorted(x, found), len(x) - 1)
-        counts = counts + (x[at] == found)
-        alive = counts + (aside - done - 1) >= least
-        found, counts = found[alive], counts[alive]
-    return found, counts
+        if offer and len(found) >= batch:
+            batch *= 4
+            if (settled := probed()) is not None:
+                for _, i, at in heads:
+                    short[i] = short[i][at:][~settled[short[i][at:]]]
+                heads = [(int(short[i][0]), i, 0) for _, i, _ in heads if len(short[i])]
+                heapq.heapify(heads)
+    probed()
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def links_of_block(sets: list[np.ndarray], sides: list[int], percent: int, apart: bool) -> list[tuple[int, int]]:
@@ -217,9 +242,20 @@ def links_of_block(sets: list[np.ndarray], sides: list[int], percent: int, apart
     owner = np.repeat(np.arange(len(order)), size)
     _, local, times = np.unique(tokens, return_inverse=True, return_counts=True)
     by = np.argsort(local, kind="stable")
-    postings, start = owner[by], np.r_[0, np.cumsum(times)]
-    own = np.split(local, np.cumsum(size)[:-1])
+    postings, begin = owner[by], (np.cumsum(times) - times)[local]
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    ends = np.r_[0, np.cumsum(size)]
     links, groups = [], Links(len(order))
+
+    def linked(x: int, ids: np.ndarray, counts: np.ndarray) -> np.ndarray | None:
+        before = groups.left
+        for y in ids[(100 + percent) * counts >= percent * (size[x] + size[ids])]:
+            if groups.label[x] != groups.label[y]:
+                groups.join(x, int(y))
+                links.append((int(order[x]), int(order[y])))
+        return groups.label == groups.label[x] if groups.left < before else None
+
     for x in range(1, len(order)):
         if groups.left == 1:
             break
@@ -227,17 +263,13 @@ def links_of_block(sets: list[np.ndarray], sides: list[int], percent: int, apart
         if low >= x:
             continue
         lists = []
-        for t in own[x]:
-            p = postings[start[t] : start[t + 1]]
-            p = p[np.searchsorted(p, low) : np.searchsorted(p, x)] if len(p) > 1 else p[:0]
-            if len(p):
-                p = p[groups.label[p] != groups.label[x]]
+        # Of each posting list what stands before x itself; x has no links yet.
+        for a, b in zip(begin[ends[x] : ends[x + 1]].tolist(), place[ends[x] : ends[x + 1]].tolist(), strict=True):
+            if a < b and postings[b - 1] >= low:
+                p = postings[a:b]
+                p = p if p[0] >= low else p[np.searchsorted(p, low) :]
                 lists.append(p[side[p] != side[x]] if apart else p)
-        found, counts = t_occurrences(lists, -(-percent * int(size[x]) // 100))
-        for y, common in zip(found, counts, strict=True):
-            if (100 + percent) * common >= percent * (size[x] + size[y]) and groups.label[x] != groups.label[y]:
-                groups.join(x, int(y))
-                links.append((int(order[x]), int(order[y])))
+        t_occurrences(lists, -(-percent * int(size[x]) // 100), offer=lambda ids, counts, x=x: linked(x, ids, counts))
     return links
 
 
@@ -295,14 +327,16 @@ def possible_links(sizes: np.ndarray, hists: np.ndarray, sides: np.ndarray, perc
         near = near[groups.label[near] != groups.label[x]]
         if apart:
             near = near[side[near] != side[x]]
-        for at in range(0, len(near), 4096):
-            part = near[at : at + 4096]
+        step = FIRST_SETS
+        while len(near):
+            part, near, step = near[:step], near[step:], min(4 * step, 4096)
             most = np.minimum(hist[part], hist[x]).sum(1, dtype=np.int64)
             most = np.where(hist[part, 0] == 255, size[part], most)
             for y in part[(100 + percent) * most >= percent * (size[part] + size[x])]:
                 if groups.label[x] != groups.label[y]:
                     groups.join(x, int(y))
                     pairs.append((int(order[x]), int(order[y])))
+            near = near[groups.label[near] != groups.label[x]]
     return pairs
 
 

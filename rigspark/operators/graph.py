@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rigspark.scratch import small, written
 
-#: Nodes up to which the table of minima is broadcast (about 16 bytes a node).
+#: Nodes up to which the table of minima is broadcast (about 16 bytes a node); edges that cannot have more are contracted by one task.
 BROADCAST_NODES = 500_000
 #: Edges that a task contracts at a time.
 CHUNK_EDGES = 1_000_000
@@ -34,19 +34,24 @@ def roots(count: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return low
 
 
+def _rooted(parts: list[pa.Table]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The nodes of the edges, their order, and in that order the place of the smallest one that each is linked to."""
+    edges = pa.concat_tables(parts)
+    both = pa.chunked_array([*edges["u"].chunks, *edges["v"].chunks], edges["u"].type).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(both.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ends = rank[both.indices.to_numpy()].reshape(2, -1)
+    return both.dictionary, order, roots(len(order), ends.max(0), ends.min(0))
+
+
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of every ``CHUNK_EDGES`` edges of a task, each node with the smallest one that they link it to."""
 
     def stars(parts: list[pa.Table]) -> pa.RecordBatch:
-        edges = pa.concat_tables(parts)
-        both = pa.chunked_array([*edges["u"].chunks, *edges["v"].chunks], edges["u"].type).combine_chunks().dictionary_encode()
-        order = pc.sort_indices(both.dictionary).to_numpy()
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        ends = rank[both.indices.to_numpy()].reshape(2, -1)
-        low = roots(len(order), ends.max(0), ends.min(0))
+        nodes, order, low = _rooted(parts)
         own = np.flatnonzero(low != np.arange(len(low)))
-        return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(order[n])) for n in (own, low[own])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(order[n])) for n in (own, low[own])], ["u", "v"])
 
     parts, size = [], 0
     for batch in batches:
@@ -59,6 +64,18 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(parts)
 
 
+def _finished(edges: DataFrame) -> DataFrame:
+    """All nodes ``u`` of a few edges, each with the smallest one ``m`` that it is linked to, by one task."""
+
+    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [pa.Table.from_batches([batch]) for batch in batches]
+        if sum(map(len, parts)):
+            nodes, order, low = _rooted(parts)
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(n)) for n in (order, order[low])], ["u", "m"])
+
+    return written(edges.coalesce(1).mapInArrow(labels, edges.withColumnRenamed("v", "m").schema))
+
+
 def _with_low(rows: DataFrame, low: DataFrame, few: bool) -> DataFrame:
     """Rows ``u, v`` with their node's minimum ``m``; nodes of very many rows are broadcast apart, so no task has one's rows."""
     low_m = low.select("u", "m")
@@ -81,18 +98,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     spreads the minimum, and the join with the table of minima, one row a node, is a broadcast up
     to ``BROADCAST_NODES`` nodes; beyond that, nodes of more than ``HEAVY_ROWS`` rows, of which
     there are few, are broadcast and the others shuffled.  The loop ends when every edge is
-    one of a star below its smallest node.  Rows with a null end are ignored; a node that only has
-    a loop is its own component.
+    one of a star below its smallest node, or when the edges left, ``BROADCAST_NODES / 2`` at most,
+    are so few that one task contracts them: rounds over many partitions would cost more than the
+    edges do.  Rows with a null end are ignored; a node that only has a loop is its own component.
     """
     both = written(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null"))
+    if 2 * both.count() <= BROADCAST_NODES:
+        return _finished(both).toDF("node", "component")
     nodes = written(both.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     few = nodes.count() <= BROADCAST_NODES
     work = written(both.where("u <> v").mapInArrow(_contracted, both.schema).distinct())
-    while True:
+    while 2 * work.count() > BROADCAST_NODES:
         around = work.union(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         below = F.count_if(F.col("v") < F.col("u")).alias("below")
         low = written(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"), below))
         if not low.where("below > 1 or (below = 1 and n > 1)").limit(1).count():
+            labels = low.where("below = 1").select("u", "m")
             break
         # Large star: each node hands its larger neighbours to the smallest of its neighbourhood.
         large = written(_with_low(around.where("v > u"), low, few).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -100,7 +121,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
         rest = _with_low(large, low, few).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         work = written(rest.union(low.select("u", F.col("m").alias("v"))).distinct())
-    labels = low.where("below = 1").select("u", "m")
+    else:
+        labels = _finished(work)
     spread = F.broadcast if few else lambda df: df
     return nodes.join(spread(labels), nodes.node == labels.u, "left").select("node", F.coalesce("m", "node").alias("component"))
 

@@ -183,3 +183,49 @@ def test_repeated_rows_null_ids_extra_columns_and_no_rows(spark):
     kept = near_duplicates(docs, width=3, percent=90)
     assert kept.columns == docs.columns and kept.count() == 4
     assert jaccard_components(docs.limit(0)).count() == 0
+
+
+def near_copies(n, share):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 62, 150).astype(np.uint64)
+    return [np.unique(np.r_[base[rng.random(150) < share], rng.integers(0, 1 << 62, 2).astype(np.uint64)]) for _ in range(n)]
+
+
+def test_a_group_of_near_copies_costs_no_pass_over_all_its_pairs(monkeypatch):
+    """Sets that a link connects leave the search of the set that brought it."""
+    import rigspark.llm.ngram_join as join
+
+    pops, pop = [], join.heapq.heappop
+    monkeypatch.setattr(join.heapq, "heappop", lambda h: pops.append(1) or pop(h))
+    sets = near_copies(200, 0.985)
+    assert len(join.links_of_block(sets, [0] * 200, 90, False)) == 199
+    assert len(pops) < 200 * 1000  # 1,000,000 if each set meets all before it
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_links_of_a_block_match_brute_force(apart):
+    from rigspark.llm.ngram_join import links_of_block
+
+    for share, n in ((0.985, 90), (0.95, 120), (0.9, 60)):
+        sets = near_copies(n, share)
+        sides = [i % 3 == 0 for i in range(n)]
+        label, want = np.arange(n), np.arange(n)
+        for a, b in links_of_block(sets, sides, 90, apart):
+            label[label == max(label[a], label[b])] = min(label[a], label[b])
+        for a, b in itertools.combinations(range(n), 2):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * common >= 90 * (len(sets[a]) + len(sets[b]) - common) and not (apart and sides[a] == sides[b]):
+                want[want == max(want[a], want[b])] = min(want[a], want[b])
+        assert (label == want).all()
+
+
+def test_offered_ids_that_are_settled_leave_the_search():
+    lists = [np.arange(0, 400), np.arange(0, 400), np.arange(0, 400, 2), np.arange(100, 400)]
+    seen = []
+
+    def offer(ids, counts):
+        seen.extend(ids.tolist())
+        return np.arange(400) < 390 if len(seen) < 10 else None
+
+    t_occurrences(lists, 3, offer=offer)
+    assert seen[:4] == [0, 2, 4, 6] and seen[4:] == list(range(390, 400))

@@ -76,3 +76,23 @@ def test_heavy_nodes_are_broadcast_and_long_chains_end_in_few_rounds(spark, monk
     chain = spark.range(1, 20_000).coalesce(1).selectExpr("id src", "id - 1 dst")
     assert connected_components(chain).where("component <> 0").count() == 0
     assert len(rounds) <= 7
+
+
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    """A chain in pieces over many partitions, a loop and a hub: written twice, as given and as found."""
+    steps = []
+    monkeypatch.setattr(graph, "written", lambda df: steps.append(1) or written(df))
+    edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(300)] + [("x", "x"), ("é", "z")] + [("h", f"q{i}") for i in range(40)]
+    df = spark.createDataFrame(edges, "src string, dst string").repartition(32)
+    assert {r.node: r.component for r in connected_components(df).collect()} == brute(edges)
+    assert len(steps) == 2
+
+
+@pytest.mark.parametrize("nodes", [400, 700])
+def test_rounds_end_where_one_task_can_finish(spark, monkeypatch, nodes):
+    """More edges than one task is given, fewer once repeated ones are gone; 400: not even then."""
+    monkeypatch.setattr(graph, "BROADCAST_NODES", nodes)
+    rng = random.Random(8)
+    edges = [(rng.randrange(280), rng.randrange(280)) for _ in range(500)] + [(i, i + 1) for i in range(1000, 1030)] + [(9999, 9999)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    assert {r.node: r.component for r in connected_components(df, "a", "b").collect()} == brute(edges)
