@@ -5,11 +5,13 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rigspark.llm.common import fresh_names, mix, shingled, written
@@ -19,8 +21,12 @@ from rigspark.operators.graph import connected_components
 BLOCK_SHINGLES = 1 << 18
 #: Buckets of a set's histogram, and documents of one block of the comparison of histograms.
 HISTOGRAM, BLOCK_DOCS = 512, 2048
-#: Candidate rows up to which the list of candidates is broadcast (24 bytes a row).
-BROADCAST_ROWS = 1_000_000
+#: From so many blocks of a size class on the blocks grow instead, up to this many documents each.
+MOST_BLOCKS, LARGEST_BLOCK = 12, 16_384
+#: Rows of a table that are broadcast at once to the texts (24 bytes a row); more go in ranges, at most so many.
+BROADCAST_ROWS, MOST_RANGES = 1_000_000, 8
+#: One set in so many is looked through for common shingles: those that this many of them hold, but not more than so many.
+SAMPLED, COMMON_SETS, MOST_COMMON = 12, 8, 1 << 20
 #: Signatures that a task remembers (a power of two; 17 bytes each).
 RECENT = 1 << 18
 #: Weight of the logarithm in DivideSkip's choice of how many long lists to set aside.
@@ -66,37 +72,51 @@ class Schemes:
             self.parts[r] = (k + 1 + e, e)
         return self.parts[r]
 
-    def signatures(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Owner and signature of all sets, under each one's own scheme and, if reached, the next."""
+    def signatures(self, tokens: np.ndarray, bounds: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Owner and signature of all sets, under each one's own scheme and, if reached, the next.
+
+        Shingles of ``common`` (sorted) do not count: without them two sets differ in no more than
+        before, so whatever they are as many parts stay equal.  Of a linked pair either one set
+        has at most e empty parts, and a non-empty equal one, or both have more and send out
+        the parts of their whole sets as well.
+        """
         sizes, owners, out = np.diff(bounds), [], []
         own = np.array([self.interval(int(n)) if n else 0 for n in sizes])
         mixed = mix(tokens + np.uint64(0x632BE59BD9B4E019))
-        folded = mix(mixed)
+        folded, owner = mix(mixed), np.repeat(np.arange(len(sizes)), sizes)
+        counts = np.ones(len(tokens), bool) if common is None or not len(common) else common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens
         for step in (0, 1):
             scheme = own + step
             on = sizes > 0
             if step:
                 on &= sizes * 100 >= np.array([self.high[r] for r in own]) * self.percent
             shapes = np.array([self.shape(int(r)) if use else (0, 0) for r, use in zip(scheme, on, strict=True)], np.int64).reshape(-1, 2)
-            parts, base = shapes[:, 0], np.r_[0, np.cumsum(shapes[:, 0])]
-            mine = np.repeat(on, sizes)
-            owner = np.repeat(np.arange(len(sizes)), sizes)[mine]
-            slot = base[owner] + (mixed[mine] % parts[owner].astype(np.uint64)).astype(np.int64)
-            # Sums of 64-bit values modulo 2**64, in pieces that stay exact in double precision.
-            total = np.zeros(base[-1], np.uint64)
-            for shift in (0, 22, 44):
-                part = (folded[mine] >> np.uint64(shift)) & np.uint64(0x3FFFFF)
-                total += np.bincount(slot, part.astype(np.float64), base[-1]).astype(np.uint64) << np.uint64(shift)
-            held = np.bincount(slot, minlength=base[-1]) > 0
-            of = np.repeat(np.arange(len(sizes)), parts)
-            spare = parts - np.bincount(of[held], minlength=len(sizes)) > shapes[:, 1]
-            keep = held | spare[of]
-            place = (np.arange(base[-1]) - base[of]).astype(np.uint64)
-            sig = mix(total * np.uint64(0x9E3779B97F4A7C15) + mix(place * np.uint64(1_000_003) + scheme[of].astype(np.uint64)))
-            owners.append(of[keep])
-            out.append(sig[keep])
+            of, sig, held = self._parts(mixed, folded, owner, counts, scheme, shapes[:, 0])
+            spare = shapes[:, 0] - np.bincount(of[held], minlength=len(sizes)) > shapes[:, 1]
+            owners.append(of[held])
+            out.append(sig[held])
+            if spare.any():
+                of, sig, _ = self._parts(mixed, folded, owner, spare[owner], scheme, np.where(spare, shapes[:, 0], 0))
+                owners.append(of)
+                out.append(sig)
         return np.concatenate(owners), np.concatenate(out)
 
+    @staticmethod
+    def _parts(mixed: np.ndarray, folded: np.ndarray, owner: np.ndarray, counts: np.ndarray, scheme: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner and signature of each of a set's ``parts``, and whether it is not empty; of the shingles those that count."""
+        base = np.r_[0, np.cumsum(parts)]
+        mine = counts & (parts[owner] > 0)
+        slot = base[owner[mine]] + (mixed[mine] % parts[owner[mine]].astype(np.uint64)).astype(np.int64)
+        # Sums of 64-bit values modulo 2**64, in pieces that stay exact in double precision.
+        total = np.zeros(base[-1], np.uint64)
+        for shift in (0, 22, 44):
+            part = (folded[mine] >> np.uint64(shift)) & np.uint64(0x3FFFFF)
+            total += np.bincount(slot, part.astype(np.float64), base[-1]).astype(np.uint64) << np.uint64(shift)
+        of = np.repeat(np.arange(len(parts)), parts)
+        place = (np.arange(base[-1]) - base[of]).astype(np.uint64)
+        sig = mix(total * np.uint64(0x9E3779B97F4A7C15) + mix(place * np.uint64(1_000_003) + scheme[of].astype(np.uint64)))
+        return of, sig, np.bincount(slot, minlength=base[-1]) > 0
+
 
 def _digests(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
     """A 128-bit digest of each set, null for an empty one."""
@@ -118,7 +138,27 @@ def _profiles(batches: Iterator[pa.RecordBatch], width: int, text: bool) -> Iter
         yield pa.RecordBatch.from_pydict(out | ({"text": batch.column("text")} if text else {}))
 
 
-def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, tokens, _ in shingled(batch, width):
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(tokens.view(np.int64))})
+
+
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Sorted shingles that many sets hold, as one set in ``SAMPLED`` shows; of too many the commonest.
+
+    They chain documents that have no more than a passage in common.  Signatures lose no pair
+    whichever shingles stand here, so a sample will do; it grows with the table, as else the
+    chains would.
+    """
+    rows = texts.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0).mapInArrow(lambda it: _shingle_rows(it, width), "shingle long")
+    often = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= COMMON_SETS))
+    if often.count() > MOST_COMMON:
+        often = often.orderBy(F.desc("sets"), "shingle").limit(MOST_COMMON)
+    return np.sort(often.select("shingle").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int, common: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """A row for each signature of each text, but for those that the task has met lately.
 
     Where a signature repeats in a batch, or is still in a table of ``RECENT`` slots, the row
@@ -130,7 +170,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int)
     for batch in batches:
         ids = np.asarray(batch.column("rep"))
         for first, tokens, bounds in shingled(batch, width):
-            owner, sig = schemes.signatures(tokens, bounds)
+            owner, sig = schemes.signatures(tokens, bounds, common)
             if not len(sig):
                 continue
             rep = ids[first + owner]
@@ -364,15 +404,19 @@ def _refined(texts: DataFrame, members: DataFrame, width: int, percent: int) ->
 
     A passage that many documents share can chain thousands of candidates; their histograms, a
     small part of the sets in size, tell most of them apart.  Sets are compared within a size
-    class and with the next one, in blocks of ``BLOCK_DOCS``.
+    class and with the next one, in blocks of ``BLOCK_DOCS``; in a large class the blocks grow, so
+    that a histogram goes to a fixed number of block pairs up to ``MOST_BLOCKS * LARGEST_BLOCK``
+    members of a class.
     """
     cls = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
     members = members.withColumn("cls", cls)
-    counts = written(members.groupBy("grp", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("n_subs")))
+    blocks = lambda size: F.ceil(F.count(F.lit(1)) / size)
+    n_subs = F.greatest(F.least(blocks(BLOCK_DOCS), F.lit(MOST_BLOCKS)), blocks(LARGEST_BLOCK)).cast("int")
+    counts = written(members.groupBy("grp", "cls").agg(n_subs.alias("n_subs")))
     near = lambda step, name: counts.select("grp", (F.col("cls") + step).alias("cls"), F.col("n_subs").alias(name))
     members = members.join(counts, ["grp", "cls"]).join(near(1, "below"), ["grp", "cls"], "left").join(near(-1, "above"), ["grp", "cls"], "left").fillna(0, ["below", "above"])
-    members = _small(members.withColumn("sub", F.pmod(F.xxhash64("rep"), "n_subs").cast("int")).drop("n"))
-    rows = texts.join(members, "rep").select("rep", "grp", "cls", "n_subs", "sub", "below", "above", "text")
+    members = members.withColumn("sub", F.pmod(F.xxhash64("rep"), "n_subs").cast("int")).drop("n").withColumnRenamed("rep", "member")
+    rows = _beside(texts, F.col("rep"), members, "member", "inner").select("rep", "grp", "cls", "n_subs", "sub", "below", "above", "text")
     rows = rows.mapInArrow(lambda it: _histogram_rows(it, width), "rep long, grp long, cls int, n_subs int, sub int, below int, above int, n long, hist binary")
     pair = lambda ci, si, cj, sj: F.struct(ci.alias("ci"), si.alias("si"), cj.alias("cj"), sj.alias("sj"))
     c, s, upto = F.col("cls"), F.col("sub"), lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
@@ -408,7 +452,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives an empty result; other columns are not looked at.  Shingles are compared by
     64-bit hashes, sets by 128 bits.
 
-    Plan: candidates meet by signatures (:class:`Schemes`), which are grouped into candidate
+    Plan: candidates meet by signatures (:class:`Schemes`) of what is left of the sets without
+    :func:`common_shingles`; they are grouped into candidate
     components over (first, member) edges; within these, histograms of the sets rule out most
     pairs that cannot link (:func:`_refined`); only the sets of what is left are searched, in blocks of
     bounded size, by :func:`t_occurrences`; the links that connect them give the components.
@@ -417,7 +462,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profile = written(base.mapInArrow(lambda it: _profiles(it, width, False), "doc_id long, n long, digest binary"))
     known = profile.where("digest is not null and doc_id is not null")
     texts, sizes, names, same_id = _one_of_each_set(base, profile, known, width)
-    rows = texts.mapInArrow(lambda it: _signature_rows(it, width, percent), "rep long, sig long, hub long")
+    common = base.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+    rows = texts.mapInArrow(lambda it: _signature_rows(it, width, percent, common.value), "rep long, sig long, hub long")
 
     first = F.min("rep").over(Window.partitionBy("sig"))
     edges = written(rows.withColumn("hub", F.coalesce("hub", first)).where("rep <> hub").select("rep", "hub").distinct())
@@ -426,9 +472,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = connected_components(edges, "rep", "hub").withColumnRenamed("node", "rep").withColumnRenamed("component", "grp")
     members = groups.join(sizes, "rep")
     blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
-    members = _small(members.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int")))
+    members = members.join(blocks, "grp").select(F.col("rep").alias("member"), "grp", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int").alias("block"), "n_blocks")
 
-    sets = texts.join(members, "rep").select("rep", "grp", "block", "n_blocks", "text")
+    sets = _beside(texts, F.col("rep"), members, "member", "inner").select("rep", "grp", "block", "n_blocks", "text")
     sets = sets.mapInArrow(lambda it: _token_rows(it, width), "rep long, grp long, block int, n_blocks int, tokens binary")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     pairs = sets.withColumn("other", other).select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "block", "tokens")
@@ -464,15 +510,15 @@ def _one_of_each_set(base: DataFrame, profile: DataFrame, known: DataFrame, widt
     if not repeated.limit(1).count():
         several = profile.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
         several = _small(several.where("rows > 1 and rep is not null").drop("rows"))
-        spare = _small(known.join(several, "digest").where("doc_id <> rep").select("doc_id"))
-        texts = base.where("doc_id is not null").join(spare, "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
+        spare = known.join(several, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("spare"))
+        texts = _beside(base.where("doc_id is not null"), F.col("doc_id"), spare, "spare", "left_anti").withColumnRenamed("doc_id", "rep")
         return texts, known.select(F.col("doc_id").alias("rep"), "n"), several, None
     marked = known.join(repeated.withColumn("again", F.lit(True)), "doc_id", "left")
     names = marked.groupBy("digest").agg(F.min(F.when(F.col("again").isNull(), F.col("doc_id"))).alias("rep"), F.first("n").alias("n"))
     names = written(names.withColumn("known", F.col("rep").isNotNull()).withColumn("rep", F.coalesce("rep", F.xxhash64("digest"))))
     once = names.where("known").select("rep")
-    single = base.join(once, F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep")
-    more = base.join(repeated, "doc_id", "left_semi").mapInArrow(lambda it: _profiles(it, width, True), "doc_id long, n long, digest binary, text string")
+    single = _beside(base, F.col("doc_id"), once, "rep", "left_semi").withColumnRenamed("doc_id", "rep")
+    more = _beside(base, F.col("doc_id"), repeated.withColumnRenamed("doc_id", "again"), "again", "left_semi").mapInArrow(lambda it: _profiles(it, width, True), "doc_id long, n long, digest binary, text string")
     more = more.where("digest is not null").join(names.where("not known").select("digest", "rep"), "digest").select("rep", "text").dropDuplicates(["rep"])
     texts = written(single.select("rep", "text").union(more))
     held = written(marked.where("again").join(names.select("digest", "rep"), "digest").select("doc_id", "rep").distinct())
@@ -486,6 +532,26 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _beside(rows: DataFrame, key: Column, table: DataFrame, name: str, how: str) -> DataFrame:
+    """Rows with a text joined to a table, whose column ``name`` holds each key once; the rows are not shuffled.
+
+    Texts that are shuffled take twice their files' bytes.  So a table beyond the bound of a
+    broadcast is cut into ranges of its keys; the rows of each range, which are read by
+    themselves, meet that part of the table.
+    """
+    table = written(table)
+    ranges = min(-(-table.count() // max(BROADCAST_ROWS, 1)), MOST_RANGES)
+    if ranges < 2:
+        return rows.join(F.broadcast(table), key == F.col(name), how)
+    cuts = table.approxQuantile(name, [i / ranges for i in range(1, ranges)], 0.1 / ranges)
+    cuts = sorted({min(max(int(c), -(1 << 63)), (1 << 63) - 1) for c in cuts})
+    # Rows without a key stand in the first range.
+    within = [lambda c: c < cuts[0], *(lambda c, a=a, b=b: (c >= a) & (c < b) for a, b in pairwise(cuts)), lambda c: c >= cuts[-1]]
+    mine = [key.isNull() | within[0](key), *(f(key) for f in within[1:])]
+    parts = (rows.where(m).join(F.broadcast(table.where(f(F.col(name)))), key == F.col(name), how) for m, f in zip(mine, within, strict=True))
+    return reduce(DataFrame.union, parts)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The input without near copies: of each linked group the rows with its smallest id stay.
 
@@ -494,5 +560,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = jaccard_components(docs, id_col, text_col, width, percent)
     name = fresh_names(docs, "gone")["gone"]
-    gone = _small(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return _beside(docs, F.col(f"`{id_col}`").cast("long"), gone, name, "left_anti")

@@ -229,3 +229,83 @@ def test_offered_ids_that_are_settled_leave_the_search():
 
     t_occurrences(lists, 3, offer=offer)
     assert seen[:4] == [0, 2, 4, 6] and seen[4:] == list(range(390, 400))
+
+
+def test_signatures_without_common_shingles_miss_no_linked_pair():
+    rng = np.random.default_rng(5)
+    for percent in (80, 90):
+        schemes = Schemes(percent)
+        for size in (3, 12, 40, 150, 700):
+            for share in (0.0, 0.3, 0.9, 1.0):
+                x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+                apart = int(len(x) * 2 * (100 - percent) / (100 + percent)) // 2
+                y = np.unique(np.r_[x[apart:], rng.integers(0, 1 << 63, apart).astype(np.uint64)])
+                common = np.unique(np.r_[x[rng.random(len(x)) < share], y[rng.random(len(y)) < share]])
+                owner, sig = schemes.signatures(np.r_[x, y], np.array([0, len(x), len(x) + len(y)]), common)
+                assert set(sig[owner == 0]) & set(sig[owner == 1])
+
+
+def shared_passage(n):
+    """Documents of 60 words of their own that share one of 20, and four near copies of the first."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(20)]
+    rows = [[f"d{d}x{rng.randrange(10**9)}" for _ in range(60)] + passage for d in range(n)]
+    rows += [[*rows[0][:-1], f"end{i}"] for i in range(4)]
+    return [(d, " ".join(words)) for d, words in enumerate(rows)]
+
+
+def test_a_passage_that_many_share_does_not_make_them_candidates(spark, monkeypatch):
+    import rigspark.llm.ngram_join as join
+
+    monkeypatch.setattr(join, "SAMPLED", 1)
+    met, refined = [], join._refined
+    monkeypatch.setattr(join, "_refined", lambda texts, members, *a: met.append(members.count()) or refined(texts, members, *a))
+    rows = shared_passage(300)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: 0 if d > 299 else d for d, _ in rows}
+    assert met[0] < 30  # 304 where the passage counts
+
+
+def test_texts_are_not_shuffled_for_tables_beyond_a_broadcast(spark, monkeypatch):
+    import rigspark.llm.ngram_join as join
+
+    rows = copies(11, 200) + [(None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(r.doc_id or -1 for r in near_duplicates(docs, width=3, percent=80).collect())
+    monkeypatch.setattr(join, "BROADCAST_ROWS", 40)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_duplicates(docs, width=3, percent=80)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r.doc_id or -1 for r in kept.collect()) == want
+        monkeypatch.setattr(join, "MOST_RANGES", 3)
+        assert sorted(r.doc_id or -1 for r in near_duplicates(docs, width=3, percent=80).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_histogram_goes_to_no_more_block_pairs_in_larger_classes(spark, monkeypatch):
+    import rigspark.llm.ngram_join as join
+
+    monkeypatch.setattr(join, "BLOCK_DOCS", 5)
+    texts = spark.createDataFrame([(d, f"a b c d e f g h i j k l m n{d}") for d in range(400)], "rep long, text string")
+    members = texts.selectExpr("rep", "0L as grp", "12L as n")
+    held, compare = spark.sparkContext.accumulator(0), join._compare
+
+    def counted(frames, percent):
+        def seen():
+            for frame in frames:
+                held.add(len(frame))
+                yield frame
+
+        return compare(seen(), percent)
+
+    monkeypatch.setattr(join, "_compare", counted)
+    edges = join._refined(texts, members, 3, 80).collect()
+    label = {d: d for d in range(400)}
+    for e in edges:
+        keep, gone = sorted((label[e.rep], label[e.hub]))
+        label = {d: keep if c == gone else c for d, c in label.items()}
+    assert set(label.values()) == {0}
+    assert held.value <= 400 * join.MOST_BLOCKS  # 400 * 80 in blocks of 5
