@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,16 +85,26 @@ def pixel(rig: Rig, cam: np.ndarray, world: np.ndarray) -> np.ndarray:
     return at[:, :2] * factor[:, None] * rig.focal[cam] + rig.principal[cam]
 
 
-def slopes(rig: Rig, cam: np.ndarray, world: np.ndarray) -> dict[str, np.ndarray]:
-    """Derivatives of the pixel: by the world point and by each parameter (``focal``: relative)."""
-    away, at, n, rho, radius, slope, factor, by_n, by_z = _lens(rig, cam, world)
+def _by_world(rig: Rig, cam: np.ndarray, lens: tuple) -> np.ndarray:
+    """Derivatives of the pixel by the world point."""
+    _, at, n, _, radius, slope, factor, by_n, by_z = lens
     m, focal, safe = at[:, :2], rig.focal[cam], np.maximum(n, 1e-12)
     bend = np.where(n > 1e-12, (slope * by_n * safe - radius) / safe**3, 0.0)
-    by_at = np.zeros((len(cam), 2, 3))
-    by_at[:, :, :2] = factor[:, None, None] * np.eye(2) + m[:, :, None] * m[:, None, :] * bend[:, None, None]
+    by_at = np.empty((len(cam), 2, 3))
+    by_at[:, :, :2] = m[:, :, None] * m[:, None, :] * bend[:, None, None]
+    by_at[:, 0, 0] += factor
+    by_at[:, 1, 1] += factor
     by_at[:, :, 2] = m * (slope * by_z / safe)[:, None]
     by_at *= focal[:, :, None]
-    by_world = by_at @ rig.axes[cam]
+    return by_at @ rig.axes[cam]
+
+
+def slopes(rig: Rig, cam: np.ndarray, world: np.ndarray) -> dict[str, np.ndarray]:
+    """Derivatives of the pixel: by the world point and by each parameter (``focal``: relative)."""
+    lens = _lens(rig, cam, world)
+    away, at, n, rho, _, _, factor, _, _ = lens
+    m, focal, safe = at[:, :2], rig.focal[cam], np.maximum(n, 1e-12)
+    by_world = _by_world(rig, cam, lens)
     cross = np.zeros((len(cam), 3, 3))
     for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
         cross[:, j, i], cross[:, i, j] = away[:, k], -away[:, k]
@@ -162,9 +173,10 @@ def settle(rig: Rig, cam: np.ndarray, seen: np.ndarray, begin: np.ndarray, world
     damp = np.full(len(world), 1e-3)
     for _ in range(steps):
         total = lambda v: np.add.reduceat(v, begin, axis=0)  # noqa: B023, E731
-        by = slopes(rig, cam, np.repeat(world, times, axis=0))["world"]
-        v = total(np.einsum("k,kij,kil->kjl", weight, by, by))
-        g = total(np.einsum("k,kij,ki->kj", weight, by, np.where(np.isfinite(error), error, 0)))
+        by = _by_world(rig, cam, _lens(rig, cam, np.repeat(world, times, axis=0)))
+        heavy, right = by * weight[:, None, None], np.where(np.isfinite(error), error, 0)
+        v = total(heavy[:, 0, :, None] * by[:, 0, None, :] + heavy[:, 1, :, None] * by[:, 1, None, :])
+        g = total(heavy[:, 0] * right[:, :1] + heavy[:, 1] * right[:, 1:])
         v[:, range(3), range(3)] *= 1 + damp[:, None]
         v += (1e-14 * np.trace(v, axis1=1, axis2=2) + 1e-300)[:, None, None] * np.eye(3)
         with np.errstate(all="ignore"):
@@ -222,13 +234,24 @@ def place(rig: Rig, cam: np.ndarray, seen: np.ndarray, begin: np.ndarray, world:
     return settle(rig, cam, seen, begin, np.where((best == 0)[:, None], world, np.where((best == 1)[:, None], near, far)))
 
 
-def _flat(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Camera numbers and pixels of all rows' observations, and where each row begins."""
-    times = frame["cam"].map(len).to_numpy()
-    cat = lambda c: np.concatenate(frame[c].to_numpy()) if len(frame) else np.zeros(0)
+    times = rows.column("cam").value_lengths().to_numpy(zero_copy_only=False)
+    cat = lambda c: rows.column(c).flatten().to_numpy(zero_copy_only=False)
     return cat("cam").astype(int), np.stack([cat("px"), cat("py")], 1), np.r_[0, np.cumsum(times)[:-1]].astype(int)
 
 
+def _places(rows: pa.RecordBatch) -> np.ndarray:
+    """The rows' points, NaN where they have none."""
+    return np.stack([rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in "xyz"], 1)
+
+
+def _with(rows: pa.RecordBatch, **own: np.ndarray) -> pa.RecordBatch:
+    """The rows with some columns, which stand for those of the same name or come last; NaN is null."""
+    columns = dict(zip(rows.schema.names, rows.columns, strict=True)) | {c: pa.array(v, pa.float64(), mask=np.isnan(v)) for c, v in own.items()}
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def tracks(obs: DataFrame, rig: Rig, key: str, points: DataFrame | None = None, distance: float = 1000.0) -> DataFrame:
     """One row for each point, with all its observations: key, ``part``, ``cam``, ``px``, ``py``, ``x``, ``y``, ``z``, ``cost``.
 
@@ -256,18 +279,16 @@ def tracks(obs: DataFrame, rig: Rig, key: str, points: DataFrame | None = None,
 def settled(rows: DataFrame, rig: Rig, distance: float = 1000.0) -> DataFrame:
     """Tracks triangulated against a rig, and written."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                cam, seen, begin = _flat(frame)
-                world = frame[["x", "y", "z"]].to_numpy(float)
-                world, cost = place(rig, cam, seen, begin, world, distance)
-                frame[["x", "y", "z"]], frame["cost"] = world, cost
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                cam, seen, begin = _flat(batch)
+                world, cost = place(rig, cam, seen, begin, _places(batch), distance)
                 error = seen - pixel(rig, cam, np.repeat(world, np.diff(np.r_[begin, len(cam)]), axis=0))
-                frame["robust"], frame["square"] = (np.add.reduceat(v, begin) for v in (_weights(error)[1], (error**2).sum(1)))
-            yield frame
+                robust, square = (np.add.reduceat(v, begin) for v in (_weights(error)[1], (error**2).sum(1)))
+                yield _with(batch, **dict(zip("xyz", world.T, strict=True)), cost=cost, robust=robust, square=square)
 
-    return written(rows.mapInPandas(run, rows.schema))
+    return written(rows.mapInArrow(run, rows.schema))
 
 
 def unknowns(rig: Rig, free: tuple[str, ...], shared: bool) -> tuple[dict[str, np.ndarray], int]:
@@ -326,25 +347,25 @@ def reduced_system(rows: DataFrame, rig: Rig, columns: dict[str, np.ndarray], si
     """
     chunk = max(BLOCK_NUMBERS // (3 * max(size, 1)), 2 * MOST_SEEN)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, g = np.zeros((size, size)), np.zeros(size)
-        for frame in frames:
-            if not len(frame):
+        for batch in batches:
+            if not len(batch):
                 continue
-            cam, seen, begin = _flat(frame)
-            world, ends = frame[["x", "y", "z"]].to_numpy(float), np.r_[begin[1:], len(cam)]
+            cam, seen, begin = _flat(batch)
+            world, ends = _places(batch), np.r_[begin[1:], len(cam)]
             first = 0
-            while first < len(frame):
+            while first < len(batch):
                 last = max(int(np.searchsorted(ends, begin[first] + chunk, "right")), first + 1)
                 at = slice(begin[first], ends[last - 1])
                 _eliminate(a, g, rig, columns, cam[at], seen[at], begin[first:last] - begin[first], world[first:last])
                 first = last
-        yield pd.DataFrame({"i": np.arange(size + 1), "v": [*a, g]})
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(size + 1), pa.int32()), "v": pa.array([*a, g], pa.list_(pa.float64()))})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": frame["i"][:1], "v": [np.sum(np.stack(frame["v"].to_list()), axis=0)]})
 
-    sums = rows.mapInPandas(run, "i int, v array<double>").groupBy("i").applyInPandas(add, "i int, v array<double>").collect()
+    sums = rows.mapInArrow(run, "i int, v array<double>").groupBy("i").applyInPandas(add, "i int, v array<double>").collect()
     a, g = np.zeros((size, size)), np.zeros(size)
     for r in sums:
         if r.i < size:
@@ -458,36 +479,32 @@ def match_errors(rows: DataFrame, rig: Rig, distance: float = 1000.0) -> DataFra
     null the match is triangulated by itself, and the columns then hold that point.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                cam, seen, begin = _flat(frame)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                cam, seen, begin = _flat(batch)
                 other = np.arange(len(cam)) ^ 1
                 far = rig.origin[cam] + NEAR_INFINITY * rays(rig, cam, seen)
                 visible = sees(rig, cam[other], far).reshape(-1, 2).all(1)
-                world = frame[["x", "y", "z"]].to_numpy(float)
+                world = _places(batch)
                 new = ~np.isfinite(world).all(1)
                 if new.any():
                     both = np.repeat(new, 2)
                     own = np.arange(new.sum()) * 2
                     world[new] = place(rig, cam[both], seen[both], own, world[new], distance)[0]
                 square = ((seen - pixel(rig, cam, np.repeat(world, 2, axis=0))) ** 2).sum(1)
-                frame[["x", "y", "z"]] = world
-                frame["error"] = np.where(visible, np.sqrt(square.reshape(-1, 2).sum(1) / 2), np.nan)
-            else:
-                frame["error"] = np.zeros(0)
-            yield frame
+                error = np.where(visible, np.sqrt(square.reshape(-1, 2).sum(1) / 2), np.nan)
+                yield _with(batch, **dict(zip("xyz", world.T, strict=True)), error=error)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    found = spread(rows).mapInPandas(run, f"{fields}, error double")
-    return found.withColumn("error", F.when(~F.isnan("error"), F.col("error")))
+    return spread(rows).mapInArrow(run, f"{fields}, error double")
 
 
 def _good(rows: DataFrame, factor: float) -> tuple[DataFrame, tuple]:
     """Matches below ``factor`` times the median of their image pair; those across frames all stay."""
     pair, across = ["image0", "image1"], frame_of("image0") != frame_of("image1")
     rows = written(rows.withColumn("pair", F.concat_ws("|", *pair)))
-    kept = written(reject_outliers(rows, ["pair"], "error", factor, across).select("image0", "idx0", "image1", "idx1"))
+    kept = written(reject_outliers(rows, ["pair"], "error", factor, across).select("image0", "idx0", "image1", "idx1", "cam", "px", "py"))
     counts = rejection_counts(rows, ["pair"], "error", F.lit(float("inf"))).agg(F.sum("total"), F.sum("invisible")).first()
     return kept, (counts[0] or 0, counts[1] or 0, kept.count())
 
@@ -516,7 +533,7 @@ def calibrate_geometry(matches: DataFrame, keypoints: DataFrame, cameras: DataFr
             if again:
                 found = tracks(obs, rig, "trace_id", distance=distance).groupBy("trace_id").agg(*(F.min_by(c, "part").alias(c) for c in "xyz"))
                 trace = members.select(F.col("image").alias("image0"), F.col("kp_idx").alias("idx0"), "trace_id")
-                rows = pixels.join(kept, ["image0", "idx0", "image1", "idx1"], "left_semi").join(trace, ["image0", "idx0"]).join(found, "trace_id").drop("trace_id")
+                rows = kept.join(trace, ["image0", "idx0"]).join(found, "trace_id").drop("trace_id")
                 kept, (_, _, second) = _good(match_errors(rows, rig, distance), factor)
         free = FIRST_PASS if turn == 0 else tuple(p for p in ALL if p != "position" or not lock_positions)
         done = bundle_adjust(obs, rig.table(spark), None, "trace_id", free, shared, tolerance=1e-2 if turn == 0 else 1e-4)

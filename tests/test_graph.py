@@ -96,3 +96,27 @@ def test_rounds_end_where_one_task_can_finish(spark, monkeypatch, nodes):
     edges = [(rng.randrange(280), rng.randrange(280)) for _ in range(500)] + [(i, i + 1) for i in range(1000, 1030)] + [(9999, 9999)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(3)
     assert {r.node: r.component for r in connected_components(df, "a", "b").collect()} == brute(edges)
+
+
+def test_small_components_end_without_steps_on_single_nodes(spark, monkeypatch):
+    """Pairs, triangles and a few chains over many partitions: what is left beyond stars is for one task."""
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 300)
+    monkeypatch.setattr(graph, "_stars", None)
+    edges = [(10 * i + a, 10 * i + b) for i in range(400) for a, b in ((0, 1), (1, 2), (0, 2))] + [(10 * i + 2, 10 * i + 10) for i in range(0, 60, 2)] + [(7777, 7777), (1, 1)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(16)
+    assert {r.node: r.component for r in connected_components(df, "a", "b").collect()} == brute(edges)
+
+
+def test_traces_are_named_alike_with_and_without_numbers(spark, monkeypatch):
+    rng = random.Random(3)
+    names = ["rgb/cam1/1.png", "rgb/cam1/1", "rgb/cam10/1.png", "rgb/\u00e9/1", "rgb/cam1/1.png2", "a b", "a"]
+    rows = [(*(x for _ in "01" for x in (rng.choice(names), rng.randrange(90))),) for _ in range(160)] + [("a", (1 << 31) - 1, "a b", 0)]
+    matches = spark.createDataFrame(rows, "image0 string, idx0 int, image1 string, idx1 int")
+    numbered = sorted(trace_members(matches).collect())
+    assert graph._numbered(matches) is not None
+    monkeypatch.setattr(graph, "MOST_IMAGES", 3)
+    assert graph._numbered(matches) is None
+    assert sorted(trace_members(matches).collect()) == numbered
+    with_negative = matches.union(spark.createDataFrame([("a", -1, "b", 2)], matches.schema))
+    monkeypatch.setattr(graph, "MOST_IMAGES", 100)
+    assert graph._numbered(with_negative) is None
